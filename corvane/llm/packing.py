@@ -30,35 +30,35 @@ TOKENIZER = "byte_bpe_50k.json"
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece long, start long, length long, ids_crc32 long"
 
-#: A single space between two characters that no tokenizer rule takes for white space starts a new pre-token.
-GAP = re.compile(r"(?<=[^\s\x00-\x1f\x85᠎​⁠﻿]) (?=[^\s\x00-\x1f\x85᠎​⁠﻿])")
+#: Characters that every Unicode version in use here classes alike as letters, digits, spaces or others.
+SETTLED = re.compile(r"[\x00-\x7f\xa0-\u0377\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20ac\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
-class WordTokenizer:
-    """Token ids of whole texts, as little-endian uint32 bytes. Words are looked up in a cache of bounded size."""
+class TextTokenizer:
+    """Token ids of whole texts, as little-endian uint32 bytes.
 
-    def __init__(self, path: str, max_words: int = 1 << 20):
+    The vocabulary is read from the tokenizer's file. Merging runs in tiktoken's core over that vocabulary, which gives the same
+    ids at about a third of the CPU time; a text with a character outside SETTLED goes through the tokenizer itself.
+    """
+
+    def __init__(self, path: str):
+        import public_tokenizers
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.words: dict[str, bytes] = {}
-        self.max_words = max_words
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = []
-        for text in texts:
-            parts = GAP.split(text)
-            split.append([parts[0], *(" " + p for p in parts[1:])])
-        if len(self.words) > self.max_words:
-            self.words.clear()
-        new = list({w for parts in split for w in parts if w not in self.words})
-        for first in range(0, len(new), 1 << 14):
-            chunk = new[first : first + (1 << 14)]
-            for word, found in zip(chunk, self.tokenizer.encode_batch_fast(chunk, add_special_tokens=False)):
-                self.words[word] = np.array(found.ids, dtype="<u4").tobytes()
-        words = self.words
-        return [b"".join([words[p] for p in parts]) for parts in split]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in printable]
+        byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
+        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        if text.isascii() or SETTLED.fullmatch(text):
+            return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
 
 def cut_lengths(total: int, capacity: int) -> list[int]:
@@ -72,20 +72,15 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     path = tokenizer or public_tokenizers.path(TOKENIZER)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        coder = WordTokenizer(path)
+        coder = TextTokenizer(path)
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in PIECES}
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode(part.column("text").to_pylist())):
-                    ids, start = ids + b"\0\0\0\0", 0
-                    for n, length in enumerate(cut_lengths(len(ids) // 4, capacity)):
-                        for name, value in zip(out, (doc, n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
-                            out[name].append(value)
-                        start += length
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                ids, start = coder.encode(text.as_py()) + b"\0\0\0\0", 0
+                for n, length in enumerate(cut_lengths(len(ids) // 4, capacity)):
+                    for name, value in zip(out, (doc, n, start, length, zlib.crc32(ids[4 * start : 4 * (start + length)]))):
+                        out[name].append(value)
+                    start += length
             yield batch_of(PIECES, **out)
 
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES_DDL)
