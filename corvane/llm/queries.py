@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, lines, media
+from . import fingerprints, langid, lines, media, packing, sentencepiece
 from .common import table
 
 
@@ -12,6 +12,14 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece.round_trip_digests(table(spark, sf_dir, "documents"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -20,5 +28,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_languages(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op8_line_dedup, op9_language_id)}
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_media_columns, op3_sentencepiece, op6_fingerprints, op8_line_dedup, op9_language_id, op10_packing)}
 ORACLES = {"op8_line_dedup": lines.ORACLE}

@@ -30,8 +30,7 @@ from .common import batch_of
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
-#: No piece holds a line feed, or a space mark after another character: words end there.
-WORD = re.compile("\n|▁*[^▁\n]+|▁+")
+SLOTS = 1 << 20
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -82,8 +81,31 @@ class Pieces:
             own = own[np.argsort(hashes[own])]
             self.by_length[length] = (hashes[own], own)
         self.power = np.array([pow(int(PRIME), e, 1 << 64) for e in range(self.longest + 1)], dtype=np.uint64)
-        self.known_pairs = np.empty(0, dtype=np.int64)
-        self.known = np.empty(0, dtype=bool)
+        # hash bits of pieces of each length: most substrings are no piece and stop here
+        self.sieve = {}
+        for length, (hashed, _) in self.by_length.items():
+            self.sieve[length] = np.zeros(SLOTS, dtype=bool)
+            self.sieve[length][(hashed >> np.uint64(44)).astype(np.int64)] = True
+        self.known_pairs = np.full(SLOTS, -1, dtype=np.int64)
+        self.known = np.zeros(SLOTS, dtype=bool)
+        self.word = self.word_rule()
+
+    def word_rule(self) -> re.Pattern:
+        """Where texts may be cut into words: no piece spans a cut, so words merge by themselves.
+
+        A line feed stands alone, a space mark starts a word unless one stands before it, and a word ends before a punctuation
+        mark that no piece holds after a word character.
+        """
+        after = set()
+        for t in self.texts:
+            for x, y in zip(t, t[1:]):
+                if "\n" in (x, y) or y == SPACE != x:
+                    raise ValueError("a piece spans two words")
+                if re.match(r"\w", x):
+                    after.add(y)
+        marks = "".join(re.escape(c) for c in ".,;:!?*#$%&|()[]{}<>=+-/\"'" if c not in after)
+        plain = f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+"
+        return re.compile(rf"{SPACE}*\w+(?=[{marks}])|{plain}" if marks else plain)
 
     @staticmethod
     def last_merge(t: str, number: dict[str, int]) -> tuple[int, int] | None:
@@ -138,58 +160,57 @@ class Pieces:
         return ok
 
     def adjoin(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """judge() with a memory of pairs seen."""
+        """judge() with a memory of pairs seen: one pair a slot, later pairs replace earlier ones."""
         key = (a << 32) | b
-        new = np.unique(key)
-        at = np.searchsorted(self.known_pairs, new)
-        have = np.zeros(len(new), dtype=bool)
-        if len(self.known_pairs):
-            have = self.known_pairs[np.minimum(at, len(self.known_pairs) - 1)] == new
-        new = new[~have]
+        slot = ((key.astype(np.uint64) * PRIME) >> np.uint64(44)).astype(np.int64)
+        out = self.known[slot]
+        new = np.flatnonzero(self.known_pairs[slot] != key)
         if len(new):
-            if len(self.known_pairs) > 1 << 22:
-                self.known_pairs, self.known = self.known_pairs[:0], self.known[:0]
-                return self.judge(a, b)
-            keys = np.concatenate([self.known_pairs, new])
-            flags = np.concatenate([self.known, self.judge(new >> 32, new & 0xFFFFFFFF)])
-            order = np.argsort(keys, kind="stable")
-            self.known_pairs, self.known = keys[order], flags[order]
-        return self.known[np.searchsorted(self.known_pairs, key)]
+            fresh, where = np.unique(key[new], return_inverse=True)
+            found = self.judge(fresh >> 32, fresh & 0xFFFFFFFF)
+            out[new] = found[where]
+            self.known_pairs[slot[new]], self.known[slot[new]] = key[new], found[where]
+        return out
 
     def viterbi(self, words: list[str], length: int) -> list[bytes]:
         """Ids, as little-endian uint32 bytes, of words of one length."""
         chars = self.matrix(words, length)
-        prefix, n = self.prefix_hashes(chars), len(words)
-        last = np.full((n, length + 1), -1, dtype=np.int64)  # piece that ends here; -2: a character without a piece
-        back = np.zeros((n, length + 1), dtype=np.int64)
-        last[:, 0] = -2
+        prefix, n = np.ascontiguousarray(self.prefix_hashes(chars).T), len(words)
+        last = np.full((length + 1, n), -1, dtype=np.int64)  # piece that ends here; -2: a character without a piece
+        back = np.zeros((length + 1, n), dtype=np.int64)
+        last[0] = -2
         for end in range(1, length + 1):
             best = np.full(n, -1, dtype=np.int64)
             for size in range(1, min(end, self.longest) + 1):
                 hashes, own = self.by_length[size]
                 if not len(own):
                     continue
-                probe = prefix[:, end] - prefix[:, end - size] * self.power[size]
+                probe = prefix[end] - prefix[end - size] * self.power[size]
+                row = np.flatnonzero(self.sieve[size][(probe >> np.uint64(44)).view(np.int64)])
+                if not len(row):
+                    continue
+                probe = probe[row]
                 at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                row = np.flatnonzero((hashes[at] == probe) & (last[:, end - size] != -1))
+                hit = (hashes[at] == probe) & (last[end - size, row] != -1)
+                row, at = row[hit], at[hit]
                 if not len(row):
                     continue
-                piece, before = own[at[row]], last[row, end - size]
+                piece, before = own[at], last[end - size, row]
                 fine = np.ones(len(row), dtype=bool)
                 inner = np.flatnonzero(before >= 0)
                 fine[inner] = self.adjoin(before[inner], piece[inner])
                 row, piece = row[fine], piece[fine]
                 better = piece > best[row]
                 row, piece = row[better], piece[better]
-                best[row], back[row, end] = piece, size
+                best[row], back[end, row] = piece, size
             bare = np.flatnonzero(best < 0)
             if len(bare):  # a character without a piece stands alone
                 hashes, own = self.by_length[1]
-                probe = prefix[bare, end] - prefix[bare, end - 1] * self.power[1]
+                probe = prefix[end, bare] - prefix[end - 1, bare] * self.power[1]
                 at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
                 bare = bare[hashes[at] != probe]
-                best[bare], back[bare, end] = -2, 1
-            last[:, end] = best
+                best[bare], back[end, bare] = -2, 1
+            last[end] = best
         return self.paths(words, last, back, length)
 
     def paths(self, words: list[str], last: np.ndarray, back: np.ndarray, length: int) -> list[bytes]:
@@ -198,9 +219,9 @@ class Pieces:
         at, steps = np.full(n, length), []
         while (live := np.flatnonzero(at > 0)).size:
             piece = np.full(n, -1, dtype=np.int64)
-            piece[live] = last[live, at[live]]
+            piece[live] = last[at[live], live]
             steps.append((piece, at.copy()))
-            at[live] -= np.maximum(back[live, at[live]], 1)
+            at[live] -= np.maximum(back[at[live], live], 1)
         table = np.stack([s[0] for s in reversed(steps)], axis=1)
         ids = np.where(table >= 0, self.ids[np.maximum(table, 0)], 0).astype("<u4")
         out = []
@@ -224,7 +245,7 @@ class Pieces:
 
     def encode(self, texts: list[str], cache: dict[str, bytes], max_words: int = 1 << 20) -> list[bytes]:
         """Ids of each text, as little-endian uint32 bytes."""
-        split = [WORD.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+        split = [self.word.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         if len(cache) > max_words:
             cache.clear()
         by_length: dict[int, list[str]] = {}
@@ -259,8 +280,8 @@ def encode(docs: DataFrame, model: str = "", keep: tuple[str, ...] = ("doc_id",)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, cache = pieces(path), {}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 4096):
+                part = batch.slice(at, 4096)
                 found = own.encode(part.column("text").to_pylist(), cache)
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)]).astype("<i4")
                 ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), dtype="<u4").astype(np.int32)))
