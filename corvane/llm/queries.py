@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, lines, media, packing, sentencepiece
+from . import fingerprints, langid, licenses, lines, media, packing, sentencepiece
 from .common import table
 
 
+def op1_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_media_columns, op3_sentencepiece, op6_fingerprints, op8_line_dedup, op9_language_id, op10_packing)}
-ORACLES = {"op8_line_dedup": lines.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op6_fingerprints, op8_line_dedup, op9_language_id, op10_packing)}
+ORACLES = {"op1_license_scans": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
