@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, licenses, lines, media, near_dup, packing, sentencepiece
+from . import fingerprints, langid, licenses, lines, media, near_dup, packing, sentencepiece, suffixes
 from .common import table
 
 
@@ -28,6 +28,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.suffix_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_digests(table(spark, sf_dir, "documents"))
 
@@ -40,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op6_fingerprints, op8_line_dedup, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_line_dedup, op9_language_id, op10_packing)}
 ORACLES = {"op1_license_scans": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
