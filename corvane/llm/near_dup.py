@@ -295,3 +295,12 @@ def components(docs: DataFrame, words: int = 3, percent: int = 85, band_miss: fl
     out = made.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("component").isNull() | F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.least("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, **how) -> DataFrame:
+    """One document of each component stays, the one with its smallest doc_id, as it is.
+
+    A doc_id that repeats goes if none of its texts is kept, else all its rows stay. Rows without doc_id stay.
+    """
+    found = components(docs, words, percent, **how).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    return docs.join(materialize(found.where("not kept").select("doc_id")), "doc_id", "left_anti")

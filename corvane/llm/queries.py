@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, licenses, lines, media, near_dup, packing, sentencepiece, suffixes
+from . import fingerprints, langid, licenses, lines, media, near_dup, packing, quality, sentencepiece, suffixes
 from .common import table
 
 
@@ -24,6 +24,10 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.components(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_digests(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op6_fingerprints, op7_suffix_dedup, op8_line_dedup, op9_language_id, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op5_quality, op6_fingerprints, op7_suffix_dedup, op8_line_dedup, op9_language_id, op10_packing)}
 ORACLES = {"op1_license_scans": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
