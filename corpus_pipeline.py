@@ -1,5 +1,56 @@
-"""placeholder"""
-STAGES = []
+"""A training corpus from raw documents: quality, repeated lines, near duplicates, repeated passages, packed sequences.
+
+Every stage works on all rows that the one before kept and returns documents' columns, but the last, which returns the pieces.
+Near duplicates share 0.8 of their five-word shingles or more; of each group the smallest doc_id stays.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corvane.llm import lines, near_dup, packing, quality, suffixes
+from corvane.llm.common import shared_dir, table
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity their language's trusted texts have too."""
+    return quality.drop_rejected(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without lines that three documents or more hold, but for one place of each."""
+    return lines.drop_repeated_lines(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dup.drop_near_duplicates(docs, words=5, percent=80)
+
+
+def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages that start earlier in the corpus."""
+    return suffixes.drop_repeated_passages(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all texts with their places in training sequences."""
+    return packing.pack(docs)
+
+
+STAGES = [("quality", keep_good), ("lines", drop_lines), ("near_duplicates", drop_near_copies), ("passages", drop_passages), ("packing", pack)]
+
+#: Neither the language model nor the packing can be put in SQL: tests hold the stages against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents, each written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
