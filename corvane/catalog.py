@@ -1,4 +1,6 @@
 """Queries by name and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans import index  # noqa: F401
+from .plans.base import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
