@@ -7,8 +7,10 @@ A value that many rows share is a bucket of its own, which ties are cut further
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKETS = 64
 
@@ -16,27 +18,37 @@ BUCKETS = 64
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
     """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null.
 
-    Equal values meet in one row before anything is sorted, so ties of any size cost nothing.
+    Equal values meet in one row before anything is sorted, so ties of any size cost nothing. The driver gets `buckets`
+    numbers for each group: groups are columns of a matrix or draws, not entities.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("ties"))
-    cuts = counts.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(i / buckets) for i in range(1, buckets))), 10000).alias("cuts"))
-    placed = (counts.join(cuts, by) if by else counts.withColumn("cuts", cuts.scalar())).withColumn("bucket", F.size(F.filter("cuts", lambda c: c < F.col(value)))).drop("cuts")
-    totals = placed.groupBy(*by, "bucket").agg(F.sum("ties").alias("own"))
-    w = Window.partitionBy(*by).orderBy("bucket") if by else Window.partitionBy(F.lit(1)).orderBy("bucket")  # at most `buckets` rows a group
-    before = totals.withColumn("before", F.sum("own").over(w) - F.col("own")).drop("own")
-    inner = Window.partitionBy(*by, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("upto", F.sum("ties").over(inner)).join(before, [*by, "bucket"])
-    ranked = ranked.select(*by, value, (F.col("before") + F.col("upto") - (F.col("ties") - 1) / 2).alias("rank"))
-    n = totals.groupBy(*by).agg(F.sum("own").alias("n"))
-    out = rows.join(ranked, [*by, value], "left")
-    return out.join(n, by, "left") if by else out.withColumn("n", n.scalar())
-
-
-def percent_ranks(rows: DataFrame, by: list[str], value: str = "value", direction: Column | int = 1) -> DataFrame:
-    """rows with `score`: 100 times the average rank over the count, 100 less than it for direction -1."""
+    keys = by or ["_all"]
+    known = rows.where(F.col(value).isNotNull()) if by else rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")).persist(StorageLevel.MEMORY_AND_DISK)
+    points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
+    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))
+    session, shape = rows.sparkSession, counts.select(*keys).schema
+    cuts = session.createDataFrame(cuts.collect(), cuts.schema)
+    placed = counts.join(F.broadcast(cuts), keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_own")).collect()
+    before, upto = [], {}
+    for r in sorted(totals, key=lambda r: r["_bucket"]):
+        key = tuple(r[k] for k in keys)
+        before.append((*key, r["_bucket"], upto.get(key, 0)))
+        upto[key] = upto.get(key, 0) + r["_own"]
+    ends = {(*b[: len(keys)],): upto[b[: len(keys)]] for b in before}
+    ddl = T.StructType([*shape.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("n", T.LongType())])
+    offsets = session.createDataFrame([(*b, ends[b[: len(keys)]]) for b in before], ddl)
+    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = placed.withColumn("_upto", F.sum("_ties").over(inner)).join(F.broadcast(offsets), [*keys, "_bucket"])
+    ranked = ranked.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2).alias("rank"), "n")
+    return rows.join(ranked, [*by, value], "left")
+
+
+def percent_ranks(rows: DataFrame, by: list[str], value: str = "value", direction=1) -> DataFrame:
+    """rows with `score`: 100 times the average rank over the count, 100 less than it for direction -1 (a number or a column)."""
     ranked = average_ranks(rows, by, value)
     r = F.col("rank") / F.col("n")
-    d = direction if isinstance(direction, Column) else F.lit(direction)
+    d = F.lit(direction) if isinstance(direction, int) else direction
     return ranked.withColumn("score", 100 * F.when(d < 0, 1 - r).otherwise(r)).drop("rank", "n")
 
 
@@ -50,17 +62,21 @@ def in_order(rows: DataFrame, value: str, tie: str, sums: tuple[str, ...] = (),
     level = F.array(*(F.lit(float(c)) for c in sorted(set(cuts["v"] or [])))).cast("array<double>")
     ties = F.array(*(F.lit(float(c)) for c in sorted(set(cuts["t"] or [])))).cast("array<double>")
     v, t = F.col(value).cast("double"), F.col(tie).cast("double")
-    below = 2 * F.size(F.filter(level, lambda c: c < v)) + F.array_contains(level, v).cast("int")
-    major = F.when(v.isNull(), F.lit(1 << 20)).otherwise(-below if descending else below)
     exact = F.coalesce(F.array_contains(level, v), F.lit(True))
+    below = 2 * F.size(F.filter(level, lambda c: c < v)) + exact.cast("int")
+    major = F.when(v.isNull(), F.lit(1 << 20)).otherwise(-below if descending else below)
     minor = F.when(exact, F.size(F.filter(ties, lambda c: c < t))).otherwise(0)
     placed = rows.withColumn("_major", major).withColumn("_minor", minor)
-    totals = placed.groupBy("_major", "_minor").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums))
-    w = Window.partitionBy(F.lit(1)).orderBy("_major", "_minor").rowsBetween(Window.unboundedPreceding, -1)  # at most 2 * buckets^2 rows, mostly far fewer
-    before = totals.select("_major", "_minor", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_n0"), *(F.coalesce(F.sum(f"_s_{c}").over(w), F.lit(0)).alias(f"_b_{c}") for c in sums))
+    totals = placed.groupBy("_major", "_minor").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums)).orderBy("_major", "_minor").collect()
+    run, offsets = [0] + [0.0] * len(sums), []
+    for r in totals:
+        offsets.append((r["_major"], r["_minor"], *run))
+        run = [run[0] + r["_n"], *(x + float(r[f"_s_{c}"] or 0.0) for x, c in zip(run[1:], sums))]
+    ddl = ", ".join(["_major int", "_minor int", "_n0 long", *(f"_b_{c} double" for c in sums)])
+    before = rows.sparkSession.createDataFrame(offsets, ddl)  # at most about 2 * buckets^2 rows
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
     inner = Window.partitionBy("_major", "_minor").orderBy(order, F.col(tie))
-    out = placed.join(before, ["_major", "_minor"]).withColumn("position", (F.col("_n0") + F.row_number().over(inner)).cast("long"))
+    out = placed.join(F.broadcast(before), ["_major", "_minor"]).withColumn("position", (F.col("_n0") + F.row_number().over(inner)).cast("long"))
     for c in sums:
         out = out.withColumn(f"run_{c}", F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     return out.drop("_major", "_minor", "_n0", *(f"_b_{c}" for c in sums))

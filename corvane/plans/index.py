@@ -127,9 +127,9 @@ def index_geometric(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(spark, sf_dir).select("entity", "size", "quality", "overall")
 
 
-@query(INDEX + " SELECT entity, round(0.5 * size + 0.5 * quality, 5) AS arithmetic FROM score")
+@query(INDEX + " SELECT entity, round(0.5 * size + 0.5 * quality, 7) AS arithmetic FROM score")
 def index_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scored(spark, sf_dir).select("entity", F.round(0.5 * F.col("size") + 0.5 * F.col("quality"), 5).alias("arithmetic"))
+    return scored(spark, sf_dir).select("entity", F.round(0.5 * F.col("size") + 0.5 * F.col("quality"), 7).alias("arithmetic"))
 
 
 _RANKED = INDEX + f""", rk AS (SELECT *, CAST(floor(rank() OVER (ORDER BY overall DESC) + (count(*) OVER (PARTITION BY overall) - 1) / 2.0) AS BIGINT) AS rank_overall FROM score),
