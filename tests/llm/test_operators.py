@@ -1,0 +1,175 @@
+"""The training-data operators against brute force, round trips and held-out accuracy, with nulls, ties, repeats and empty tables."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.llm import fingerprints, langid, licenses, lines, media, near_dup, packing, quality, sentencepiece
+
+EDGES = [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "Ünïcode — text"), (1004, "Ünïcode — text"), (None, "no id at all here"), (1005, "word " * 30000)]
+
+
+def near_corpus():
+    rng = random.Random(3)
+    words = ["w%d" % i for i in range(3000)]
+    rows, base = [], [[rng.choice(words) for _ in range(rng.randint(20, 150))] for _ in range(40)]
+    for i in range(220):
+        own = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 2, 5])):
+            own[rng.randrange(len(own))] = rng.choice(words)
+        rows.append((i, " ".join(own)))
+    return rows
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = near_corpus() + EDGES
+    return spark.createDataFrame([(d, t, "en", "s", None) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").withColumn("signature", F.lit(1)).withColumn("block", F.lit("x")).repartition(4)
+
+
+def shingles(text, n):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode().lower())
+    return {tuple(words)} if 0 < len(words) < n else {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+
+
+def test_near_duplicates(spark, docs):
+    rows = [(d, t) for d, t in near_corpus() + EDGES if d is not None]
+    sets = {d: shingles(t, 3) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    ids = sorted(sets)
+    for i, a in enumerate(ids):
+        for b in ids[i + 1 :]:
+            both = len(sets[a] & sets[b])
+            if sets[a] and sets[b] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    want = {d: (len(sets[d]), root(d), root(d) == d) for d in ids}
+    got = near_dup.components(docs, 3, 85).where("doc_id is not null").collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in got} == want
+    assert near_dup.components(docs.limit(0), 3, 85).count() == 0
+    kept = near_dup.drop_near_duplicates(docs, 3, 85)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {d for d in ids if want[d][2]} | {None}
+
+
+def test_lines(spark):
+    rows = [(1, "a shared line of text here\nown"), (2, " A shared line of TEXT here \nother\nother"), (3, "x\na shared line of text here"), (4, None), (5, ""), (None, "a shared line of text here"), (6, "tiny\ntiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("lines", F.lit(1))
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    got = {r["doc_id"]: tuple(r)[1:] for r in lines.line_digests(docs).collect()}
+    assert got == {1: (2, 1, sha("own")), 2: (3, 1, sha("other\nother")), 3: (2, 0, sha(rows[2][1])), 4: (1, 0, sha("")), 5: (1, 0, sha("")), 6: (2, 0, sha("tiny\ntiny")), None: (1, 0, sha(rows[5][1]))}
+    kept = {r["doc_id"]: r["text"] for r in lines.drop_repeated_lines(docs).collect()}
+    assert kept[1] == "own" and kept[4] is None and lines.line_digests(docs.limit(0)).count() == 0
+
+
+def test_licenses(spark, docs):
+    rows = [(1, "Under the MIT License, and the Apache License 2.0"), (2, "GNU General Public License general public license"), (3, None), (4, "nothing"), (5, "mitlicense")]
+    got = {r["doc_id"]: r for r in licenses.license_digests(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert (got[1]["n_base"], got[1]["first_word"], got[1]["last_word"], got[1]["base_labels"]) == (2, 2, 6, "apache,mit")
+    assert (got[2]["n_base"], got[2]["first_word"], got[2]["last_word"], got[2]["n_words"]) == (2, 1, 4, 7)
+    assert (got[3]["n_words"], got[3]["n_base"], got[3]["first_word"], got[3]["labels"], got[3]["score"]) == (0, 0, None, "", 0.0)
+    assert got[5]["n_base"] == 0 and licenses.license_digests(docs).count() == docs.count()
+
+
+def test_media_round_trip(docs):
+    rows = media.media_digests(docs).collect()
+    texts = {d: (t or "").encode() for d, t in near_corpus() + EDGES}
+    for r in rows:
+        raw = texts[r["doc_id"]]
+        payload = raw + b"\0" * (64 if not raw else -len(raw) % 64)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+    assert len(rows) == docs.count() and media.media_digests(docs.limit(0)).count() == 0
+
+
+def test_fingerprints(spark):
+    rows = [(d, t) for d, t in near_corpus()[:30]] + [(500, None), (501, "")]
+    got = {r["doc_id"]: r for r in fingerprints.fingerprint_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    order = sorted(rows, key=lambda r: -r[0])
+    for i, (doc, text) in enumerate(order):
+        text, after = text or "", order[(i + 1) % len(order)][1] or ""
+        k = len(text) // 3
+        edited = text[: len(text) - k] + after[:k]
+        assert got[doc]["n_chars"] == len(text) and got[doc]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert 0 <= got[doc]["near_edited"] <= 1 and 0 <= got[doc]["near_next"] <= 1
+
+
+def test_packing(docs):
+    rows = packing.pack(docs).collect()
+    use: dict[int, list] = {}
+    for r in rows:
+        assert 0 < r["length"] <= 2048
+        use.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for spans in use.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    total = sum(r["length"] for r in rows)
+    assert len(use) <= -(-total // 2048) + 2 and packing.pack(docs.limit(0)).count() == 0
+
+
+def test_language_id(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    got = langid.held_out_languages(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert got and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
+    odd = langid.held_out_languages(docs.select("doc_id", F.lit(None).cast("string").alias("text"), "lang"))
+    assert {r["lang_pred"] for r in odd.collect()} == {"und"}
+
+
+def test_quality(spark, docs):
+    good = near_corpus()
+    bad = [(2000 + i, "%%% $$$ ### @@@ !!! ^^^ &&& *** " * (i + 5)) for i in range(5)]
+    table = spark.createDataFrame([(d, t, "en") for d, t in good + bad + EDGES], "doc_id long, text string, lang string").withColumn("p", F.lit(1))
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good[::2]] + [(good[1][0], None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_scores(table, labels).collect()}
+    assert not any(got[d]["kept"] for d, _ in bad) and np.mean([got[d]["kept"] for d, _ in good]) > 0.97
+    assert got[1000]["perplexity"] is None and not got[1001]["kept"]
+    kept = quality.drop_rejected(table, labels)
+    assert kept.columns == table.columns and 2000 not in {r["doc_id"] for r in kept.select("doc_id").collect()}
+    assert all(r["kept"] for r in quality.quality_scores(table, labels.limit(0)).collect())
+    assert quality.quality_scores(table.limit(0), labels).count() == 0
+
+
+def test_kneser_ney_sums_to_one(spark):
+    """Probabilities of all continuations of a seen context sum to one, and agree with a direct computation."""
+    rng = random.Random(5)
+    grams = {}
+    for _ in range(4000):
+        code = 0
+        for _ in range(quality.ORDER):
+            code = code << quality.BITS | min(int(rng.expovariate(0.4)), 63)
+        grams[code] = grams.get(code, 0) + 1
+    counts = spark.createDataFrame(list(grams.items()), "code long, n long")
+    context = max(grams, key=grams.get) >> quality.BITS
+    wanted = spark.createDataFrame([((context << quality.BITS) | s,) for s in range(quality.SYMBOLS)], "code long")
+    p = [r["p"] for r in quality.probabilities(wanted, counts).collect()]
+    assert len(p) == quality.SYMBOLS and min(p) > 0 and abs(sum(p) - 1) < 1e-9
+
+
+def test_sentencepiece_round_trip(docs):
+    rows = sentencepiece.round_trip_digests(docs).collect()
+    assert len(rows) == docs.count() and sentencepiece.round_trip_digests(docs.limit(0)).count() == 0
+
+
+def test_pipeline(spark):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert out.count() <= docs.count()
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
+    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
