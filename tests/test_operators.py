@@ -105,7 +105,7 @@ def test_sources(spark, tmp_path):
 
 
 def test_stream_equals_batch(spark, tmp_path):
-    events = spark.createDataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i), "ab"[i % 2], float(i)) for i in range(100)], "id long, ts timestamp, event_type string, value double")
+    events = spark.createDataFrame([(i, (pd.Timestamp("2024-01-01") + pd.Timedelta(hours=i)).to_pydatetime(), "ab"[i % 2], float(i)) for i in range(100)], "id int, ts timestamp, event_type string, value double")
     source = str(tmp_path / "events")
     events.repartition(4).write.parquet(source)
     out = jobs.drain(jobs.tumbling(jobs.event_stream(spark, source, events.schema, "100 hours")), "tumbled", "complete", tempfile.mkdtemp(dir=tmp_path))
