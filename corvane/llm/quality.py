@@ -1,15 +1,15 @@
 """Quality classifier: an interpolated modified Kneser-Ney model of trusted text gives each document's perplexity.
 
-1. Texts are folded to SYMBOLS classes of characters (case, digits, marks and letters outside a-z have classes of their own), packed,
-   and dealt once into blocks of about `block_chars` characters.
+1. Texts are spelled in the corpus's own alphabet, whose symbols are its code points, packed, and dealt into blocks of about `block_chars`
+   bytes. The n-grams' order grows with the corpus (layout).
 2. Each block counts the n-grams of its trusted texts (labelled as good and not toxic) and names the n-grams that its texts hold.
 3. Counts are joined with their contexts and shorter n-grams, sharded by n-gram: a probability for every n-gram that some block named.
-4. Each block gets its own n-grams' probabilities back and scores its texts: perplexity by symbol.
+4. Each block gets its own n-grams' probabilities back and scores its texts: perplexity by code point.
 5. A text is rejected if its language's trusted texts (null is a language too) hardly ever have its perplexity: above their `high`
    quantile or below their `low` one, beyond a margin of `slack` times that quantile's distance from their median. Languages
    without trusted text take the quantiles of all trusted texts; without any trusted text nothing is rejected.
 
-Defined edges: null and empty texts have no symbols, no perplexity (null) and are rejected where there is trusted text; so are texts
+Defined edges: null and empty texts have no code points, no perplexity (null) and are rejected where there is trusted text; so are texts
 without a letter or digit. Repeated rows get equal results. Rows without doc_id are scored but never trusted. Extra columns are ignored. An
 empty table gives an empty result.
 """
@@ -24,48 +24,79 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, materialize
+from .common import batch_of, byte_column, materialize
 
-ORDER, BITS, BLOCK_CHARS = 4, 6, 1 << 24
+#: The largest order and width of symbols where nothing else is said; SYMBOLS is their number, the text's edge (0) included.
+ORDER, BITS, BLOCK_CHARS = 7, 8, 1 << 24
 SYMBOLS = 1 << BITS
+CODE_POINTS, CODE_BITS, WIDEST = 0x110000, 62, 15
+#: Where the alphabet is wider than WIDEST bits, this many of its most frequent code points are one symbol, all others are two.
+SINGLE = 24576
+#: Whether a code point is a letter or digit; all beyond ASCII count as such.
+SPOKEN = np.array([c >= 128 or chr(c).isalnum() for c in range(256)])
+
+PACKED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_spoken", pa.int64()), ("packed", pa.binary())])
+PACKED_DDL = "block int, doc_id long, text_key long, lang string, n_symbols long, n_spoken long, packed binary"
+GRAMS = pa.schema([("block", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
+GRAMS_DDL = "block int, code long, n long"
+SCORES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_spoken", pa.int64()), ("nll", pa.float64())])
 
 
-def symbol_table() -> np.ndarray:
-    """The class of every code point: 0 is the text's edge."""
-    cp = np.arange(0x110000)
-    out = (58 + (cp >> 7) % 6).astype(np.uint8)
-    latin = (cp >= 0xC0) & (cp < 0x250)
-    out[latin] = 46 + cp[latin] % 12
-    out[:128] = 44
-    out[:32] = 45
-    out[ord("a") : ord("z") + 1] = np.arange(1, 27)
-    out[ord("A") : ord("Z") + 1] = 27 + np.arange(26) % 4
-    out[ord("0") : ord("9") + 1] = 31
-    for n, marks in enumerate((" ", "\n", "\t\r\x0b\x0c", ".", ",", "'", '"', "-", "!?", ";:", "()[]{}", "|")):
-        for mark in marks:
-            out[ord(mark)] = 32 + n
-    return out
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
 
 
-TABLE = symbol_table()
-#: Whether a class holds letters or digits.
-SPOKEN = np.isin(np.arange(SYMBOLS), [*range(1, 32), *range(46, SYMBOLS)])
+def alphabet(docs: DataFrame) -> np.ndarray:
+    """The code points of all texts, the most frequent first: at most as many numbers as Unicode has."""
 
-PACKED = pa.schema([("block", pa.int32()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("lang", pa.string()), ("packed", pa.binary())])
-PACKED_DDL = "block int, doc_id long, text_key long, lang string, packed binary"
-GRAMS = pa.schema([("block", pa.int32()), ("code", pa.int64()), ("n", pa.int64())])
-GRAMS_DDL = "block int, code long, n long"
-SCORES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("lang", pa.string()), ("n_symbols", pa.int64()), ("n_spoken", pa.int64()), ("nll", pa.float64())])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(CODE_POINTS, dtype=np.int64)
+        for batch in batches:
+            data, at = byte_column(batch.column("text"))
+            points = code_points(data[at[0] : at[-1]].tobytes().decode("utf-8", "surrogatepass"))
+            own = np.bincount(points)
+            n[: len(own)] += own
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["point", "n"])
+
+    counts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, "point long, n long").groupBy("point").agg(F.sum("n").alias("n"))
+    return np.array([r["point"] for r in counts.orderBy(F.col("n").desc(), "point").select("point").collect()], dtype=np.int64)
+
+
+def layout(letters: int, chars: int) -> tuple[int, int]:
+    """(bits, order): the width of symbols follows from the alphabet, the order grows with the text, as far as codes have room; at least 4."""
+    bits = min(WIDEST, max(1, letters.bit_length()))
+    return bits, min(CODE_BITS // bits, max(4, len(str(chars)) - 3))
+
+
+def spelled(points: np.ndarray, places: np.ndarray, letters: int) -> np.ndarray:
+    """The symbols of code points: place in the alphabet from 1 on; in a wide alphabet, two symbols from SINGLE on. No two spellings are equal."""
+    own = places[points]
+    if letters >> WIDEST == 0:
+        return own
+    rare = own >= SINGLE
+    high, low = SINGLE + ((own - SINGLE) >> 8), SINGLE + 6144 + ((own - SINGLE) & 255)
+    out = np.repeat(np.where(rare, high, own), 1 + rare)
+    out[(np.cumsum(1 + rare) - 1)[rare]] = low[rare]
+    return out
 
 
-def packed_texts(docs: DataFrame, blocks: int) -> DataFrame:
-    """block, doc_id, text_key, lang, and the text's symbols, compressed, so that dealing them out costs little."""
+def packed_texts(docs: DataFrame, blocks: int, letters: np.ndarray) -> DataFrame:
+    """block, doc_id, text_key, lang, sizes, and the text's symbols, compressed, so that dealing them out costs little."""
+    width = symbol_type(layout(len(letters), 0)[0])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        places = np.zeros(CODE_POINTS, dtype=np.int64)
+        places[letters] = np.arange(1, len(letters) + 1)
         for batch in batches:
-            out = [pack.compress(TABLE[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype="<u4")].tobytes()) for t in batch.column("text").to_pylist()]
-            yield batch_of(PACKED, packed=out, **{c: batch.column(c) for c in ("block", "doc_id", "text_key", "lang")})
+            n, spoken, packed = [], [], []
+            for text in batch.column("text").to_pylist():
+                points = code_points(text)
+                n.append(len(points))
+                spoken.append(int(SPOKEN[np.minimum(points, 255)].sum()))
+                packed.append(pack.compress(spelled(points, places, len(letters)).astype(width).tobytes()))
+            yield batch_of(PACKED, n_symbols=n, n_spoken=spoken, packed=packed, **{c: batch.column(c) for c in ("block", "doc_id", "text_key", "lang")})
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("text_key"), F.col("lang").cast("string").alias("lang"))
@@ -77,58 +108,59 @@ def block_of(key: Column, blocks: int) -> Column:
     return F.pmod(key, F.lit(blocks)).cast("int")
 
 
-def symbols_of(packed: pa.ChunkedArray) -> Iterator[np.ndarray]:
+def symbol_type(bits: int) -> type:
+    return np.uint8 if bits <= 8 else np.uint16
+
+
+def symbols_of(packed: pa.ChunkedArray, bits: int) -> Iterator[np.ndarray]:
     unpack = zstandard.ZstdDecompressor()
     for value in packed:
-        yield np.frombuffer(unpack.decompress(value.as_py()), dtype=np.uint8)
+        yield np.frombuffer(unpack.decompress(value.as_py()), dtype=symbol_type(bits))
 
 
-def codes_of(symbols: np.ndarray) -> np.ndarray:
+def codes_of(symbols: np.ndarray, bits: int, order: int) -> np.ndarray:
     """The n-gram that ends at each symbol; before the text there are edges."""
-    x = np.concatenate([np.zeros(ORDER - 1, dtype=np.uint32), symbols.astype(np.uint32)])
-    out = np.zeros(len(symbols), dtype=np.uint32)
-    for k in range(ORDER):
-        out = (out << np.uint32(BITS)) | x[k : k + len(symbols)]
+    x = np.concatenate([np.zeros(order - 1, dtype=np.int64), symbols.astype(np.int64)])
+    out = np.zeros(len(symbols), dtype=np.int64)
+    for k in range(order):
+        out = (out << bits) | x[k : k + len(symbols)]
     return out
 
 
-def block_grams(texts: pa.Table, trusted: pa.Table) -> pa.Table:
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    code, at = np.unique(np.concatenate([np.empty(0, np.int64), *codes]), return_inverse=True)
+    return code, np.bincount(at, weights=np.concatenate([np.empty(0), *counts]), minlength=len(code))
+
+
+def block_grams(texts: pa.Table, trusted: pa.Table, bits: int, order: int) -> pa.Table:
     """block, code, n: every n-gram of a block's texts, and how often its trusted texts hold it."""
-    good = set(trusted.column("doc_id").to_pylist())
-    held, seen = np.zeros(SYMBOLS**ORDER, dtype=bool), [np.empty(0, np.uint32)]
-    counts, waiting, done = np.zeros(SYMBOLS**ORDER, dtype=np.uint32), 0, set()
-
-    def settle() -> None:
-        code, n = np.unique(np.concatenate(seen), return_counts=True)
-        counts[code] += n.astype(np.uint32)
-
-    for doc, key, symbols in zip(texts.column("doc_id").to_pylist(), texts.column("text_key").to_pylist(), symbols_of(texts.column("packed"))):
-        codes = codes_of(symbols)
-        held[codes] = True
-        if doc is not None and doc in good and (doc, key) not in done:
+    good, done = set(trusted.column("doc_id").to_pylist()), set()
+    found, seen, waiting = [], ([], []), 0
+    for doc, key, symbols in zip(texts.column("doc_id").to_pylist(), texts.column("text_key").to_pylist(), symbols_of(texts.column("packed"), bits)):
+        counted = doc is not None and doc in good and (doc, key) not in done
+        if counted:
             done.add((doc, key))
-            seen.append(codes)
-            waiting += len(codes)
-            if waiting > 1 << 22:
-                settle()
-                seen, waiting = [np.empty(0, np.uint32)], 0
-    settle()
-    code = np.flatnonzero(held)
+        codes = codes_of(symbols, bits, order)
+        seen[0].append(codes), seen[1].append(np.full(len(codes), counted, dtype=np.float64))
+        waiting += len(codes)
+        if waiting > 1 << 21:
+            found.append(summed(*seen))
+            seen, waiting = ([], []), 0
+    code, n = summed([*(c for c, _ in found), *seen[0]], [*(n for _, n in found), *seen[1]])
     block = texts.column("block")[0].as_py() if texts.num_rows else 0
-    return pa.Table.from_batches([batch_of(GRAMS, block=np.full(len(code), block, np.int32), code=code, n=counts[code].astype(np.int64))])
+    return pa.Table.from_batches([batch_of(GRAMS, block=np.full(len(code), block, np.int32), code=code, n=n.astype(np.int64))])
 
 
-def block_scores(texts: pa.Table, known: pa.Table) -> pa.Table:
+def block_scores(texts: pa.Table, known: pa.Table, bits: int, order: int) -> pa.Table:
     """doc_id, text_key, lang, n_symbols, n_spoken, nll (sum of negative log probabilities) of a block's texts."""
-    table = np.zeros(SYMBOLS**ORDER, dtype=np.float32)
-    table[known.column("code").to_numpy()] = known.column("logp").to_numpy()
-    n, spoken, nll = [], [], []
-    for symbols in symbols_of(texts.column("packed")):
-        n.append(len(symbols))
-        spoken.append(int(SPOKEN[symbols].sum()))
-        nll.append(-float(table[codes_of(symbols)].sum(dtype=np.float64)))
-    own = {c: texts.column(c).combine_chunks() for c in ("doc_id", "text_key", "lang")}
-    return pa.Table.from_batches([batch_of(SCORES, n_symbols=n, n_spoken=spoken, nll=nll, **own)])
+    code, logp = known.column("code").to_numpy(), known.column("logp").to_numpy()
+    at = np.argsort(code)
+    code, logp, nll = code[at], logp[at], []
+    for symbols in symbols_of(texts.column("packed"), bits):
+        nll.append(-float(logp[np.searchsorted(code, codes_of(symbols, bits, order))].sum(dtype=np.float64)))
+    own = {c: texts.column(c).combine_chunks() for c in ("doc_id", "text_key", "lang", "n_symbols", "n_spoken")}
+    return pa.Table.from_batches([batch_of(SCORES, nll=nll, **own)])
 
 
 def discount(counts: DataFrame) -> DataFrame:
@@ -144,39 +176,42 @@ def discount(counts: DataFrame) -> DataFrame:
     return row.select(F.struct(one(1), one(2), one(3)))
 
 
-def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER) -> DataFrame:
-    """code, p of the wanted n-grams (code), from the n-grams' counts (code, n): occurrences, below the full order distinct left neighbours."""
-    below = 1 << (BITS * (order - 1))
-    cuts = discount(counts).scalar()
+def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
+    """code, p of the wanted n-grams (code), from the n-grams' counts (code, n): occurrences, below the full order distinct left neighbours.
+
+    Each order's counts and probabilities are written, so that plans do not grow with the order.
+    """
+    below = 1 << (bits * (order - 1))
+    cuts = discount(counts).first()[0]
     cut = F.when(F.col("n") == 1, cuts["d1"]).when(F.col("n") == 2, cuts["d2"]).otherwise(cuts["d3"])
-    sized = counts.select("code", F.shiftright("code", BITS).alias("context"), F.col("n").cast("double").alias("n"), F.least(cut, F.col("n")).alias("cut"))
+    sized = counts.select("code", F.shiftright("code", bits).alias("context"), F.col("n").cast("double").alias("n"), F.least(cut, F.col("n")).alias("cut"))
     contexts = sized.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spread"))
-    terms = wanted.select("code", F.shiftright("code", BITS).alias("context"), F.col("code").bitwiseAND(F.lit(below - 1)).alias("short"))
+    short = F.col("code").bitwiseAND(F.lit(below - 1))
+    terms = wanted.select("code", F.shiftright("code", bits).alias("context"), short.alias("short"))
     terms = terms.join(sized.select("code", (F.col("n") - F.col("cut")).alias("own")), "code", "left").join(contexts, "context", "left")
     own = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0))
     rest = F.coalesce(F.col("spread") / F.col("total"), F.lit(1.0))
     if order == 1:
-        return terms.select("code", (own + rest / SYMBOLS).alias("p"))
-    shorter = counts.groupBy(F.col("code").bitwiseAND(F.lit(below - 1)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    short = wanted.select(F.col("code").bitwiseAND(F.lit(below - 1)).alias("code")).distinct()
-    lower = probabilities(short, shorter, order - 1).select(F.col("code").alias("short"), F.col("p").alias("q"))
-    return terms.join(lower, "short").select("code", (own + rest * F.col("q")).alias("p"))
+        return terms.select("code", (own + rest / (1 << bits)).alias("p"))
+    shorter = materialize(counts.groupBy(short.alias("code")).agg(F.count(F.lit(1)).alias("n")))
+    lower = materialize(probabilities(wanted.select(short.alias("code")).distinct(), shorter, order - 1, bits))
+    return terms.join(lower.select(F.col("code").alias("short"), F.col("p").alias("q")), "short").select("code", (own + rest * F.col("q")).alias("p"))
 
 
 def perplexities(docs: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text_key, lang, n_symbols, n_spoken, perplexity, trusted of each row of docs."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
+    letters = alphabet(docs)
+    bits, order = layout(len(letters), chars)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("quality = 1 and toxic = 0")
     good = materialize(good.select(block_of(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id"))  # keeps the plan small
-    texts, trusted = packed_texts(docs, blocks).groupBy("block"), good.groupBy("block")
-    grams = texts.cogroup(trusted).applyInArrow(block_grams, GRAMS_DDL).repartition("code")
-    # passing rows through keeps Spark from pruning that exchange differently for each use: so it is made once
-    grams = grams.mapInArrow(lambda batches: batches, GRAMS_DDL)
-    totals = grams.groupBy("code").agg(F.sum("n").alias("n"))
-    model = probabilities(totals.select("code"), totals.where("n > 0"))
+    texts, trusted = packed_texts(docs, blocks, letters).groupBy("block"), good.groupBy("block")
+    grams = materialize(texts.cogroup(trusted).applyInArrow(lambda a, b: block_grams(a, b, bits, order), GRAMS_DDL))
+    totals = materialize(grams.groupBy("code").agg(F.sum("n").alias("n")))
+    model = probabilities(totals.select("code"), totals.where("n > 0"), order, bits)
     known = grams.select("block", "code").join(model, "code").select("block", "code", F.log("p").cast("float").alias("logp"))
-    scores = texts.cogroup(known.groupBy("block")).applyInArrow(block_scores, "doc_id long, text_key long, lang string, n_symbols long, n_spoken long, nll double")
+    scores = texts.cogroup(known.groupBy("block")).applyInArrow(lambda a, b: block_scores(a, b, bits, order), "doc_id long, text_key long, lang string, n_symbols long, n_spoken long, nll double")
     scores = scores.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(F.col("nll") / F.col("n_symbols")))).drop("nll")
     return scores.join(good.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 

@@ -173,3 +173,32 @@ def test_pipeline(spark):
         docs = spark.createDataFrame(out.collect(), docs.schema)
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
+
+
+def test_quality_tells_letters_of_every_script(spark):
+    """Shuffled letters of a script without a-z are less likely than its words, though every letter is the same kind."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("бвгдклмнпрст") + rng.choice("аеиоу") for _ in range(rng.randint(1, 4))) for _ in range(60)]
+    good = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(120)]
+    odd = []
+    for i in range(10):
+        letters = list("".join(rng.choice(words) for _ in range(60)))
+        rng.shuffle(letters)
+        odd.append((1000 + i, " ".join("".join(letters[k : k + 5]) for k in range(0, len(letters), 5))))
+    table = spark.createDataFrame([(d, t, "xx") for d, t in good + odd], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good[::2]], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in quality.quality_scores(table, labels).collect()}
+    assert min(got[d]["perplexity"] for d, _ in odd) > 2 * max(got[d]["perplexity"] for d, _ in good)
+    assert not any(got[d]["kept"] for d, _ in odd)
+
+
+def test_quality_spells_wide_alphabets_without_loss():
+    """Any number of code points has spellings that differ, in symbols that fit, and an order of 4 at least."""
+    for letters in (1, 100, 20_000, 32_767, 32_768, 0x110000 - 1):
+        bits, order = quality.layout(letters, 10**9)
+        places = np.arange(letters + 1)
+        own = quality.spelled(np.arange(1, letters + 1), places, letters)
+        assert order >= 4 and bits * order <= 62 and own.min() > 0 and own.max() < 1 << bits
+        one = own < quality.SINGLE if len(own) > letters else np.ones(len(own), bool)
+        pairs = own[~one].reshape(-1, 2)
+        assert len(set(own[one])) + len(set(map(tuple, pairs))) == letters
