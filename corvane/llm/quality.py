@@ -4,10 +4,10 @@
    bytes. The n-grams' order grows with the corpus (layout).
 2. Each block counts the n-grams of its trusted texts (labelled as good and not toxic) and names the n-grams that its texts hold.
 3. Counts are joined with their contexts and shorter n-grams, sharded by n-gram: a probability for every n-gram that some block named.
+   There are FOLDS models: a block's texts are scored by the counts of the blocks of the other fold, so no text meets its own counts.
 4. Each block gets its own n-grams' probabilities back and scores its texts: perplexity by code point.
-5. A text is rejected if its language's trusted texts (null is a language too) hardly ever have its perplexity: above their `high`
-   quantile or below their `low` one, beyond a margin of `slack` times that quantile's distance from their median. Languages
-   without trusted text take the quantiles of all trusted texts; without any trusted text nothing is rejected.
+5. A text is rejected if its perplexity is above the `high` quantile or below the `low` one of its language's trusted texts (null is a
+   language too). Languages without trusted text take the quantiles of all trusted texts; without any trusted text nothing is rejected.
 
 Defined edges: null and empty texts have no code points, no perplexity (null) and are rejected where there is trusted text; so are texts
 without a letter or digit. Repeated rows get equal results. Rows without doc_id are scored but never trusted. Extra columns are ignored. An
@@ -29,7 +29,10 @@ from .common import batch_of, byte_column, materialize
 #: The largest order and width of symbols where nothing else is said; SYMBOLS is their number, the text's edge (0) included.
 ORDER, BITS, BLOCK_CHARS = 7, 8, 1 << 24
 SYMBOLS = 1 << BITS
-CODE_POINTS, CODE_BITS, WIDEST = 0x110000, 62, 15
+#: Quantiles of the trusted texts' held-out perplexities; EDGE is for rounding only.
+LOW, HIGH, EDGE = 0.01, 0.99, 1e-9
+#: Codes are symbols below, the model's fold above; FOLDS models, each of which scores the texts that it was not made from.
+CODE_POINTS, CODE_BITS, WIDEST, FOLDS = 0x110000, 62, 15, 2
 #: Where the alphabet is wider than WIDEST bits, this many of its most frequent code points are one symbol, all others are two.
 SINGLE = 24576
 #: Whether a code point is a letter or digit; all beyond ASCII count as such.
@@ -163,30 +166,29 @@ def block_scores(texts: pa.Table, known: pa.Table, bits: int, order: int) -> pa.
     return pa.Table.from_batches([batch_of(SCORES, nll=nll, **own)])
 
 
-def discount(counts: DataFrame) -> DataFrame:
-    """One row and column, a struct of d1, d2, d3 of modified Kneser-Ney: from the counts of counts, within bounds that keep probabilities positive."""
-    n = [F.coalesce(F.sum((F.col("n") == k).cast("double")), F.lit(0.0)) for k in (1, 2, 3, 4)]
-    row = counts.agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1)))
-    y = F.when(F.col("n1") + F.col("n2") > 0, F.col("n1") / F.nullif(F.col("n1") + 2 * F.col("n2"), F.lit(0.0)))
-
-    def one(k: int) -> Column:
-        raw = k - (k + 1) * y * F.col(f"n{k + 1}") / F.nullif(F.col(f"n{k}"), F.lit(0.0))
-        return F.least(F.greatest(F.coalesce(raw, F.lit(0.5 * k)), F.lit(0.1 * k)), F.lit(0.95 * k)).alias(f"d{k}")
-
-    return row.select(F.struct(one(1), one(2), one(3)))
+def discounts(counts: DataFrame, width: int) -> Column:
+    """The cut of each row's count n: d1, d2, d3 of modified Kneser-Ney from the counts of counts of its fold (above `width` bits), within bounds that keep probabilities positive."""
+    n = [F.sum((F.col("n") == k).cast("double")) for k in (1, 2, 3, 4)]
+    fold, out = F.shiftright("code", width), F.lit(None).cast("double")
+    for row in counts.groupBy(fold.alias("fold")).agg(*(x.alias(f"n{k}") for k, x in enumerate(n, 1))).collect():  # FOLDS rows at most
+        y = row["n1"] / (row["n1"] + 2 * row["n2"]) if row["n1"] + row["n2"] > 0 else None
+        raw = [k - (k + 1) * y * row[f"n{k + 1}"] / row[f"n{k}"] if y is not None and row[f"n{k}"] else 0.5 * k for k in (1, 2, 3)]
+        d1, d2, d3 = (min(max(x, 0.1 * k), 0.95 * k) for k, x in enumerate(raw, 1))
+        out = F.when(fold == row["fold"], F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)).otherwise(out)
+    return out
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER, bits: int = BITS) -> DataFrame:
     """code, p of the wanted n-grams (code), from the n-grams' counts (code, n): occurrences, below the full order distinct left neighbours.
 
-    Each order's counts and probabilities are written, so that plans do not grow with the order.
+    Codes may have a fold above their symbols: each fold is a model of its own. Each order's counts and probabilities are written, so that plans do not grow with the order.
     """
     below = 1 << (bits * (order - 1))
-    cuts = discount(counts).first()[0]
-    cut = F.when(F.col("n") == 1, cuts["d1"]).when(F.col("n") == 2, cuts["d2"]).otherwise(cuts["d3"])
+    cut = discounts(counts, bits * order)
     sized = counts.select("code", F.shiftright("code", bits).alias("context"), F.col("n").cast("double").alias("n"), F.least(cut, F.col("n")).alias("cut"))
     contexts = sized.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("spread"))
-    short = F.col("code").bitwiseAND(F.lit(below - 1))
+    fold = F.shiftright("code", bits * order)  # stays above the symbols, so that models do not meet
+    short = F.col("code").bitwiseAND(F.lit(below - 1)).bitwiseOR(F.shiftleft(fold, bits * (order - 1)))
     terms = wanted.select("code", F.shiftright("code", bits).alias("context"), short.alias("short"))
     terms = terms.join(sized.select("code", (F.col("n") - F.col("cut")).alias("own")), "code", "left").join(contexts, "context", "left")
     own = F.coalesce(F.col("own") / F.col("total"), F.lit(0.0))
@@ -201,30 +203,33 @@ def probabilities(wanted: DataFrame, counts: DataFrame, order: int = ORDER, bits
 def perplexities(docs: DataFrame, labels: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, text_key, lang, n_symbols, n_spoken, perplexity, trusted of each row of docs."""
     chars = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-chars // block_chars))
+    blocks = max(FOLDS, -(-chars // block_chars))
     letters = alphabet(docs)
     bits, order = layout(len(letters), chars)
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic")).where("quality = 1 and toxic = 0")
     good = materialize(good.select(block_of(F.xxhash64("doc_id"), blocks).alias("block"), "doc_id"))  # keeps the plan small
     texts, trusted = packed_texts(docs, blocks, letters).groupBy("block"), good.groupBy("block")
     grams = materialize(texts.cogroup(trusted).applyInArrow(lambda a, b: block_grams(a, b, bits, order), GRAMS_DDL))
-    totals = materialize(grams.groupBy("code").agg(F.sum("n").alias("n")))
-    model = probabilities(totals.select("code"), totals.where("n > 0"), order, bits)
-    known = grams.select("block", "code").join(model, "code").select("block", "code", F.log("p").cast("float").alias("logp"))
+    model_of = lambda fold: F.col("code").bitwiseOR(F.shiftleft(fold.cast("long"), bits * order)).alias("code")
+    fold = F.col("block") % FOLDS
+    # what a text's own half of the blocks counts goes to the other half's model
+    counts = materialize(grams.where("n > 0").groupBy(model_of(1 - fold)).agg(F.sum("n").alias("n")))
+    asked = grams.select("block", model_of(fold))
+    model = probabilities(asked.select("code").distinct(), counts, order, bits)
+    known = asked.join(model, "code").withColumn("code", F.col("code").bitwiseAND(F.lit((1 << bits * order) - 1))).select("block", "code", F.log("p").cast("float").alias("logp"))
     scores = texts.cogroup(known.groupBy("block")).applyInArrow(lambda a, b: block_scores(a, b, bits, order), "doc_id long, text_key long, lang string, n_symbols long, n_spoken long, nll double")
     scores = scores.withColumn("perplexity", F.when(F.col("n_symbols") > 0, F.exp(F.col("nll") / F.col("n_symbols")))).drop("nll")
     return scores.join(good.select("doc_id", F.lit(True).alias("trusted")), "doc_id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
 
 
-def judged(docs: DataFrame, labels: DataFrame, low: float = 0.001, high: float = 0.999, slack: float = 0.5, **how) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, low: float = LOW, high: float = HIGH, **how) -> DataFrame:
     """perplexities() with low_limit, high_limit and kept."""
     scores = materialize(perplexities(docs, labels, **how))
     logs = scores.where("trusted and perplexity is not null").select("lang", F.log("perplexity").alias("x"))
 
     def limits(rows: DataFrame) -> DataFrame:
-        q = rows.agg(F.percentile_approx("x", F.array(F.lit(low), F.lit(0.5), F.lit(high)), 10000).alias("q"))
-        bound = lambda i: F.col("q")[i] + slack * (F.col("q")[i] - F.col("q")[1])
-        return q.withColumn("low_limit", F.exp(bound(0))).withColumn("high_limit", F.exp(bound(2))).drop("q")
+        q = rows.agg(F.percentile_approx("x", F.array(F.lit(low), F.lit(high)), 10000).alias("q"))
+        return q.withColumn("low_limit", F.exp(F.col("q")[0] - EDGE)).withColumn("high_limit", F.exp(F.col("q")[1] + EDGE)).drop("q")
 
     own = limits(logs.groupBy("lang")).select(F.col("lang").alias("of"), F.struct("low_limit", "high_limit").alias("own"))
     every = limits(logs.groupBy(F.lit(1).alias("one"))).select("one", F.struct("low_limit", "high_limit").alias("every"))

@@ -202,3 +202,17 @@ def test_quality_spells_wide_alphabets_without_loss():
         one = own < quality.SINGLE if len(own) > letters else np.ones(len(own), bool)
         pairs = own[~one].reshape(-1, 2)
         assert len(set(own[one])) + len(set(map(tuple, pairs))) == letters
+
+
+def test_quality_limits_come_from_texts_without_their_own_counts(spark):
+    """A trusted text that is unlike all others is as unlikely as the same text without a label."""
+    rng = random.Random(2)
+    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(200)]
+    odd = " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(50))
+    table = spark.createDataFrame([*rows, (900, odd)], "doc_id long, text string").withColumn("lang", F.lit("xx"))
+    known = [(d, 1, 0) for d, _ in rows]
+    runs = [{r["doc_id"]: r for r in quality.quality_scores(table, spark.createDataFrame(k, "doc_id long, quality int, toxic int")).collect()} for k in (known, [*known, (900, 1, 0)])]
+    first, second = runs[0][900], runs[1][900]
+    assert not first["trusted"] and second["trusted"] and abs(np.log(first["perplexity"] / second["perplexity"])) < 0.01
+    assert not first["kept"] and np.mean([r["kept"] for r in runs[0].values()]) > 0.95
