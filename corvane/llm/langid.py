@@ -33,13 +33,18 @@ def fold(doc_id: str = "doc_id"):
 def learn_dictionaries(labelled: DataFrame, dict_bytes: int = 32768, dicts: int = 4, sample_docs: int = 400) -> dict[str, list[bytes]]:
     """Per language, `dicts` raw-content dictionaries of at most `dict_bytes` bytes each.
 
-    The driver receives at most about `sample_docs` texts a language, each of at most `dict_bytes` bytes. The sample takes
-    texts by hash at a rate that follows from the language's count, so it is spread over the whole table.
+    The driver receives at most about `sample_docs` texts a language, each of at most `dict_bytes` bytes: longer texts are cut into
+    chunks. The sample takes distinct texts by hash at a rate that follows from the number of the language's distinct texts, so it is
+    spread over the whole table and copies do not thin it.
     """
-    usable = labelled.where("lang is not null and length(trim(text)) > 0").where(F.octet_length("text") <= dict_bytes)
-    counts = usable.groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
-    share = (F.xxhash64("text", F.lit(9)).bitwiseAND(F.lit((1 << 52) - 1))).cast("double") / float(1 << 52)
-    picked = usable.select("lang", "text", share.alias("share")).join(F.broadcast(counts.select("lang", "rate")), "lang").where("share < rate")
+    usable = labelled.where("lang is not null and length(trim(text)) > 0")
+    step = max(1, dict_bytes // 4)  # characters of at most 4 bytes
+    cuts = F.sequence(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))
+    chunks = F.when(F.octet_length("text") <= dict_bytes, F.array("text")).otherwise(F.transform(cuts, lambda i: F.substring(F.col("text"), i * step + 1, F.lit(step))))
+    usable = usable.select("lang", F.explode(chunks).alias("text")).where("length(trim(text)) > 0").withColumn("key", F.xxhash64("text", F.lit(9)))
+    counts = usable.select("lang", "key").distinct().groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
+    share = F.col("key").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
+    picked = usable.withColumn("share", share).join(F.broadcast(counts.select("lang", "rate")), "lang").where("share < rate")
     by_lang: dict[str, list[bytes]] = {}
     for lang, text in picked.select("lang", "text").distinct().orderBy("lang", F.xxhash64("text")).toLocalIterator():
         by_lang.setdefault(lang, []).append(text.encode())

@@ -216,3 +216,12 @@ def test_quality_limits_come_from_texts_without_their_own_counts(spark):
     first, second = runs[0][900], runs[1][900]
     assert not first["trusted"] and second["trusted"] and abs(np.log(first["perplexity"] / second["perplexity"])) < 0.01
     assert not first["kept"] and np.mean([r["kept"] for r in runs[0].values()]) > 0.95
+
+
+def test_language_id_learns_from_copies_and_long_texts(spark):
+    """Languages that are one text in many copies, or only long texts, have dictionaries too."""
+    rows = [(f"l{k}", f"only text of language number {k}") for k in range(8) for _ in range(3000)]
+    rows += [("long", "a very long text of many words, piece %d " % i * 2000) for i in range(3)]
+    learned = langid.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert set(learned) == {f"l{k}" for k in range(8)} | {"long"}
+    assert all(len(d) <= 32768 for own in learned.values() for d in own) and sum(map(len, learned["long"])) > 32768
