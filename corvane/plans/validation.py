@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
-from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
+from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
 from .index import scored
 
 
@@ -220,17 +220,38 @@ def loo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("left_out").agg(F.max(d).cast("long").alias("max_shift"), F.round(F.avg(d), 6).alias("mean_shift"))
 
 
+BOOTSTRAPS = 150
+
+
+def _resampled(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
+    """draw, entity, overall: the index built anew on each draw's entities, from percentile ranks on. Values stay imputed, and pillars blocked, as for all entities."""
+    size = ["spend", "urgent_share"]
+    cells = imputed(spark, sf_dir).join(tree(spark).where(F.col("pillar").isin(PILLARS)), "indicator").select("entity", "indicator", "value", "pillar", "direction")
+    sizes = matrix.to_long(features(spark, sf_dir), ["entity"], size).withColumn("pillar", F.lit("size")).withColumn("direction", F.lit(1))
+    entities = features(spark, sf_dir).select("entity")
+    n = entities.agg(F.count(F.lit(1))).first()[0]
+    u = F.pmod(F.xxhash64("entity", "draw", F.lit(42)), F.lit(1_000_000)) / 1e6
+    picked = entities.join(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")), u < 1 - (1 - 1 / max(n, 1)) ** n)
+    rows = reused(cells.unionByName(sizes).join(picked, "entity"))
+    score = ranks.percent_ranks(rows, ["draw", "indicator"], "value", F.col("direction"))
+    of = lambda c, x: F.avg(F.when(F.col(c) == x, F.col("score")))
+    wide = score.groupBy("draw", "entity").agg(*(of("pillar", p).alias(f"{p}_p") for p in PILLARS), (0.75 * of("indicator", "spend") + 0.25 * of("indicator", "urgent_share")).alias("size"))
+    flags = matrix.blocked(gated(spark, sf_dir), tree(spark)).groupBy("entity").agg(*(F.coalesce(F.bool_or(F.when(F.col("pillar") == p, F.col("blocked"))), F.lit(False)).alias(f"{p}_b") for p in PILLARS))
+    wide = wide.join(flags, "entity").withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", WEIGHTS[p]) for p in PILLARS]))
+    return reused(rounded(wide.withColumn("overall", C.geometric("size", "quality", 0.5)).select("draw", "entity", "overall"), "overall"))
+
+
 @query()
 def bootstrap_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw, churn: entities drawn by hash with the chance that a draw with replacement takes them; median rank shift, scaled to all."""
-    rows = scored(spark, sf_dir).select("entity", "overall")
-    draws = spark.range(20).withColumnRenamed("id", "draw")
-    u = F.pmod(F.xxhash64("entity", "draw", F.lit(42)), F.lit(1_000_000)) / 1e6
-    picked = rows.join(F.broadcast(draws), u < 1 - 0.36788)  # 20 draws
-    w = Window.partitionBy("draw").orderBy(F.col("overall").desc(), "entity")
-    ranked = picked.withColumn("r", F.row_number().over(w) * (rows.agg(F.count(F.lit(1))).scalar() / F.count(F.lit(1)).over(Window.partitionBy("draw"))))
-    base = ranks.in_order(rows, "overall", "entity").select("entity", "position")
-    return ranked.join(base, "entity").groupBy("draw").agg(F.median(F.abs(F.col("r") - F.col("position"))).alias("churn"))
+    """draw, churn, median_churn: entities drawn by hash with the chance that a draw with replacement takes them; the median shift of ranks, scaled to all, against the index of all; and the median over the draws."""
+    down = F.col("n") + 1 - F.col("rank")
+    base = ranks.average_ranks(scored(spark, sf_dir).select("entity", "overall"), [], "overall")
+    base = base.select("entity", down.alias("position"), F.col("n").alias("all"))
+    drawn = ranks.average_ranks(_resampled(spark, sf_dir, BOOTSTRAPS), ["draw"], "overall")
+    drawn = drawn.select("draw", "entity", down.alias("r"), "n")
+    shift = F.abs(F.col("r") / F.col("n") * F.col("all") - F.col("position"))
+    churn = reused(drawn.join(base, "entity").groupBy("draw").agg(F.median(shift).alias("churn")))
+    return ranks.with_scalar(churn, churn.agg(F.median("churn").alias("median_churn")))
 
 
 @query(INDEX + " SELECT grp, count(*) AS n, round(avg(overall), 5) AS mean, arg_max(entity, (overall, -entity)) AS best, round(max(overall) - min(overall), 5) AS spread FROM score GROUP BY 1")

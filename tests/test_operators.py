@@ -128,3 +128,36 @@ def test_changes_fire(spark):
     current = spark.createDataFrame([(1, "a"), (2, "B"), (3, "c")], "key int, hash string")
     assert {r["key"] for r in jobs.changed(current, recorded).collect()} == {2, 3}
     assert jobs.changed(recorded, recorded).count() == 0
+
+
+def test_bootstrap_builds_the_index_anew(spark):
+    """150 draws, each against pandas: percentile ranks, pillars, size and score of the drawn entities only."""
+    import os
+
+    from corvane import catalog
+    from corvane.plans import base, validation
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no fixture tables")
+    got = catalog.QUERIES["bootstrap_churn"](spark, sf).toPandas()
+    assert len(got) == 150 and set(got.median_churn) == {got.churn.median()} and (got.churn > 0).all()
+    drawn = validation._resampled(spark, sf, 2).toPandas()
+    wide = base.imputed(spark, sf).toPandas().pivot(index="entity", columns="indicator", values="value")
+    size = base.features(spark, sf).toPandas().set_index("entity")[["spend", "urgent_share"]]
+    flags = {(r["entity"], r["pillar"]): r["blocked"] for r in matrix.blocked(base.gated(spark, sf), base.tree(spark)).collect()}
+    for _, one in drawn.groupby("draw"):
+        assert 0.4 * len(wide) < len(one) < 0.85 * len(wide)
+        score = {i: 100 * (1 - wide.loc[one.entity, i].rank(pct=True) if d < 0 else wide.loc[one.entity, i].rank(pct=True)) for i, p, d in base.TREE if i in wide}
+        s = 100 * size.loc[one.entity].rank(pct=True)
+        for entity, overall in zip(one.entity, one.overall):
+            total = weight = 0.0
+            for p, w in base.WEIGHTS.items():
+                own = [score[i][entity] for i, q, _ in base.TREE if q == p and i in score]
+                w = 0.0 if flags[entity, p] else w
+                total, weight = total + w * sum(own) / len(own), weight + w
+            q = total / weight if weight else None
+            if q is not None and overall == overall and overall is not None:
+                a, b = (min(max(x, 1.0), 100.0) / 100 for x in (0.75 * s.spend[entity] + 0.25 * s.urgent_share[entity], q))
+                assert abs(overall - 100 * (a * b) ** 0.5) < 1e-5
+    spark.catalog.clearCache()
