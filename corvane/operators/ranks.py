@@ -52,31 +52,37 @@ def percent_ranks(rows: DataFrame, by: list[str], value: str = "value", directio
     return ranked.withColumn("score", 100 * F.when(d < 0, 1 - r).otherwise(r)).drop("rank", "n")
 
 
-def in_order(rows: DataFrame, value: str, tie: str, sums: tuple[str, ...] = (), descending: bool = True, buckets: int = BUCKETS) -> DataFrame:
-    """rows with `position` (1 on) by value and then tie ascending, and the running totals run_<column> up to each row.
+def in_order(rows: DataFrame, value: str, tie: str, sums: tuple[str, ...] = (), descending: bool = True, buckets: int = BUCKETS, by: tuple[str, ...] = ()) -> DataFrame:
+    """rows with `position` (1 on) by value and then tie ascending, and the running totals run_<column> up to each row, within each `by` group.
 
-    value and tie are numbers, and value and tie together name a row. Null values come last.
+    value and tie are numbers, and value, tie and `by` together name a row. Null values come last. Groups are columns of a matrix or draws.
     """
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = rows.agg(F.percentile_approx(value, points, 10000).alias("v"), F.percentile_approx(tie, points, 10000).alias("t")).first()  # 2 * buckets numbers
-    level = F.array(*(F.lit(float(c)) for c in sorted(set(cuts["v"] or [])))).cast("array<double>")
-    ties = F.array(*(F.lit(float(c)) for c in sorted(set(cuts["t"] or [])))).cast("array<double>")
+    found = rows.groupBy(*by).agg(F.percentile_approx(value, points, 10000).alias("v"), F.percentile_approx(tie, points, 10000).alias("t")).collect()  # 2 * buckets numbers a group
+    ends = [(*(r[k] for k in by), *([float(c) for c in sorted(set(r[x] or []))] for x in ("v", "t"))) for r in found]
+    if by:
+        shape = T.StructType([*rows.select(*by).schema.fields, *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_level", "_ties"))])
+        rows, level, ties = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ends, shape)), [*by]), F.col("_level"), F.col("_ties")
+    else:
+        level, ties = (F.array(*(F.lit(c) for c in x)).cast("array<double>") for x in ends[0])
     v, t = F.col(value).cast("double"), F.col(tie).cast("double")
     exact = F.coalesce(F.array_contains(level, v), F.lit(True))
     below = 2 * F.size(F.filter(level, lambda c: c < v)) + exact.cast("int")
     major = F.when(v.isNull(), F.lit(1 << 20)).otherwise(-below if descending else below)
     minor = F.when(exact, F.size(F.filter(ties, lambda c: c < t))).otherwise(0)
-    placed = rows.withColumn("_major", major).withColumn("_minor", minor)
-    totals = placed.groupBy("_major", "_minor").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums)).orderBy("_major", "_minor").collect()
-    run, offsets = [0] + [0.0] * len(sums), []
+    placed = rows.withColumn("_major", major).withColumn("_minor", minor).drop("_level", "_ties")
+    totals = placed.groupBy(*by, "_major", "_minor").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums)).orderBy("_major", "_minor").collect()
+    runs, offsets = {}, []
     for r in totals:
-        offsets.append((r["_major"], r["_minor"], *run))
-        run = [run[0] + r["_n"], *(x + float(r[f"_s_{c}"] or 0.0) for x, c in zip(run[1:], sums))]
-    ddl = ", ".join(["_major int", "_minor int", "_n0 long", *(f"_b_{c} double" for c in sums)])
-    before = rows.sparkSession.createDataFrame(offsets, ddl)  # at most about 2 * buckets^2 rows
+        key = tuple(r[k] for k in by)
+        run = runs.get(key, [0] + [0.0] * len(sums))
+        offsets.append((*key, r["_major"], r["_minor"], *run))
+        runs[key] = [run[0] + r["_n"], *(x + float(r[f"_s_{c}"] or 0.0) for x, c in zip(run[1:], sums))]
+    more = T.StructType.fromDDL(", ".join(["_major int", "_minor int", "_n0 long", *(f"_b_{c} double" for c in sums)]))
+    before = rows.sparkSession.createDataFrame(offsets, T.StructType([*rows.select(*by).schema.fields, *more.fields]))  # at most about 2 * buckets^2 rows a group
     order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
-    inner = Window.partitionBy("_major", "_minor").orderBy(order, F.col(tie))
-    out = placed.join(F.broadcast(before), ["_major", "_minor"]).withColumn("position", (F.col("_n0") + F.row_number().over(inner)).cast("long"))
+    inner = Window.partitionBy(*by, "_major", "_minor").orderBy(order, F.col(tie))
+    out = placed.join(F.broadcast(before), [*by, "_major", "_minor"]).withColumn("position", (F.col("_n0") + F.row_number().over(inner)).cast("long"))
     for c in sums:
         out = out.withColumn(f"run_{c}", F.col(f"_b_{c}") + F.coalesce(F.sum(c).over(inner.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
     return out.drop("_major", "_minor", "_n0", *(f"_b_{c}" for c in sums))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..operators import ranks
 from ..sources import readers
 from ..streaming import jobs
 from .base import INDEX, INDICATORS, features, query, table
@@ -41,12 +42,22 @@ def parallel_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.select("state", "r.*")
 
 
+PAGE_ROWS = 5000
+
+
+def in_pages(orders: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """page, result: orders by key, `page_rows` to a page."""
+    rows = ranks.in_order(orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_orderkey", descending=False)
+    r = F.struct(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price"))
+    pages = rows.select(r.alias("r"), F.floor((F.col("position") - 1) / page_rows).alias("page"))
+    return pages.groupBy("page").agg(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("r").alias("records")).alias("result"))
+
+
 @query("SELECT 'orders' AS source, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as pages and read back from all of them."""
     folder = tempfile.mkdtemp(prefix="pages-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/pages-{abs(hash(sf_dir))}"
-    rows = table(spark, sf_dir, "orders").select(F.struct(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price")).alias("r"), F.pmod("o_orderkey", F.lit(7)).alias("page"))
-    rows.groupBy("page").agg(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("r").alias("records")).alias("result")).select("result").write.mode("overwrite").json(folder)
+    in_pages(table(spark, sf_dir, "orders")).select("result").write.mode("overwrite").json(folder)
     from pyspark.sql import types as T
 
     back = readers.paged_records(spark, folder, T.StructType.fromDDL("key string, price string"), one_a_file=False)

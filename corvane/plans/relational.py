@@ -132,8 +132,10 @@ SELECT grp AS block, entity AS code, round(value * CASE WHEN sum(w) OVER (PARTIT
 def prorate_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A nation's order count, spread over its customers by spend."""
     rows = features(spark, sf_dir)
-    labels = rows.groupBy(F.col("grp").alias("block")).agg(F.sum("n_orders").alias("value"), F.collect_list("entity").alias("codes")).withColumn("label", F.lit("all"))
-    return R.spread(labels, rows.select(F.col("entity").alias("code"), F.col("spend").alias("weight"))).select("block", "code", F.round("part", 6).alias("part"))
+    w = F.coalesce("spend", F.lit(0.0))
+    sums = rows.groupBy("grp").agg(F.round(F.sum("n_orders"), 0).alias("value"), F.sum(w).alias("total"), F.count(F.lit(1)).alias("k"))
+    part = F.col("value") * F.when(F.col("total") > 0, w / F.nullif(F.col("total"), F.lit(0.0))).otherwise(1.0 / F.col("k"))
+    return rows.join(sums, "grp").select(F.col("grp").alias("block"), F.col("entity").alias("code"), F.round(part, 6).alias("part"))
 
 
 @query("SELECT n_regionkey AS parent, count(*) AS n, round(sum(c_acctbal), 4) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
@@ -145,8 +147,8 @@ def rollup_children(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT name, any_value(code) AS code FROM (SELECT c_mktsegment || '|' || c_nationkey AS name, c_custkey AS code FROM customer) GROUP BY 1 HAVING count(*) = 1")
 def unique_target_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Names that stand for exactly one code: a rate is never split."""
-    rows = table(spark, sf_dir, "customer").groupBy(F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("name")).agg(F.collect_list("c_custkey").alias("codes"))
-    return rows.where(F.size("codes") == 1).select("name", F.col("codes")[0].alias("code"))
+    name = F.concat_ws("|", "c_mktsegment", F.col("c_nationkey").cast("string")).alias("name")
+    return table(spark, sf_dir, "customer").groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("code")).where("n = 1").drop("n")
 
 
 _A = "(SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 5 <> 0)"

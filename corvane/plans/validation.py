@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -178,7 +178,7 @@ def _mc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """draw, entity, r: pillars are normalised once; a draw only weighs them anew."""
     pillars = matrix.pillars(imputed(spark, sf_dir), tree(spark)).select("entity", "pillar", "score")
     scores = pillars.join(F.broadcast(_draws(spark)), "pillar").groupBy("draw", "entity").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 9).alias("s"))
-    return reused(scores.select("draw", "entity", F.row_number().over(Window.partitionBy("draw").orderBy(F.col("s").desc(), "entity")).cast("long").alias("r")))
+    return reused(ranks.in_order(reused(scores), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r")))
 
 
 @query(_MC + " SELECT entity, round(quantile_cont(r, 0.05), 4) AS lo, round(quantile_cont(r, 0.95), 4) AS hi FROM mr GROUP BY 1")
@@ -214,7 +214,7 @@ def loo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
     without = F.col("all") - F.col("s") / F.col("n") + F.when(F.col("n") > 1, (F.col("s") - F.col("x")) / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0)
     arms = arm.select(F.col("indicator").alias("left_out"), "entity", F.round(without / (F.col("k") - F.when(F.col("n") > 1, 0).otherwise(1)), 9).alias("v"))
     arms = arms.unionByName(others.select(F.lit("").alias("left_out"), "entity", F.round(F.col("all") / F.col("k"), 9).alias("v")))
-    r = reused(arms.withColumn("r", F.row_number().over(Window.partitionBy("left_out").orderBy(F.col("v").desc(), "entity"))))
+    r = reused(ranks.in_order(reused(arms), "v", "entity", by=("left_out",)).withColumnRenamed("position", "r"))
     both = r.where("left_out <> ''").join(r.where("left_out = ''").select("entity", F.col("r").alias("b")), "entity")
     d = F.abs(F.col("r") - F.col("b"))
     return both.groupBy("left_out").agg(F.max(d).cast("long").alias("max_shift"), F.round(F.avg(d), 6).alias("mean_shift"))

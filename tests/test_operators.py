@@ -161,3 +161,37 @@ def test_bootstrap_builds_the_index_anew(spark):
                 a, b = (min(max(x, 1.0), 100.0) / 100 for x in (0.75 * s.spend[entity] + 0.25 * s.urgent_share[entity], q))
                 assert abs(overall - 100 * (a * b) ** 0.5) < 1e-5
     spark.catalog.clearCache()
+
+
+def test_in_order_within_groups(spark):
+    rows = [(g, i, float(i * 37 % 11) if i % 13 else None) for g in ("a", "b", "") for i in range(300)]
+    frame = spark.createDataFrame(rows, "g string, entity int, v double").repartition(5)
+    got = {(r["g"], r["entity"]): r["position"] for r in ranks.in_order(frame, "v", "entity", buckets=8, by=("g",)).collect()}
+    for g in ("a", "b", ""):
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[2] is None, -(r[2] or 0.0), r[1]))
+        assert [got[g, r[1]] for r in own] == list(range(1, 301))
+    assert ranks.in_order(frame.limit(0), "v", "entity", by=("g",)).count() == 0
+
+
+def test_pages_have_a_fixed_number_of_rows(spark):
+    from corvane.plans import ingest
+
+    orders = spark.range(1000).selectExpr("id * 7 AS o_orderkey", "CAST(id AS DOUBLE) AS o_totalprice")
+    pages = [r["result"] for r in ingest.in_pages(orders, 64).collect()]
+    assert len(pages) == 16 and max(len(p["records"]) for p in pages) == 64 and sum(p["total"] for p in pages) == 1000
+
+
+@pytest.mark.parametrize("name", ["prorate_fanout", "unique_target_only", "mc_weights", "loo_shift"])
+def test_plans_gather_no_group(spark, name):
+    """No array of a whole group, and no window over a whole draw."""
+    import os
+    import re
+
+    from corvane import catalog
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no fixture tables")
+    plan = catalog.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and not re.search(r"windowspecdefinition\((draw|left_out)#\d+, (?!_major)", plan)
+    spark.catalog.clearCache()
