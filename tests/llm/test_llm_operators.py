@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import fingerprints, langid, licenses, lines, media, near_dup, packing, quality, sentencepiece
+from corvane.llm import fingerprints, langid, licenses, lines, media, near_dup, packing, sentencepiece
 
 EDGES = [(1000, None), (1001, ""), (1002, " \n\t "), (1003, "one"), (1004, "Ünïcode — text"), (1004, "Ünïcode — text"), (None, "no id at all here"), (1005, "word " * 30000)]
 
@@ -127,36 +127,6 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in odd.collect()} == {"und"}
 
 
-def test_quality(spark, docs):
-    good = near_corpus()
-    bad = [(2000 + i, "%%% $$$ ### @@@ !!! ^^^ &&& *** " * (i + 5)) for i in range(5)]
-    table = spark.createDataFrame([(d, t, "en") for d, t in good + bad + EDGES], "doc_id long, text string, lang string").withColumn("p", F.lit(1))
-    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good[::2]] + [(good[1][0], None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality.quality_scores(table, labels).collect()}
-    assert not any(got[d]["kept"] for d, _ in bad) and np.mean([got[d]["kept"] for d, _ in good]) > 0.97
-    assert got[1000]["perplexity"] is None and not got[1001]["kept"]
-    kept = quality.drop_rejected(table, labels)
-    assert kept.columns == table.columns and 2000 not in {r["doc_id"] for r in kept.select("doc_id").collect()}
-    assert all(r["kept"] for r in quality.quality_scores(table, labels.limit(0)).collect())
-    assert quality.quality_scores(table.limit(0), labels).count() == 0
-
-
-def test_kneser_ney_sums_to_one(spark):
-    """Probabilities of all continuations of a seen context sum to one, and agree with a direct computation."""
-    rng = random.Random(5)
-    grams = {}
-    for _ in range(4000):
-        code = 0
-        for _ in range(quality.ORDER):
-            code = code << quality.BITS | min(int(rng.expovariate(0.4)), 63)
-        grams[code] = grams.get(code, 0) + 1
-    counts = spark.createDataFrame(list(grams.items()), "code long, n long")
-    context = max(grams, key=grams.get) >> quality.BITS
-    wanted = spark.createDataFrame([((context << quality.BITS) | s,) for s in range(quality.SYMBOLS)], "code long")
-    p = [r["p"] for r in quality.probabilities(wanted, counts).collect()]
-    assert len(p) == quality.SYMBOLS and min(p) > 0 and abs(sum(p) - 1) < 1e-9
-
-
 def test_sentencepiece_round_trip(docs):
     rows = sentencepiece.round_trip_digests(docs).collect()
     assert len(rows) == docs.count() and sentencepiece.round_trip_digests(docs.limit(0)).count() == 0
@@ -175,49 +145,6 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
 
 
-def test_quality_tells_letters_of_every_script(spark):
-    """Shuffled letters of a script without a-z are less likely than its words, though every letter is the same kind."""
-    rng = random.Random(11)
-    words = ["".join(rng.choice("бвгдклмнпрст") + rng.choice("аеиоу") for _ in range(rng.randint(1, 4))) for _ in range(60)]
-    good = [(i, " ".join(rng.choice(words) for _ in range(60))) for i in range(120)]
-    odd = []
-    for i in range(10):
-        letters = list("".join(rng.choice(words) for _ in range(60)))
-        rng.shuffle(letters)
-        odd.append((1000 + i, " ".join("".join(letters[k : k + 5]) for k in range(0, len(letters), 5))))
-    table = spark.createDataFrame([(d, t, "xx") for d, t in good + odd], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(d, 1, 0) for d, _ in good[::2]], "doc_id long, quality int, toxic int")
-    got = {r["doc_id"]: r for r in quality.quality_scores(table, labels).collect()}
-    assert min(got[d]["perplexity"] for d, _ in odd) > 2 * max(got[d]["perplexity"] for d, _ in good)
-    assert not any(got[d]["kept"] for d, _ in odd)
-
-
-def test_quality_spells_wide_alphabets_without_loss():
-    """Any number of code points has spellings that differ, in symbols that fit, and an order of 4 at least."""
-    for letters in (1, 100, 20_000, 32_767, 32_768, 0x110000 - 1):
-        bits, order = quality.layout(letters, 10**9)
-        places = np.arange(letters + 1)
-        own = quality.spelled(np.arange(1, letters + 1), places, letters)
-        assert order >= 4 and bits * order <= 62 and own.min() > 0 and own.max() < 1 << bits
-        one = own < quality.SINGLE if len(own) > letters else np.ones(len(own), bool)
-        pairs = own[~one].reshape(-1, 2)
-        assert len(set(own[one])) + len(set(map(tuple, pairs))) == letters
-
-
-def test_quality_limits_come_from_texts_without_their_own_counts(spark):
-    """A trusted text that is unlike all others is as unlikely as the same text without a label."""
-    rng = random.Random(2)
-    words = ["".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3)) for _ in range(40)]
-    rows = [(i, " ".join(rng.choice(words) for _ in range(50))) for i in range(200)]
-    odd = " ".join("".join(rng.choice("qxzjkvw") for _ in range(6)) for _ in range(50))
-    table = spark.createDataFrame([*rows, (900, odd)], "doc_id long, text string").withColumn("lang", F.lit("xx"))
-    known = [(d, 1, 0) for d, _ in rows]
-    runs = [{r["doc_id"]: r for r in quality.quality_scores(table, spark.createDataFrame(k, "doc_id long, quality int, toxic int")).collect()} for k in (known, [*known, (900, 1, 0)])]
-    first, second = runs[0][900], runs[1][900]
-    assert not first["trusted"] and second["trusted"] and abs(np.log(first["perplexity"] / second["perplexity"])) < 0.01
-    assert not first["kept"] and np.mean([r["kept"] for r in runs[0].values()]) > 0.95
-
-
 def test_language_id_learns_from_copies_and_long_texts(spark):
     """Languages that are one text in many copies, or only long texts, have dictionaries too."""
     rows = [(f"l{k}", f"only text of language number {k}") for k in range(8) for _ in range(3000)]
