@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_column, materialize
+from .common import batch_of, materialize, texts_in_blocks
 from .graphs import connected_components
 
 ROWS, BATCH, BATCHES, CELL = 3, 64, 12, 1024
@@ -143,16 +143,6 @@ def survivors(one: np.ndarray, others: np.ndarray, least: np.ndarray) -> np.ndar
     return live
 
 
-def texts_in_blocks(batch: pa.RecordBatch, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Stretches of a batch's rows of about `limit` bytes at most (one row at least), as (first, last, bytes, offsets)."""
-    data, at = byte_column(batch.column("text"))
-    first = 0
-    while first < batch.num_rows:
-        last = max(first + 1, int(np.searchsorted(at, at[first] + limit)) - 1)
-        yield first, last, data, at[first : last + 1]
-        first = last
-
-
 SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
 NODE = pa.schema([("rep", pa.int64()), ("signature", pa.binary()), ("shingles", pa.binary())])
 PAIR_DDL = "a long, b long"

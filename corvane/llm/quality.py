@@ -28,10 +28,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_column, forget, materialize
+from .common import batch_of, forget, materialize, texts_in_blocks
 
 #: Bytes of text to a block and to a shard, n-grams that one task answers at most, and symbols that a task works on at once.
-BLOCK_BYTES, SHARD_BYTES, ASKED, STRETCH = 1 << 25, 1 << 25, 1 << 23, 1 << 21
+BLOCK_BYTES, SHARD_BYTES, ASKED, STRETCH = 1 << 25, 1 << 25, 1 << 23, 1 << 20
 #: Quantiles of the trusted texts' held-out perplexities; EDGE is for rounding only.
 LOW, HIGH, EDGE = 0.01, 0.99, 1e-9
 CODE_POINTS, CODE_BITS, WIDEST, FOLDS, SALTS = 0x110000, 62, 15, 2, 32
@@ -59,10 +59,9 @@ def alphabet(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros(CODE_POINTS, dtype=np.int64)
         for batch in batches:
-            data, at = byte_column(batch.column("text"))
-            points = code_points(data[at[0] : at[-1]].tobytes().decode("utf-8", "surrogatepass"))
-            own = np.bincount(points)
-            n[: len(own)] += own
+            for _, _, data, at in texts_in_blocks(batch):
+                own = np.bincount(code_points(data[at[0] : at[-1]].tobytes().decode("utf-8", "surrogatepass")))
+                n[: len(own)] += own
         found = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], ["point", "n"])
 
