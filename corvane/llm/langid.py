@@ -1,19 +1,20 @@
-"""Language ID by compression: the language whose zstandard raw-content dictionaries encode a text smallest.
+"""Language ID by compression: the language whose zstandard raw-content dictionary encodes a text smallest.
 
-Dictionaries come from a bounded, hash-ordered sample of labelled texts (`dict_bytes` * `dicts` a language, of about
-`sample_docs` texts); every text is then encoded whole with each dictionary of each language. score is the margin between
-the two smallest languages, relative to the text's own cost of being told apart; a text whose score is under `min_score`
-is marked rejected.
+Each language's dictionary is cut from a bounded, hash-ordered sample of its labelled texts (`dict_bytes` bytes of about `sample_docs`
+texts). Every text, whatever its length, is then encoded whole with each language's dictionary at one and the same setting. Letters are
+lower-cased first, in dictionaries and texts, so that capitals match. score is the margin between the two smallest encodings,
+relative to the smallest; a text whose score is under `min_score` is marked rejected.
 
-Defined edges: a null text or one without a letter is `und`, score 0. Ties go to the first language by name. With no labelled
-text at all every text is `und`. Extra columns are ignored.
+Defined edges: a null text or one without a letter is `und`, score 0. Ties go to the first language by name, with score 0 (rejected). With
+one language only, every text with a letter has it, at score 1. With no labelled text at all every text is `und`. Repeated rows get equal
+results, rows without doc_id are predicted but not learned from, an empty table gives an empty result, extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_of
 
-UNKNOWN = "und"
+UNKNOWN, MAX_LANGS = "und", 1024
 PREDICTIONS = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
 
 
@@ -30,12 +31,16 @@ def fold(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def learn_dictionaries(labelled: DataFrame, dict_bytes: int = 32768, dicts: int = 4, sample_docs: int = 400) -> dict[str, list[bytes]]:
-    """Per language, `dicts` raw-content dictionaries of at most `dict_bytes` bytes each.
+def folded(text: str) -> bytes:
+    return text.lower().encode()
 
-    The driver receives at most about `sample_docs` texts a language, each of at most `dict_bytes` bytes: longer texts are cut into
-    chunks. The sample takes distinct texts by hash at a rate that follows from the number of the language's distinct texts, so it is
-    spread over the whole table and copies do not thin it.
+
+def learn_dictionaries(labelled: DataFrame, dict_bytes: int = 65536, sample_docs: int = 400, max_langs: int = MAX_LANGS) -> dict[str, bytes]:
+    """Per language, a raw-content dictionary of at most `dict_bytes` bytes.
+
+    The driver keeps `dict_bytes` bytes a language, of `max_langs` languages at most (more are an error), from about `sample_docs` texts of
+    each; texts longer than a dictionary are cut into chunks. The sample takes distinct texts by hash at a rate that follows from
+    the number of the language's distinct texts, so it is spread over the whole table and copies do not thin it.
     """
     usable = labelled.where("lang is not null and length(trim(text)) > 0")
     step = max(1, dict_bytes // 4)  # characters of at most 4 bytes
@@ -44,51 +49,52 @@ def learn_dictionaries(labelled: DataFrame, dict_bytes: int = 32768, dicts: int
     usable = usable.select("lang", F.explode(chunks).alias("text")).where("length(trim(text)) > 0").withColumn("key", F.xxhash64("text", F.lit(9)))
     counts = usable.select("lang", "key").distinct().groupBy("lang").count().withColumn("rate", F.least(F.lit(1.0), F.lit(float(sample_docs)) / F.col("count")))
     share = F.col("key").bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / float(1 << 52)
-    picked = usable.withColumn("share", share).join(F.broadcast(counts.select("lang", "rate")), "lang").where("share < rate")
-    by_lang: dict[str, list[bytes]] = {}
+    rates = {r["lang"]: r["rate"] for r in counts.orderBy("lang").limit(max_langs + 1).select("lang", "rate").collect()}  # max_langs + 1 rows at most
+    if len(rates) > max_langs:
+        raise ValueError(f"more than {max_langs} languages are labelled")
+    if not rates:
+        return {}
+    rate = F.element_at(F.from_json(F.lit(json.dumps(rates)), "map<string,double>"), F.col("lang"))
+    picked = usable.withColumn("share", share).where(F.col("share") < rate)
+    parts: dict[str, list[bytes]] = {}
     for lang, text in picked.select("lang", "text").distinct().orderBy("lang", F.xxhash64("text")).toLocalIterator():
-        by_lang.setdefault(lang, []).append(text.encode())
-    out = {}
-    for lang, texts in sorted(by_lang.items()):
-        parts = [b"\n".join(texts[d::dicts])[-dict_bytes:] for d in range(dicts)]
-        out[lang] = [p if len(p) >= 8 else (p + b" " * 8)[:8] for p in parts if p] or [b" " * 8]
-    return out
+        own = parts.setdefault(lang, [])
+        if sum(map(len, own)) < dict_bytes:
+            own.append(folded(text))
+    return {lang: b"\n".join(own)[:dict_bytes].ljust(8) for lang, own in sorted(parts.items())}  # 8 bytes are the least that the format takes
+
+
+def coder(dictionary: bytes) -> zstandard.ZstdCompressor:
+    """An encoder at one fixed setting: greedy matches of 4 bytes or more over the dictionary and what came before in the text."""
+    how = zstandard.ZstdCompressionParameters(
+        window_log=22, chain_log=16, hash_log=17, search_log=3, min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False, write_dict_id=False
+    )
+    own = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    own.precompute_compress(compression_params=how)
+    return zstandard.ZstdCompressor(dict_data=own, compression_params=how)
 
 
-def encoded_sizes(text: bytes, coders: list[list[zstandard.ZstdCompressor]]) -> list[float]:
-    """Mean bytes that each language's dictionaries need for a text."""
-    return [sum(len(c.compress(text)) for c in own) / len(own) for own in coders]
+def decide(sizes: list[int], langs: list[str]) -> tuple[str, float]:
+    """The language of the smallest size (the first of equals), and the margin to the next one."""
+    if len(langs) == 1:
+        return langs[0], 1.0
+    best, second = sorted(sizes)[:2]
+    return langs[sizes.index(best)], min(1.0, 4 * (second - best) / best)
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, list[bytes]], level: int = 3, min_score: float = 0.05) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], min_score: float = 0.02) -> DataFrame:
     """doc_id, lang_pred, score, rejected for each row of docs."""
     langs = sorted(dictionaries)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def coders(lv: int) -> list[list[zstandard.ZstdCompressor]]:
-            own = []
-            for lang in langs:
-                ds = [zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for raw in dictionaries[lang]]
-                for d in ds:
-                    d.precompute_compress(level=lv)
-                own.append([zstandard.ZstdCompressor(dict_data=d, level=lv, write_content_size=False, write_checksum=False, write_dict_id=False) for d in ds])
-            return own
-
-        fast, fine = coders(level), coders(19)
+        coders = [coder(dictionaries[lang]) for lang in langs]
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in PREDICTIONS}
             for doc, text, letters in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "letters"))):
                 lang, score = UNKNOWN, 0.0
                 if letters and langs:
-                    raw = text.encode()
-                    sizes = encoded_sizes(raw, fine if len(raw) <= 2048 else fast)
-                    order = np.argsort(sizes, kind="stable")
-                    lang = langs[order[0]]
-                    if len(langs) > 1:
-                        best, second = sizes[order[0]], sizes[order[1]]
-                        score = float(min(1.0, max(0.0, (second - best) / max(best, 1.0) * 4)))
-                    else:
-                        score = 1.0
+                    raw = folded(text)
+                    lang, score = decide([len(c.compress(raw)) for c in coders], langs)
                 for name, value in zip(out, (doc, lang, score, lang != UNKNOWN and score < min_score)):
                     out[name].append(value)
             yield batch_of(PREDICTIONS, **out)
