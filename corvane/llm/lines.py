@@ -110,8 +110,8 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Dat
     runs = materialize(keys.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda it: stream_runs(it, min_docs), MARKS_DDL))
     settled = runs.where(F.col("kind") == DROP).select(*KEYS.names)
     border = runs.where(F.col("kind") == RUN).groupBy("hi", "lo").agg(F.sum("n_docs").alias("n_docs"), F.max("max_doc").alias("max_doc"))
-    border = border.where(F.col("n_docs") >= min_docs).drop("n_docs")
-    late = runs.where(F.col("kind") == OPEN).select(*KEYS.names).join(border, ["hi", "lo"]).where("doc_id < max_doc").select(*KEYS.names)
+    border = border.where(F.col("n_docs") >= min_docs).drop("n_docs")  # two rows a partition at most
+    late = runs.where(F.col("kind") == OPEN).select(*KEYS.names).join(F.broadcast(border), ["hi", "lo"]).where("doc_id < max_doc").select(*KEYS.names)
     marks = settled.unionByName(late).groupBy("doc_id", "text_key", "n_lines").agg(F.collect_set("lines").alias("parts"))
     return marks.mapInArrow(pack_bitmaps, "doc_id long, text_key long, n_lines long, n_dropped long, keep_bitmap binary")
 
