@@ -6,7 +6,7 @@
 4. Buckets that still hold several components are compared across components, in cells of bounded size, so that no link between
    different texts is lost whichever member it joins.
 5. Verifying a pair: signatures are compared in batches; after each, the pair goes if the posterior probability (uniform prior)
-   that its likeness reaches the threshold is under `miss`. Pairs that survive all batches are counted out on full sets.
+   that its likeness reaches the threshold is under `miss` (a posterior at each batch, not a rate over all). Survivors are counted out on full sets.
 
 Defined edges: a text without words (null, empty, white space) has an empty set and links with nothing. Fewer words than a
 shingle takes are one shingle. Rows without doc_id link with nothing and stay. A doc_id that repeats with other texts is
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import batch_of, materialize, texts_in_blocks
 from .graphs import connected_components
 
-ROWS, BATCH, BATCHES, CELL = 3, 64, 12, 1024
+ROWS, BATCH, BATCHES, CELL = 3, 64, 12, 4096
 _rng = np.random.default_rng(20240229)
 BYTE_CODES = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BASE = int(_rng.integers(1 << 60, 1 << 62)) * 2 + 1
