@@ -11,10 +11,12 @@ Equal texts have equal sketches. Rows are ordered by doc_id descending, null las
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K, WORDS, BITS = 64, 5, 48
+K, WORDS, BITS, PART_BYTES = 64, 5, 48, 1 << 25
 
 
 def sketch(text: Column, k: int = K, words: int = WORDS) -> Column:
@@ -54,11 +56,16 @@ def containment(a: Column, b: Column, k: int = K) -> Column:
 
 
 def merge_sketches(sketches: DataFrame, keys: list[str], column: str = "sketch", k: int = K) -> DataFrame:
-    """One sketch for each key: distinct hashes are counted out before the shuffle, and the k smallest of each key stay."""
-    hashes = sketches.select(*keys, F.explode(column).alias("hash")).distinct()
-    salted = hashes.withColumn("salt", F.pmod("hash", F.lit(64)))
-    part = salted.groupBy(*keys, "salt").agg(F.slice(F.array_sort(F.collect_set("hash")), 1, k).alias("part"))
-    return part.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("part"))), 1, k).alias(column))
+    """One sketch for each key, of all texts under it: distinct hashes are counted out before the shuffle, and the k smallest of each key stay.
+
+    A key of a third of all rows is dealt over 64 salts first; no task gathers more than k hashes of each.
+    """
+    hashes = sketches.select(*keys, F.explode(column).alias("_hash")).distinct()
+    salted = hashes.withColumn("_salt", F.pmod("_hash", F.lit(64)))
+    order = Window.partitionBy(*keys, "_salt").orderBy("_hash")
+    least = salted.withColumn("_nth", F.row_number().over(order)).where(F.col("_nth") <= k)  # Spark cuts such groups before it shuffles them
+    own = least.groupBy(*keys, "_salt").agg(F.array_sort(F.collect_list("_hash")).alias("_own"))
+    return own.groupBy(*keys).agg(F.slice(F.array_sort(F.flatten(F.collect_list("_own"))), 1, k).alias(column))
 
 
 def as_hex(a: Column) -> Column:
@@ -66,33 +73,38 @@ def as_hex(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lpad(F.lower(F.hex(h)), BITS // 4, "0")), "")
 
 
-def with_next(docs: DataFrame, columns: list[str], parts: int = 256) -> DataFrame:
+def place_in(cuts: Column, n: int, x: Column) -> Column:
+    """How many of the n sorted cuts are at most x, by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(max(1, n.bit_length())))))
+    return F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.coalesce(F.get(cuts, at + k - 1) <= x, F.lit(False)), at + k).otherwise(at))
+
+
+def with_next(docs: DataFrame, columns: list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """Each row with `columns` of the next row by doc_id descending as next_*; the last row's next is the first.
 
-    Rows are dealt into at most `parts` ranges of doc_id, whose borders the driver gets (at most `parts` numbers, chosen by
-    the approximate quantiles of doc_id). The first rows of each range also stand at the end of the range before it, so each
-    window sees the row that follows its last.
+    Rows are dealt into ranges of doc_id of about `part_bytes` of text, so their number follows the input; the driver gets the borders
+    (approximate quantiles of doc_id) and the largest doc_id of each, three numbers a range. The first rows of each range also stand at
+    the end of the range before it, so each window sees the row that follows its last.
     """
-    ids = docs.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", F.array(*(F.lit(i / parts) for i in range(1, parts))), 10000)).first()[0] or []
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(2, -(-size // part_bytes))
+    spaced = F.from_json(F.lit(json.dumps([i / parts for i in range(1, parts)])), "array<double>")
+    cuts = docs.agg(F.percentile_approx("doc_id", spaced, max(10000, 10 * parts)).alias("cuts")).first()["cuts"] or []
     cuts = sorted(set(cuts))
+    numbers = lambda x: F.from_json(F.lit(json.dumps(x)), "array<bigint>")
     # range 0 holds the largest doc_ids, the last one the smallest and null
-    part = F.lit(len(cuts)) - F.coalesce(F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c <= F.col("doc_id"))), F.lit(0)) if cuts else F.lit(0)
+    part = F.lit(len(cuts)) - F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(place_in(numbers(cuts), len(cuts), F.col("doc_id")))
     dealt = docs.select("doc_id", *columns, part.cast("int").alias("part"))
     tops = dealt.groupBy("part").agg(F.max("doc_id").alias("top")).orderBy("part").collect()  # one row a range
     if not tops:
         return dealt.select("doc_id", *columns, *(F.col(c).alias(f"next_{c}") for c in columns))
-    before = {t["part"]: tops[i - 1]["part"] for i, t in enumerate(tops)}
-    first, last = tops[0]["part"], tops[-1]["part"]
-    heads = F.lit(False)
-    for t in tops:
-        top = F.col("doc_id").isNull() if t["top"] is None else F.col("doc_id") == F.lit(t["top"])
-        heads = heads | ((F.col("part") == t["part"]) & top)
-    to = F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), F.col("part"))
-    homes = F.when(heads, F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("copy")), F.struct(to.alias("part"), F.lit(True).alias("copy")))).otherwise(
-        F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("copy")))
-    )
-    spread = dealt.select("doc_id", *columns, F.explode(homes).alias("home")).select("doc_id", *columns, "home.part", "home.copy")
+    top_of, before = [None] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for i, t in enumerate(tops):
+        top_of[t["part"]], before[t["part"]] = t["top"], tops[i - 1]["part"]
+    head = F.col("doc_id").eqNullSafe(F.get(numbers(top_of), F.col("part")))
+    home = lambda part, copy: F.struct(part.cast("int").alias("part"), F.lit(copy).alias("copy"))
+    own, other = home(F.col("part"), False), home(F.get(numbers(before), F.col("part")), True)
+    spread = dealt.select("doc_id", *columns, F.explode(F.when(head, F.array(own, other)).otherwise(F.array(own))).alias("home")).select("doc_id", *columns, "home.part", "home.copy")
     order = Window.partitionBy("part").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), *columns[:1])
     return spread.select("doc_id", *columns, "copy", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not copy").drop("copy")
 
