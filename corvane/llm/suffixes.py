@@ -2,12 +2,14 @@
 
 1. Every start of a `length`-byte string belongs to the least hash of its SEED-byte strings (its seed). Starts that follow each other
    under one and the same place of it are a piece; equal strings have equal seeds, so they meet wherever they stand.
-2. Pieces meet by seed. Pieces of equal bytes are one piece (compared by two 64-bit hashes): its first place stands for it, all
-   others are covered.
+2. Pieces meet in order of seed and bytes. Pieces of equal bytes are one piece (compared by two 64-bit hashes): its first place stands
+   for it, all others are covered.
 3. The distinct pieces of a seed go through the column-wise construction: each round inserts one symbol of every piece, from its
    end, into the Burrows-Wheeler transform of the collection and keeps the common prefixes of neighbours, an
-   external file that a round reads and writes in blocks. Neighbours with common prefixes of `length` are one string.
-4. Seeds with more than `cell` distinct pieces (frequent lines within ever new text) are dealt out by whole strings instead.
+   external file that a round reads and writes in blocks. Neighbours with common prefixes of `length` are one string. The files are
+   scratch of one task attempt, like Spark's own spills: no other task reads them, and a task that is run again makes them anew.
+4. Seeds with more than `cell` distinct pieces (a frequent line within ever new text) would gather in one task. Their pieces are taken apart
+   into whole strings, which are put in order by hash over many tasks; all but the first of each are covered. The result is the same.
 
 "Earlier" is a smaller doc_id, or the same document and a smaller start. Defined edges: a null text is empty; texts shorter than
 `length` lose nothing; rows without doc_id lose nothing and cover nothing. A repeated row is one document. A doc_id that repeats
@@ -38,10 +40,12 @@ BASE = int(_rng.integers(1 << 60, 1 << 62)) * 2 + 1
 #: A place is a stretch of starts in one document: 25 bits of the text's hash, 31 of the first start, 7 of how many follow it.
 PIECE = pa.schema([("seed", pa.int64()), ("piece", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
 PIECE_DDL = "seed long, piece long, doc_id long, place long"
-FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64())])
-FOUND_DDL = "kind int, seed long, doc_id long, place long"
+FOUND = pa.schema([("kind", pa.int32()), ("seed", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("n", pa.int64())])
+FOUND_DDL = "kind int, seed long, doc_id long, place long, n long"
+STRINGS = pa.schema([("kind", pa.int32()), *PIECE])
+STRINGS_DDL = f"kind int, {PIECE_DDL}"
 COVER = pa.schema([("doc_id", pa.int64()), ("place", pa.int64())])
-COVERED, SHARED, CROWDED = 0, 1, 2
+COVERED, SHARED, CROWDED, OPEN, RUN = range(5)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -123,26 +127,56 @@ def seed_pieces(texts: DataFrame, length: int) -> DataFrame:
     return texts.mapInArrow(run, PIECE_DDL)
 
 
+class Rows:
+    """The last row of a sorted stream, to tell which rows repeat the one before."""
+
+    def __init__(self):
+        self.last: tuple | None = None
+
+    def firsts_and_copies(self, seed: np.ndarray, piece: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which rows are the first of their (seed, piece), and which are another place of it; rows that repeat a place are neither."""
+        before = [np.concatenate([[x[0] if self.last is None else y], x[:-1]]) for x, y in zip((seed, piece, doc, place), self.last or (0, 0, 0, 0))]
+        same = (seed == before[0]) & (piece == before[1])
+        again = same & (doc == before[2]) & (place == before[3])
+        if self.last is None:
+            same[0] = again[0] = False
+        self.last = (seed[-1], piece[-1], doc[-1], place[-1])
+        return ~same, same & ~again
+
+
+def found_rows(kind: int, seed: np.ndarray, doc: np.ndarray, place: np.ndarray, n: int = 0) -> pa.RecordBatch:
+    return batch_of(FOUND, kind=np.full(len(seed), kind, np.int32), seed=seed, doc_id=doc, place=place, n=np.full(len(seed), n, np.int64))
+
+
+def run_row(seed: int, n: int) -> pa.RecordBatch:
+    return batch_of(FOUND, kind=[RUN], seed=[seed], doc_id=[None], place=[None], n=[n])
+
+
 def meet(batches: Iterator[pa.RecordBatch], cell: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by seed, piece, doc_id, place: what is covered by an equal piece, and the distinct pieces of shared seeds.
+    """Over a partition's rows in order of seed, piece, doc_id, place: what an equal piece covers, and the distinct pieces of shared seeds.
 
-    Only the last row and the distinct pieces of the last seed wait, at most `cell` of them: more are known to be crowded.
+    The partition's first and last seed may go on beyond its border: their distinct pieces stay open, with the number of them here in
+    a summary row. Only the last row and the distinct pieces of the last seed wait, at most `cell` of them: more are known to be crowded.
     """
-    last, crowded = None, None
-    wait = {n: np.empty(0, np.int64) for n in ("seed", "doc_id", "place")}
+    rows, head, n_head, closed, crowded, n_out = Rows(), None, 0, False, None, 0
+    wait = [np.empty(0, np.int64) for _ in range(3)]
     for batch in batches:
         if not batch.num_rows:
             continue
         seed, piece, doc, place = (batch.column(n).to_numpy() for n in PIECE.names)
-        before = [np.concatenate([[x[0] if last is None else y], x[:-1]]) for x, y in zip((seed, piece, doc, place), last or (0, 0, 0, 0))]
-        same = (seed == before[0]) & (piece == before[1])
-        again = same & (doc == before[2]) & (place == before[3])
-        if last is None:
-            same[0] = again[0] = False
-        last = (seed[-1], piece[-1], doc[-1], place[-1])
-        copy, first = same & ~again, ~same
-        yield batch_of(FOUND, kind=np.full(copy.sum(), COVERED, np.int32), seed=seed[copy], doc_id=doc[copy], place=place[copy])
-        s, d, p = (np.concatenate([wait[n], x[first]]) for n, x in (("seed", seed), ("doc_id", doc), ("place", place)))
+        first, copy = rows.firsts_and_copies(seed, piece, doc, place)
+        yield found_rows(COVERED, seed[copy], doc[copy], place[copy])
+        s, d, p = (np.concatenate([w, x[first]]) for w, x in zip(wait, (seed, doc, place)))
+        head = int(seed[0]) if head is None else head
+        if not closed:
+            own = int(np.count_nonzero(s == head))
+            n_head += own
+            yield found_rows(OPEN, s[:own], d[:own], p[:own])
+            s, d, p = s[own:], d[own:], p[own:]
+            if len(s):
+                closed = True
+                yield run_row(head, n_head)
+        wait = [s, d, p]
         if not len(s):
             continue
         edge = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
@@ -152,13 +186,42 @@ def meet(batches: Iterator[pa.RecordBatch], cell: int) -> Iterator[pa.RecordBatc
         if kind[-1] != CROWDED:  # its seed may go on
             done, kind[-1] = edge[-1], -1
         else:
+            n_out = int(count[-1]) + (n_out if s[-1] == crowded else 0)
             done, crowded = len(s), int(s[-1])
-        kind = np.repeat(kind, count).astype(np.int32)
-        wait = {"seed": s[done:], "doc_id": d[done:], "place": p[done:]}
-        out = kind >= 0
-        yield batch_of(FOUND, kind=kind[out], seed=s[out], doc_id=d[out], place=p[out])
-    if len(wait["seed"]) > 1:
-        yield batch_of(FOUND, kind=np.full(len(wait["seed"]), SHARED, np.int32), **wait)
+        kind = np.repeat(kind, count)
+        wait = [s[done:], d[done:], p[done:]]
+        for k in (SHARED, CROWDED):
+            yield found_rows(k, s[kind == k], d[kind == k], p[kind == k])
+    if closed:
+        seed = int(wait[0][-1]) if len(wait[0]) else crowded
+        yield run_row(seed, len(wait[0]) + (n_out if seed == crowded else 0))
+        yield found_rows(OPEN, *wait)
+    elif head is not None:
+        yield run_row(head, n_head)
+
+
+def repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over a partition's strings in order of seed, piece (their hash), doc_id, place: all but the first of each.
+
+    A string that goes on from the partition before has its first row here marked OPEN, and each partition's first and last string a RUN row.
+    """
+    rows, head, tail = Rows(), None, None
+    mark = lambda kind, row: batch_of(STRINGS, kind=[kind], **{n: [x] for n, x in zip(PIECE.names, row)})
+    for batch in batches:
+        if batch.num_rows:
+            seed, piece, doc, place = (batch.column(n).to_numpy() for n in PIECE.names)
+            first, copy = rows.firsts_and_copies(seed, piece, doc, place)
+            yield batch_of(STRINGS, kind=np.full(copy.sum(), COVERED, np.int32), seed=seed[copy], piece=piece[copy], doc_id=doc[copy], place=place[copy])
+            if first.any():
+                at = np.flatnonzero(first)
+                row = lambda i: tuple(int(x[i]) for x in (seed, piece, doc, place))  # noqa: B023, E731
+                if head is None:
+                    head = row(at[0])
+                    yield mark(OPEN, head)
+                    yield mark(RUN, head)
+                tail = row(at[-1])
+    if tail is not None and tail != head:
+        yield mark(RUN, tail)
 
 
 class Construction:
@@ -371,45 +434,65 @@ def construct(batches: Iterator[pa.RecordBatch], length: int, chunk: int) -> Ite
         yield close(rows)
 
 
-def cut_out(batches: Iterator[pa.RecordBatch], length: int, singly: bool) -> Iterator[pa.RecordBatch]:
-    """seed, doc_id, place, bytes of the wanted pieces of each text; singly: every string by itself, under a key of its own."""
+def cut_out(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """seed, doc_id, place, bytes of the wanted pieces of each text."""
     schema = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("place", pa.int64()), ("bytes", pa.binary())])
     for batch in batches:
         out: dict[str, list] = {f.name: [] for f in schema}
-        for doc, key, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_key", "text", "wanted"))):
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
             raw = text.encode()
             for item in wanted:
                 _, start, size = split_place(item["place"])
-                if not singly:
-                    out["seed"].append(item["seed"]), out["doc_id"].append(doc), out["place"].append(item["place"]), out["bytes"].append(raw[start : start + size + length - 1])
-                else:
-                    for i in range(start, start + size):
-                        own = xxhash.xxh3_128_digest(raw[i : i + length])
-                        out["seed"].append(int.from_bytes(own[:8], "big", signed=True)), out["doc_id"].append(doc), out["place"].append(place_of(key, i, 1)), out["bytes"].append(own)
+                out["seed"].append(item["seed"]), out["doc_id"].append(doc), out["place"].append(item["place"]), out["bytes"].append(raw[start : start + size + length - 1])
         yield batch_of(schema, **out)
 
 
+def strings_of(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """seed, piece, doc_id, place of every string of the wanted pieces; seed and piece are the string's 128-bit hash."""
+    for batch in batches:
+        out: dict[str, list] = {f.name: [] for f in PIECE}
+        for doc, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "wanted"))):
+            raw = text.encode()
+            for item in wanted:
+                key, start, size = split_place(item["place"])
+                for i in range(start, start + size):
+                    own = xxhash.xxh3_128_digest(raw[i : i + length])
+                    for name, value in zip(out, (int.from_bytes(own[:8], "big", signed=True), int.from_bytes(own[8:], "big", signed=True), doc, place_of(key, i, 1))):
+                        out[name].append(value)
+        yield batch_of(PIECE, **out)
+
+
 def covered_places(docs: DataFrame, length: int = LENGTH, cell: int = CELL, chunk: int = CHUNK) -> DataFrame:
-    """doc_id, text_key, places array<long>: the starts of each document whose string also starts earlier."""
-    texts = texts_of(docs)
-    keyed = seed_pieces(texts, length).repartition("seed").sortWithinPartitions("seed", "piece", "doc_id", "place")
+    """doc_id, text_key, places array<long>: the starts of each document whose string also starts earlier.
+
+    Ranges are cut by seed, piece, doc_id and place, so a passage that a third of all documents hold spreads over many tasks; what goes on beyond
+    a range's border meets in a summary of two rows a range, small enough to be broadcast.
+    """
+    texts, order = texts_of(docs), ["seed", "piece", "doc_id", "place"]
+    keyed = seed_pieces(texts, length).repartitionByRange(*order).sortWithinPartitions(*order)
     found = materialize(keyed.mapInArrow(lambda it: meet(it, cell), FOUND_DDL))
-    copies = found.where(F.col("kind") == COVERED).select("doc_id", "place")
-    ddl = "seed long, doc_id long, place long, bytes binary"
+    kind = F.col("kind")
+    copies = found.where(kind == COVERED).select("doc_id", "place")
+    border = found.where(kind == RUN).groupBy("seed").agg(F.sum("n").alias("in_all"))
+    late = found.where(kind == OPEN).join(F.broadcast(border), "seed")
+    late = late.select(F.when(F.col("in_all") > cell, CROWDED).when(F.col("in_all") > 1, SHARED).otherwise(OPEN).alias("kind"), "seed", "doc_id", "place")
+    both = found.where(kind.isin(SHARED, CROWDED)).select("kind", "seed", "doc_id", "place").unionByName(late)
+
+    def wanted(which: int) -> DataFrame:
+        own = both.where(kind == which).withColumn("text_key", F.shiftright("place", 38))
+        own = own.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("seed", "place")).alias("wanted"))
+        return texts.join(own, ["doc_id", "text_key"]).select("doc_id", "text", "wanted")
 
-    def pieces(kind: int, singly: bool) -> DataFrame:
-        own = found.where(F.col("kind") == kind).withColumn("text_key", F.shiftright("place", 38))
-        wanted = own.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("seed", "place")).alias("wanted"))
-        both = texts.join(wanted, ["doc_id", "text_key"])
-        return both.select("doc_id", "text_key", "text", "wanted").mapInArrow(lambda it: cut_out(it, length, singly), ddl)
-
-    shared = pieces(SHARED, False).repartition("seed").sortWithinPartitions("seed", "doc_id", "place")
-    apart = shared.mapInArrow(lambda it: construct(it, length, chunk), "doc_id long, place long")
-    single = pieces(CROWDED, True)
-    firsts = single.groupBy("seed", "bytes").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    crowded = single.join(firsts, ["seed", "bytes"]).where("struct(doc_id, place) <> first").select("doc_id", "place")
-    every = copies.unionByName(apart).unionByName(crowded).withColumn("text_key", F.shiftright("place", 38))
-    return every.groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
+    ddl = "seed long, doc_id long, place long, bytes binary"
+    shared = wanted(SHARED).mapInArrow(lambda it: cut_out(it, length), ddl).repartition("seed").sortWithinPartitions("seed", "doc_id", "place")
+    every = copies.unionByName(shared.mapInArrow(lambda it: construct(it, length, chunk), "doc_id long, place long"))
+    if not both.where(kind == CROWDED).isEmpty():
+        strings = wanted(CROWDED).mapInArrow(lambda it: strings_of(it, length), PIECE_DDL).repartitionByRange(*order).sortWithinPartitions(*order)
+        told = materialize(strings.mapInArrow(repeats, STRINGS_DDL))
+        first = told.where(kind == RUN).groupBy("seed", "piece").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+        late = told.where(kind == OPEN).join(F.broadcast(first), ["seed", "piece"]).where("struct(doc_id, place) <> first")
+        every = every.unionByName(told.where(kind == COVERED).select("doc_id", "place")).unionByName(late.select("doc_id", "place"))
+    return every.withColumn("text_key", F.shiftright("place", 38)).groupBy("doc_id", "text_key").agg(F.collect_list("place").alias("places"))
 
 
 def removed_mask(n_bytes: int, places: list[int] | None, length: int) -> np.ndarray:
