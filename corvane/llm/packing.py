@@ -1,17 +1,20 @@
 """Best-fit packing: a configuration linear program over the length histogram, multiplicative weights, knapsack pricing, rounding.
 
 Each document is its token ids and a closing id 0. Only documents longer than `capacity` are cut, the first piece takes the
-remainder. The program sees the histogram of piece lengths (at most `capacity` rows, whatever the input): each round prices
-one configuration by an exact knapsack over the current weights, takes it in the integer multiplicity that the remaining
-demand allows, and raises the weights of lengths that lag behind. What rounding leaves over is packed by best fit decreasing, on the
-histogram too. Slots of a length are ranges of ranks, so pieces find their place by a distributed rank.
-
-Defined edges: a null or empty text is one piece of one token. Repeated rows are packed like any others. An empty table
-gives an empty result. Extra columns are ignored. A text is tokenized whole; its memory is what one task needs at least.
+remainder. The program sees the histogram of piece lengths (at most `capacity` rows, whatever the input). Its fractional solution grows by
+rounds: lengths that lag behind weigh more, a knapsack by dynamic programming prices all capacities at these weights, and
+configurations within `slack` of the best price are taken in fractional amounts. Any round's prices also bound what any packing needs.
+The solution is then rounded: the configurations used most keep whole amounts, as many of them as leave the fewest sequences once best
+fit decreasing has packed what is left over. Slots of a length are ranges of ranks, so pieces find their place by a distributed rank.
+
+Defined edges: a null or empty text is one piece of one token. Repeated rows are packed like any others. An empty table gives an empty
+result. Extra columns are ignored. A text is tokenized whole; its memory is what one task needs at least. A special token's string in a
+text becomes the special token's id, as the tokenizer has it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -27,18 +30,18 @@ from .common import batch_of, materialize
 
 CAPACITY = 2048
 TOKENIZER = "byte_bpe_50k.json"
-PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-PIECES_DDL = "doc_id long, piece long, start long, length long, ids_crc32 long"
+PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 #: Characters that every Unicode version in use here classes alike as letters, digits, spaces or others.
 SETTLED = re.compile(r"[\x00-\x7f\xa0-\u0377\u0400-\u0481\u2010-\u2027\u2030-\u205e\u20ac\u3000-\u3029\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]*")
 
 
 class TextTokenizer:
-    """Token ids of whole texts, as little-endian uint32 bytes.
+    """Token ids of whole texts, as little-endian uint32 bytes: what the tokenizer's encode(text, add_special_tokens=False) gives.
 
-    The vocabulary is read from the tokenizer's file. Merging runs in tiktoken's core over that vocabulary, which gives the same
-    ids at about a third of the CPU time; a text with a character outside SETTLED goes through the tokenizer itself.
+    Merging runs in tiktoken's core over the tokenizer's own vocabulary, at about a third of the CPU time. The two differ only in the Unicode
+    version that splits words and in special tokens: texts with a character outside SETTLED or a special token's string go to the tokenizer itself.
     """
 
     def __init__(self, path: str):
@@ -47,16 +50,15 @@ class TextTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in printable]
         byte_of = {chr(b): b for b in printable} | {chr(256 + n): b for n, b in enumerate(rest)}
-        special = {t.content for t in self.tokenizer.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in special}
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        ranks = {bytes(byte_of[c] for c in token): i for token, i in self.tokenizer.get_vocab().items() if token not in self.special}
         self.core = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
-        if text.isascii() or SETTLED.fullmatch(text):
+        if (text.isascii() or SETTLED.fullmatch(text)) and not any(s in text for s in self.special):
             return self.core.encode_to_numpy(text, disallowed_special=()).astype("<u4").tobytes()
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
@@ -86,71 +88,108 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str =
     return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, PIECES_DDL)
 
 
-def price(weights: np.ndarray, demand: np.ndarray, capacity: int) -> list[int]:
-    """The most valuable multiset of lengths in demand that fits, by dynamic programming over capacities."""
-    value = np.where(demand[1:] > 0, weights[1:], -1.0)
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, dtype=np.int64)
+Config = tuple[tuple[int, int], ...]
+
+
+def price(value: np.ndarray, capacity: int) -> np.ndarray:
+    """For each capacity, the largest value of a multiset of lengths that fits, by dynamic programming."""
+    best = np.zeros(capacity + 1)
     for c in range(1, capacity + 1):
-        gains = best[c - 1 :: -1][:c] + value[:c]
-        i = int(gains.argmax())
-        if gains[i] > best[c - 1]:
-            best[c], pick[c] = gains[i], i + 1
-        else:
-            best[c] = best[c - 1]
-    out, c = [], capacity
-    while c > 0:
-        if pick[c]:
-            out.append(int(pick[c]))
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return out
+        best[c] = max(best[c - 1], (best[c - 1 :: -1][:c] + value[1 : c + 1]).max())
+    return best
 
 
-def fill(config: Counter, demand: np.ndarray, capacity: int) -> Counter:
-    """config without more of a length than demanded, and the freed room filled by the largest lengths that fit."""
-    config = Counter({i: min(k, int(demand[i])) for i, k in config.items() if demand[i] > 0})
-    room = capacity - sum(i * k for i, k in config.items())
+def configuration(value: np.ndarray, best: np.ndarray, free: np.ndarray, capacity: int, least: float) -> dict[int, int] | None:
+    """A multiset of lengths, each at most free[length] times, followed through the prices; None if it is worth less than `least`."""
+    room, own, worth = capacity, {}, 0.0
     while room > 0:
-        left = [i for i in np.flatnonzero(demand[1 : room + 1] > 0) + 1 if demand[i] > config[int(i)]]
-        if not left:
+        gains = np.where(free[1 : room + 1] > own_counts(own, room), value[1 : room + 1] + best[room - 1 :: -1][:room], -1.0)
+        length = int(gains.argmax()) + 1
+        if gains[length - 1] < 0 or worth + gains[length - 1] < least:
             break
-        config[int(left[-1])] += 1
-        room -= int(left[-1])
-    return config
+        own[length] = own.get(length, 0) + 1
+        worth, room = worth + value[length], room - length
+    return own if own and worth >= least else None
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = 1200, eta: float = 0.5) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(configuration as ((length, copies), ...), multiplicity)] that packs the histogram exactly."""
-    demand = np.zeros(capacity + 1, dtype=np.int64)
-    for length, n in histogram.items():
-        demand[length] += n
-    start, out = np.maximum(demand, 1).astype(float), []
-    if demand[capacity]:
-        out.append((((capacity, 1),), int(demand[capacity])))
-        demand[capacity] = 0
+def own_counts(own: dict[int, int], room: int) -> np.ndarray:
+    out = np.zeros(room)
+    for length, k in own.items():
+        if length <= room:
+            out[length - 1] = k
+    return out
+
+
+def fractional(demand: np.ndarray, capacity: int, slack: float = 0.02, eta: float = 2.0, tilt: float = 0.2, rounds: int = 300, each: int = 60) -> tuple[dict[Config, float], float]:
+    """(amount of each configuration, lower bound): the covering program min sum(x) with every length's demand met.
+
+    Weights are exp(eta * share still to cover); a round takes up to `each` configurations, none beyond half of what a length still needs. Any
+    prices y give the bound sum(demand * y) / (best price of a configuration), as the program's dual.
+    """
     share = np.arange(capacity + 1) / capacity
-    weights = share * (1 + 0.2 * share)
+    start, left, total = np.maximum(demand, 1).astype(float), demand.astype(float), float(demand.sum())
+    amounts: dict[Config, float] = {}
+    bound = float((demand * share).sum())
     for _ in range(rounds):
-        if demand.sum() == 0:
+        if left.sum() <= 0.01 * total:
             break
-        config = fill(Counter(price(weights, demand, capacity)), demand, capacity)
-        room = capacity - sum(i * k for i, k in config.items())
-        most = min(int(demand[i]) // k for i, k in config.items())
-        if room > capacity // 64 or most < 1:
-            break  # no full configuration is left: the rest is for best fit
-        times = max(1, most // 2)
-        for i, k in config.items():
-            demand[i] -= k * times
-        out.append((tuple(sorted(config.items(), reverse=True)), times))
-        left = demand / start
-        weights = share * (1 + 0.2 * share) * np.exp(eta * (left - demand.sum() / start.sum()))
-    return out + best_fit(demand, capacity)
-
-
-def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
+        value = np.where(left > 0, share * (1 + tilt * share) * np.exp(eta * (left / start - left.sum() / total)), 0.0)
+        best = price(value, capacity)
+        bound = max(bound, float((demand * value).sum() / best[capacity]))
+        budget = left / 2
+        for turn in range(each):
+            free = np.where(budget > 0, np.maximum(1, np.floor(budget)), 0)
+            own = configuration(value, best, free, capacity, (1 - slack) * best[capacity]) or (configuration(value, best, free, capacity, 0.0) if not turn else None)
+            if not own:
+                break
+            amount = min(budget[i] / k for i, k in own.items())
+            for i, k in own.items():
+                left[i] -= amount * k
+                budget[i] = budget[i] - amount * k if budget[i] - amount * k > 1e-9 * start[i] else 0.0
+                left[i] = left[i] if left[i] > 1e-6 else 0.0
+            key = tuple(sorted(own.items(), reverse=True))
+            amounts[key] = amounts.get(key, 0.0) + amount
+    return amounts, bound
+
+
+def rounded(demand: np.ndarray, amounts: dict[Config, float]) -> list[tuple[Config, int]]:
+    """Whole amounts of the configurations used most, none beyond the demand: rounded down, then the larger fractions up."""
+    left, out = demand.copy(), []
+    for up in (False, True):
+        for config, amount in sorted(amounts.items(), key=lambda item: (-item[1], item[0])):
+            want = int(amount % 1 >= 0.5) if up else int(amount)
+            times = min(want, *(int(left[i]) // k for i, k in config))
+            if times > 0:
+                for i, k in config:
+                    left[i] -= k * times
+                out.append((config, times))
+    return out
+
+
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, cuts: int = 8) -> tuple[list[tuple[Config, int]], int]:
+    """([(configuration as ((length, copies), ...), multiplicity)] that packs the histogram exactly, a bound that no packing is below)."""
+    demand = np.zeros(capacity + 1, dtype=np.int64)
+    for length, n in histogram.items():
+        demand[length] += n
+    whole = int(demand[capacity])
+    demand[capacity] = 0
+    amounts, bound = fractional(demand, capacity) if demand.any() else ({}, 0.0)
+    groups, found = rounded(demand, amounts), None
+    for part in range(cuts + 1):  # how far rounding goes: what packs into the fewest sequences
+        kept, rest = groups[: len(groups) * part // cuts], demand.copy()
+        for config, times in kept:
+            for i, k in config:
+                rest[i] -= k * times
+        packed = kept + best_fit(rest, capacity)
+        if found is None or sum(n for _, n in packed) <= sum(n for _, n in found):
+            found = packed
+    full = [(((capacity, 1),), whole)] if whole else []
+    return full + found, whole + math.ceil(bound - 1e-6)
+
+
+def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[Config, int]]:
     """Best fit decreasing on a histogram: equal bins are kept as one group with a count."""
-    open_bins: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = defaultdict(list)
+    open_bins: dict[int, list[tuple[Config, int]]] = defaultdict(list)
     done = []
     for length in range(capacity, 0, -1):
         n = int(demand[length])
@@ -178,7 +217,7 @@ def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[tuple[tuple[int, i
     return done + [x for own in open_bins.values() for x in own]
 
 
-def slots(groups: list[tuple[tuple[tuple[int, int], ...], int]]) -> dict[str, np.ndarray]:
+def slots(groups: list[tuple[Config, int]]) -> dict[str, np.ndarray]:
     """For each configuration and length: which ranks of that length it takes, and where they stand."""
     used, base, rows = Counter(), 0, []
     for config, times in groups:
@@ -196,7 +235,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = "") -> Data
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for each piece of each document."""
     pieces = materialize(tokenized_pieces(docs, capacity, tokenizer))
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
-    places = slots(solve(histogram, capacity))
+    places = slots(solve(histogram, capacity)[0])
     # rank of a piece within its length: places in its file block, and the counts of the blocks before
     block = F.xxhash64("doc_id", "piece", "start", "ids_crc32").bitwiseAND(F.lit(1023))
     dealt = pieces.withColumn("block", block)
