@@ -1,8 +1,10 @@
 """Audio features of 8-bit media: polyphase resampling, overlapped log-mel filterbanks, hysteresis energy segments.
 
 Media are RIFF/WAVE files of unsigned 8-bit mono PCM. Each is read back from its stored bytes, resampled by `up`/`down` with a
-windowed-sinc polyphase filter, framed with overlap, and turned into tensors of a fixed shape (frames, mels), each with its
-time span; the last tensor is padded with the floor value. Energy segments open above a high threshold and close below a low one.
+windowed-sinc polyphase filter (one phase for each of the `up` outputs between two inputs), framed with overlap, the last frame padded
+with silence so that every sample is in one, and turned into tensors of a fixed shape (frames, mels). They are stored as an Arrow table
+(IPC) of the fixed-shape tensor type, each with its time span; the last one is padded with the floor value. Energy segments open
+above a high threshold and close below a low one.
 
 Defined edges: a null text is empty, and its payload is 64 zero bytes. Equal media give equal features: each file is computed
 by itself, in blocks of a fixed size, so memory is bounded by one file plus one block. Extra columns are ignored.
@@ -18,24 +20,23 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of
 
 RATE, BLOCK = 16000, 1 << 18
-UP, DOWN = 1, 2
+UP, DOWN = 3, 4
 FRAME, HOP, MELS, FRAMES = 256, 128, 16, 32
 HIGH_DB, LOW_DB = 3.0, 1.0
 
 FEATURES = pa.schema([
     ("doc_id", pa.int64()), ("media", pa.binary()), ("n_bytes", pa.int64()), ("n_frames", pa.int64()),
-    ("tensors", pa.list_(pa.list_(pa.float32()))), ("tensor_start_s", pa.list_(pa.float64())), ("tensor_end_s", pa.list_(pa.float64())),
-    ("segment_start_s", pa.list_(pa.float64())), ("segment_end_s", pa.list_(pa.float64())),
+    ("tensors", pa.binary()), ("segment_start_s", pa.list_(pa.float64())), ("segment_end_s", pa.list_(pa.float64())),
 ])
 FEATURES_DDL = (
-    "doc_id long, media binary, n_bytes long, n_frames long, tensors array<array<float>>, tensor_start_s array<double>, "
-    "tensor_end_s array<double>, segment_start_s array<double>, segment_end_s array<double>"
+    "doc_id long, media binary, n_bytes long, n_frames long, tensors binary, segment_start_s array<double>, segment_end_s array<double>"
 )
 
 
@@ -107,9 +108,9 @@ def mel_filters(rate: float, frame: int = FRAME, mels: int = MELS) -> np.ndarray
 
 
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """(frames, mels) log energies and each frame's energy in dB; a signal shorter than a frame is padded to one."""
-    if len(x) < FRAME:
-        x = np.pad(x, (0, FRAME - len(x)))
+    """(frames, mels) log energies and each frame's energy in dB; silence fills the last frame."""
+    n = 1 + max(0, -(-(len(x) - FRAME) // HOP))
+    x = np.pad(x, (0, (n - 1) * HOP + FRAME - len(x)))
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
     window, filters = np.hanning(FRAME).astype(np.float32), mel_filters(rate)
     mel, db = [], []
@@ -135,10 +136,22 @@ def tensor_blocks(mel: np.ndarray) -> np.ndarray:
     return np.pad(mel, ((0, n * FRAMES - len(mel)), (0, 0)), constant_values=np.float32(np.log(1e-6))).reshape(n, FRAMES, MELS)
 
 
-def as_tensor_array(flat: list[list[float]]) -> pa.ExtensionArray:
-    """Tensors from the table's lists as one Arrow fixed-shape tensor array."""
-    values = np.asarray(flat, dtype=np.float32).reshape(-1, FRAMES, MELS)
-    return pa.FixedShapeTensorArray.from_numpy_ndarray(values)
+TENSORS = pa.schema([("tensor", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def tensors_to_bytes(tensors: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    """An Arrow IPC stream of fixed-shape tensors with their time spans."""
+    column = pa.FixedShapeTensorArray.from_numpy_ndarray(np.ascontiguousarray(tensors))
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, TENSORS) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([column, pa.array(starts), pa.array(ends)], schema=TENSORS))
+    return sink.getvalue().to_pybytes()
+
+
+def tensors_from_bytes(stored: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n, FRAMES, MELS) values, starts and ends of a stored stream."""
+    table = pa.ipc.open_stream(stored).read_all()
+    return table.column("tensor").combine_chunks().to_numpy_ndarray(), table.column("start_s").to_numpy(), table.column("end_s").to_numpy()
 
 
 def media_features(media: bytes) -> dict:
@@ -178,7 +191,7 @@ def audio_features(media: DataFrame) -> DataFrame:
                 f = [media_features(m) for m in own]
                 yield batch_of(
                     FEATURES, doc_id=part.column("doc_id"), media=own, n_bytes=part.column("n_bytes"), n_frames=[x["n_frames"] for x in f],
-                    tensors=[list(x["tensors"].reshape(len(x["tensors"]), -1)) for x in f], tensor_start_s=[x["starts"] for x in f], tensor_end_s=[x["ends"] for x in f],
+                    tensors=[tensors_to_bytes(x["tensors"], x["starts"], x["ends"]) for x in f],
                     segment_start_s=[[a for a, _ in x["spans"]] for x in f], segment_end_s=[[b for _, b in x["spans"]] for x in f],
                 )
 
@@ -195,10 +208,9 @@ def media_digests(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in schema}
-            flat = batch.column("tensors")
-            for i, (doc, n, media, frames, starts, ends) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "n_frames", "segment_start_s", "segment_end_s")))):
+            for doc, n, media, frames, stored, starts, ends in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media", "n_frames", "tensors", "segment_start_s", "segment_end_s"))):
                 payload = from_wave(media)[0]
-                tensor = np.asarray(flat[i].values.flatten().to_numpy(zero_copy_only=False), dtype="<f4").reshape(-1, MELS)[:frames]
+                tensor = tensors_from_bytes(stored)[0].astype("<f4").reshape(-1, MELS)[:frames]
                 spans = np.round(np.array([starts, ends], dtype="<f8"), 6)
                 feature = f"{frames}x{MELS}:{len(starts)}:{zlib.crc32(tensor.tobytes()):08x}:{zlib.crc32(spans.tobytes()):08x}:{tensor.mean():.2f}"
                 for name, value in zip(out, (doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature, frames, len(starts))):
