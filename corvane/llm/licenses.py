@@ -1,7 +1,7 @@
 """License scans: ordered signature rules over normalised words, in DataFrame functions only.
 
 A text becomes its lower-cased words, each with a space on either side, so a rule is a regular expression over whole words and its
-places are word numbers. Rules are gated by a keyword. Detections are intervals of words; one that lies inside another's
+places are word numbers. Rules are written by hand (signatures) and gated by a keyword. Detections are intervals of words; one that lies inside another's
 interval is suppressed unless its rule has a higher priority (equal intervals of equal priority: the rule listed first stays).
 
 Defined edges: null text is empty and has no words. Repeated rows give repeated results. Texts are scanned whole. Extra
@@ -10,95 +10,22 @@ columns are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .signatures import signatures
+
+FOLD = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Every rule's match holds one of these: texts without any of them have no detection.
 ROOTS = (
-    "licen", "copyright", "rights reserved", "public domain", "spdx", "creative commons", "hereby granted", "redistributions of source",
-    "released under", "distributed under", "available under", "published under", "provided under", "dual under",
+    "licen", "copyright", "rights reserved", "public domain", "spdx", "creative commons", "creativecommons", "permission", "redistribut", "warrant", "liab", "confidential",
+    "commercial", "use only", "third party", "misrepresented", "invariant sections", "franklin street", "change date", "acknowledgement", "terms", "may not be called", "not evil",
 )
 
-# label; name; short name ('' if it has none); version words ('' if it has none)
-FAMILIES = [
-    ("apache-2.0", "apache license", "apache", "2 0"),
-    ("apache-1.1", "apache software license", "apache", "1 1"),
-    ("mit", "mit license", "mit", ""),
-    ("mit-0", "mit no attribution license", "mit", "0"),
-    ("expat", "expat license", "expat", ""),
-    ("x11", "x11 license", "x11", ""),
-    ("isc", "isc license", "isc", ""),
-    ("bsd-2-clause", "bsd 2 clause simplified|freebsd? license", "bsd 2 clause", ""),
-    ("bsd-3-clause", "bsd 3 clause new|revised? license", "bsd 3 clause", ""),
-    ("bsd-4-clause", "bsd 4 clause original? license", "bsd 4 clause", ""),
-    ("0bsd", "zero clause bsd license", "0bsd", ""),
-    ("gpl-1.0", "gnu general public license", "gpl", "1 0?"),
-    ("gpl-2.0", "gnu general public license", "gpl", "2 0?"),
-    ("gpl-3.0", "gnu general public license", "gpl", "3 0?"),
-    ("lgpl-2.0", "gnu library general public license", "lgpl", "2 0?"),
-    ("lgpl-2.1", "gnu lesser general public license", "lgpl", "2 1"),
-    ("lgpl-3.0", "gnu lesser general public license", "lgpl", "3 0?"),
-    ("agpl-3.0", "gnu affero general public license", "agpl", "3 0?"),
-    ("gfdl-1.3", "gnu free documentation license", "gfdl", "1 3"),
-    ("mpl-1.1", "mozilla public license", "mpl", "1 1"),
-    ("mpl-2.0", "mozilla public license", "mpl", "2 0"),
-    ("epl-1.0", "eclipse public license", "epl", "1 0"),
-    ("epl-2.0", "eclipse public license", "epl", "2 0"),
-    ("cddl-1.0", "common development and distribution license", "cddl", "1 0"),
-    ("cpl-1.0", "common public license", "cpl", "1 0"),
-    ("eupl-1.2", "european union public licence|license", "eupl", "1 2"),
-    ("artistic-1.0", "artistic license", "artistic", "1 0"),
-    ("artistic-2.0", "artistic license", "artistic", "2 0"),
-    ("zlib", "zlib license", "zlib", ""),
-    ("libpng-2.0", "png reference library license", "libpng", "2 0"),
-    ("bsl-1.0", "boost software license", "bsl", "1 0"),
-    ("busl-1.1", "business source license", "busl", "1 1"),
-    ("sspl-1.0", "server side public license", "sspl", "1 0?"),
-    ("elastic-2.0", "elastic license", "elastic", "2 0"),
-    ("psf-2.0", "python software foundation license", "psf", "2 0?"),
-    ("php-3.01", "php license", "php", "3 01"),
-    ("ruby", "ruby license", "ruby", ""),
-    ("openssl", "openssl license", "openssl", ""),
-    ("ofl-1.1", "sil open font license", "ofl", "1 1"),
-    ("odbl-1.0", "open database license", "odbl", "1 0"),
-    ("unlicense", "unlicense license", "unlicense", ""),
-    ("wtfpl", "do what the fuck you want to public license", "wtfpl", ""),
-    ("ms-pl", "microsoft public license", "ms pl", ""),
-    ("ms-rl", "microsoft reciprocal license", "ms rl", ""),
-    ("postgresql", "postgresql license", "postgresql", ""),
-    ("cc0-1.0", "creative commons zero license?", "cc0", "1 0"),
-    *(
-        (f"cc-{kind.replace(' ', '-')}-{version.replace(' ', '.')}", f"creative commons {words}", f"cc {kind}", version)
-        for kind, words in (
-            ("by", "attribution"), ("by sa", "attribution share alike"), ("by nc", "attribution non commercial"), ("by nd", "attribution no derivatives"),
-            ("by nc sa", "attribution non commercial share alike"), ("by nc nd", "attribution non commercial no derivatives"),
-        )
-        for version in ("2 0", "3 0", "4 0")
-    ),
-]
-#: (form, priority, confidence, template): N the name, S the short name, V the version.
-FORMS = [
-    ("spdx", 3, 1.0, "spdx license|licence identifier S V"),
-    ("notice", 3, 0.95, "licensed|released|distributed|available|published|provided|dual under the? terms? of? the? N version? V"),
-    ("notice-short", 3, 0.95, "licensed|released|distributed|available|published|provided|dual under the? terms? of? the? S license|licence? version|v? V"),
-    ("name", 2, 0.9, "N version? V"),
-    ("grant", 2, 0.85, "license|licence|licenses|licences the? S version|v? V"),
-    ("short", 1, 0.7, "S version|v? V license|licence|licensed"),
-]
-GENERIC = [
-    ("permission-grant", 2, 0.8, "licen", "hereby grants|granted * a? license"),
-    ("mit-text", 3, 0.95, "hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("bsd-text", 3, 0.9, "redistributions", "redistributions of source code must retain the above copyright notice"),
-    ("all-rights-reserved", 1, 0.5, "rights reserved", "all rights reserved"),
-    ("copyright-notice", 1, 0.4, "copyright", "copyright c? *"),
-    ("public-domain", 2, 0.7, "public domain", "dedicated|released|placed to|into|in the? public domain"),
-    ("proprietary", 2, 0.6, "licen", "proprietary license|licence"),
-    ("commercial", 2, 0.6, "licen", "commercial license|licence"),
-    ("license-file", 1, 0.4, "licen", "see the? license|licence|licensing file|text|notice for"),
-    ("end-user", 2, 0.7, "licen", "end user license|licence agreement"),
-]
 #: The places that the contract counts.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
@@ -114,19 +41,9 @@ def pattern(words: str) -> str:
 
 
 def rules() -> list[tuple[str, str, int, float, str, str]]:
-    """(rule, label, priority, confidence, keyword, regular expression), in order of precedence."""
-    out = []
-    for label, name, short, version in FAMILIES:
-        for form, priority, confidence, template in FORMS:
-            words = [{"N": name, "S": short, "V": version}.get(w, w) for w in template.split()]
-            if version == "":
-                words = [w for w in words if w not in ("version?", "version|v?", "")]
-            if "V" not in template or version or form != "short" or short:
-                keyword = (name if "N" in template else short).split()[0]
-                out.append((f"{form}/{label}", label, priority, confidence, keyword, pattern(" ".join(w for w in words if w))))
-    for label, priority, confidence, keyword, words in GENERIC:
-        out.append((f"generic/{label}", label, priority, confidence, keyword, pattern(words)))
-    return out + [(f"base/{label}", label, 1, 0.6, "license", pattern(words)) for label, words in BASE]
+    """(rule, label, priority, confidence, keyword, regular expression), in order of precedence; the contract's phrases come last."""
+    own = [(f"{label}/{n}", label, priority, confidence, keyword, pattern(words)) for n, (label, priority, confidence, keyword, words) in enumerate(signatures())]
+    return own + [(f"base/{label}", label, 1, 0.6, "license", pattern(words)) for label, words in BASE]
 
 
 def let(value: Column, body) -> Column:
@@ -143,31 +60,52 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), SEPARATORS, " "))
 
 
-HIT = "struct<start:int,end:int,rule:int>"
+def rows_of(names: str, rows: list[tuple]) -> Column:
+    """A constant array of structs."""
+    fields = [n.split(":")[0] for n in names.split(",")]
+    return F.from_json(F.lit(json.dumps([dict(zip(fields, r)) for r in rows])), f"array<struct<{names}>>")
 
 
-def rule_hits(spaced: Column, rule: Column) -> Column:
-    """The word intervals where one rule matches."""
+def folded(items: Column, seed: Column, empty: Column, step) -> Column:
+    """The rows that step(state, item) -> (state, row) gives for all items in turn.
+
+    Rows are gathered in blocks of FOLD, since appending to an array copies it: the cost is linear for any array that a row can hold.
+    """
+
+    def inner(state: Column, block: Column) -> Column:
+        def one(acc: Column, item: Column) -> Column:
+            state, row = step(acc["state"], item)
+            return F.struct(state.alias("state"), F.array_append(acc["rows"], row).alias("rows"))
 
-    def places(z: Column) -> Column:
-        n_match, n_gap = F.transform(z["m"], word_count), F.transform(z["p"], word_count)
-        seed = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{HIT}>").alias("hits"))
+        return F.aggregate(block, F.struct(state.alias("state"), empty.alias("rows")), one)
 
-        def step(acc: Column, pair: Column) -> Column:
-            start = acc["at"] + pair["g"]
-            hit = F.struct(start.alias("start"), (start + pair["w"]).alias("end"), rule["n"].alias("rule"))
-            return F.struct((start + pair["w"]).alias("at"), F.array_append(acc["hits"], hit).alias("hits"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(items) / FOLD).cast("int") - 1, F.lit(0))), lambda i: F.slice(items, i * FOLD + 1, FOLD))
+    start = F.struct(seed.alias("state"), F.slice(F.array(empty), 1, 0).alias("blocks"))
+    added = lambda acc, block: let(inner(acc["state"], block), lambda made: F.struct(made["state"].alias("state"), F.array_append(acc["blocks"], made["rows"]).alias("blocks")))
+    return F.flatten(F.aggregate(blocks, start, added)["blocks"])
+
+
+HIT = "struct<start:int,end:int,rule:int>"
+
+
+def rule_hits(spaced: Column, rule: Column) -> Column:
+    """The word intervals where one rule matches: a mark is put before each match, and is a word of its own that tells its place."""
+    none = F.array().cast(f"array<{HIT}>")
 
-        return F.aggregate(F.zip_with(n_match, F.slice(n_gap, 1, F.size(n_match)), lambda w, g: F.struct(w.alias("w"), g.alias("g"))), seed, step)["hits"]
+    def places(found: Column) -> Column:
+        words = F.split(F.trim(F.regexp_replace(spaced, rule["pattern"], F.lit("\x01$0"))), " +")
+        marks = F.filter(F.transform(words, lambda w, i: F.when(w == "\x01", i)), lambda i: i.isNotNull())
+        starts = F.transform(marks, lambda i, n: i - n)
+        return F.zip_with(starts, found, lambda a, m: F.struct(a.alias("start"), (a + word_count(m)).alias("end"), rule["n"].alias("rule")))
 
-    return let(F.struct(F.regexp_extract_all(spaced, rule["pattern"], F.lit(0)).alias("m"), F.split(spaced, rule["pattern"], -1).alias("p")), places)
+    return let(F.regexp_extract_all(spaced, rule["pattern"], F.lit(0)), lambda found: F.when(F.size(found) > 0, places(found)).otherwise(none))
 
 
 def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns, n_words, and detections array<struct<rule, label, priority, confidence, start, end, kept>> by place."""
     table = rules()
-    gated = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(k).alias("keyword"), F.lit(p).alias("pattern")) for n, (*_, k, p) in enumerate(table)))
-    about = F.array(*(F.struct(F.lit(r).alias("rule"), F.lit(label).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence")) for r, label, p, c, *_ in table))
+    gated = rows_of("n:int,keyword:string,pattern:string", [(n, k, p) for n, (*_, k, p) in enumerate(table)])
+    about = rows_of("rule:string,label:string,priority:int,confidence:double", [r[:4] for r in table])
     words = normalised(F.col(text))
     rows = docs.select(*keep, words.alias("_words"))
     rows = rows.withColumn("n_words", F.when(F.col("_words") == "", 0).otherwise(F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit(""))) + 1).cast("long"))
@@ -175,7 +113,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     for root in ROOTS:
         likely = likely | F.contains("_words", F.lit(root))
     spaced = F.concat(F.lit(" "), F.replace(F.col("_words"), F.lit(" "), F.lit("  ")), F.lit(" "))
-    found = let(spaced, lambda s: F.flatten(F.transform(F.filter(gated, lambda r: F.contains(F.replace(s, F.lit("  "), F.lit(" ")), r["keyword"])), lambda r: rule_hits(s, r))))
+    found = let(spaced, lambda s: F.flatten(F.transform(F.filter(gated, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: rule_hits(s, r))))
     rows = rows.withColumn("_hits", F.when(likely, found).otherwise(F.array().cast(f"array<{HIT}>")))
 
     def full(h: Column) -> Column:
@@ -183,18 +121,18 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
         return F.struct(h["start"].alias("start"), (-h["end"]).alias("last"), (-a["priority"]).alias("rank"), h["rule"].alias("n"), a["rule"].alias("rule"), a["label"].alias("label"), a["confidence"].alias("confidence"))
 
     shape = "struct<rule:string,label:string,priority:int,confidence:double,start:int,end:int,kept:boolean>"
-    seed = F.struct(F.lit(0).alias("e1"), F.lit(0).alias("e2"), F.lit(0).alias("e3"), F.array().cast(f"array<{shape}>").alias("out"))
+    none = F.array().cast(f"array<{shape}>")
 
-    def sweep(acc: Column, d: Column) -> Column:
+    def sweep(ends: Column, d: Column) -> tuple[Column, Column]:
         """By start, then longest, highest, first: what an earlier interval of equal or higher priority reaches over is suppressed."""
         end, priority = -d["last"], -d["rank"]
-        reach = F.greatest(F.when(priority <= 1, acc["e1"]).otherwise(0), F.when(priority <= 2, acc["e2"]).otherwise(0), acc["e3"])
+        reach = F.greatest(F.when(priority <= 1, ends["e1"]).otherwise(0), F.when(priority <= 2, ends["e2"]).otherwise(0), ends["e3"])
         row = F.struct(d["rule"].alias("rule"), d["label"].alias("label"), priority.alias("priority"), d["confidence"].alias("confidence"), d["start"].alias("start"), end.alias("end"), (reach < end).alias("kept"))
-        grown = {p: F.when(priority == p, F.greatest(acc[f"e{p}"], end)).otherwise(acc[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3)}
-        return F.struct(grown[1], grown[2], grown[3], F.array_append(acc["out"], row).alias("out"))
+        return F.struct(*(F.when(priority == p, F.greatest(ends[f"e{p}"], end)).otherwise(ends[f"e{p}"]).alias(f"e{p}") for p in (1, 2, 3))), row
 
     ordered = F.array_sort(F.transform("_hits", full))
-    swept = F.when(F.size("_hits") == 0, seed["out"]).otherwise(F.aggregate(ordered, seed, sweep)["out"])
+    zero = F.struct(*(F.lit(0).alias(f"e{p}") for p in (1, 2, 3)))
+    swept = F.when(F.size("_hits") == 0, none).otherwise(let(ordered, lambda hits: folded(hits, zero, none, sweep)))
     return rows.select(*keep, "n_words", swept.alias("detections"))
 
 
