@@ -1,7 +1,7 @@
 """SentencePiece encoding and decoding with a batched numpy Viterbi.
 
-Words of equal length form one matrix and advance together: at each end position, the hashes of all substrings that end there probe
-the sorted hashes of pieces, and a vectorised maximum over the admissible pieces stores score and backpointer.
+Words of equal length form one matrix and advance together: the hashes of all their substrings probe the sorted hashes of pieces, and at
+each end position a vectorised maximum over the admissible pieces that end there stores the best one and its backpointer.
 
 The public model is of the BPE kind: a path is right if merging by piece scores would give it, not if its score is largest.
 So a transition is admissible only if merging the two adjoining pieces' characters alone gives back the two pieces; exactly
@@ -172,45 +172,46 @@ class Pieces:
             self.known_pairs[slot[new]], self.known[slot[new]] = key[new], found[where]
         return out
 
+    def matches(self, chars: np.ndarray) -> tuple[np.ndarray, ...]:
+        """end, row, piece, size of every substring that is a piece, by end and then piece; and which characters are pieces (length, row)."""
+        prefix, (n, length) = np.ascontiguousarray(self.prefix_hashes(chars).T), chars.shape
+        found, single = [], np.zeros((length, n), dtype=bool)
+        for size in range(1, min(length, self.longest) + 1):
+            hashes, own = self.by_length[size]
+            if not len(own):
+                continue
+            probe = (prefix[size:] - prefix[: length + 1 - size] * self.power[size]).ravel()
+            at = np.flatnonzero(self.sieve[size][(probe >> np.uint64(44)).view(np.int64)])
+            near = np.minimum(np.searchsorted(hashes, probe[at]), len(hashes) - 1)
+            hit = hashes[near] == probe[at]
+            at, near = at[hit], near[hit]
+            if size == 1:
+                single.ravel()[at] = True
+            found.append((at // n + size, at % n, own[near], np.full(len(at), size)))
+        end, row, piece, size = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64) for _ in range(4))
+        by = np.lexsort((piece, end))
+        return end[by], row[by], piece[by], size[by], single
+
     def viterbi(self, words: list[str], length: int) -> list[bytes]:
         """Ids, as little-endian uint32 bytes, of words of one length."""
-        chars = self.matrix(words, length)
-        prefix, n = np.ascontiguousarray(self.prefix_hashes(chars).T), len(words)
+        n = len(words)
+        end_of, rows, pieces, sizes, single = self.matches(self.matrix(words, length))
+        at = np.searchsorted(end_of, np.arange(length + 2)).tolist()
         last = np.full((length + 1, n), -1, dtype=np.int64)  # piece that ends here; -2: a character without a piece
         back = np.zeros((length + 1, n), dtype=np.int64)
         last[0] = -2
         for end in range(1, length + 1):
-            best = np.full(n, -1, dtype=np.int64)
-            for size in range(1, min(end, self.longest) + 1):
-                hashes, own = self.by_length[size]
-                if not len(own):
-                    continue
-                probe = prefix[end] - prefix[end - size] * self.power[size]
-                row = np.flatnonzero(self.sieve[size][(probe >> np.uint64(44)).view(np.int64)])
-                if not len(row):
-                    continue
-                probe = probe[row]
-                at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                hit = (hashes[at] == probe) & (last[end - size, row] != -1)
-                row, at = row[hit], at[hit]
-                if not len(row):
-                    continue
-                piece, before = own[at], last[end - size, row]
-                fine = np.ones(len(row), dtype=bool)
-                inner = np.flatnonzero(before >= 0)
+            part = slice(at[end], at[end + 1])
+            row, piece, size = rows[part], pieces[part], sizes[part]
+            before = last[end - size, row]
+            fine = before != -1
+            inner = np.flatnonzero(before >= 0)
+            if len(inner):
                 fine[inner] = self.adjoin(before[inner], piece[inner])
-                row, piece = row[fine], piece[fine]
-                better = piece > best[row]
-                row, piece = row[better], piece[better]
-                best[row], back[end, row] = piece, size
-            bare = np.flatnonzero(best < 0)
-            if len(bare):  # a character without a piece stands alone
-                hashes, own = self.by_length[1]
-                probe = prefix[end, bare] - prefix[end - 1, bare] * self.power[1]
-                at = np.minimum(np.searchsorted(hashes, probe), len(hashes) - 1)
-                bare = bare[hashes[at] != probe]
-                best[bare], back[end, bare] = -2, 1
-            last[end] = best
+            row = row[fine]
+            last[end, row], back[end, row] = piece[fine], size[fine]  # by piece: the largest of a row is stored last and stays
+            bare = np.flatnonzero((last[end] == -1) & ~single[end - 1])  # a character without a piece stands alone
+            last[end, bare], back[end, bare] = -2, 1
         return self.paths(words, last, back, length)
 
     def paths(self, words: list[str], last: np.ndarray, back: np.ndarray, length: int) -> list[bytes]:
