@@ -50,11 +50,14 @@ def corpus():
     texts = [None, "", "short", "x" * 700, "ab" * 300, "x" * 120, shared[0], shared[0], shared[1] + shared[1]]
     for _ in range(60):
         texts.append(make(rng.randint(5, 80)) + rng.choice(shared)[rng.randint(0, 20) :] + make(rng.randint(0, 60)))
+    hot = make(60)
+    texts += [make(3) + hot[: rng.choice([90, 200, 400])] + make(2) for _ in range(80)]
     return [(i * 3, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("how", [{}, {"cell": 3}, {"chunk": 1}])
+@pytest.mark.parametrize("how", [{}, {"cell": 3}, {"cell": 0}, {"chunk": 1}])
 def test_digests(spark, how):
+    """The hot passage stands in most documents, so its copies reach over the borders of ranges."""
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(tuple(r) for r in suffixes.suffix_digests(docs, **how).collect())
