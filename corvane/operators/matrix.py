@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,23 +62,39 @@ def listwise(rows: DataFrame, entity: str = "entity") -> DataFrame:
     return rows.join(rows.where("value is null").select(entity).distinct(), entity, "left_anti")
 
 
-def impute_neighbours(rows: DataFrame, k: int = 5, group: str = "grp") -> DataFrame:
-    """Missing cells from the mean of the k nearest entities of the same group that have the indicator.
+def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+    """Missing cells from the mean of the k nearest entities of all that have the indicator; ties to the smaller entity.
 
-    Distance is over shared indicators, z-scored, scaled up for missing ones. Only pairs within a group where one side lacks
-    a cell are made. Cells that no neighbour fills take the indicator's median.
+    Distance is over shared indicators, z-scored, scaled up for missing ones. The entities that lack a cell are the queries: they meet all others
+    in blocks of about `block_rows`, each of which gives its k nearest for every missing cell, and the k nearest of those stay. Cells that
+    no neighbour fills take the indicator's median.
     """
-    stats = rows.groupBy("indicator").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    z = rows.join(stats, "indicator").withColumn("z", (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
-    lacking = z.where("value is null").select("entity").distinct()
-    one = z.where("z is not null").join(lacking, "entity", "left_semi").select(group, "indicator", "entity", "z")
-    two = z.where("z is not null").select(group, "indicator", F.col("entity").alias("donor"), F.col("z").alias("z2"))
-    p = rows.select("indicator").distinct().agg(F.count(F.lit(1)).alias("p"))
-    pairs = one.join(two, [group, "indicator"]).where("entity <> donor").groupBy("entity", "donor")
-    near = pairs.agg((F.sum(F.pow(F.col("z") - F.col("z2"), 2)) / F.count(F.lit(1))).alias("d")).withColumn("d", F.sqrt(F.col("d") * p.scalar()))
-    gaps = rows.where("value is null").select("entity", "indicator")
-    donors = gaps.join(near, "entity").join(rows.select(F.col("entity").alias("donor"), "indicator", F.col("value").alias("given")), ["donor", "indicator"]).where("given is not null")
-    best = donors.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "indicator").orderBy("d", "donor"))).where(F.col("_r") <= k)
+    known = rows.groupBy("indicator").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
+    names = sorted(r["indicator"] for r in known.select("indicator").collect())  # the matrix's columns
+    z = rows.join(known, "indicator").withColumn("z", (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
+    wide = z.groupBy("entity").pivot("indicator", names).agg(F.first("z").alias("z"), F.first("value").alias("v"))
+    flat = wide.select("entity", F.array(*(F.coalesce(f"{c}_z", F.lit(float("nan"))) for c in names)).alias("z"), F.array(*(F.coalesce(f"{c}_v", F.lit(float("nan"))) for c in names)).alias("v"))
+    blocks = max(1, -(-flat.count() // block_rows))
+    donors = flat.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    lacking = flat.where(F.exists("v", lambda x: F.isnan(x))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+
+    def nearest(part: pd.DataFrame) -> pd.DataFrame:
+        asks, own = part[part.asks], part[~part.asks].sort_values("entity")
+        out = []
+        if len(asks) and len(own):
+            dz, dv, ids = np.stack(own.z), np.stack(own.v), own.entity.to_numpy()
+            for entity, q, v in zip(asks.entity, np.stack(asks.z), np.stack(asks.v)):
+                apart = (dz - q) ** 2
+                n = (~np.isnan(apart)).sum(axis=1)
+                d = np.where((n > 0) & (ids != entity), np.sqrt(np.nansum(apart, axis=1) / np.maximum(n, 1) * len(names)), np.inf)
+                for j in np.flatnonzero(np.isnan(v)):
+                    fit = np.flatnonzero(~np.isnan(dv[:, j]) & np.isfinite(d))
+                    best = fit[np.argsort(d[fit], kind="stable")[:k]]
+                    out += [(entity, names[j], float(d[i]), int(ids[i]), float(dv[i, j])) for i in best]
+        return pd.DataFrame(out, columns=["entity", "indicator", "d", "donor", "given"]).astype({"entity": "int64", "donor": "int64"})
+
+    near = donors.unionByName(lacking).groupBy("block").applyInPandas(nearest, "entity long, indicator string, d double, donor long, given double")
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "indicator").orderBy("d", "donor"))).where(F.col("_r") <= k)
     filled = best.groupBy("entity", "indicator").agg(F.avg("given").alias("_k"))
     medians = rows.groupBy("indicator").agg(F.median("value").alias("_n"))
     out = rows.join(filled, ["entity", "indicator"], "left").join(medians, "indicator")

@@ -42,6 +42,13 @@ def ols(rows: DataFrame, y: str, x: str) -> DataFrame:
     return rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
 
 
+def residuals(rows: DataFrame, y: str, x: str) -> DataFrame:
+    """rows that have both, with `residual` of the line through them."""
+    both = rows.where(F.col(y).isNotNull() & F.col(x).isNotNull())
+    line = both.agg(F.struct(F.regr_slope(y, x).alias("b"), F.regr_intercept(y, x).alias("a"))).scalar()
+    return both.withColumn("_line", line).withColumn("residual", F.col(y) - F.col("_line.a") - F.col("_line.b") * F.col(x)).drop("_line")
+
+
 def cronbach(rows: DataFrame, tree: DataFrame) -> DataFrame:
     """pillar, alpha, k: of z-scored items, signed by direction, over entities that have all of the pillar's items."""
     stats = rows.groupBy("indicator").agg(F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))

@@ -70,7 +70,7 @@ def impute_listwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(KEPT + """, st AS (SELECT indicator, avg(value) AS m, CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END AS s FROM kept GROUP BY 1),
 z AS (SELECT entity, grp, indicator, (value - m) / s AS z FROM kept JOIN st USING (indicator) WHERE value IS NOT NULL),
 lack AS (SELECT DISTINCT entity FROM kept WHERE value IS NULL), p AS (SELECT count(DISTINCT indicator) AS p FROM kept),
-near AS (SELECT a.entity, b.entity AS donor, sqrt(sum(pow(a.z - b.z, 2)) / count(*) * (SELECT p FROM p)) AS d FROM z a JOIN lack USING (entity) JOIN z b ON a.grp = b.grp AND a.indicator = b.indicator AND a.entity <> b.entity GROUP BY ALL),
+near AS (SELECT a.entity, b.entity AS donor, sqrt(sum(pow(a.z - b.z, 2)) / count(*) * (SELECT p FROM p)) AS d FROM z a JOIN lack USING (entity) JOIN z b ON a.indicator = b.indicator AND a.entity <> b.entity GROUP BY ALL),
 best AS (SELECT g.entity, g.indicator, k.value, row_number() OVER (PARTITION BY g.entity, g.indicator ORDER BY d, donor) AS r FROM kept g JOIN near n USING (entity) JOIN kept k ON k.entity = n.donor AND k.indicator = g.indicator WHERE g.value IS NULL AND k.value IS NOT NULL),
 fill AS (SELECT entity, indicator, avg(value) AS k FROM best WHERE r <= 5 GROUP BY ALL), md AS (SELECT indicator, median(value) AS m FROM kept GROUP BY 1)
 SELECT entity, indicator, round(coalesce(value, k, m), 6) AS value FROM kept LEFT JOIN fill USING (entity, indicator) JOIN md USING (indicator)""")
@@ -193,13 +193,13 @@ def v1_weighted_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LONG + """, m AS (SELECT indicator, avg(value) AS mu, count(value) AS n FROM long GROUP BY 1),
 k AS (SELECT indicator, avg(pow(value - mu, 3)) / pow(avg(pow(value - mu, 2)), 1.5) AS skew, avg(pow(value - mu, 4)) / pow(avg(pow(value - mu, 2)), 2) - 3 AS kurt, quantile_cont(value, 0.025) AS lo, quantile_cont(value, 0.975) AS hi FROM long JOIN m USING (indicator) WHERE value IS NOT NULL GROUP BY 1)
-SELECT entity, indicator, round(CASE WHEN abs(skew) > 1 OR kurt > 1 THEN greatest(least(value, hi), lo) ELSE value END, 6) AS value FROM long JOIN k USING (indicator) WHERE value IS NOT NULL""")
+SELECT entity, indicator, round(CASE WHEN abs(skew) > 2 AND kurt > 3.5 THEN greatest(least(value, hi), lo) ELSE value END, 6) AS value FROM long JOIN k USING (indicator) WHERE value IS NOT NULL""")
 def winsorize_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators with heavy tails are cut back to their 2.5 and 97.5 percentiles."""
     rows = long_features(spark, sf_dir).where("value is not null")
     shape = rows.groupBy("indicator").agg(F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     out = rows.join(shape, "indicator")
-    heavy = (F.abs("skew") > 1) | (F.col("kurt") > 1)
+    heavy = (F.abs("skew") > 2) & (F.col("kurt") > 3.5)
     cut = F.greatest(F.least("value", F.col("q")[1]), F.col("q")[0])
     return rounded(out.select("entity", "indicator", F.when(heavy, cut).otherwise(F.col("value")).alias("value")), "value")
 
@@ -217,13 +217,12 @@ def entropy_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(PILLAR + """, w AS (SELECT entity, max(CASE WHEN pillar = 'returns' THEN score END) AS returns, max(CASE WHEN pillar = 'pricing' THEN score END) AS pricing, max(CASE WHEN pillar = 'demand' THEN score END) AS demand FROM pil GROUP BY 1)
-SELECT entity, CASE WHEN returns >= pricing AND returns >= demand THEN 'returns' WHEN pricing >= demand THEN 'pricing' ELSE 'demand' END AS best,
-  CASE WHEN demand <= pricing AND demand <= returns AND NOT (demand = pricing AND false) THEN 'demand' WHEN pricing <= returns THEN 'pricing' ELSE 'returns' END AS worst FROM w""")
+SELECT entity, o[1].p AS best, o[2].p AS second, o[3].p AS worst FROM (SELECT entity, list_sort([{'v': -round(returns, 9), 'i': 0, 'p': 'returns'}, {'v': -round(pricing, 9), 'i': 1, 'p': 'pricing'}, {'v': -round(demand, 9), 'i': 2, 'p': 'demand'}]) AS o FROM w)""")
 def within_row_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best and worst pillar of each entity; ties go to the earlier pillar for the best, the later one for the worst."""
+    """The two best pillars and the worst one of each entity; ties in pillar order."""
     wide = matrix.pillars(imputed(spark, sf_dir), tree(spark)).groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score"))
     ordered = F.array_sort(F.array(*(F.struct((-F.round(p, 9)).alias("v"), F.lit(i).alias("i"), F.lit(p).alias("p")) for i, p in enumerate(PILLARS))))
-    return wide.withColumn("o", ordered).select("entity", F.col("o")[0]["p"].alias("best"), F.element_at("o", -1)["p"].alias("worst"))
+    return wide.withColumn("o", ordered).select("entity", F.col("o")[0]["p"].alias("best"), F.col("o")[1]["p"].alias("second"), F.element_at("o", -1)["p"].alias("worst"))
 
 
 @query(LONG + """ SELECT indicator, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 6) AS lo, round(median(value), 5) AS med, round(max(value), 6) AS hi FROM long GROUP BY 1""")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
@@ -16,7 +17,7 @@ from ..operators import ranks
 from ..sources import readers
 from ..streaming import jobs
 from .base import INDEX, INDICATORS, features, query, table
-from .index import ranked
+from .index import _RANKED, ranked
 
 
 @query(r"""WITH p AS (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)) AS c FROM pages)
@@ -56,19 +57,31 @@ def in_pages(orders: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
 @query("SELECT 'orders' AS source, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as pages and read back from all of them."""
-    folder = tempfile.mkdtemp(prefix="pages-") if not spark.conf.get("spark.checkpoint.dir", None) else f"{spark.conf.get('spark.checkpoint.dir')}/pages-{abs(hash(sf_dir))}"
-    in_pages(table(spark, sf_dir, "orders")).select("result").write.mode("overwrite").json(folder)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = f"{shared or tempfile.mkdtemp(prefix='corvane-')}/pages-{uuid.uuid4().hex}"
+    in_pages(table(spark, sf_dir, "orders")).select("result").write.json(folder)
     from pyspark.sql import types as T
 
     back = readers.paged_records(spark, folder, T.StructType.fromDDL("key string, price string"), one_a_file=False)
     return back.agg(F.lit("orders").alias("source"), F.count(F.lit(1)).alias("n"), F.round(F.sum(C.number("price")), 2).alias("total"))
 
 
-@query("SELECT doc_id, len(list_distinct(regexp_extract_all(text, '[0-9][0-9,]*'))) > 0 AS has_numbers FROM documents")
+_SAID = """WITH o AS (SELECT o_custkey AS id, count(*) AS n, CAST(floor(max(o_totalprice)) AS BIGINT) AS top FROM orders GROUP BY 1),
+t AS (SELECT id, n, top, CASE WHEN id % 3 = 0 THEN 'Customer ' || id || ' has ' || n || ' orders.' WHEN id % 3 = 1 THEN 'Customer ' || id || ' has ' || n || ' orders of up to ' || top || ', 12,345 in all.' ELSE 'Customer ' || id || ' has ' || n || ' orders of up to ' || top || '.' END AS said FROM o),
+f AS (SELECT *, list_distinct([id, n, top]) AS facts, list_distinct(list_transform(regexp_extract_all(said, '[0-9][0-9,]*'), lambda x: CAST(replace(x, ',', '') AS BIGINT))) AS named FROM t)"""
+
+
+@query(_SAID + " SELECT id, list_has_all(named, facts) AS complete, list_has_all(facts, named) AS nothing_else FROM f")
 def numeric_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a text names numbers at all; the operator lists them."""
-    found = F.regexp_extract_all("text", F.lit(r"\d[\d,]*"), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.size(found) > 0).alias("has_numbers"))
+    """Whether a text names all of its facts and no other number; some of these texts leave one out, some add one."""
+    rows = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.count(F.lit(1)).alias("n"), F.floor(F.max("o_totalprice")).cast("long").alias("top"))
+    short, long = F.format_string("Customer %d has %d orders.", "id", "n"), F.format_string("Customer %d has %d orders of up to %d.", "id", "n", "top")
+    more = F.format_string("Customer %d has %d orders of up to %d, 12,345 in all.", "id", "n", "top")
+    said = F.when(F.col("id") % 3 == 0, short).when(F.col("id") % 3 == 1, more).otherwise(long)
+    rows = rows.withColumn("named", C.numbers_in(said)).withColumn("facts", F.array("id", "n", "top"))
+    return rows.select("id", (F.size(F.array_except("facts", "named")) == 0).alias("complete"), (F.size(F.array_except("named", "facts")) == 0).alias("nothing_else"))
 
 
 @query(INDEX + """, t AS (SELECT entity, 'Entity ' || entity || ' scores ' || CAST(CAST(floor(overall) AS BIGINT) AS VARCHAR) || ' of 100 with size ' || CAST(CAST(floor(size) AS BIGINT) AS VARCHAR) || '.' AS brief, [CAST(entity AS BIGINT), CAST(floor(overall) AS BIGINT), 100, CAST(floor(size) AS BIGINT)] AS facts FROM score)
@@ -85,13 +98,13 @@ def template_brief(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("entity", "brief", faithful.alias("faithful"))
 
 
-_VOTES = """WITH v AS (SELECT user_id AS item, event_type AS target FROM events WHERE event_id % 4 < 3), c AS (SELECT item, target, count(*) AS n FROM v GROUP BY ALL)"""
+_VOTES = """WITH v AS (SELECT user_id AS item, event_type AS target FROM events), c AS (SELECT item, target, count(*) AS n FROM v GROUP BY ALL)"""
 
 
 @query(_VOTES + " SELECT item, CASE WHEN max(n) >= 2 THEN arg_max(target, (n, target)) END AS decision, max(n) AS agreement FROM c GROUP BY 1")
 def majority_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The target that two voters or more name; ties to the last by name."""
-    votes = table(spark, sf_dir, "events").where("event_id % 4 < 3").groupBy(F.col("user_id").alias("item"), F.col("event_type").alias("target")).agg(F.count(F.lit(1)).alias("n"))
+    votes = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("item"), F.col("event_type").alias("target")).agg(F.count(F.lit(1)).alias("n"))
     best = votes.groupBy("item").agg(F.max(F.struct("n", "target")).alias("b"))
     return best.select("item", F.when(F.col("b.n") >= 2, F.col("b.target")).alias("decision"), F.col("b.n").alias("agreement"))
 
@@ -131,10 +144,18 @@ def manifest_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.substring(F.sha2(F.concat_ws("|", "n_name", F.col("n_regionkey").cast("string")), 256), 1, 16).alias("content_hash"))
 
 
+@query(_RANKED + " SELECT g.entity, rank_overall AS rank, tier, g.growth_gap, CAST(" + " + ".join(f"CASE WHEN round(f.{i}, 4) > 0 THEN 1 ELSE 0 END" for i in INDICATORS) + " AS BIGINT) AS indicators, round(f.quantity, 4) AS quantity FROM gap g JOIN feat f USING (entity)")
+def published(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents read back: what a consumer finds in them."""
+    doc = F.from_json("document", "rank bigint, tier string, growth_gap double, indicators map<string,double>")
+    rows = publish_documents(spark, sf_dir).select("entity", doc.alias("d"))
+    return rows.select("entity", "d.rank", "d.tier", "d.growth_gap", F.size("d.indicators").cast("long").alias("indicators"), F.try_element_at("d.indicators", F.lit("quantity")).alias("quantity"))
+
+
 @query()
 def publish_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nested documents: scores, rank, outlook and indicators above zero as a map."""
-    rows = ranked(spark, sf_dir).join(features(spark, sf_dir).select("entity", *INDICATORS), "entity")
+    rows = ranked(spark, sf_dir).drop("grp", "spend", "delta").join(features(spark, sf_dir).select("entity", *INDICATORS), "entity")
     cells = F.map_filter(F.map_from_arrays(F.array(*(F.lit(i) for i in INDICATORS)), F.array(*(F.round(i, 4) for i in INDICATORS))), lambda k, v: v > 0)
     return rows.select("entity", F.to_json(F.struct(F.struct("overall", "size", "quality").alias("scores"), F.col("rank_overall").alias("rank"), "tier", "growth_gap", cells.alias("indicators"))).alias("document"))
 

@@ -90,11 +90,11 @@ def fold_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT coalesce(c_custkey, o_custkey) AS code, c_name AS name, c_custkey IS NOT NULL AS in_customer, o_custkey IS NOT NULL AS in_orders FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_custkey % 2 = 0) ON c_custkey = o_custkey")
+@query("SELECT coalesce(c_custkey, o_custkey) AS code, c_name AS name, c_custkey IS NOT NULL AS in_customer, o_custkey IS NOT NULL AS in_orders FROM (SELECT * FROM customer WHERE c_acctbal > 0) FULL JOIN (SELECT DISTINCT o_custkey FROM orders WHERE o_orderstatus = 'P') ON c_custkey = o_custkey")
 def spine_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The spine of two sources that each lack codes of the other, with flags."""
-    a = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select("c_custkey", "c_name")
-    b = table(spark, sf_dir, "orders").where("o_custkey % 2 = 0").select("o_custkey").distinct()
+    a = table(spark, sf_dir, "customer").where("c_acctbal > 0").select("c_custkey", "c_name")
+    b = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select("o_custkey").distinct()
     both = a.join(b, F.col("c_custkey") == F.col("o_custkey"), "full_outer")
     return both.select(F.coalesce("c_custkey", "o_custkey").alias("code"), F.col("c_name").alias("name"), F.col("c_custkey").isNotNull().alias("in_customer"), F.col("o_custkey").isNotNull().alias("in_orders"))
 
@@ -151,13 +151,15 @@ def unique_target_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.min("c_custkey").alias("code")).where("n = 1").drop("n")
 
 
-_A = "(SELECT c_custkey AS id, c_acctbal AS v FROM customer WHERE c_custkey % 5 <> 0)"
-_B = "(SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN c_acctbal + 1 ELSE c_acctbal END AS v FROM customer WHERE c_custkey % 6 <> 0)"
+#: Two states of the customers: what was ordered for at most in 1996, and since.
+_A = "(SELECT o_custkey AS id, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) = 1996 GROUP BY 1)"
+_B = "(SELECT o_custkey AS id, max(o_totalprice) AS v FROM orders WHERE year(o_orderdate) BETWEEN 1996 AND 1998 GROUP BY 1 HAVING max(year(o_orderdate)) > 1996)"
 
 
 def _two(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("v"))
-    return rows.where("id % 5 <> 0"), rows.where("id % 6 <> 0").withColumn("v", F.when(F.col("id") % 7 == 0, F.col("v") + 1).otherwise(F.col("v")))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.col("o_totalprice").alias("v"), F.year("o_orderdate").alias("y"))
+    old = rows.where("y = 1996").groupBy("id").agg(F.max("v").alias("v"))
+    return old, rows.where("y between 1996 and 1998").groupBy("id").agg(F.max("v").alias("v"), F.max("y").alias("y")).where("y > 1996").drop("y")
 
 
 @query(f"SELECT coalesce(a.id, b.id) AS id, CASE WHEN a.id IS NULL THEN 'NEW' WHEN b.id IS NULL THEN 'MISSING' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'OK' ELSE 'CHANGED' END AS state FROM {_A} a FULL JOIN {_B} b ON a.id = b.id")
@@ -243,10 +245,11 @@ def nearest_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("block", "label", "b.d", "b.code")
 
 
-@query("SELECT '' AS block, '' AS alias, CAST(0 AS BIGINT) AS code WHERE false")
+@query(f"WITH spine AS (SELECT p_brand AS block, {_NORM.format('p_name')} AS nname, min(p_partkey) AS code FROM part GROUP BY ALL) SELECT p_brand AS block, p_name AS alias, p_partkey AS code FROM part WHERE p_partkey NOT IN (SELECT code FROM spine)")
 def alias_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Alias targets that the spine lacks: none."""
-    _, spine, aliases = _labels(spark, sf_dir)
+    """Alias targets that the spine lacks: every part is an alias here, and those that do not stand for their name are missing from the spine."""
+    _, spine, _ = _labels(spark, sf_dir)
+    aliases = table(spark, sf_dir, "part").select(F.col("p_brand").alias("block"), F.col("p_name").alias("alias"), F.array("p_partkey").alias("targets"))
     return R.missing_targets(aliases, spine)
 
 

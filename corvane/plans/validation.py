@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -156,7 +158,7 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # resampling: draws are rows, never a driver loop
-DRAWS = 40
+DRAWS = 300
 
 
 def draw_weight(draw: int, pillar: int) -> float:
@@ -164,20 +166,18 @@ def draw_weight(draw: int, pillar: int) -> float:
     return 0.75 + ((draw * 7919 + pillar * 104729) % 1000) / 2000
 
 
-_DRAWS = ", draws AS (SELECT d.draw, p.pillar, b * (0.75 + ((d.draw * 7919 + p.i * 104729) % 1000) / 2000.0) AS w FROM (SELECT unnest(range(40)) AS draw) d, (VALUES ('returns', 0, 0.5), ('pricing', 1, 0.3), ('demand', 2, 0.2)) p(pillar, i, b))"
+_DRAWS = ", draws AS (SELECT d.draw, p.pillar, b * (0.75 + ((d.draw * 7919 + p.i * 104729) % 1000) / 2000.0) AS w FROM (SELECT unnest(range(300)) AS draw) d, (VALUES ('returns', 0, 0.5), ('pricing', 1, 0.3), ('demand', 2, 0.2)) p(pillar, i, b))"
 _MC = PILLAR + _DRAWS + """, mc AS (SELECT draw, entity, round(sum(w * score) / sum(w), 9) AS s FROM pil JOIN draws USING (pillar) GROUP BY ALL),
 mr AS (SELECT draw, entity, CAST(row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS BIGINT) AS r FROM mc)"""
 
 
-def _draws(spark: SparkSession) -> DataFrame:
-    rows = [(d, p, {"returns": 0.5, "pricing": 0.3, "demand": 0.2}[p] * draw_weight(d, i)) for d in range(DRAWS) for i, p in enumerate(PILLARS)]
-    return spark.createDataFrame(rows, "draw int, pillar string, w double")
-
-
 def _mc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """draw, entity, r: pillars are normalised once; a draw only weighs them anew."""
-    pillars = matrix.pillars(imputed(spark, sf_dir), tree(spark)).select("entity", "pillar", "score")
-    scores = pillars.join(F.broadcast(_draws(spark)), "pillar").groupBy("draw", "entity").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 9).alias("s"))
+    wide = reused(matrix.pillars(imputed(spark, sf_dir), tree(spark)).groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score")))
+    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, i) for i, p in enumerate(PILLARS)} for d in range(DRAWS)]
+    draws = F.from_json(F.lit(json.dumps(rows)), "array<struct<draw:int," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>")
+    each = wide.withColumn("d", F.explode(draws)).select("entity", "d.draw", sum(F.col(f"d.w_{p}") * F.col(p) for p in PILLARS).alias("t"), sum(F.col(f"d.w_{p}") for p in PILLARS).alias("w"))
+    scores = each.select("draw", "entity", F.round(F.col("t") / F.col("w"), 9).alias("s"))
     return reused(ranks.in_order(reused(scores), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r")))
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.columns import zero_padded
+
 
 def paged_records(spark: SparkSession, path: str, schema: T.StructType, one_a_file: bool = True) -> DataFrame:
     """Records of a folder of pages {"result": {"total": n, "records": [...]}}, one page a file or a line; .gz pages are read as they are. Codes stay strings."""
@@ -43,6 +45,12 @@ def geo_features(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def keyed_csv(spark: SparkSession, path: str, width: int = 3) -> DataFrame:
+    """A CSV file or folder (gzip or not) with all columns as text; the first is the key, a code that is padded again to its width."""
+    rows = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return rows.withColumn(rows.columns[0], zero_padded(rows.columns[0], width))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """file, bytes, sha256 of every file under a path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from corvane import catalog
@@ -22,7 +23,7 @@ def duck():
 
 
 def plain(v):
-    if v is None or v != v:
+    if v is None or pd.isna(v):
         return "~"
     if isinstance(v, (int, float)) and not isinstance(v, bool):
         return f"{float(v):.8g}"
