@@ -261,7 +261,7 @@ def dedup_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("brand", "kind").agg(F.min("first").alias("first"))
 
 
-@query("SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n, CAST(sum(count(*)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY hour(ts)) - count(*) AS BIGINT) AS used, sum(count(*)) OVER (PARTITION BY CAST(ts AS DATE) ORDER BY hour(ts)) <= 250 AS allowed FROM events GROUP BY ALL")
+@query("WITH b AS (SELECT CAST(ts AS DATE) AS day, hour(ts) AS hour, count(*) AS n FROM events GROUP BY 1, 2) SELECT day, hour, n, CAST(sum(n) OVER (PARTITION BY day ORDER BY hour) - n AS BIGINT) AS used, sum(n) OVER (PARTITION BY day ORDER BY hour) <= 250 AS allowed FROM b")
 def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly batches under a daily budget: one that would pass what is left is refused whole."""
     from ..sinks import fitting_batches
