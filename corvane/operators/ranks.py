@@ -15,6 +15,16 @@ from pyspark.sql import types as T
 BUCKETS = 64
 
 
+def reused(df: DataFrame) -> DataFrame:
+    """df kept in memory or on disk, as a leaf of the plans that read it: several branches compute it once, and plans do not grow with its own.
+
+    Parts that are lost with an executor are computed again.
+    """
+    kept, session = df.persist(StorageLevel.MEMORY_AND_DISK), df.sparkSession
+    rows = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(rows, session)
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
     """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null.
 
@@ -23,7 +33,8 @@ def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets:
     """
     keys = by or ["_all"]
     known = rows.where(F.col(value).isNotNull()) if by else rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties")).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    counts = reused(counts)
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))
     session, shape = rows.sparkSession, counts.select(*keys).schema

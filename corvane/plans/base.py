@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import matrix
+from ..operators.ranks import reused
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -40,11 +40,6 @@ PILLARS = ["returns", "pricing", "demand"]
 WEIGHTS = {"returns": 0.5, "pricing": 0.3, "demand": 0.2}
 
 
-def reused(df: DataFrame) -> DataFrame:
-    """df kept in memory or on disk: what several branches of one plan read is computed once. Lost parts are computed again."""
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TREE, "indicator string, pillar string, direction int")
 

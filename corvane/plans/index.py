@@ -143,9 +143,9 @@ def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = scored(spark, sf_dir)
     out = ranks.average_ranks(rows.withColumn("_v", -F.col("overall")), [], "_v").withColumn("rank_overall", F.floor("rank").cast("long")).drop("rank", "n", "_v")
     edges, hot = ranks.quartile_edges(rows, "overall"), rows.agg(F.percentile("delta", 0.75)).scalar()
-    out = ranks.with_scalar(out, edges).withColumn("tier", C.tier("overall", "edges")).drop("edges")
+    out = reused(ranks.with_scalar(out, edges).withColumn("tier", C.tier("overall", "edges")).drop("edges"))
     for column in ("delta", "overall"):
-        out = ranks.percent_ranks(out, [], column).withColumnRenamed("score", f"_{column}")
+        out = reused(ranks.percent_ranks(out, [], column).withColumnRenamed("score", f"_{column}"))
     out = out.withColumn("growth_gap", F.round((F.col("_delta") - F.col("_overall")) / 100, 6)).drop("_delta", "_overall")
     return out.withColumn("growth_flag", F.coalesce((F.col("delta") > hot) & (F.col("rank_overall") > 100), F.lit(False)))
 

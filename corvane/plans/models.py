@@ -172,12 +172,12 @@ def arm(draw: int, indicators: list[str]) -> tuple[str, bool, str]:
 
 
 _FOUR = IMPUTED + f""", st AS (SELECT indicator, min(value) AS a, max(value) AS z, avg(value) AS m, CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END AS s FROM imp GROUP BY 1),
-nm AS (SELECT 'rank' AS method, entity, indicator, pillar, 100 * CASE WHEN direction < 0 THEN 1 - r ELSE r END AS score FROM (SELECT *, {pct_rank_sql('value', 'indicator')} AS r FROM imp) JOIN tree USING (indicator)
+nrm AS (SELECT 'rank' AS method, entity, indicator, pillar, 100 * CASE WHEN direction < 0 THEN 1 - r ELSE r END AS score FROM (SELECT *, {pct_rank_sql('value', 'indicator')} AS r FROM imp) JOIN tree USING (indicator)
  UNION ALL SELECT 'minmax', entity, indicator, pillar, CASE WHEN direction < 0 THEN 100 - x ELSE x END FROM (SELECT imp.*, CASE WHEN z > a THEN 100 * (value - a) / (z - a) ELSE 50.0 END AS x FROM imp JOIN st USING (indicator)) JOIN tree USING (indicator)
  UNION ALL SELECT 'z', entity, indicator, pillar, 50 + direction * 10 * (value - m) / s FROM imp JOIN st USING (indicator) JOIN tree USING (indicator)),
 ix AS (SELECT indicator, row_number() OVER (ORDER BY indicator) - 1 AS i FROM (SELECT DISTINCT indicator FROM imp)), k AS (SELECT count(*) AS k FROM ix),
 dr AS (SELECT draw, CASE draw % 3 WHEN 0 THEN 'rank' WHEN 1 THEN 'minmax' ELSE 'z' END AS method, (draw // 3) % 2 = 0 AS geo, coalesce((SELECT indicator FROM ix, k WHERE i = draw % (k.k + 1)), 'none') AS gone FROM (SELECT unnest(range({ARMS})) AS draw)),
-combos AS (SELECT DISTINCT method, gone FROM dr), pa AS (SELECT c.method, c.gone, entity, pillar, avg(score) AS p FROM nm JOIN combos c ON c.method = nm.method AND nm.indicator <> c.gone GROUP BY ALL),
+combos AS (SELECT DISTINCT method, gone FROM dr), pa AS (SELECT c.method, c.gone, entity, pillar, avg(score) AS p FROM nrm JOIN combos c ON c.method = nrm.method AND nrm.indicator <> c.gone GROUP BY ALL),
 w AS (SELECT d.*, v.pillar, v.b * (0.75 + ((d.draw * 7919 + v.i * 104729) % 1000) / 2000.0) AS w FROM dr d, (VALUES ('returns', 0, 0.5), ('pricing', 1, 0.3), ('demand', 2, 0.2)) v(pillar, i, b)),
 sc AS (SELECT draw, entity, round(CASE WHEN geo THEN exp(sum(w * ln(greatest(p, 1.0))) / sum(w)) ELSE sum(w * p) / sum(w) END, 7) AS s FROM w JOIN pa USING (method, gone, pillar) GROUP BY draw, geo, entity),
 rk AS (SELECT draw, entity, row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS r FROM sc)"""
