@@ -133,8 +133,9 @@ def alias_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS id, round(CASE WHEN o_totalprice * 100 >= 1e7 THEN o_totalprice * 100 / 1e7 WHEN o_totalprice * 100 >= 1e5 THEN o_totalprice * 100 / 1e5 WHEN o_totalprice * 100 >= 1e3 THEN o_totalprice * 100 / 1e3 ELSE o_totalprice * 100 END, 2) AS amount, CASE WHEN o_totalprice * 100 >= 1e7 THEN 'crore' WHEN o_totalprice * 100 >= 1e5 THEN 'lakh' WHEN o_totalprice * 100 >= 1e3 THEN 'thousand' ELSE '' END AS unit FROM orders")
 def compact_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts to hundredths of their unit, rounded by their binary value: a number that only prints as a tie (69.195 is a little less) is none."""
     amount, unit = T.compact(F.col("o_totalprice") * 100)
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.round(amount, 2).alias("amount"), unit.alias("unit"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.round(amount * 100) / 100).alias("amount"), unit.alias("unit"))
 
 
 @query("SELECT p_partkey AS id, CASE WHEN contains(lower(p_name), 'ring') OR contains(lower(p_name), 'bolt') THEN 'hardware' WHEN contains(lower(p_name), 'red') THEN 'colour' ELSE 'other' END AS layer FROM part")
