@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
-from .base import IMPUTED, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
+from .base import IMPUTED, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
 from .index import scored
 
 
@@ -162,6 +162,39 @@ def kmeans_silhouette(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.groupBy(F.col("prediction").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.avg("first").alias("first")).select("cluster", "n", (F.col("n") / n).alias("share"), "first", F.lit(k).alias("k"), F.lit(float(score)).alias("silhouette"))
 
 
+#: What each leg weighs its pillars by, and the fields that reveal what it should follow.
+LEGS = {"returns": {"returns": 0.6, "pricing": 0.3, "demand": 0.1}, "demand": {"returns": 0.1, "pricing": 0.3, "demand": 0.6}}
+PROXIES = {"returns": ["return_qty"], "demand": ["n_orders", "urgent_p"]}
+CONTAMINANTS = sorted({f for fields in PROXIES.values() for f in fields})
+_PAIR = "leg, proxy"
+
+
+@query(PILLAR + ", clean AS (SELECT entity, pillar, avg(score) AS score FROM norm WHERE indicator NOT IN (" + ", ".join(f"'{c}'" for c in CONTAMINANTS) + ") AND pillar IN (" + ", ".join(f"'{p}'" for p in PILLARS) + ") GROUP BY ALL), "
+    + "lw AS (SELECT * FROM (VALUES " + ", ".join(f"('{leg}', '{p}', {w})" for leg, own in LEGS.items() for p, w in own.items()) + ") v(leg, pillar, b)), "
+    + "live AS (SELECT leg, entity, score, CASE WHEN missing_share > 1.0 / 3 THEN 0 ELSE b END AS w FROM clean JOIN blk USING (entity, pillar) JOIN lw USING (pillar)), "
+    + f"legs AS (SELECT leg, entity, round(CASE WHEN sum(w) > 0 THEN sum(w * score) / sum(w) ELSE sum(score) / {len(PILLARS)} END, 7) AS x FROM live GROUP BY ALL), pr AS ("
+    + " UNION ALL ".join(f"SELECT entity, '{k}' AS proxy, round(list_avg([{', '.join(pct_rank_sql(f) for f in fields)}]), 6) AS y FROM feat" for k, fields in PROXIES.items())
+    + f"), pairs AS (SELECT leg, proxy, x, y FROM legs JOIN pr USING (entity) WHERE y IS NOT NULL) SELECT leg, proxy, round(corr(rx, ry), 6) AS rho, count(*) AS n FROM (SELECT leg, proxy, {pct_rank_sql('x', _PAIR)} AS rx, {pct_rank_sql('y', _PAIR)} AS ry FROM pairs) GROUP BY ALL")
+def discriminant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """leg, proxy, rho, n: whether each leg of the index follows its own proxy more than the other's.
+
+    The fields that proxies are made of leave the index before its pillars are built, so that none is correlated with itself; blocked pillars stay those of
+    the whole index. A proxy is the mean of its fields' percentile ranks, nulls skipped. All pairs are ranked in one long call.
+    """
+    pillars = matrix.pillars(imputed(spark, sf_dir).where(~F.col("indicator").isin(CONTAMINANTS)), tree(spark))
+    scores = pillars.join(matrix.blocked(gated(spark, sf_dir), tree(spark)).select("entity", "pillar", "blocked"), ["entity", "pillar"])
+    wide = scores.groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score").alias("p"), F.first("blocked").alias("b"))
+    wide = wide.withColumns({f"{p}_b": F.coalesce(f"{p}_b", F.lit(False)) for p in PILLARS})
+    legs = F.array(*(F.struct(F.lit(leg).alias("leg"), F.round(C.blocked_mean([(f"{p}_p", f"{p}_b", own[p]) for p in PILLARS]), 7).alias("x")) for leg, own in LEGS.items()))
+    owner = F.create_map(*(F.lit(x) for k, fields in PROXIES.items() for f in fields for x in (f, k)))
+    placed = ranks.percent_ranks(matrix.to_long(features(spark, sf_dir), ["entity"], CONTAMINANTS), ["indicator"])
+    proxies = placed.groupBy("entity", owner[F.col("indicator")].alias("proxy")).agg(F.round(F.avg("score") / 100, 6).alias("y")).where("y is not null")
+    pairs = wide.select("entity", F.inline(legs)).join(proxies, "entity").select("leg", "proxy", "x", "y")
+    both = ranks.average_ranks(reused(pairs), ["leg", "proxy"], "x").withColumnRenamed("rank", "rx").drop("n")
+    both = ranks.average_ranks(reused(both), ["leg", "proxy"], "y")
+    return both.groupBy("leg", "proxy").agg(F.round(F.corr("rx", "rank"), 6).alias("rho"), F.count(F.lit(1)).alias("n"))
+
+
 METHODS, NONE = ["rank", "minmax", "z"], "none"
 ARMS = 400
 
