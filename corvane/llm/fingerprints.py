@@ -105,6 +105,7 @@ def with_next(docs: DataFrame, columns: list[str], part_bytes: int = PART_BYTES)
     home = lambda part, copy: F.struct(part.cast("int").alias("part"), F.lit(copy).alias("copy"))
     own, other = home(F.col("part"), False), home(F.get(numbers(before), F.col("part")), True)
     spread = dealt.select("doc_id", *columns, F.explode(F.when(head, F.array(own, other)).otherwise(F.array(own))).alias("home")).select("doc_id", *columns, "home.part", "home.copy")
+    spread = spread.repartitionById(len(cuts) + 1, "part")  # a range a task, however many ranges
     order = Window.partitionBy("part").orderBy(F.col("copy"), F.col("doc_id").desc_nulls_last(), *columns[:1])
     return spread.select("doc_id", *columns, "copy", *(F.lead(c).over(order).alias(f"next_{c}") for c in columns)).where("not copy").drop("copy")
 
