@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import ranks, stats
-from .base import FEAT, IMPUTED, INDEX, features, imputed, pct_rank_sql, query, table, tree
+from ..operators import ranks, shapes, stats
+from .base import FEAT, IMPUTED, INDEX, features, imputed, pct_rank_sql, query, reused, table, tree
 from .index import _RANKED, ranked, scored
 from .validation import _TWO, _two_orders
 
@@ -353,3 +353,14 @@ def benchmark_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.select(F.col("n_name").alias("name"), F.when(F.col("n_nationkey") % 5 > 0, F.round("v", 6)).alias("value"), F.lit(0.45).alias("lo"), F.when(F.col("n_nationkey") % 2 == 0, 0.52).alias("hi"))
     fits = (F.col("lo").isNull() | (F.col("value") >= F.col("lo"))) & (F.col("hi").isNull() | (F.col("value") <= F.col("hi")))
     return rows.select("name", "value", F.when(F.col("value").isNull(), "UNAVAILABLE").when(fits, "PASS").otherwise("FAIL").alias("verdict"))
+
+
+@query()
+def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order's ring of lines (number, quantity), without those that have no area, simplified until all of them have at most three quarters of their points."""
+    point = F.struct("l_linenumber", F.array(F.col("l_linenumber").cast("double"), F.col("l_quantity").cast("double")).alias("p"))
+    rings = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(point)), lambda s: s["p"]).alias("ring"))
+    rings = reused(shapes.without_placeholders(rings.withColumn("ring", shapes.closed(F.col("ring")))))
+    total = rings.agg(F.coalesce(F.sum(F.size("ring")), F.lit(0))).first()[0]
+    made = shapes.simplify(rings, [0.5 * 2**i for i in range(8)], total * 3 // 4)
+    return made.select("l_orderkey", F.size("ring").alias("n_points"), F.size("simplified").alias("n_kept"), "simplified", "tolerance")

@@ -23,6 +23,12 @@ def write_json(rows: DataFrame, path: str, digits: int = 6) -> None:
     rows.select(*clean).write.option("ignoreNullFields", False).json(path)
 
 
+def write_split(rows: DataFrame, key: str, path: str) -> DataFrame:
+    """A folder of JSON lines for each value of `key`, and their index: key, n. A hot key is written by as many tasks as hold its rows."""
+    rows.write.partitionBy(key).option("ignoreNullFields", False).json(path)
+    return rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+
+
 def land(rows: DataFrame, path: str) -> None:
     """Written beside its place and renamed once it is whole: a reader never sees half of it, and what is there is never overwritten."""
     spark = rows.sparkSession

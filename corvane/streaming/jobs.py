@@ -30,6 +30,16 @@ def _counted(events: DataFrame, window: Column) -> DataFrame:
     return grouped.select(F.col("w.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+def first_seen(events: DataFrame, keys: list[str]) -> DataFrame:
+    """The first event of each key; later ones within the watermark's delay are dropped, and state older than that goes."""
+    return events.dropDuplicatesWithinWatermark(keys)
+
+
+def poll(stream: DataFrame, handle, checkpoint: str, every: str = "60 seconds"):
+    """Starts a polling loop: each tick hands what is new to handle(batch, batch_id). stop() on the query ends it after the batch at work is done or given up; a restart repeats that batch under its id."""
+    return stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def drain(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Runs a stream over what is there now into an in-memory table: for tests and fixtures only."""
     stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
