@@ -171,10 +171,10 @@ _MC = PILLAR + _DRAWS + """, mc AS (SELECT draw, entity, round(sum(w * score) /
 mr AS (SELECT draw, entity, CAST(row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS BIGINT) AS r FROM mc)"""
 
 
-def _mc_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _mc_ranks(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> DataFrame:
     """draw, entity, r: pillars are normalised once; a draw only weighs them anew."""
     wide = reused(matrix.pillars(imputed(spark, sf_dir), tree(spark)).groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score")))
-    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, i) for i, p in enumerate(PILLARS)} for d in range(DRAWS)]
+    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, i) for i, p in enumerate(PILLARS)} for d in range(n)]
     draws = F.from_json(F.lit(json.dumps(rows)), "array<struct<draw:int," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>")
     each = wide.withColumn("d", F.explode(draws)).select("entity", "d.draw", sum(F.col(f"d.w_{p}") * F.col(p) for p in PILLARS).alias("t"), sum(F.col(f"d.w_{p}") for p in PILLARS).alias("w"))
     scores = each.select("draw", "entity", F.round(F.col("t") / F.col("w"), 9).alias("s"))
@@ -187,6 +187,17 @@ def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mc_ranks(spark, sf_dir).groupBy("entity").agg(q.alias("q")).select("entity", F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
 
 
+V1_DRAWS = 500
+
+
+@query(_MC.replace(f"range({DRAWS})", f"range({V1_DRAWS})") + " SELECT entity, CAST(floor(round(quantile_cont(r, 0.05), 4)) AS BIGINT) AS lo, CAST(floor(round(quantile_cont(r, 0.95), 4)) AS BIGINT) AS hi FROM mr GROUP BY 1")
+def v1_rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first generation's intervals: 500 draws of weights only, both ends cut to whole ranks."""
+    q = F.percentile("r", F.array(F.lit(0.05), F.lit(0.95)))
+    end = lambda i: F.floor(F.round(F.col("q")[i], 4)).cast("long")
+    return _mc_ranks(spark, sf_dir, V1_DRAWS).groupBy("entity").agg(q.alias("q")).select("entity", end(0).alias("lo"), end(1).alias("hi"))
+
+
 @query(_MC + """, base AS (SELECT entity, row_number() OVER (ORDER BY s DESC, entity) AS r FROM (SELECT entity, round(sum(w * score) / sum(w), 9) AS s FROM pil JOIN (VALUES ('returns', 0.5), ('pricing', 0.3), ('demand', 0.2)) v(pillar, w) USING (pillar) GROUP BY 1))
 SELECT mr.draw, count(*) AS overlap, round(count(*) / 50.0, 6) AS stability FROM mr JOIN base USING (entity) WHERE mr.r <= 50 AND base.r <= 50 GROUP BY 1""")
 def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
