@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, langid, licenses, lines, media, near_dup, packing, quality, sentencepiece, suffixes
+from . import fingerprints, hard_negatives, langid, licenses, lines, media, near_dup, packing, periodic, quality, sentencepiece, suffixes, token_counts
 from .common import table
 
 
@@ -48,5 +48,23 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op5_quality, op6_fingerprints, op7_suffix_dedup, op8_line_dedup, op9_language_id, op10_packing)}
-ORACLES = {"op1_license_scans": licenses.oracle(), "op8_line_dedup": lines.ORACLE}
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.embedding_digests(table(spark, sf_dir, "embeddings"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digests(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_license_scans, op2_media_columns, op3_sentencepiece, op4_near_dedup, op5_quality, op6_fingerprints, op7_suffix_dedup, op8_line_dedup, op9_language_id, op10_packing,
+        op11_token_counts, op12_hard_negatives, op13_periodic_runs,
+    )
+}
+ORACLES = {"op1_license_scans": licenses.oracle(), "op8_line_dedup": lines.ORACLE, "op12_hard_negatives": hard_negatives.ORACLE}
