@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -14,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import ranks
-from ..sources import readers
+from ..operators.storage import shared_folder
+from ..sources import paged, readers
 from ..streaming import jobs
 from .base import INDEX, INDICATORS, features, query, table
 from .index import _RANKED, ranked
@@ -47,27 +45,46 @@ PAGE_ROWS = 5000
 
 
 def in_pages(orders: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
-    """page, result: orders by key, `page_rows` to a page."""
+    """page, result: orders by key, `page_rows` to a page; total is the whole table's."""
     rows = ranks.in_order(orders.select("o_orderkey", "o_totalprice"), "o_orderkey", "o_orderkey", descending=False)
     r = F.struct(F.col("o_orderkey").cast("string").alias("key"), F.col("o_totalprice").cast("string").alias("price"))
     pages = rows.select(r.alias("r"), F.floor((F.col("position") - 1) / page_rows).alias("page"))
-    return pages.groupBy("page").agg(F.struct(F.count(F.lit(1)).alias("total"), F.collect_list("r").alias("records")).alias("result"))
+    whole = pages.groupBy("page").agg(F.collect_list("r").alias("records"))
+    return whole.select("page", F.struct(orders.agg(F.count(F.lit(1))).scalar().alias("total"), "records").alias("result"))
 
 
 @query("SELECT 'orders' AS source, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders")
 def paged_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders written as pages and read back from all of them."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared and spark.sparkContext.master.split("[")[0] != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    folder = f"{shared or tempfile.mkdtemp(prefix='corvane-')}/pages-{uuid.uuid4().hex}"
-    in_pages(table(spark, sf_dir, "orders")).select("result").write.json(folder)
-    from pyspark.sql import types as T
-
-    back = readers.paged_records(spark, folder, T.StructType.fromDDL("key string, price string"), one_a_file=False)
+    folder = shared_folder(spark, "pages")
+    in_pages(table(spark, sf_dir, "orders")).repartition("page").write.partitionBy("page").json(folder)
+    back = paged.scan(spark, folder, ["key", "price"], PAGE_ROWS, required=("key", "price"))
     return back.agg(F.lit("orders").alias("source"), F.count(F.lit(1)).alias("n"), F.round(F.sum(C.number("price")), 2).alias("total"))
 
 
+RESUME_ROWS = 500
+
+
+@query(f"""WITH r AS (SELECT o_orderkey, o_totalprice, (row_number() OVER (ORDER BY o_orderkey) - 1) // {RESUME_ROWS} AS page FROM orders), f AS (SELECT max(page) // 2 AS first FROM r)
+SELECT page, page >= first AS asked, count(*) AS n, round(sum(o_totalprice), 2) AS total, min(o_orderkey) AS least, max(o_orderkey) AS most FROM r, f GROUP BY ALL""")
+def resumed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan that died while it wrote the page half way: the pages before are kept, that one and the rest are asked for. One row a page."""
+    folder, landed = shared_folder(spark, "endpoint"), shared_folder(spark, "landed")
+    in_pages(table(spark, sf_dir, "orders"), RESUME_ROWS).repartition("page").write.partitionBy("page").json(folder)
+    whole = spark.read.schema("value string, page long").text(folder, wholetext=True)
+    last = whole.agg(F.floor(F.max("page") / 2)).scalar()
+    torn = F.expr("substring(value, 1, length(value) div 2)")
+    there = whole.where(F.col("page") <= last).select("page", F.when(F.col("page") == last, torn).otherwise(F.col("value")).alias("value"))
+    there.repartition("page").write.partitionBy("page").text(landed)
+    rows, first = paged.resumed(spark, folder, landed, ["key", "price"], RESUME_ROWS, required=("key", "price"))
+    key = F.col("key").cast("long")
+    placed = ranks.in_order(rows.select(key.alias("key"), C.number("price").alias("price")), "key", "key", descending=False)
+    page = F.floor((F.col("position") - 1) / RESUME_ROWS)
+    return placed.groupBy(page.alias("page")).agg(
+        F.any_value(page >= first).alias("asked"), F.count(F.lit(1)).alias("n"), F.round(F.sum("price"), 2).alias("total"), F.min("key").alias("least"), F.max("key").alias("most")
+    )
+
+
 _SAID = """WITH o AS (SELECT o_custkey AS id, count(*) AS n, CAST(floor(max(o_totalprice)) AS BIGINT) AS top FROM orders GROUP BY 1),
 t AS (SELECT id, n, top, CASE WHEN id % 3 = 0 THEN 'Customer ' || id || ' has ' || n || ' orders.' WHEN id % 3 = 1 THEN 'Customer ' || id || ' has ' || n || ' orders of up to ' || top || ', 12,345 in all.' ELSE 'Customer ' || id || ' has ' || n || ' orders of up to ' || top || '.' END AS said FROM o),
 f AS (SELECT *, list_distinct([id, n, top]) AS facts, list_distinct(list_transform(regexp_extract_all(said, '[0-9][0-9,]*'), lambda x: CAST(replace(x, ',', '') AS BIGINT))) AS named FROM t)"""
@@ -230,3 +247,17 @@ def ridge_groupcv(spark: SparkSession, sf_dir: str) -> DataFrame:
         part = model.transform(data.where(F.col("fold") == fold)).select("entity", "fold", "y", "predicted")
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("""WITH k AS (SELECT user_id, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1)
+SELECT user_id AS key, event_type AS field, count(*) AS n, round(sum(value), 4) AS total, arg_max(value, (ts, event_id)) AS last, any_value(first_at) AS first_at, any_value(last_at) AS last_at FROM events JOIN k USING (user_id) GROUP BY ALL""")
+def carried_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events folded by user and type as a stream with carried state: the newest change row of each."""
+    path = f"{sf_dir}/[e]vents.parquet"  # as a pattern, since a stream takes no single file by its own name
+    stream = jobs.event_stream(spark, path, table(spark, sf_dir, "events").schema).select(
+        F.col("user_id").alias("key"), F.col("event_type").alias("field"), "value", F.col("ts").alias("at"), F.col("event_id").alias("order")
+    )
+    folder = shared_folder(spark, "fold")
+    jobs.run_fold(stream, folder, shared_folder(spark, "fold-state"), idle=10 * 365 * 86400.0)
+    rows = jobs.folded(spark, folder)
+    return rows.select("key", "field", "n", F.round("total", 4).alias("total"), "last", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"))

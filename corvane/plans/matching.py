@@ -272,16 +272,16 @@ def budget_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _POOLS = INDEX + f""", pool AS (SELECT entity, spend * discount / 100 AS acute, spend * (discount + tax) / 2 / 100 * 0.7 AS chronic, urgent_share FROM feat),
 sz AS (SELECT entity, 75 * {pct_rank_sql('acute')} + 25 * {pct_rank_sql('urgent_share')} AS acute, 75 * {pct_rank_sql('chronic')} + 25 * {pct_rank_sql('urgent_share')} AS chronic FROM pool),
-th AS (SELECT entity, overall, round(100 * pow(greatest(least(round(acute, 6), 100.0), 1.0) / 100, 0.5) * pow(greatest(least(quality, 100.0), 1.0) / 100, 0.5), 4) AS acute, round(100 * pow(greatest(least(round(chronic, 6), 100.0), 1.0) / 100, 0.5) * pow(greatest(least(quality, 100.0), 1.0) / 100, 0.5), 4) AS chronic FROM score JOIN sz USING (entity))"""
+th AS (SELECT entity, overall, round(100 * pow(greatest(least(round(acute, 6), 100.0), 1.0) / 100, 0.5) * pow(greatest(least(quality, 100.0), 1.0) / 100, 0.5), 6) AS acute, round(100 * pow(greatest(least(round(chronic, 6), 100.0), 1.0) / 100, 0.5) * pow(greatest(least(quality, 100.0), 1.0) / 100, 0.5), 6) AS chronic FROM score JOIN sz USING (entity))"""
 
 
-@query(_POOLS + " SELECT entity, round(overall, 4) AS overall, acute, chronic FROM th")
+@query(_POOLS + " SELECT entity, overall, acute, chronic FROM th")
 def three_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One quality, three sizes: the whole market's and two narrower pools'."""
     from .index import index_therapy_pools
 
     both = scored(spark, sf_dir).join(index_therapy_pools(spark, sf_dir), "entity")
-    return both.select("entity", F.round("overall", 4).alias("overall"), *(F.round(C.geometric(f"size_{k}", "quality", 0.5), 4).alias(k) for k in ("acute", "chronic")))
+    return both.select("entity", "overall", *(F.round(C.geometric(f"size_{k}", "quality", 0.5), 6).alias(k) for k in ("acute", "chronic")))
 
 
 @query(FEAT + ", m AS (SELECT regr_slope(urgent_price, spend) AS b, regr_intercept(urgent_price, spend) AS a FROM feat) SELECT entity, round(urgent_price - a - b * spend, 4) AS residual FROM feat, m WHERE urgent_price IS NOT NULL AND spend IS NOT NULL")

@@ -230,8 +230,9 @@ def fuzzy_block_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fuzzy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels and codes of a block, each used once, the most alike first."""
     labels, spine, _ = _labels(spark, sf_dir)
-    pairs = labels.withColumn("plain", C.normal_name("label")).join(spine, "block").withColumn("score", R.sequence_ratio("plain", "nname")).where("score >= 0.86")
-    return R.one_to_one(pairs.select("block", "label", "code", "score"))
+    named = labels.withColumn("plain", C.normal_name("label"))
+    found = R.similar_in_block(named, spine, "plain", 0.86).join(spine, ["block", "nname"])
+    return R.one_to_one(named.join(found, ["block", "plain"]).select("block", "label", "code", F.col("ratio").alias("score")))
 
 
 @query("""WITH s AS (SELECT p_brand AS block, p_name AS nname, min(p_partkey) AS code FROM part GROUP BY ALL), l AS (SELECT DISTINCT p_brand AS block, substring(p_name, 2) AS label FROM part)

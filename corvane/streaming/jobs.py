@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def event_stream(spark: SparkSession, path: str, schema, delay: str = "1 hour") -> DataFrame:
@@ -67,6 +71,100 @@ def upsert_batches(stream: DataFrame, key: str, folder: str, checkpoint: str):
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class CarriedFold(StatefulProcessor):
+    """A key's fold in state: totals of the key, and by field the count, sum and the last value; what a batch touches comes out.
+
+    Values are added in whatever order they come; the last value is that of the largest (at, order). A key that event time has passed by `idle` is sealed: its
+    fields come out once more with sealed = true, and its state goes.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.key_state = handle.getValueState("key", "first_at timestamp, last_at timestamp, timer long")
+        self.fields = handle.getMapState("fields", "field string", "n long, total double, last double, last_at timestamp, last_order long")
+
+    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+        touched, first, last = {}, None, None
+        for r in rows:
+            n, total, value, at, order = touched.get(r["field"]) or (self.fields.getValue((r["field"],)) if self.fields.containsKey((r["field"],)) else None) or (0, 0.0, None, None, None)
+            newer = at is None or (r["at"], r["order"]) >= (at, order)
+            touched[r["field"]] = (n + 1, total + (r["value"] or 0.0), *((r["value"], r["at"], r["order"]) if newer else (value, at, order)))
+            first, last = (r["at"] if x is None else pick(x, r["at"]) for x, pick in ((first, min), (last, max)))
+        if not touched:
+            return
+        timer = None
+        if self.key_state.exists():
+            was_first, was_last, timer = self.key_state.get()
+            first, last = min(first, was_first), max(last, was_last)
+        due = int(last.timestamp() * 1000) + self.idle_ms
+        if timer != due:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.key_state.update((first, last, due))
+        for field, own in touched.items():
+            self.fields.updateValue((field,), own)
+            yield Row(key=key[0], field=field, n=own[0], total=own[1], last=own[2], first_at=first, last_at=last, sealed=False)
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+        first, last, _ = self.key_state.get()
+        for (field,), (n, total, value, _, _) in list(self.fields.iterator()):
+            yield Row(key=key[0], field=field, n=n, total=total, last=value, first_at=first, last_at=last, sealed=True)
+        self.fields.clear()
+        self.key_state.clear()
+
+    def close(self) -> None:
+        pass
+
+
+FOLD_DDL = "key long, field string, n long, total double, last double, first_at timestamp, last_at timestamp, sealed boolean"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def carried_fold(events: DataFrame, idle: float = 30 * 86400.0) -> DataFrame:
+    """FOLD_DDL rows of a stream (key, field, value, at, order) with a watermark on `at`: what each batch changes, in update mode.
+
+    State is kept key by key in the state store and written as changes, so a batch costs what it touches, not what has been folded so far; a restart goes on from the
+    last batch that was done. The session has to use the store of `with_state_store`.
+    """
+    return events.select("key", "field", "value", "at", "order").groupBy("key").transformWithState(CarriedFold(int(idle * 1000)), FOLD_DDL, "Update", "EventTime")
+
+
+@contextmanager
+def with_state_store(spark: SparkSession):
+    """The store that keyed state needs, for queries started within."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
+def run_fold(events: DataFrame, folder: str, checkpoint: str, idle: float = 30 * 86400.0) -> None:
+    """Folds what is there now into change rows of `folder`, one batch=<id> folder a batch: a batch that is done again replaces its own."""
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    with with_state_store(events.sparkSession):
+        stream = carried_fold(events, idle).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stream.awaitTermination()
+
+
+def folded(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest row of each key and field that run_fold() has written; fields of one key share its newest first_at and last_at."""
+    rows = spark.read.schema(f"{FOLD_DDL}, batch long").parquet(folder)
+    columns = ["n", "total", "last", "first_at", "last_at", "sealed"]
+    newest = rows.groupBy("key", "field").agg(F.max_by(F.struct("batch", *columns), F.struct("batch", "sealed")).alias("r"))
+    ends = rows.groupBy("key").agg(F.min("first_at").alias("first_at"), F.max("last_at").alias("last_at"))
+    return newest.select("key", "field", "r.n", "r.total", "r.last", "r.sealed").join(ends, "key")
+
+
 def is_due(status: Column, last_attempt: Column, last_success: Column, cadence_h: Column, now: Column) -> Column:
     """Whether a polled source is due: errors back off by a quarter of the cadence within half an hour and six hours."""
     hours = lambda a: (now.cast("double") - a.cast("double")) / 3600
