@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .order_statistics import medians
 from .ranks import percent_ranks
 
 
@@ -44,17 +45,17 @@ def without_sentinels(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
 def impute(rows: DataFrame, group: str = "grp") -> DataFrame:
     """Group median, then the median of the group-filled column; provenance says which."""
-    medians = rows.groupBy(group, "indicator").agg(F.median("value").alias("_g"))
-    first = rows.join(medians, [group, "indicator"]).withColumn("_f", F.coalesce("value", "_g"))
-    whole = first.groupBy("indicator").agg(F.median("_f").alias("_n"))
-    out = first.join(whole, "indicator")
+    own = medians(rows, [group, "indicator"], "value", "_g")
+    first = rows.join(own, [group, "indicator"], "left").withColumn("_f", F.coalesce("value", "_g"))
+    whole = medians(first, ["indicator"], "_f", "_n")
+    out = first.join(whole, "indicator", "left")
     source = F.when(F.col("value").isNotNull(), "observed").when(F.col("_g").isNotNull(), "group_median").when(F.col("_n").isNotNull(), "overall_median")
     return out.withColumn("provenance", source).withColumn("value", F.coalesce("_f", "_n")).drop("_g", "_f", "_n")
 
 
 def impute_overall(rows: DataFrame) -> DataFrame:
-    whole = rows.groupBy("indicator").agg(F.median("value").alias("_n"))
-    return rows.join(whole, "indicator").withColumn("value", F.coalesce("value", "_n")).drop("_n")
+    whole = medians(rows, ["indicator"], "value", "_n")
+    return rows.join(whole, "indicator", "left").withColumn("value", F.coalesce("value", "_n")).drop("_n")
 
 
 def listwise(rows: DataFrame, entity: str = "entity") -> DataFrame:
@@ -96,8 +97,8 @@ def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> Da
     near = donors.unionByName(lacking).groupBy("block").applyInPandas(nearest, "entity long, indicator string, d double, donor long, given double")
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "indicator").orderBy("d", "donor"))).where(F.col("_r") <= k)
     filled = best.groupBy("entity", "indicator").agg(F.avg("given").alias("_k"))
-    medians = rows.groupBy("indicator").agg(F.median("value").alias("_n"))
-    out = rows.join(filled, ["entity", "indicator"], "left").join(medians, "indicator")
+    whole = medians(rows, ["indicator"], "value", "_n")
+    out = rows.join(filled, ["entity", "indicator"], "left").join(whole, "indicator", "left")
     return out.withColumn("value", F.coalesce("value", "_k", "_n")).drop("_k", "_n")
 
 

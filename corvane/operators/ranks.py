@@ -7,22 +7,19 @@ A value that many rows share is a bucket of its own, which ties are cut further
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .order_statistics import quantiles
+from .storage import written
+
 BUCKETS = 64
 
 
 def reused(df: DataFrame) -> DataFrame:
-    """df kept in memory or on disk, as a leaf of the plans that read it: several branches compute it once, and plans do not grow with its own.
-
-    Parts that are lost with an executor are computed again.
-    """
-    kept, session = df.persist(StorageLevel.MEMORY_AND_DISK), df.sparkSession
-    rows = session._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    return DataFrame(rows, session)
+    """df written once, as a leaf of the plans that read it: several branches compute it once, read only the columns they need, and plans do not grow with its own."""
+    return written(df, "leaf")
 
 
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
@@ -101,7 +98,7 @@ def in_order(rows: DataFrame, value: str, tie: str, sums: tuple[str, ...] = (),
 
 def quartile_edges(rows: DataFrame, value: str) -> DataFrame:
     """One row: `edges`, the exact linear-interpolated quartiles."""
-    return rows.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("edges"))
+    return quantiles(rows, [], value, [0.25, 0.5, 0.75]).select(F.col("quantiles").alias("edges"))
 
 
 def with_scalar(rows: DataFrame, one_row: DataFrame) -> DataFrame:

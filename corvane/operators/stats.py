@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.special import f_tail, normal_tail, t_tail
 from .ranks import average_ranks, in_order
+from .storage import written
 
 
 def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
@@ -16,10 +20,19 @@ def spearman(rows: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson_pairs(rows: DataFrame, entity: str = "entity") -> DataFrame:
-    """a, b, r of every pair of indicators in long rows, over entities that have both."""
-    one = rows.where("value is not null").select(entity, F.col("indicator").alias("a"), F.col("value").alias("x"))
-    two = rows.where("value is not null").select(entity, F.col("indicator").alias("b"), F.col("value").alias("y"))
-    return one.join(two, entity).where("a < b").groupBy("a", "b").agg(F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"))
+    """a, b, r, n of every pair of indicators in long rows, over entities that have both.
+
+    Rows are made wide once and all pairs are sums of one aggregate, so nothing is shuffled but the cells and one row of sums a task. The driver asks for the indicators' names.
+    """
+    names = sorted(r["indicator"] for r in rows.select("indicator").distinct().collect())
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    if not pairs:
+        return rows.sparkSession.createDataFrame([], "a string, b string, r double, n long")
+    wide = rows.groupBy(entity).pivot("indicator", names).agg(F.first("value", ignorenulls=True))
+    x = lambda c: F.col(f"`{c}`")
+    sums = wide.agg(*(m.alias(f"{k}{i}") for i, (a, b) in enumerate(pairs) for k, m in (("r", F.corr(x(a), x(b))), ("n", F.count_if(x(a).isNotNull() & x(b).isNotNull())))))
+    each = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r"), F.col(f"n{i}").alias("n")) for i, (a, b) in enumerate(pairs)))
+    return sums.select(F.inline(each)).where("n > 0")
 
 
 def spearman_pairs(rows: DataFrame, entity: str = "entity") -> DataFrame:
@@ -37,6 +50,72 @@ def kendall(rows: DataFrame, x: str, y: str, block: str) -> DataFrame:
     return out.select(block, (F.col("s") / F.sqrt(F.nullif(F.col("p") * F.col("q"), F.lit(0.0)))).alias("tau_b"))
 
 
+def inversions(values: np.ndarray) -> int:
+    """How many pairs of an array of different numbers stand in descending order: ones before zeros, bit by bit, within equal higher bits."""
+    order = np.empty(len(values), dtype=np.int64)
+    order[np.argsort(values)] = np.arange(len(values))
+    found = 0
+    for bit in range(max(len(values) - 1, 0).bit_length() - 1, -1, -1):
+        one, group = (order >> bit) & 1, order >> (bit + 1)
+        ones = np.cumsum(one)
+        start = np.searchsorted(group, group)  # groups stand in order
+        before = ones - np.where(start > 0, ones[start - 1], 0)
+        found += int(before[one == 0].sum())
+        order = order[np.argsort(order >> bit, kind="stable")]
+    return found
+
+
+def discordant(places: DataFrame, n: int, size: int) -> Column:
+    """How many of n rows' pairs stand in opposite orders by x_at and y_at (each a permutation of 1..n), as a scalar.
+
+    Rows are cut into blocks of `size` along x and along y. Pairs of one block along x are counted there, pairs of one block along y but of different ones along x
+    are counted there, and pairs that differ in both are products of counts: of a cell's rows and of those in all blocks before it along x and behind it along y.
+    """
+    blocks = max(1, -(-n // size))
+    cells = places.withColumn("b", F.expr(f"(x_at - 1) div {size}")).withColumn("k", F.expr(f"(y_at - 1) div {size}"))
+
+    def one_block(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(part.sort_values("x_at")["y_at"].to_numpy())]})
+
+    def other_blocks(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n": [inversions(part.sort_values(["b", "y_at"])["y_at"].to_numpy())]})  # within a block y ascends: nothing is counted
+
+    near = cells.groupBy("b").applyInPandas(one_block, "n long").unionByName(cells.groupBy("k").applyInPandas(other_blocks, "n long"))
+    session = places.sparkSession
+    grid = session.range(blocks * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("k"))
+    full = grid.join(cells.groupBy("b", "k").agg(F.count(F.lit(1)).alias("own")), ["b", "k"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    behind = F.coalesce(F.sum("own").over(Window.partitionBy("b").orderBy("k").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    before = F.coalesce(F.sum("behind").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    far = full.withColumn("behind", behind).withColumn("before", before).select((F.col("own") * F.col("before")).alias("n"))
+    return near.unionByName(far).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+
+
+def kendall_whole(rows: DataFrame, x: str, y: str, tie: str = "entity", size: int = 1 << 18) -> DataFrame:
+    """One row: tau_b, n, p of all rows that have both (p: two-sided, by the normal approximation with ties). No pair is made; `tie` names a row.
+
+    Sorted by x and then y, discordant pairs are those whose y descend. Ties of y get their places in the order of x, so none of them counts. Every
+    group has `size` rows whatever the ties; the grid of counts has (n / size)^2 cells.
+    """
+    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(tie).alias("t"))
+    placed = in_order(both, "y", "t", descending=False).withColumnRenamed("position", "y0")
+    placed = in_order(placed, "x", "y0", descending=False).withColumnRenamed("position", "x_at")
+    placed = written(in_order(placed, "y", "x_at", descending=False).withColumnRenamed("position", "y_at"), "places")
+    t = F.col("t").cast("double")
+    tied = lambda *keys: placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).agg(
+        F.struct(F.coalesce(F.sum(t * (t - 1) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(t * (t - 1) * (t - 2)), F.lit(0.0)).alias("cubes"), F.coalesce(F.sum(t * (t - 1) * (2 * t + 5)), F.lit(0.0)).alias("spread"))
+    ).scalar()
+    n = placed.count()
+    one = rows.sparkSession.range(1).select(
+        F.lit(n).cast("long").alias("n"), F.lit(float(n)).alias("m"), tied("x").alias("x"), tied("y").alias("y"), tied("x", "y").alias("xy"), discordant(placed, n, size).cast("double").alias("d")
+    )
+    pairs = F.col("m") * (F.col("m") - 1) / 2
+    score = pairs - F.col("x.pairs") - F.col("y.pairs") + F.col("xy.pairs") - 2 * F.col("d")
+    free = F.sqrt(pairs - F.col("x.pairs")) * F.sqrt(pairs - F.col("y.pairs"))
+    variance = (2 * pairs * (2 * F.col("m") + 5) - F.col("x.spread") - F.col("y.spread")) / 18 + F.col("x.pairs") * F.col("y.pairs") / F.nullif(pairs, F.lit(0.0))
+    variance = variance + F.col("x.cubes") * F.col("y.cubes") / F.nullif(18 * pairs * (F.col("m") - 2), F.lit(0.0))
+    return one.select((score / F.nullif(free, F.lit(0.0))).alias("tau_b"), "n", normal_tail(score / F.sqrt(F.when(variance > 0, variance))).alias("p"))
+
+
 def ols(rows: DataFrame, y: str, x: str) -> DataFrame:
     """One row: slope, intercept, r2."""
     return rows.agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
@@ -82,6 +161,26 @@ def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
     return r.agg(F.least(up, down).alias("w"), F.count(F.lit(1)).alias("n"))
 
 
+def anova_p(rows: DataFrame, group: str, value: str) -> DataFrame:
+    """anova() with p."""
+    return anova(rows, group, value).withColumn("p", f_tail("f", "df_between", "df_within"))
+
+
+def paired_t_p(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """paired_t() with the two-sided p."""
+    return paired_t(rows, a, b).withColumn("p", t_tail("t", F.col("n") - 1))
+
+
+def wilcoxon_p(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """wilcoxon() with z and the two-sided p of its normal approximation; ties lower the variance, zero differences are left out."""
+    ties = rows.select(F.abs(F.col(a) - F.col(b)).alias("d")).where("d <> 0").groupBy("d").agg(F.count(F.lit(1)).cast("double").alias("t"))
+    lost = ties.agg(F.coalesce(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")), F.lit(0.0))).scalar()
+    n = F.col("n").cast("double")
+    variance = n * (n + 1) * (2 * n + 1) / 24 - F.col("lost") / 48
+    z = (F.col("w") - n * (n + 1) / 4) / F.sqrt(F.when(variance > 0, variance))
+    return wilcoxon(rows, a, b).withColumn("lost", lost).withColumn("z", z).withColumn("p", normal_tail("z")).drop("lost")
+
+
 def moments(rows: DataFrame, value: str) -> list[Column]:
     """skew and excess kurtosis by population moments."""
     return [F.skewness(value).alias("skew"), F.kurtosis(value).alias("kurt")]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,18 +16,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: Tables that the query at work has made so far, by name and input folder.
+_MADE: ContextVar[dict | None] = ContextVar("made", default=None)
+
+
 def query(sql: str | None = None):
-    """Register a query under its function's name, with its DuckDB SQL if it has one."""
+    """Register a query under its function's name, with its DuckDB SQL if it has one. Tables marked `once` are made once for the outermost query that asks for them."""
 
     def add(f):
-        QUERIES[f.__name__] = f
+        @wraps(f)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            if _MADE.get() is not None:
+                return f(spark, sf_dir)
+            token = _MADE.set({})
+            try:
+                return f(spark, sf_dir)
+            finally:
+                _MADE.reset(token)
+
+        QUERIES[f.__name__] = run
         if sql:
             ORACLES[f.__name__] = sql
-        return f
+        return run
 
     return add
 
 
+def once(f):
+    """A table that many steps of a query read: made at the first call within the query, shared by the others."""
+
+    @wraps(f)
+    def get(spark: SparkSession, sf_dir: str) -> DataFrame:
+        made = _MADE.get()
+        if made is None:
+            return f(spark, sf_dir)
+        key = (f.__module__, f.__name__, sf_dir)
+        if key not in made:
+            made[key] = f(spark, sf_dir)
+        return made[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -44,6 +76,7 @@ def tree(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(TREE, "indicator string, pillar string, direction int")
 
 
+@once
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row a customer: entity, grp (nation), spend, urgent_share and the indicators; each fact table is read and shuffled once."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("entity"), "o_totalprice", "o_orderstatus", "o_orderdate", "o_orderpriority")
@@ -64,14 +97,17 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reused(customers.join(by_order, "entity", "left").join(by_item, "entity", "left").select("entity", "grp", "balance", "spend", "urgent_share", *INDICATORS))
 
 
+@once
 def long_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reused(matrix.to_long(features(spark, sf_dir), ["entity", "grp"], INDICATORS))
 
 
+@once
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reused(matrix.covered(long_features(spark, sf_dir), 0.8))
 
 
+@once
 def imputed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reused(matrix.impute(gated(spark, sf_dir)))
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks
-from .base import FEAT, IMPUTED, INDEX, INDICATORS, KEPT, LONG, PILLAR, PILLARS, TREE_SQL, WEIGHTS, features, gated, imputed, long_features, pct_rank_sql, query, reused, rounded, table, tree
+from ..operators.order_statistics import medians, quantiles
+from .base import FEAT, IMPUTED, INDEX, INDICATORS, KEPT, LONG, PILLAR, PILLARS, TREE_SQL, WEIGHTS, features, gated, imputed, once, long_features, pct_rank_sql, query, reused, rounded, table, tree
 
 
 def _normalised(spark, sf_dir, method: str) -> DataFrame:
@@ -111,6 +112,7 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("urgent_share").join(wide.select("entity", (0.75 * F.col("spend") + 0.25 * F.col("urgent_share")).alias("size")), "entity")
 
 
+@once
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, grp, spend, delta, size, quality, overall."""
     both = sized(spark, sf_dir).join(quality(spark, sf_dir).select("entity", "quality"), "entity")
@@ -138,11 +140,12 @@ gap AS (SELECT rk.*, CASE WHEN overall <= q1 THEN 'D' WHEN overall <= q2 THEN 'C
   round({pct_rank_sql('delta')} - {pct_rank_sql('overall')}, 6) AS growth_gap, coalesce(delta > (SELECT quantile_cont(delta, 0.75) FROM score) AND rank_overall > 100, false) AS growth_flag FROM rk, edges)"""
 
 
+@once
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scored() with rank_overall (1 is best, average ties truncated), tier, growth_gap, growth_flag."""
     rows = scored(spark, sf_dir)
     out = ranks.average_ranks(rows.withColumn("_v", -F.col("overall")), [], "_v").withColumn("rank_overall", F.floor("rank").cast("long")).drop("rank", "n", "_v")
-    edges, hot = ranks.quartile_edges(rows, "overall"), rows.agg(F.percentile("delta", 0.75)).scalar()
+    edges, hot = ranks.quartile_edges(rows, "overall"), quantiles(rows, [], "delta", [0.75]).select(F.col("quantiles")[0]).scalar()
     out = reused(ranks.with_scalar(out, edges).withColumn("tier", C.tier("overall", "edges")).drop("edges"))
     for column in ("delta", "overall"):
         out = reused(ranks.percent_ranks(out, [], column).withColumnRenamed("score", f"_{column}"))
@@ -197,8 +200,9 @@ SELECT entity, indicator, round(CASE WHEN abs(skew) > 2 AND kurt > 3.5 THEN grea
 def winsorize_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Indicators with heavy tails are cut back to their 2.5 and 97.5 percentiles."""
     rows = long_features(spark, sf_dir).where("value is not null")
-    shape = rows.groupBy("indicator").agg(F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"), F.percentile("value", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
-    out = rows.join(shape, "indicator")
+    shape = rows.groupBy("indicator").agg(F.skewness("value").alias("skew"), F.kurtosis("value").alias("kurt"))
+    ends = quantiles(rows, ["indicator"], "value", [0.025, 0.975]).select("indicator", F.col("quantiles").alias("q"))
+    out = rows.join(shape, "indicator").join(ends, "indicator")
     heavy = (F.abs("skew") > 2) & (F.col("kurt") > 3.5)
     cut = F.greatest(F.least("value", F.col("q")[1]), F.col("q")[0])
     return rounded(out.select("entity", "indicator", F.when(heavy, cut).otherwise(F.col("value")).alias("value")), "value")
@@ -227,10 +231,9 @@ def within_row_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(LONG + """ SELECT indicator, count(value) AS n, round(avg(value), 5) AS mean, round(stddev_samp(value), 5) AS sd, round(min(value), 6) AS lo, round(median(value), 5) AS med, round(max(value), 6) AS hi FROM long GROUP BY 1""")
 def profile_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = F.col("value")
-    return long_features(spark, sf_dir).groupBy("indicator").agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 5).alias("mean"), F.round(F.stddev_samp(v), 5).alias("sd"), F.round(F.min(v), 6).alias("lo"), F.round(F.median(v), 5).alias("med"), F.round(F.max(v), 6).alias("hi")
-    )
+    v, rows = F.col("value"), long_features(spark, sf_dir)
+    own = rows.groupBy("indicator").agg(F.count(v).alias("n"), F.round(F.avg(v), 5).alias("mean"), F.round(F.stddev_samp(v), 5).alias("sd"), F.round(F.min(v), 6).alias("lo"), F.round(F.max(v), 6).alias("hi"))
+    return own.join(medians(rows, ["indicator"], "value", "med"), "indicator", "left").withColumn("med", F.round("med", 5))
 
 
 @query(LONG + " SELECT indicator, round(avg(CASE WHEN value < 0 THEN 1.0 ELSE 0.0 END), 6) AS negative_share, min(value) AS lo, max(value) AS hi FROM long WHERE value IS NOT NULL GROUP BY 1")

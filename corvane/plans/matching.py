@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import ranks, shapes, stats
+from ..operators.order_statistics import quantiles
 from .base import FEAT, IMPUTED, INDEX, features, imputed, pct_rank_sql, query, reused, table, tree
 from .index import _RANKED, ranked, scored
 from .validation import _TWO, _two_orders
@@ -301,8 +302,8 @@ def scalar_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Range, deviation, variation and quartile distance of two generations of a score."""
     rows = scored(spark, sf_dir)
     arms = rows.select(F.lit("geometric").alias("arm"), F.col("overall").alias("v")).unionByName(rows.select(F.lit("arithmetic").alias("arm"), F.round(0.5 * F.col("size") + 0.5 * F.col("quality"), 7).alias("v")))
-    q = F.percentile("v", F.array(F.lit(0.25), F.lit(0.75)))
-    out = arms.groupBy("arm").agg((F.max("v") - F.min("v")).alias("spread"), F.stddev_samp("v").alias("sd"), F.avg("v").alias("m"), q.alias("q"))
+    out = arms.groupBy("arm").agg((F.max("v") - F.min("v")).alias("spread"), F.stddev_samp("v").alias("sd"), F.avg("v").alias("m"))
+    out = out.join(quantiles(arms, ["arm"], "v", [0.25, 0.75]).select("arm", F.col("quantiles").alias("q")), "arm")
     return out.select("arm", F.round("spread", 5).alias("spread"), F.round("sd", 5).alias("sd"), F.round(F.col("sd") / F.col("m"), 6).alias("cv"), F.round(F.col("q")[1] - F.col("q")[0], 5).alias("iqr"))
 
 

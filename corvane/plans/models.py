@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.special import chi2_tail
 from ..operators import matrix, ranks, stats
 from .base import IMPUTED, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
 from .index import scored
@@ -30,27 +31,41 @@ def correlation_matrix(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
     return names, out, max((r["n"] for r in pairs), default=0)
 
 
+def precision(r: np.ndarray) -> tuple[np.ndarray, float]:
+    """The inverse of a correlation matrix and the logarithm of its determinant, by its Cholesky factor; a factor that fails gets a little weight on its diagonal."""
+    for weight in (0.0, 1e-12, 1e-9, 1e-6):
+        try:
+            factor = np.linalg.cholesky(r + weight * np.eye(len(r)))
+        except np.linalg.LinAlgError:
+            continue
+        half = np.linalg.solve(factor, np.eye(len(r)))
+        return half.T @ half, 2 * float(np.log(np.diag(factor)).sum())
+    raise ValueError("the correlation matrix has negative directions")
+
+
 def adequacy(r: np.ndarray, n: int) -> tuple[float, float, int]:
-    """Kaiser-Meyer-Olkin measure, Bartlett's chi-square and its degrees of freedom."""
-    p = len(r)
-    inverse = np.linalg.pinv(r)
-    scale = np.sqrt(np.outer(np.diag(inverse), np.diag(inverse)))
-    partial, off = -inverse / scale, ~np.eye(p, dtype=bool)
-    kmo = float((r[off] ** 2).sum() / ((r[off] ** 2).sum() + (partial[off] ** 2).sum()))
-    return kmo, float(-(n - 1 - (2 * p + 5) / 6) * np.linalg.slogdet(r)[1]), p * (p - 1) // 2
+    """Kaiser-Meyer-Olkin measure (squared correlations against squared partial ones), Bartlett's chi-square that all correlations are zero, its degrees of freedom."""
+    inverse, log_det = precision(r)
+    pairs = np.triu_indices(len(r), 1)
+    shared = sum(float(v) ** 2 for v in r[pairs])
+    own = inverse.diagonal()
+    left = sum(float(inverse[i, j]) ** 2 / (own[i] * own[j]) for i, j in zip(*pairs))
+    return shared / (shared + left), -log_det * (n - 1 - (2 * len(r) + 5) / 6), len(pairs[0])
 
 
 @query()
 def kmo_bartlett(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """kmo, chi2, dof, p of the complete matrix."""
     _, r, n = correlation_matrix(imputed(spark, sf_dir))
-    return spark.createDataFrame([adequacy(r, n)], "kmo double, chi2 double, dof int")
+    kmo, chi2, dof = adequacy(r, n)
+    return spark.createDataFrame([(float(kmo), float(chi2), dof)], "kmo double, chi2 double, dof int").withColumn("p", chi2_tail("chi2", "dof"))
 
 
 @query()
 def vif(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Variance inflation: the diagonal of the inverse correlation matrix."""
     names, r, _ = correlation_matrix(imputed(spark, sf_dir))
-    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, np.diag(np.linalg.pinv(r)))], "indicator string, vif double")
+    return spark.createDataFrame([(n, float(v)) for n, v in zip(names, precision(r)[0].diagonal())], "indicator string, vif double")
 
 
 @query()

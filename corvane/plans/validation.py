@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
+from ..operators.order_statistics import medians
 from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
 from .index import scored
 
@@ -34,6 +35,41 @@ def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(stats.kendall(features(spark, sf_dir).where("quantity is not null"), "quantity", "tax", "grp"), "tau_b")
 
 
+_SIMPSON = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+_GRID = "grid AS (SELECT unnest(range(20001)) AS i)"
+_NORMAL = f"(SELECT 1 - sqrt(2 / pi()) * abs(z) / 60000 * sum({_SIMPSON} * exp(-pow(abs(z) * i / 20000, 2) / 2)) FROM grid)"
+_T = f"(SELECT 2 * exp(lgamma((v + 1) / 2) - lgamma(v / 2)) / sqrt(pi()) * (pi() / 2 - atan(abs(t) / sqrt(v))) / 60000 * sum({_SIMPSON} * pow(abs(cos(atan(abs(t) / sqrt(v)) + (pi() / 2 - atan(abs(t) / sqrt(v))) * i / 20000)), v - 1)) FROM grid)"
+_F = f"(SELECT 2 * exp(lgamma((d1 + d2) / 2) - lgamma(d1 / 2) - lgamma(d2 / 2)) * top / 60000 * sum({_SIMPSON} * pow(sin(top * i / 20000), d2 - 1) * pow(cos(top * i / 20000), d1 - 1)) FROM grid)"
+
+
+@query(FEAT + f""", {_GRID}, k AS (SELECT quantity AS x, tax AS y FROM feat WHERE quantity IS NOT NULL AND tax IS NOT NULL),
+pr AS (SELECT sum(sign(a.quantity - b.quantity) * sign(a.tax - b.tax)) AS s FROM feat a JOIN feat b ON a.entity < b.entity),
+n AS (SELECT count(*) AS n, count(*) * 1.0 * (count(*) - 1) / 2 AS pairs FROM k), tx AS (SELECT sum(t * (t - 1.0) / 2) AS p, sum(t * (t - 1.0) * (t - 2)) AS c, sum(t * (t - 1.0) * (2 * t + 5)) AS q FROM (SELECT count(*) AS t FROM k GROUP BY x)),
+ty AS (SELECT sum(t * (t - 1.0) / 2) AS p, sum(t * (t - 1.0) * (t - 2)) AS c, sum(t * (t - 1.0) * (2 * t + 5)) AS q FROM (SELECT count(*) AS t FROM k GROUP BY y)),
+z AS (SELECT n, s / sqrt((pairs - tx.p) * (pairs - ty.p)) AS tau_b, s / sqrt((2 * pairs * (2 * n + 5) - tx.q - ty.q) / 18 + tx.p * ty.p / pairs + tx.c * ty.c / (18 * pairs * (n - 2))) AS z FROM pr, n, tx, ty)
+SELECT round(tau_b, 8) AS tau_b, n, round({_NORMAL}, 8) AS p FROM z""")
+def kendall_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kendall's tau-b of all customers at once, and its p."""
+    return stats.kendall_whole(features(spark, sf_dir), "quantity", "tax").select(F.round("tau_b", 8).alias("tau_b"), "n", F.round("p", 8).alias("p"))
+
+
+@query(FEAT + f""", {_GRID}, g AS (SELECT grp, count(quantity) AS n, avg(quantity) AS m, var_samp(quantity) AS v FROM feat GROUP BY 1),
+fa AS (SELECT (sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n)) / (count(*) - 1) / (sum((n - 1) * v) / (sum(n) - count(*))) AS f, count(*) - 1.0 AS d1, CAST(sum(n) - count(*) AS DOUBLE) AS d2 FROM g),
+fb AS (SELECT f, d1, d2, asin(sqrt(d2 / (d2 + d1 * f))) AS top FROM fa), d AS (SELECT delta AS d FROM feat WHERE delta IS NOT NULL),
+tt AS (SELECT avg(d) / (stddev_samp(d) / sqrt(count(d))) AS t, count(d) - 1.0 AS v FROM d),
+wr AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r FROM d WHERE d <> 0),
+wz AS (SELECT least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS w, count(*) * 1.0 AS n, (SELECT sum(t * t * t - t) FROM (SELECT count(*) * 1.0 AS t FROM wr GROUP BY abs(d))) AS lost FROM wr),
+wy AS (SELECT w, (w - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24 - lost / 48) AS z FROM wz)
+SELECT 'anova' AS test, round(f, 6) AS statistic, round({_F}, 8) AS p FROM fb UNION ALL SELECT 'paired_t', round(t, 6), round({_T}, 8) FROM tt UNION ALL SELECT 'wilcoxon', round(w, 6), round({_NORMAL}, 8) FROM wy""")
+def tail_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three tests of the validation chapter with their p: regions differ, rounds differ by mean, rounds differ by signed ranks."""
+    rows = features(spark, sf_dir)
+    changes = rows.where("delta is not null").select("delta", F.lit(0.0).alias("zero"))
+    row = lambda name, found, statistic: found.select(F.lit(name).alias("test"), F.round(statistic, 6).alias("statistic"), F.round("p", 8).alias("p"))
+    out = row("anova", stats.anova_p(rows, "grp", "quantity"), "f").unionByName(row("paired_t", stats.paired_t_p(changes, "delta", "zero"), "t"))
+    return out.unionByName(row("wilcoxon", stats.wilcoxon_p(changes, "delta", "zero"), "w"))
+
+
 @query(FEAT + "SELECT round(regr_slope(urgent_price, spend), 8) AS slope, round(regr_intercept(urgent_price, spend), 4) AS intercept, round(regr_r2(urgent_price, spend), 6) AS r2 FROM feat")
 def ols_r2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.ols(features(spark, sf_dir), "urgent_price", "spend").select(F.round("slope", 8).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
@@ -144,7 +180,8 @@ def adjacent_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     after = rows.select((F.col("position") - 1).alias("position"), F.col("spend").alias("next"))
     both = rows.join(after, "position", "left")
     top = lambda k: F.max(F.when(F.col("position") == k, F.col("spend")))
-    return both.agg(F.round(F.median(F.col("spend") - F.col("next")), 6).alias("median_gap"), F.round(top(1) - top(100), 4).alias("top_gap"))
+    middle = medians(both.withColumn("gap", F.col("spend") - F.col("next")), [], "gap", "m").select(F.round("m", 6)).scalar()
+    return both.agg(F.round(top(1) - top(100), 4).alias("top_gap")).select(middle.alias("median_gap"), "top_gap")
 
 
 @query("""SELECT metric, value, lo, hi, CASE WHEN value IS NULL THEN 'N/A' WHEN lo IS NOT NULL AND hi IS NOT NULL THEN CASE WHEN value >= lo AND value <= hi THEN 'PASS' ELSE 'FAIL' END
@@ -261,7 +298,7 @@ def bootstrap_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = ranks.average_ranks(_resampled(spark, sf_dir, BOOTSTRAPS), ["draw"], "overall")
     drawn = drawn.select("draw", "entity", down.alias("r"), "n")
     shift = F.abs(F.col("r") / F.col("n") * F.col("all") - F.col("position"))
-    churn = reused(drawn.join(base, "entity").groupBy("draw").agg(F.median(shift).alias("churn")))
+    churn = reused(medians(drawn.join(base, "entity").withColumn("shift", shift), ["draw"], "shift", "churn"))
     return ranks.with_scalar(churn, churn.agg(F.median("churn").alias("median_churn")))
 
 
