@@ -45,9 +45,33 @@ def layer(x: Column | str, layers: list[tuple[str, tuple[str, ...]]], default: s
 
 
 def first_object(x: Column | str) -> Column:
-    """The first balanced {...} of a text without braces in its strings, two levels deep at most; null if there is none."""
-    found = F.regexp_extract(col(x), r"\{(?:[^{}]|\{[^{}]*\})*\}", 0)
-    return F.when(found != "", found)
+    """The balanced {...} that begins at a text's first brace, at any depth; braces within strings do not count. Null if there is none or it is never closed.
+
+    A state machine goes over the characters: depth, whether a string is open, whether a backslash came before, and where the object ends.
+    """
+    rest = F.substring(col(x), F.locate("{", col(x)), F.length(col(x)))
+    false, zero = F.lit(False), F.lit(0)
+    state = F.struct(zero.alias("at"), zero.alias("depth"), false.alias("quoted"), false.alias("escaped"), zero.alias("end"))
+
+    def step(s: Column, c: Column) -> Column:
+        open_, plain = s["end"] == 0, ~s["quoted"]
+        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
+        quoted = F.when(s["quoted"], s["escaped"] | (c != '"')).otherwise(c == '"')
+        escaped = s["quoted"] & ~s["escaped"] & (c == "\\")
+        return F.struct(
+            (s["at"] + 1).alias("at"), depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"),
+            F.when(open_ & (depth == 0) & plain & (c == "}"), s["at"] + 1).otherwise(s["end"]).alias("end"),
+        )
+
+    end = F.aggregate(F.split(rest, ""), state, step, lambda s: s["end"])
+    return F.when(F.contains(col(x), F.lit("{")) & (end > 0), F.substring(rest, F.lit(1), end))
+
+
+def answered_object(x: Column | str) -> Column:
+    """The JSON object of a model's answer: of its first fence's inside if it begins with a fence (with or without the word json), else of its prose."""
+    said = F.trim(F.translate(col(x), "\t\r\n", "   "))
+    inside = F.when(F.startswith(said, F.lit("```")), F.split(F.trim(col(x)), "```")[1]).otherwise(col(x))
+    return first_object(F.regexp_replace(inside, r"^\s*(?i:json)", ""))
 
 
 def error_line(x: Column | str, most: int) -> Column:

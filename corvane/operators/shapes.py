@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import ring_area
+from .storage import written
 
 
 def _worth(points: np.ndarray) -> np.ndarray:
@@ -64,3 +67,76 @@ def simplify(rings: DataFrame, ladder: list[float], cap: int, column: str = "rin
 def without_placeholders(rings: DataFrame, column: str = "ring") -> DataFrame:
     """Rings of at least three corners and some area."""
     return rings.where((F.size(column) >= 4) & (ring_area(column) != 0))
+
+
+def edges_of(polygons: DataFrame) -> DataFrame:
+    """id, x1, y1, x2, y2 of all edges of polygons (id, rings: closed rings, holes among them)."""
+    r = F.col("ring")
+    pairs = F.arrays_zip(F.slice(r, 1, F.size(r) - 1).alias("a"), F.slice(r, 2, F.size(r) - 1).alias("b"))
+    each = polygons.select("id", F.explode("rings").alias("ring")).where(F.size("ring") >= 2).select("id", F.explode(pairs).alias("e"))
+    return each.select("id", F.col("e.a")[0].alias("x1"), F.col("e.a")[1].alias("y1"), F.col("e.b")[0].alias("x2"), F.col("e.b")[1].alias("y2"))
+
+
+def segment_distance(x: Column, y: Column, x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """From a point to the nearest point of a segment."""
+    dx, dy = x2 - x1, y2 - y1
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x1) * dx + (y - y1) * dy) / F.nullif(length, F.lit(0.0))))).otherwise(0.0)
+    return F.hypot(x - x1 - t * dx, y - y1 - t * dy)
+
+
+def _cells(low: Column, high: Column, size: float) -> Column:
+    return F.explode(F.sequence(F.floor(low / size), F.floor(high / size)))
+
+
+def containing(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """point, id: the smallest id of the polygons that a point lies in, holes not counted as inside.
+
+    Points meet polygons by the cells of their boxes, and of these only the edges in the point's own strip, whose crossings to its right are counted.
+    """
+    edges = edges_of(polygons)
+    boxes = edges.groupBy("id").agg(F.min(F.least("x1", "x2")).alias("a"), F.max(F.greatest("x1", "x2")).alias("b"), F.min(F.least("y1", "y2")).alias("c"), F.max(F.greatest("y1", "y2")).alias("d"))
+    boxes = boxes.withColumn("cx", _cells(F.col("a"), F.col("b"), size)).withColumn("cy", _cells(F.col("c"), F.col("d"), size))
+    placed = points.select("point", "x", "y", F.floor(F.col("x") / size).alias("cx"), F.floor(F.col("y") / size).alias("cy"))
+    near = placed.join(boxes, ["cx", "cy"]).where("x between a and b and y between c and d").select("point", "x", "y", "id", "cy")
+    strips = edges.withColumn("cy", _cells(F.least("y1", "y2"), F.greatest("y1", "y2"), size))
+    crosses = ((F.col("y1") > F.col("y")) != (F.col("y2") > F.col("y"))) & (F.col("x") < (F.col("x2") - F.col("x1")) * (F.col("y") - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
+    hits = near.join(strips, ["id", "cy"]).groupBy("point", "id").agg(F.count_if(crosses).alias("n")).where("n % 2 = 1")
+    return hits.groupBy("point").agg(F.min("id").alias("id"))
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFrame:
+    """point, id: the nearest of the centres (id, cx, cy), ties (to nine places) to the smaller id. Points look into the cells around their own; a distance up to a cell's side is final there, and
+    what has none yet looks again in cells twice as wide, so no point meets all centres unless they are few."""
+    left, out = written(points.select("point", "x", "y"), "points"), None
+    if centres.isEmpty():
+        return left.select("point").limit(0).join(centres.select("id").limit(0))
+    cell = lambda c: F.floor(F.col(c) / size)
+    while out is None or not left.isEmpty():
+        around = centres.withColumn("i", F.explode(F.sequence(cell("cx") - 1, cell("cx") + 1))).withColumn("j", F.explode(F.sequence(cell("cy") - 1, cell("cy") + 1)))
+        far = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
+        met = left.withColumn("i", cell("x")).withColumn("j", cell("y")).join(around, ["i", "j"]).withColumn("d", far).where(F.col("d") <= size)
+        found = written(met.groupBy("point").agg(F.min(F.struct(F.round("d", 9).alias("d"), "id")).alias("b")).select("point", "b.id"), "centres")
+        out = found if out is None else out.unionByName(found)
+        left, size = written(left.join(found, "point", "left_anti"), "points"), size * 2
+    return out
+
+
+def assign_points(points: DataFrame, polygons: DataFrame, limit: float, size: float) -> DataFrame:
+    """point, id, how: the polygon (id, rings) that a point (point, x, y) belongs to: one that holds it ("inside"), else the one whose edge is nearest if that is nearer than
+    `limit` ("edge"), else the one whose outer ring's centre of corners is nearest ("centre"). Distances that agree to nine places are ties, which go to the smaller id; a point without coordinates belongs to none."""
+    points = written(points.where("x is not null and y is not null").select("point", "x", "y"), "points")
+    inside = written(containing(points, polygons, size), "inside")
+    rest = points.join(inside, "point", "left_anti")
+    edges = edges_of(polygons)
+    wide = edges.withColumn("cx", _cells(F.least("x1", "x2") - limit, F.greatest("x1", "x2") + limit, size)).withColumn("cy", _cells(F.least("y1", "y2") - limit, F.greatest("y1", "y2") + limit, size))
+    d = segment_distance(*(F.col(c) for c in ("x", "y", "x1", "y1", "x2", "y2")))
+    close = rest.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size)).join(wide, ["cx", "cy"]).withColumn("d", d).where(F.col("d") < limit)
+    edge = written(close.groupBy("point").agg(F.min(F.struct(F.round("d", 9).alias("d"), "id")).alias("b")).select("point", "b.id"), "edge")
+    ring = F.get("rings", F.lit(0))
+    corners = F.slice(ring, 1, F.size(ring) - 1)
+    mean = lambda i: F.aggregate(corners, F.lit(0.0), lambda s, p: s + p[i]) / F.size(corners)
+    centres = polygons.where(F.size(ring) >= 2).select("id", mean(0).alias("cx"), mean(1).alias("cy"))
+    centre = nearest_centre(rest.join(edge, "point", "left_anti"), centres, size)
+    told = [(inside, "inside"), (edge, "edge"), (centre, "centre")]
+    return reduce(DataFrame.unionByName, (df.select("point", "id", F.lit(how).alias("how")) for df, how in told))

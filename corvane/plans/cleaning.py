@@ -159,6 +159,18 @@ def json_from_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.from_json(T.first_object("said"), "k bigint")["k"].alias("k"), F.col("said").contains("```").alias("fenced"))
 
 
+_NESTED = """(CASE event_id % 4 WHEN 0 THEN '{"k": ' || event_id || '}' WHEN 1 THEN '{"a": {"b": {"c": {"k": ' || event_id || '}}}, "d": {}}' WHEN 2 THEN '{"s": "} {\\" }", "k": ' || event_id || '}' ELSE '{"s": "é{\\\\", "t": [{"k": ' || event_id || '}, {}]}' END)"""
+
+
+@query(f"SELECT event_id AS id, CASE WHEN event_id % 11 <> 0 THEN {_NESTED} END AS object FROM events")
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects at any depth, with braces and escaped quotes in their strings, out of prose and fences; an object that is never closed is none."""
+    own, k = F.expr(_NESTED.replace("\\", "\\\\")), F.col("event_id")
+    said = F.when(k % 11 == 0, F.concat(F.lit("cut: "), F.expr("substring('{{}', 1, 3)"), F.lit('"}"'))).when(k % 3 == 0, F.concat(F.lit("```json\n"), own, F.lit("\n```\nDone {ok}.")))
+    said = said.when(k % 3 == 1, F.concat(F.lit("Answer: "), own, F.lit(" as asked }."))).otherwise(own)
+    return table(spark, sf_dir, "events").select(k.alias("id"), T.answered_object(said).alias("object"))
+
+
 @query("SELECT conv_id, turn, left(replace(replace(text, chr(10), ' '), '|', '/'), 80) AS error FROM conversations")
 def error_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Error lines for a status table: one line, no bars, cut at 80 characters (the cut is the feature)."""

@@ -261,3 +261,10 @@ def carried_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     jobs.run_fold(stream, folder, shared_folder(spark, "fold-state"), idle=10 * 365 * 86400.0)
     rows = jobs.folded(spark, folder)
     return rows.select("key", "field", "n", F.round("total", 4).alias("total"), "last", F.col("first_at").cast("timestamp_ntz").alias("first_at"), F.col("last_at").cast("timestamp_ntz").alias("last_at"))
+
+
+@query("""WITH l AS (SELECT user_id, event_id // 256 AS o, sha256(string_agg(event_id || ':' || sha256('=' || event_type), ',' ORDER BY event_id)) AS h FROM events GROUP BY ALL)
+SELECT user_id, sha256(string_agg(o || ':' || h, ',' ORDER BY o)) AS digest FROM l GROUP BY 1""")
+def merkle_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest of each user's events in order (two levels of ranges up to 65,535 events, as its SQL has it)."""
+    return readers.ordered_digest(table(spark, sf_dir, "events"), "user_id", "event_id", "event_type")

@@ -365,3 +365,28 @@ def simplified_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = rings.agg(F.coalesce(F.sum(F.size("ring")), F.lit(0))).first()[0]
     made = shapes.simplify(rings, [0.5 * 2**i for i in range(8)], total * 3 // 4)
     return made.select("l_orderkey", F.size("ring").alias("n_points"), F.size("simplified").alias("n_kept"), "simplified", "tolerance")
+
+
+#: Polygons of nations: corners on a circle around a place of the nation's own, every second nation with a hole. cos and sin as tables, so that both engines use equal numbers.
+_CIRCLE = [(1.0, 0.0), (0.5, 0.866025), (-0.5, 0.866025), (-1.0, 0.0), (-0.5, -0.866025), (0.5, -0.866025), (1.0, 0.0)]
+_ON_CIRCLE = ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(_CIRCLE))
+
+
+@query(f"""WITH c AS (SELECT * FROM (VALUES {_ON_CIRCLE}) t(i, cx, cy)), n AS (SELECT n_nationkey AS id, n_nationkey % 5 * 4.0 AS mx, n_nationkey // 5 * 4.0 AS my, 1.0 + n_regionkey * 0.2 AS r FROM nation),
+rings AS (SELECT id, mx, my, r FROM n UNION ALL SELECT id, mx, my, r * 0.4 FROM n WHERE id % 2 = 0),
+e AS (SELECT id, mx + r * a.cx AS x1, my + r * a.cy AS y1, mx + r * b.cx AS x2, my + r * b.cy AS y2 FROM rings, c a JOIN c b ON b.i = a.i + 1),
+p AS (SELECT c_custkey AS point, c_custkey * 37 % 211 * 0.1 - 2.0 AS x, c_custkey * 53 % 197 * 0.1 - 2.0 AS y FROM customer),
+d AS (SELECT point, id, x, y, x1, y1, (y1 > y) <> (y2 > y) AND x < (x2 - x1) * (y - y1) / nullif(y2 - y1, 0) + x1 AS crosses,
+  greatest(0.0, least(1.0, ((x - x1) * (x2 - x1) + (y - y1) * (y2 - y1)) / (pow(x2 - x1, 2) + pow(y2 - y1, 2)))) AS t, x2 - x1 AS dx, y2 - y1 AS dy FROM p, e),
+s AS (SELECT point, id, count(*) FILTER (WHERE crosses) % 2 = 1 AS inside, min(sqrt(pow(x - x1 - t * dx, 2) + pow(y - y1 - t * dy, 2))) AS far FROM d GROUP BY ALL),
+b AS (SELECT point, min(id) FILTER (WHERE inside) AS held, min(far) AS far, arg_min(id, (round(far, 9), id)) AS near FROM s GROUP BY 1),
+z AS (SELECT point, arg_min(id, (round(sqrt(pow(x - mx, 2) + pow(y - my, 2)), 9), id)) AS mid FROM p, n GROUP BY 1)
+SELECT point, coalesce(held, CASE WHEN far < 0.15 THEN near ELSE mid END) AS id, CASE WHEN held IS NOT NULL THEN 'inside' WHEN far < 0.15 THEN 'edge' ELSE 'centre' END AS how FROM b JOIN z USING (point)""")
+def nearest_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' places to nations' polygons: inside, within 0.15 of an edge, or by the nearest centre."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), (F.col("n_nationkey") % 5 * 4.0).alias("mx"), (F.expr("n_nationkey div 5") * 4.0).alias("my"), (1.0 + F.col("n_regionkey") * 0.2).alias("r"))
+    ring = lambda r: F.array(*(F.array(F.col("mx") + r * x, F.col("my") + r * y) for x, y in _CIRCLE))
+    polygons = n.select("id", F.when(F.col("id") % 2 == 0, F.array(ring(F.col("r")), ring(F.col("r") * 0.4))).otherwise(F.array(ring(F.col("r")))).alias("rings"))
+    k = F.col("c_custkey")
+    points = table(spark, sf_dir, "customer").select(k.alias("point"), (k * 37 % 211 * 0.1 - 2.0).alias("x"), (k * 53 % 197 * 0.1 - 2.0).alias("y"))
+    return shapes.assign_points(points, polygons, 0.15, 1.0)

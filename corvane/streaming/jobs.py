@@ -83,23 +83,23 @@ class CarriedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.key_state = handle.getValueState("key", "first_at timestamp, last_at timestamp, timer long")
-        self.fields = handle.getMapState("fields", "field string", "n long, total double, last double, last_at timestamp, last_order long")
+        self.key_state = handle.getValueState("key", "first_us long, last_us long, timer long")
+        self.fields = handle.getMapState("fields", "field string", "n long, total double, last double, last_us long, last_order long")
 
-    def handleInputRows(self, key, rows, timers) -> Iterator[Row]:
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         touched, first, last = {}, None, None
         for r in rows:
             n, total, value, at, order = touched.get(r["field"]) or (self.fields.getValue((r["field"],)) if self.fields.containsKey((r["field"],)) else None) or (0, 0.0, None, None, None)
-            newer = at is None or (r["at"], r["order"]) >= (at, order)
-            touched[r["field"]] = (n + 1, total + (r["value"] or 0.0), *((r["value"], r["at"], r["order"]) if newer else (value, at, order)))
-            first, last = (r["at"] if x is None else pick(x, r["at"]) for x, pick in ((first, min), (last, max)))
+            newer = at is None or (r["us"], r["order"]) >= (at, order)
+            touched[r["field"]] = (n + 1, total + (r["value"] or 0.0), *((r["value"], r["us"], r["order"]) if newer else (value, at, order)))
+            first, last = (r["us"] if x is None else pick(x, r["us"]) for x, pick in ((first, min), (last, max)))
         if not touched:
             return
         timer = None
         if self.key_state.exists():
             was_first, was_last, timer = self.key_state.get()
             first, last = min(first, was_first), max(last, was_last)
-        due = int(last.timestamp() * 1000) + self.idle_ms
+        due = last // 1000 + self.idle_ms
         if timer != due:
             if timer is not None:
                 self.handle.deleteTimer(timer)
@@ -107,12 +107,12 @@ class CarriedFold(StatefulProcessor):
         self.key_state.update((first, last, due))
         for field, own in touched.items():
             self.fields.updateValue((field,), own)
-            yield Row(key=key[0], field=field, n=own[0], total=own[1], last=own[2], first_at=first, last_at=last, sealed=False)
+            yield Row(key=key[0], field=field, n=own[0], total=own[1], last=own[2], first_us=first, last_us=last, sealed=False)
 
-    def handleExpiredTimer(self, key, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         first, last, _ = self.key_state.get()
         for (field,), (n, total, value, _, _) in list(self.fields.iterator()):
-            yield Row(key=key[0], field=field, n=n, total=total, last=value, first_at=first, last_at=last, sealed=True)
+            yield Row(key=key[0], field=field, n=n, total=total, last=value, first_us=first, last_us=last, sealed=True)
         self.fields.clear()
         self.key_state.clear()
 
@@ -130,7 +130,9 @@ def carried_fold(events: DataFrame, idle: float = 30 * 86400.0) -> DataFrame:
     State is kept key by key in the state store and written as changes, so a batch costs what it touches, not what has been folded so far; a restart goes on from the
     last batch that was done. The session has to use the store of `with_state_store`.
     """
-    return events.select("key", "field", "value", "at", "order").groupBy("key").transformWithState(CarriedFold(int(idle * 1000)), FOLD_DDL, "Update", "EventTime")
+    rows = events.where("at is not null").select("key", "field", "value", "at", "order", F.unix_micros("at").alias("us"))
+    told = rows.groupBy("key").transformWithState(CarriedFold(int(idle * 1000)), "key long, field string, n long, total double, last double, first_us long, last_us long, sealed boolean", "Update", "EventTime")
+    return told.select("key", "field", "n", "total", "last", F.timestamp_micros("first_us").alias("first_at"), F.timestamp_micros("last_us").alias("last_at"), "sealed")
 
 
 @contextmanager
