@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import StandardScaler, VectorAssembler
@@ -16,7 +18,8 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.special import chi2_tail
 from ..operators import matrix, ranks, stats
-from .base import IMPUTED, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
+from ..operators.storage import shared_folder
+from .base import FEAT, IMPUTED, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
 from .index import scored
 
 
@@ -103,18 +106,16 @@ MODELS = {
     "linear": lambda n, sd: LinearRegression(solver="normal"),
     "ridge": lambda n, sd: LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0, regParam=1.0 * sd / n),
     "lasso": lambda n, sd: LinearRegression(standardization=False, elasticNetParam=1.0, regParam=0.01, tol=1e-9, maxIter=200),
-    "forest": lambda n, sd: RandomForestRegressor(numTrees=100, minInstancesPerNode=3, seed=42),
-    "boosting": lambda n, sd: GBTRegressor(maxIter=100, maxDepth=3, stepSize=0.05, seed=42),
+    "forest": lambda n, sd: RandomForestRegressor(numTrees=400, minInstancesPerNode=3, seed=42),
+    "boosting": lambda n, sd: GBTRegressor(maxIter=300, maxDepth=3, stepSize=0.05, seed=42),
 }
 
 
-def group_cv(rows: DataFrame, inputs: list[str], models: tuple[str, ...], k: int = 5) -> DataFrame:
-    """rows (entity, grp, y, inputs) predicted out of fold by each model: model, entity, fold, y, predicted. Folds are whole groups."""
-    sizes = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().collect()}  # one row a group
-    fold = F.element_at(F.from_json(F.lit(json.dumps({str(g): f for g, f in balanced_folds(sizes, k).items()})), "map<string,int>"), F.col("grp").cast("string"))
-    data = reused(VectorAssembler(inputCols=inputs, outputCol="features").transform(rows.withColumn("fold", fold)).select("entity", "fold", "y", "features"))
+def out_of_fold(rows: DataFrame, inputs: list[str], models: tuple[str, ...], k: int) -> DataFrame:
+    """rows (entity, fold, y, inputs) predicted by models that were fitted on the other folds: one long frame of model, entity, fold, y, predicted."""
+    data = reused(VectorAssembler(inputCols=inputs, outputCol="features").transform(rows).select("entity", "fold", "y", "features"))
     out = None
-    for f in range(min(k, len(sizes))):
+    for f in range(k):
         train, test = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
         n, sd = train.agg(F.count(F.lit(1)), F.stddev_pop("y")).first()
         for name in models:
@@ -124,6 +125,88 @@ def group_cv(rows: DataFrame, inputs: list[str], models: tuple[str, ...], k: int
     return out
 
 
+def group_cv(rows: DataFrame, inputs: list[str], models: tuple[str, ...], k: int = 5) -> DataFrame:
+    """out_of_fold() of rows (entity, grp, y, inputs). Folds are whole groups."""
+    sizes = {r["grp"]: r["count"] for r in rows.groupBy("grp").count().collect()}  # one row a group
+    fold = F.element_at(F.from_json(F.lit(json.dumps({str(g): f for g, f in balanced_folds(sizes, k).items()})), "map<string,int>"), F.col("grp").cast("string"))
+    return out_of_fold(rows.withColumn("fold", fold), inputs, models, min(k, len(sizes)))
+
+
+def random_folds(rows: DataFrame, k: int) -> DataFrame:
+    """rows with `fold` from a hash of the entity, which SQL can repeat."""
+    return rows.withColumn("fold", (F.pmod(F.col("entity") * 2654435761, F.lit(1000003)) % k).cast("int"))
+
+
+def errors(told: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, r2, rmse, mae of predictions, as one aggregate."""
+    miss = F.col("y") - F.col("predicted")
+    r2 = 1 - F.sum(miss * miss) / F.nullif(F.var_pop("y") * F.count(F.lit(1)), F.lit(0.0))
+    return told.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), r2.alias("r2"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae"))
+
+
+def permuted(rows: DataFrame, inputs: list[str], model, draws: int = 30) -> DataFrame:
+    """input, drop, sd: how much a fitted model's R2 falls on average, over `draws` shuffles of one input's column, and the deviation over shuffles.
+
+    A shuffle gives each row the value of the row at its place in an order by a hash of (entity, draw). All draws and inputs are one long frame that is scored once.
+    """
+    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
+    rows = rows.select("entity", "y", *inputs)
+    whole = errors(model.transform(assembler.transform(rows)), []).select("r2").scalar()
+    at = ranks.in_order(rows, "entity", "entity", descending=False).withColumnRenamed("position", "at")
+    drawn = rows.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws)))).withColumn("h", F.pmod(F.xxhash64("entity", "draw"), F.lit(1 << 40)))
+    given = ranks.in_order(drawn, "h", "entity", by=("draw",)).select("draw", F.col("position").alias("at"), *(F.col(c).alias(f"_{c}") for c in inputs))
+    mixed = at.join(given, "at").withColumn("input", F.explode(F.array(*(F.lit(c) for c in inputs))))
+    mixed = mixed.select("draw", "input", "y", *(F.when(F.col("input") == c, F.col(f"_{c}")).otherwise(F.col(c)).alias(c) for c in inputs))
+    fell = errors(model.transform(assembler.transform(mixed)), ["input", "draw"]).withColumn("drop", whole - F.col("r2"))
+    return fell.groupBy("input").agg(F.avg("drop").alias("drop"), F.stddev_samp("drop").alias("sd"))
+
+
+_PAIRS_XY = FEAT + ", xy AS (SELECT entity, spend AS x, urgent_price AS y, (entity * 2654435761) % 1000003 % 5 AS fold FROM feat WHERE spend IS NOT NULL AND urgent_price IS NOT NULL)"
+
+
+def _one_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return features(spark, sf_dir).where("spend is not null and urgent_price is not null").select("entity", F.col("spend").alias("x"), F.col("urgent_price").alias("y"))
+
+
+@query(_PAIRS_XY + """, f AS (SELECT unnest(range(5)) AS fold), m AS (SELECT f.fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM f JOIN xy ON xy.fold <> f.fold GROUP BY 1),
+p AS (SELECT y, y - a - b * x AS miss FROM xy JOIN m USING (fold)) SELECT 'linear' AS model, count(*) AS n, round(1 - sum(miss * miss) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg(miss * miss)), 3) AS rmse, round(avg(abs(miss)), 3) AS mae FROM p""")
+def kfold_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Out-of-fold errors of a line, five random folds."""
+    told = out_of_fold(random_folds(_one_input(spark, sf_dir), 5), ["x"], ("linear",), 5)
+    return errors(told, ["model"]).select("model", "n", F.round("r2", 6).alias("r2"), F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
+
+
+@query(_PAIRS_XY + ", m AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM xy) SELECT entity, round(a + b * x, 3) AS predicted FROM xy, m")
+def saved_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fitted pipeline written, read again and asked: what was read predicts what the line gives."""
+    rows, folder = _one_input(spark, sf_dir), shared_folder(spark, "model")
+    Pipeline(stages=[VectorAssembler(inputCols=["x"], outputCol="features"), LinearRegression(labelCol="y", predictionCol="predicted", solver="normal")]).fit(rows).write().overwrite().save(folder)
+    return PipelineModel.load(folder).transform(rows).select("entity", F.round("predicted", 3).alias("predicted"))
+
+
+@query()
+def holdout_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """model, n, r2, rmse, mae on the one fold in five that was held out."""
+    rows, inputs = _target(spark, sf_dir)
+    return errors(out_of_fold(random_folds(rows, 5), inputs, ("linear", "ridge", "lasso", "forest"), 1), ["model"])
+
+
+def surrogate(rows: DataFrame, depth: int = 4) -> DataFrame:
+    """One row: depth, nodes, fidelity, share: how well a tree of at most `depth` levels tells the labels of rows (label, features), and the largest label's own share."""
+    model = DecisionTreeClassifier(maxDepth=depth, labelCol="label", predictionCol="told", seed=1).fit(rows)
+    told = model.transform(rows)
+    share = rows.groupBy("label").count().agg(F.max("count") / F.sum("count")).scalar()
+    return told.agg(F.avg((F.col("told") == F.col("label")).cast("double")).alias("fidelity")).select(F.lit(model.depth).alias("depth"), F.lit(model.numNodes).alias("nodes"), "fidelity", share.alias("share"))
+
+
+@query()
+def surrogate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How well a small tree explains the clusters of the embeddings."""
+    rows = table(spark, sf_dir, "embeddings").select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"))
+    told = KMeans(k=4, seed=7, maxIter=10).fit(rows).transform(rows)
+    return surrogate(reused(told.select(F.col("prediction").cast("double").alias("label"), "features")))
+
+
 def _target(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
     inputs = ["discount", "tax", "quantity", "return_share"]
     rows = features(spark, sf_dir).dropna(subset=[*inputs, "spend"]).select("entity", "grp", *inputs, "spend")
@@ -136,8 +219,7 @@ def group_cv_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """model, r2, rho, n of out-of-fold predictions: five balanced folds of whole nations."""
     rows, inputs = _target(spark, sf_dir)
     told = reused(group_cv(rows, inputs, ("linear", "ridge", "lasso")))
-    r2 = 1 - F.sum(F.pow(F.col("y") - F.col("predicted"), 2)) / (F.var_pop("y") * F.count(F.lit(1)))
-    fit = told.groupBy("model").agg(r2.alias("r2"), F.count(F.lit(1)).alias("n"))
+    fit = errors(told, ["model"]).select("model", "r2", "n")
     placed = ranks.average_ranks(told, ["model"], "y").withColumnRenamed("rank", "ry").drop("n")
     placed = ranks.average_ranks(placed, ["model"], "predicted")
     return fit.join(placed.groupBy("model").agg(F.corr("ry", "rank").alias("rho")), "model", "left")
@@ -145,20 +227,11 @@ def group_cv_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """input, drop: how much R2 falls when one input's column is shuffled; each row takes the value of the row at its place in a hashed order."""
+    """input, drop, sd of the linear model over 30 shuffles."""
     rows, inputs = _target(spark, sf_dir)
     rows = reused(rows)
-    assembler = VectorAssembler(inputCols=inputs, outputCol="features")
-    model = LinearRegression(labelCol="y", predictionCol="predicted", solver="normal").fit(assembler.transform(rows))
-    r2 = lambda df: df.agg((1 - F.sum(F.pow(F.col("y") - F.col("predicted"), 2)) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2")).first()["r2"]
-    whole, out = r2(model.transform(assembler.transform(rows))), []
-    key = rows.withColumn("h", F.pmod(F.xxhash64("entity", F.lit(3)), F.lit(1 << 40)))
-    placed = ranks.in_order(ranks.in_order(key, "entity", "entity").withColumnRenamed("position", "at"), "h", "entity")
-    for c in inputs:
-        other = placed.select(F.col("position").alias("at"), F.col(c).alias("_x"))
-        mixed = placed.drop("position").join(other, "at").withColumn(c, F.col("_x"))
-        out.append((c, float(whole - r2(model.transform(assembler.transform(mixed))))))
-    return spark.createDataFrame(out, "input string, drop double")
+    model = LinearRegression(labelCol="y", predictionCol="predicted", solver="normal").fit(VectorAssembler(inputCols=inputs, outputCol="features").transform(rows))
+    return permuted(rows, inputs, model)
 
 
 @query()
