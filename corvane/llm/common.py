@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -20,17 +21,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where it is unset, a session whose executors are threads of this process (tests) gets a temp folder; on a cluster that is an error.
+    Where it is unset, a session whose executors are threads of this process (tests) gets one temp folder; on a cluster that is an error.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="corvane-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        where = local_folder()
     return where.rstrip("/")
 
 
+@lru_cache(maxsize=1)
+def local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corvane-")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Cut lineage: write df as Parquet in the shared folder and read it again, so that a lost executor costs a re-read only."""
     path = f"{shared_dir(df.sparkSession)}/corvane-{uuid.uuid4().hex}"

@@ -1,11 +1,12 @@
 """License scans: ordered signature rules over normalised words, in DataFrame functions only.
 
 A text becomes its lower-cased words, each with a space on either side, so a rule is a regular expression over whole words and its
-places are word numbers. Rules are written by hand (signatures) and gated by a keyword. Detections are intervals of words; one that lies inside another's
+places are word numbers. Rules are written by hand (signatures) and gated by a keyword that each of their matches holds; texts that hold none of a few roots, which
+are derived from the rules, are not looked at. Detections are intervals of words; one that lies inside another's
 interval is suppressed unless its rule has a higher priority (equal intervals of equal priority: the rule listed first stays).
 
-Defined edges: null text is empty and has no words. Repeated rows give repeated results. Texts are scanned whole. Extra
-columns are ignored.
+Defined edges: null text is empty and has no words. Repeated rows give repeated results. An empty table gives an empty
+result. Texts are scanned whole. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,12 +21,6 @@ from .signatures import signatures
 FOLD = 256
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Every rule's match holds one of these: texts without any of them have no detection.
-ROOTS = (
-    "licen", "copyright", "rights reserved", "public domain", "spdx", "creative commons", "creativecommons", "permission", "redistribut", "warrant", "liab", "confidential",
-    "commercial", "use only", "third party", "misrepresented", "invariant sections", "franklin street", "change date", "acknowledgement", "terms", "may not be called", "not evil",
-)
-
 #: The places that the contract counts.
 BASE = [("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license")]
 
@@ -46,6 +41,36 @@ def rules() -> list[tuple[str, str, int, float, str, str]]:
     return own + [(f"base/{label}", label, 1, 0.6, "license", pattern(words)) for label, words in BASE]
 
 
+def held(words: str) -> set[str]:
+    """Substrings of at least five letters that every match of a rule holds: of its fixed words, and what all of a choice's words share."""
+    out = set()
+    for token in words.split():
+        if token.endswith("?") or token == "*":
+            continue
+        first, *others = token.split("|")
+        parts = {first[i:j] for i in range(len(first)) for j in range(i + 5, len(first) + 1)} if others else {first}
+        out |= {p for p in parts if len(p) >= 5 and all(p in o for o in others)}
+    return out
+
+
+#: Words that most prose holds: as roots they would let every text through.
+PLAIN = {"above", "after", "agreed", "between", "other", "their", "these", "under", "which", "without", "written"}
+
+
+def roots() -> list[str]:
+    """A few substrings, by greedy cover: every rule's match holds at least one, so texts without any of them have no detection. A rule's keyword is in all of its matches as well."""
+    left = [(held(words) - PLAIN) | {keyword} for _, _, _, keyword, words in signatures()] + [held(words) - PLAIN for _, words in BASE]
+    out = []
+    while left:
+        counts: dict[str, int] = {}
+        for own in left:
+            for part in own:
+                counts[part] = counts.get(part, 0) + 1
+        out.append(max(counts, key=lambda part: (counts[part], len(part), part)))
+        left = [own for own in left if out[-1] not in own]
+    return sorted(r for r in out if not any(o != r and o in r for o in out))
+
+
 def let(value: Column, body) -> Column:
     """body over a value that is computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -110,7 +135,7 @@ def scan(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",
     rows = docs.select(*keep, words.alias("_words"))
     rows = rows.withColumn("n_words", F.when(F.col("_words") == "", 0).otherwise(F.octet_length("_words") - F.octet_length(F.replace("_words", F.lit(" "), F.lit(""))) + 1).cast("long"))
     likely = F.lit(False)
-    for root in ROOTS:
+    for root in roots():
         likely = likely | F.contains("_words", F.lit(root))
     spaced = F.concat(F.lit(" "), F.replace(F.col("_words"), F.lit(" "), F.lit("  ")), F.lit(" "))
     found = let(spaced, lambda s: F.flatten(F.transform(F.filter(gated, lambda r: F.contains(F.col("_words"), r["keyword"])), lambda r: rule_hits(s, r))))
@@ -156,7 +181,7 @@ def license_digests(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same scan in DuckDB SQL, over the same rule table."""
     values = ",\n".join(f"({n}, '{r}', '{label}', {p}, {c}, '{k}', '{x}')" for n, (r, label, p, c, k, x) in enumerate(rules()))
-    roots = " OR ".join(f"contains(w, '{r}')" for r in ROOTS)
+    roots = " OR ".join(f"contains(w, '{r}')" for r in roots())
     return rf"""
 WITH rules(n, rule, label, priority, confidence, keyword, pattern) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS k, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS w FROM documents),

@@ -39,7 +39,7 @@ isc | 2 | 0.9 | isc | isc license|licence
 isc | 3 | 0.95 | permission | permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted
 0bsd | 3 | 1.0 | 0bsd | spdx license identifier 0bsd
 0bsd | 2 | 0.9 | zero clause | zero clause bsd license?
-0bsd | 2 | 0.9 | 0bsd | bsd zero clause license
+0bsd | 2 | 0.9 | zero clause | bsd zero clause license
 bsd-2-clause | 3 | 1.0 | bsd | spdx license identifier bsd 2 clause
 bsd-2-clause | 2 | 0.9 | bsd | bsd 2|two clause license|licence
 bsd-2-clause | 2 | 0.9 | clause | 2|two clause bsd license|licence
@@ -271,7 +271,7 @@ end-user | 1 | 0.5 | eula | eula license|licence
 site-license | 1 | 0.5 | licen | site license|licence
 source-available | 2 | 0.6 | source available | source available license|licence
 non-commercial | 2 | 0.6 | commercial | for non|no commercial use|purposes only license?
-academic-use | 2 | 0.6 | academic | for academic|research use only license?
+academic-use | 2 | 0.6 | use only | for academic|research use only license?
 license-file | 1 | 0.4 | licen | see the? license|licence|licensing file|text|notice for
 license-file | 1 | 0.4 | licen | found in the license|licence file
 third-party | 1 | 0.4 | third party | third party licenses|license|notices
