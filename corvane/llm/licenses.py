@@ -181,11 +181,11 @@ def license_digests(docs: DataFrame) -> DataFrame:
 def oracle() -> str:
     """The same scan in DuckDB SQL, over the same rule table."""
     values = ",\n".join(f"({n}, '{r}', '{label}', {p}, {c}, '{k}', '{x}')" for n, (r, label, p, c, k, x) in enumerate(rules()))
-    roots = " OR ".join(f"contains(w, '{r}')" for r in roots())
+    likely = " OR ".join(f"contains(w, '{r}')" for r in roots())
     return rf"""
 WITH rules(n, rule, label, priority, confidence, keyword, pattern) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS k, doc_id, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), ' ') AS w FROM documents),
-s AS (SELECT k, w, ' ' || replace(w, ' ', '  ') || ' ' AS s FROM d WHERE {roots}),
+s AS (SELECT k, w, ' ' || replace(w, ' ', '  ') || ' ' AS s FROM d WHERE {likely}),
 m AS (SELECT k, n, rule, label, priority, confidence, regexp_extract_all(s, pattern) AS m, string_split_regex(s, pattern) AS p FROM s, rules WHERE contains(w, keyword)),
 u AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM m WHERE len(m) > 0),
 c AS (SELECT *, list_transform(m, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS mw, list_transform(p, lambda x: (length(x) - length(replace(x, ' ', ''))) // 2) AS pw FROM u),
