@@ -19,8 +19,9 @@ from ..functions import columns as C
 from ..functions.special import chi2_tail
 from ..operators import matrix, ranks, stats
 from ..operators.storage import shared_folder
-from .base import FEAT, IMPUTED, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
-from .index import scored
+from .base import FEAT, INDEX, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
+from .index import quality, scored, sized
+from .validation import draw_weight, factors_sql, uniform
 
 
 def correlation_matrix(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -287,56 +288,64 @@ METHODS, NONE = ["rank", "minmax", "z"], "none"
 ARMS = 400
 
 
-def arm(draw: int, indicators: list[str]) -> tuple[str, bool, str]:
-    """A draw's normaliser, whether its mean is geometric, and the indicator that it leaves out."""
-    return METHODS[draw % 3], draw // 3 % 2 == 0, [*indicators, NONE][draw % (len(indicators) + 1)]
+def arm(draw: int) -> tuple[str, bool, int]:
+    """A draw's normaliser, whether size and quality meet by a geometric mean, and the number that picks what is left out: each axis by a hash of its own, so all combinations occur."""
+    return METHODS[int(uniform(draw, "method") * 3)], uniform(draw, "mean") < 0.5, int(uniform(draw, "left out") * 2**40)
 
 
-_FOUR = IMPUTED + f""", st AS (SELECT indicator, min(value) AS a, max(value) AS z, avg(value) AS m, CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END AS s FROM imp GROUP BY 1),
+_ARMS = "(VALUES " + ", ".join("({}, '{}', {}, {}::BIGINT)".format(d, *arm(d)) for d in range(ARMS)) + ") v(draw, method, geo, pick)"
+_FOUR = INDEX + f""", st AS (SELECT indicator, min(value) AS a, max(value) AS z, avg(value) AS m, CASE WHEN stddev_samp(value) > 0 THEN stddev_samp(value) ELSE 1 END AS s FROM imp GROUP BY 1),
 nrm AS (SELECT 'rank' AS method, entity, indicator, pillar, 100 * CASE WHEN direction < 0 THEN 1 - r ELSE r END AS score FROM (SELECT *, {pct_rank_sql('value', 'indicator')} AS r FROM imp) JOIN tree USING (indicator)
  UNION ALL SELECT 'minmax', entity, indicator, pillar, CASE WHEN direction < 0 THEN 100 - x ELSE x END FROM (SELECT imp.*, CASE WHEN z > a THEN 100 * (value - a) / (z - a) ELSE 50.0 END AS x FROM imp JOIN st USING (indicator)) JOIN tree USING (indicator)
  UNION ALL SELECT 'z', entity, indicator, pillar, 50 + direction * 10 * (value - m) / s FROM imp JOIN st USING (indicator) JOIN tree USING (indicator)),
 ix AS (SELECT indicator, row_number() OVER (ORDER BY indicator) - 1 AS i FROM (SELECT DISTINCT indicator FROM imp)), k AS (SELECT count(*) AS k FROM ix),
-dr AS (SELECT draw, CASE draw % 3 WHEN 0 THEN 'rank' WHEN 1 THEN 'minmax' ELSE 'z' END AS method, (draw // 3) % 2 = 0 AS geo, coalesce((SELECT indicator FROM ix, k WHERE i = draw % (k.k + 1)), 'none') AS gone FROM (SELECT unnest(range({ARMS})) AS draw)),
+dr AS (SELECT draw, method, geo, coalesce(indicator, 'none') AS gone FROM (SELECT v.*, pick % (k + 1) AS i FROM {_ARMS}, k) LEFT JOIN ix USING (i)),
 combos AS (SELECT DISTINCT method, gone FROM dr), pa AS (SELECT c.method, c.gone, entity, pillar, avg(score) AS p FROM nrm JOIN combos c ON c.method = nrm.method AND nrm.indicator <> c.gone GROUP BY ALL),
-w AS (SELECT d.*, v.pillar, v.b * (0.75 + ((d.draw * 7919 + v.i * 104729) % 1000) / 2000.0) AS w FROM dr d, (VALUES ('returns', 0, 0.5), ('pricing', 1, 0.3), ('demand', 2, 0.2)) v(pillar, i, b)),
-sc AS (SELECT draw, entity, round(CASE WHEN geo THEN exp(sum(w * ln(greatest(p, 1.0))) / sum(w)) ELSE sum(w * p) / sum(w) END, 7) AS s FROM w JOIN pa USING (method, gone, pillar) GROUP BY draw, geo, entity),
+fq AS (SELECT draw, geo, entity, CASE WHEN sum(w * f) > 0 THEN sum(w * f * p) / sum(w * f) ELSE sum(p) / {len(PILLARS)} END AS q
+  FROM dr JOIN {factors_sql(ARMS)} USING (draw) JOIN pa USING (method, gone, pillar) JOIN (SELECT entity, pillar, w FROM live) USING (entity, pillar) GROUP BY ALL),
+sc AS (SELECT draw, entity, round(CASE WHEN geo THEN 100 * pow(greatest(least(size, 100.0), 1.0) / 100, 0.5) * pow(greatest(least(q, 100.0), 1.0) / 100, 0.5) ELSE 0.5 * size + 0.5 * q END, 7) AS s FROM fq JOIN siz USING (entity)),
 rk AS (SELECT draw, entity, row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS r FROM sc)"""
 
 
 def four_axis_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw, entity, r: weights within a quarter of their size, three normalisers, two means, and one indicator or none left out.
+    """draw, entity, r by the whole index: weights within a quarter of their size, three normalisers, two means of size and quality, and one indicator or none left out.
 
-    Each (normaliser, left-out) pair has its pillars once, from sums and counts; draws are an array beside a pair's wide rows, so no score is shuffled.
+    An entity has one row a normaliser, with each pillar's sum and count; what is left out is taken from these, and draws are an array beside it, so no cell is copied for an
+    indicator and no score is shuffled before it is ranked.
     """
     cells = imputed(spark, sf_dir).join(tree(spark), "indicator")
     each = [matrix.NORMALISERS[m](cells, F.col("direction")).select(F.lit(m).alias("method"), "entity", "indicator", "pillar", "score") for m in METHODS]
-    rows = reused(each[0].unionByName(each[1]).unionByName(each[2]))
+    rows = each[0].unionByName(each[1]).unionByName(each[2])
+    own = lambda p, x: F.when(F.col("pillar") == p, x)
+    wide = rows.groupBy("method", "entity").agg(
+        *(F.sum(own(p, F.col("score"))).alias(f"s_{p}") for p in PILLARS), *(F.count(own(p, F.col("score"))).alias(f"n_{p}") for p in PILLARS),
+        F.collect_list(F.struct("indicator", "pillar", "score")).alias("cells"),  # as many as indicators
+    )
+    flags = quality(spark, sf_dir).select("entity", *(f"{p}_b" for p in PILLARS))
+    wide = reused(wide.join(flags, "entity").join(sized(spark, sf_dir).select("entity", "size"), "entity"))
     names = sorted(r["indicator"] for r in gated(spark, sf_dir).select("indicator").distinct().collect())
-    gone = F.explode(F.array(*(F.lit(n) for n in [*names, NONE]))).alias("gone")
-    pairs = rows.select("method", "entity", "pillar", "indicator", "score", gone).where("indicator <> gone").groupBy("method", "gone", "entity").pivot("pillar", PILLARS).agg(F.avg("score"))
     draws: dict[str, list] = {}
     for d in range(ARMS):
-        method, geometric, left = arm(d, names)
-        draws.setdefault(f"{method}|{left}", []).append({"draw": d, "geo": geometric} | {f"w_{p}": WEIGHTS[p] * (0.75 + ((d * 7919 + i * 104729) % 1000) / 2000) for i, p in enumerate(PILLARS)})
+        method, geometric, pick = arm(d)
+        left = [*names, NONE][pick % (len(names) + 1)]
+        draws.setdefault(f"{method}|{left}", []).append({"draw": d, "geo": geometric} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, p) for p in PILLARS})
     shape = "map<string,array<struct<draw:int,geo:boolean," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>>"
-    own = pairs.withColumn("d", F.explode(F.try_element_at(F.from_json(F.lit(json.dumps(draws)), shape), F.concat_ws("|", "method", "gone"))))
-    there = lambda p, x: F.when(F.col(p).isNotNull(), F.col(f"d.w_{p}") * x).otherwise(0.0)
-    w = sum(there(p, F.lit(1.0)) for p in PILLARS)
-    geometric = F.exp(sum(there(p, F.log(F.greatest(F.col(p), F.lit(1.0)))) for p in PILLARS) / w)
-    plain = sum(there(p, F.coalesce(F.col(p), F.lit(0.0))) for p in PILLARS) / w
-    scores = own.select("d.draw", "entity", F.round(F.when(F.col("d.geo"), geometric).otherwise(plain), 7).alias("s"))
-    return ranks.in_order(reused(scores), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r"))
-
-
-@query(_FOUR + ", base AS (SELECT entity FROM rk WHERE draw = (SELECT min(draw) FROM dr WHERE gone = 'none') AND r <= 50) SELECT CAST(draw AS BIGINT) AS draw, count(*) AS overlap FROM rk JOIN base USING (entity) WHERE r <= 50 GROUP BY 1")
+    whole = F.array(F.struct(F.lit(NONE).alias("indicator"), F.lit(NONE).alias("pillar"), F.lit(0.0).alias("score")))
+    gone = wide.withColumn("g", F.explode(F.concat("cells", whole))).drop("cells")
+    hit = lambda p: F.col("g.pillar") == p
+    mean = lambda p: (F.col(f"s_{p}") - F.when(hit(p), F.col("g.score")).otherwise(0.0)) / F.nullif(F.col(f"n_{p}") - hit(p).cast("int"), F.lit(0))
+    asked = F.explode(F.try_element_at(F.from_json(F.lit(json.dumps(draws)), shape), F.concat_ws("|", "method", "g.indicator")))
+    drawn = gone.select("entity", "size", *(f"{p}_b" for p in PILLARS), *(mean(p).alias(f"{p}_p") for p in PILLARS), asked.alias("d"))
+    drawn = drawn.withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
+    score = F.when(F.col("d.geo"), C.geometric("size", "q", 0.5)).otherwise(0.5 * F.col("size") + 0.5 * F.col("q"))
+    return ranks.in_order(reused(drawn.select("d.draw", "entity", F.round(score, 7).alias("s"))), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r"))
+
+
+@query(_FOUR + ", base AS (SELECT entity FROM (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score) WHERE r <= 50) SELECT CAST(draw AS BIGINT) AS draw, count(*) AS overlap FROM rk JOIN base USING (entity) WHERE r <= 50 GROUP BY 1")
 def mc_four_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How much of the top 50 of the first draw with all indicators each of the 400 draws keeps."""
-    r = reused(four_axis_ranks(spark, sf_dir).where("r <= 50"))
-    names = sorted(x["indicator"] for x in gated(spark, sf_dir).select("indicator").distinct().collect())
-    first = next(d for d in range(ARMS) if arm(d, names)[2] == NONE)
-    base = r.where(F.col("draw") == first).select("entity")
-    return r.join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
+    """How much of the index's top 50 each of the 400 draws keeps."""
+    base = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
+    return four_axis_ranks(spark, sf_dir).where("r <= 50").join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
 
 
 STRATEGIES = {"group_median": matrix.impute, "overall_median": matrix.impute_overall, "neighbours": matrix.impute_neighbours, "listwise": matrix.listwise}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from ..functions import columns as C
 from ..operators import matrix, ranks, stats
 from ..operators.order_statistics import medians
 from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
-from .index import scored
+from .index import quality, scored, sized
 
 
 @query(FEAT + f"""SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT {pct_rank_sql('spend')} AS a, {pct_rank_sql('urgent_price')} AS b FROM feat WHERE spend IS NOT NULL AND urgent_price IS NOT NULL)""")
@@ -198,23 +199,42 @@ def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 DRAWS = 300
 
 
-def draw_weight(draw: int, pillar: int) -> float:
-    """A weight factor in [0.75, 1.25], by a fixed rule that SQL has too."""
-    return 0.75 + ((draw * 7919 + pillar * 104729) % 1000) / 2000
+SEED = 42
 
 
-_DRAWS = ", draws AS (SELECT d.draw, p.pillar, b * (0.75 + ((d.draw * 7919 + p.i * 104729) % 1000) / 2000.0) AS w FROM (SELECT unnest(range(300)) AS draw) d, (VALUES ('returns', 0, 0.5), ('pricing', 1, 0.3), ('demand', 2, 0.2)) p(pillar, i, b))"
-_MC = PILLAR + _DRAWS + """, mc AS (SELECT draw, entity, round(sum(w * score) / sum(w), 9) AS s FROM pil JOIN draws USING (pillar) GROUP BY ALL),
+def uniform(draw: int, what: str) -> float:
+    """A number in [0, 1) for a draw and an axis, by a hash of both and the seed: any draw can be had without those before it."""
+    return int(hashlib.sha256(f"{SEED}:{draw}:{what}".encode()).hexdigest()[:12], 16) / 16**12
+
+
+def draw_weight(draw: int, pillar: str) -> float:
+    """A weight factor in [0.75, 1.25), each pillar's by itself."""
+    return 0.75 + uniform(draw, pillar) / 2
+
+
+def factors_sql(n: int) -> str:
+    return "(VALUES " + ", ".join(f"({d}, '{p}', {draw_weight(d, p)!r}::DOUBLE)" for d in range(n) for p in PILLARS) + ") f(draw, pillar, f)"
+
+
+def mc_sql(n: int) -> str:
+    """mr: draw, entity and rank by the whole index, weights drawn anew."""
+    clip = lambda x: f"greatest(least({x}, 100.0), 1.0) / 100"
+    return INDEX + f""", mq AS (SELECT draw, entity, CASE WHEN sum(w * f) > 0 THEN sum(w * f * score) / sum(w * f) ELSE sum(score) / {len(PILLARS)} END AS q FROM live JOIN {factors_sql(n)} USING (pillar) GROUP BY ALL),
+mc AS (SELECT draw, entity, round(100 * pow({clip('size')}, 0.5) * pow({clip('q')}, 0.5), 9) AS s FROM mq JOIN siz USING (entity)),
 mr AS (SELECT draw, entity, CAST(row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS BIGINT) AS r FROM mc)"""
 
 
+_MC = mc_sql(DRAWS)
+
+
 def _mc_ranks(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> DataFrame:
-    """draw, entity, r: pillars are normalised once; a draw only weighs them anew."""
-    wide = reused(matrix.pillars(imputed(spark, sf_dir), tree(spark)).groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score")))
-    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, i) for i, p in enumerate(PILLARS)} for d in range(n)]
+    """draw, entity, r by the whole index: size and pillars are made once, a draw only weighs the pillars anew; blocked pillars stay blocked."""
+    parts = quality(spark, sf_dir).select("entity", *(f"{p}_{x}" for p in PILLARS for x in "pb"))
+    wide = reused(parts.join(sized(spark, sf_dir).select("entity", "size"), "entity"))
+    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, p) for p in PILLARS} for d in range(n)]
     draws = F.from_json(F.lit(json.dumps(rows)), "array<struct<draw:int," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>")
-    each = wide.withColumn("d", F.explode(draws)).select("entity", "d.draw", sum(F.col(f"d.w_{p}") * F.col(p) for p in PILLARS).alias("t"), sum(F.col(f"d.w_{p}") for p in PILLARS).alias("w"))
-    scores = each.select("draw", "entity", F.round(F.col("t") / F.col("w"), 9).alias("s"))
+    each = wide.withColumn("d", F.explode(draws)).withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
+    scores = each.select("d.draw", "entity", F.round(C.geometric("size", "q", 0.5), 9).alias("s"))
     return reused(ranks.in_order(reused(scores), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r")))
 
 
@@ -227,7 +247,7 @@ def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 V1_DRAWS = 500
 
 
-@query(_MC.replace(f"range({DRAWS})", f"range({V1_DRAWS})") + " SELECT entity, CAST(floor(round(quantile_cont(r, 0.05), 4)) AS BIGINT) AS lo, CAST(floor(round(quantile_cont(r, 0.95), 4)) AS BIGINT) AS hi FROM mr GROUP BY 1")
+@query(mc_sql(V1_DRAWS) + " SELECT entity, CAST(floor(round(quantile_cont(r, 0.05), 4)) AS BIGINT) AS lo, CAST(floor(round(quantile_cont(r, 0.95), 4)) AS BIGINT) AS hi FROM mr GROUP BY 1")
 def v1_rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first generation's intervals: 500 draws of weights only, both ends cut to whole ranks."""
     q = F.percentile("r", F.array(F.lit(0.05), F.lit(0.95)))
@@ -235,13 +255,11 @@ def v1_rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mc_ranks(spark, sf_dir, V1_DRAWS).groupBy("entity").agg(q.alias("q")).select("entity", end(0).alias("lo"), end(1).alias("hi"))
 
 
-@query(_MC + """, base AS (SELECT entity, row_number() OVER (ORDER BY s DESC, entity) AS r FROM (SELECT entity, round(sum(w * score) / sum(w), 9) AS s FROM pil JOIN (VALUES ('returns', 0.5), ('pricing', 0.3), ('demand', 0.2)) v(pillar, w) USING (pillar) GROUP BY 1))
-SELECT mr.draw, count(*) AS overlap, round(count(*) / 50.0, 6) AS stability FROM mr JOIN base USING (entity) WHERE mr.r <= 50 AND base.r <= 50 GROUP BY 1""")
+@query(_MC + """, base AS (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score)
+SELECT CAST(mr.draw AS BIGINT) AS draw, count(*) AS overlap, round(count(*) / 50.0, 6) AS stability FROM mr JOIN base USING (entity) WHERE mr.r <= 50 AND base.r <= 50 GROUP BY 1""")
 def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Weights within a quarter of their size: how much of the top 50 stays."""
-    weights = spark.createDataFrame([("returns", 0.5), ("pricing", 0.3), ("demand", 0.2)], "pillar string, w double")
-    base = matrix.pillars(imputed(spark, sf_dir), tree(spark)).join(F.broadcast(weights), "pillar").groupBy("entity").agg(F.round(F.sum(F.col("w") * F.col("score")) / F.sum("w"), 9).alias("s"))
-    top = base.orderBy(F.col("s").desc(), "entity").limit(50).select("entity")
+    """Weights within a quarter of their size: how much of the index's top 50 stays."""
+    top = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
     both = _mc_ranks(spark, sf_dir).where("r <= 50").join(top, "entity").groupBy("draw").agg(F.count(F.lit(1)).alias("overlap"))
     return both.select(F.col("draw").cast("long").alias("draw"), "overlap", F.round(F.col("overlap") / 50.0, 6).alias("stability"))
 
