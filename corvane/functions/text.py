@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from .columns import col
 
 #: Letters of Latin blocks that decompose into one base letter and marks, and their base letters.
-_BASES = {c: d[0] for c in map(chr, range(0xC0, 0x250)) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])}
+_BASES = {c: d[0] for c in map(chr, [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]) if len(d := unicodedata.normalize("NFD", c)) > 1 and all(unicodedata.combining(x) for x in d[1:])}
 
 
 def without_diacritics(x: Column | str) -> Column:

@@ -241,7 +241,7 @@ def nearest_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The least edit distance within a block, ties to the first name."""
     part = table(spark, sf_dir, "part")
     spine = part.groupBy(F.col("p_brand").alias("block"), F.col("p_name").alias("nname")).agg(F.min("p_partkey").alias("code"))
-    labels = part.select(F.col("p_brand").alias("block"), F.substring("p_name", 2, 1000).alias("label")).distinct()
+    labels = part.select(F.col("p_brand").alias("block"), F.expr("substring(p_name, 2)").alias("label")).distinct()
     best = labels.join(spine, "block").groupBy("block", "label").agg(F.min(F.struct(F.levenshtein("label", "nname").cast("long").alias("d"), "nname", "code")).alias("b"))
     return best.select("block", "label", "b.d", "b.code")
 

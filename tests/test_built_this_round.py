@@ -238,3 +238,9 @@ def test_points_find_their_polygons(spark):
     points = [(i, rng.uniform(-8, 12), rng.uniform(-8, 12)) for i in range(400)] + [(900, 300.0, -250.0), (901, None, 1.0)]
     found = shapes.assign_points(spark.createDataFrame(points, "point long, x double, y double"), spark.createDataFrame(polygons, "id long, rings array<array<array<double>>>"), 0.15, 0.7)
     assert {r["point"]: (r["id"], r["how"]) for r in found.collect()} == {i: plain_place(x, y, polygons, 0.15) for i, x, y in points if x is not None}
+
+
+def test_diacritics_of_both_latin_blocks(spark):
+    said = [("Ệ ộ Ạ ś Ñ ǘ ẅ é", "E o A s N u w e"), ("Łß ﬁ", "Łß ﬁ"), (None, None), ("", "")]
+    rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(said)], "i int, x string")
+    assert [r["y"] for r in rows.select("i", text.without_diacritics("x").alias("y")).orderBy("i").collect()] == [y for _, y in said]
