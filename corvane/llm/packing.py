@@ -3,9 +3,10 @@
 Each document is its token ids and a closing id 0. Only documents longer than `capacity` are cut, the first piece takes the
 remainder. The program sees the histogram of piece lengths (at most `capacity` rows, whatever the input). Its fractional solution grows by
 rounds: lengths that lag behind weigh more, a knapsack by dynamic programming prices all capacities at these weights, and
-configurations within `slack` of the best price are taken in fractional amounts. Any round's prices also bound what any packing needs.
-The solution is then rounded: the configurations used most keep whole amounts, as many of them as leave the fewest sequences once best
-fit decreasing has packed what is left over. Slots of a length are ranges of ranks, so pieces find their place by a distributed rank.
+configurations within `slack` of the best price are taken in fractional amounts, each filled to the last token where a longer piece allows it.
+Any round's prices also bound what any packing needs. The solution is then rounded to whole amounts. Configurations keep theirs from the
+fullest on, as many as leave the fewest sequences once best fit decreasing has packed what is left over (among equals, the most).
+Slots of a length are ranges of ranks, so pieces find their place by a distributed rank.
 
 Defined edges: a null or empty text is one piece of one token. Repeated rows are packed like any others. An empty table gives an empty
 result. Extra columns are ignored. A text is tokenized whole; its memory is what one task needs at least. A special token's string in a
@@ -109,7 +110,18 @@ def configuration(value: np.ndarray, best: np.ndarray, free: np.ndarray, capacit
             break
         own[length] = own.get(length, 0) + 1
         worth, room = worth + value[length], room - length
-    return own if own and worth >= least else None
+    return filled(own, value, free, room) if own and worth >= least else None
+
+
+def filled(own: dict[int, int], value: np.ndarray, free: np.ndarray, room: int) -> dict[int, int]:
+    """A configuration with `room` tokens to spare, one of its pieces exchanged for the longest free one that still fits."""
+    for gap in range(room, 0, -1):
+        shorter = [i for i in own if free[i + gap] > own.get(i + gap, 0)]
+        if shorter:
+            i = max(shorter, key=lambda i: (value[i + gap] - value[i], i))
+            out = own | {i: own[i] - 1, i + gap: own.get(i + gap, 0) + 1}
+            return {k: n for k, n in out.items() if n}
+    return own
 
 
 def own_counts(own: dict[int, int], room: int) -> np.ndarray:
@@ -120,18 +132,19 @@ def own_counts(own: dict[int, int], room: int) -> np.ndarray:
     return out
 
 
-def fractional(demand: np.ndarray, capacity: int, slack: float = 0.02, eta: float = 2.0, tilt: float = 0.2, rounds: int = 300, each: int = 60) -> tuple[dict[Config, float], float]:
+def fractional(demand: np.ndarray, capacity: int, slack: float = 0.02, eta: float = 2.0, tilt: float = 1.0, rounds: int = 500, each: int = 100) -> tuple[dict[Config, float], float]:
     """(amount of each configuration, lower bound): the covering program min sum(x) with every length's demand met.
 
-    Weights are exp(eta * share still to cover); a round takes up to `each` configurations, none beyond half of what a length still needs. Any
+    It ends once 1 % of the tokens are left. Weights are exp(eta * share still to cover); a round takes up to `each` configurations, none beyond half of what a length still needs. Any
     prices y give the bound sum(demand * y) / (best price of a configuration), as the program's dual.
     """
     share = np.arange(capacity + 1) / capacity
     start, left, total = np.maximum(demand, 1).astype(float), demand.astype(float), float(demand.sum())
+    tokens = float((demand * share).sum())
     amounts: dict[Config, float] = {}
-    bound = float((demand * share).sum())
+    bound = tokens
     for _ in range(rounds):
-        if left.sum() <= 0.01 * total:
+        if (left * share).sum() <= 0.01 * tokens:
             break
         value = np.where(left > 0, share * (1 + tilt * share) * np.exp(eta * (left / start - left.sum() / total)), 0.0)
         best = price(value, capacity)
@@ -166,25 +179,28 @@ def rounded(demand: np.ndarray, amounts: dict[Config, float]) -> list[tuple[Conf
     return out
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, cuts: int = 8) -> tuple[list[tuple[Config, int]], int]:
-    """([(configuration as ((length, copies), ...), multiplicity)] that packs the histogram exactly, a bound that no packing is below)."""
+def solve(histogram: dict[int, int], capacity: int = CAPACITY, cuts: int = 16) -> tuple[list[tuple[Config, int]], int, int]:
+    """([(configuration as ((length, copies), ...), multiplicity)] that packs the histogram exactly, a bound that no packing is below, how many of its sequences the program gave)."""
     demand = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in histogram.items():
         demand[length] += n
     whole = int(demand[capacity])
     demand[capacity] = 0
     amounts, bound = fractional(demand, capacity) if demand.any() else ({}, 0.0)
-    groups, found = rounded(demand, amounts), None
+    waste = lambda config: capacity - sum(i * k for i, k in config)
+    groups = sorted(rounded(demand, amounts), key=lambda g: (waste(g[0]), sum(k for _, k in g[0]), g[0]))  # full ones first, small pieces left to what is packed last
+    found, given, need = [], 0, None
     for part in range(cuts + 1):  # how far rounding goes: what packs into the fewest sequences
         kept, rest = groups[: len(groups) * part // cuts], demand.copy()
         for config, times in kept:
             for i, k in config:
                 rest[i] -= k * times
         packed = kept + best_fit(rest, capacity)
-        if found is None or sum(n for _, n in packed) <= sum(n for _, n in found):
-            found = packed
+        n = sum(times for _, times in packed)
+        if need is None or n <= need:
+            found, given, need = packed, sum(times for _, times in kept), n
     full = [(((capacity, 1),), whole)] if whole else []
-    return full + found, whole + math.ceil(bound - 1e-6)
+    return full + found, whole + math.ceil(bound - 1e-6), given
 
 
 def best_fit(demand: np.ndarray, capacity: int) -> list[tuple[Config, int]]:

@@ -142,7 +142,7 @@ def test_configuration_program(kind):
     rng = np.random.default_rng(6)
     lengths = {"wide": rng.integers(1, 257, 3000), "middle": np.clip(rng.normal(90, 30, 3000).astype(int), 1, 256), "halves": rng.integers(80, 140, 2000), "few": rng.integers(1, 257, 40), "none": np.full(7, 256)}[kind]
     histogram = np.bincount(lengths, minlength=257)
-    groups, bound = packing.solve(dict(enumerate(histogram.tolist())), 256)
+    groups, bound, given = packing.solve(dict(enumerate(histogram.tolist())), 256)
     used = np.zeros(257, dtype=int)
     for config, times in groups:
         assert sum(i * k for i, k in config) <= 256 and times > 0
@@ -152,6 +152,8 @@ def test_configuration_program(kind):
     assert (used == histogram).all() and bound <= n <= plain
     if kind == "halves":
         assert n < plain
+    if kind in ("wide", "middle", "halves"):
+        assert given > n / 2  # the program gives most sequences, best fit packs what is left
     amounts, low = packing.fractional(histogram * (np.arange(257) < 256), 256)
     share = np.zeros(257)
     for config, amount in amounts.items():
@@ -401,3 +403,19 @@ def test_lines_over_borders(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
     got = {r["doc_id"]: r["n_dropped"] for r in lines.line_digests(docs).collect()}
     assert got == {i: 2 if i < 399 else 0 for i in range(400)}
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_program_gives_most_sequences(sf):
+    """On the fixtures' own lengths: never above best fit, within two of the bound, and over half of the sequences are the program's."""
+    import public_tokenizers
+    import pyarrow.parquet as pq
+
+    coder, histogram = packing.TextTokenizer(public_tokenizers.path(packing.TOKENIZER)), np.zeros(2049, dtype=np.int64)
+    for text in pq.read_table(f"/root/testdata/sf{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        for length in packing.cut_lengths(len(coder.encode(text or "")) // 4 + 1, 2048):
+            histogram[length] += 1
+    groups, bound, given = packing.solve(dict(enumerate(histogram.tolist())))
+    n = sum(times for _, times in groups)
+    assert bound <= n <= bound + 2 and n <= sum(times for _, times in packing.best_fit(histogram.copy(), 2048))
+    assert given > (n - histogram[2048]) / 2
