@@ -346,29 +346,3 @@ def mc_four_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the index's top 50 each of the 400 draws keeps."""
     base = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
     return four_axis_ranks(spark, sf_dir).where("r <= 50").join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
-
-
-STRATEGIES = {"group_median": matrix.impute, "overall_median": matrix.impute_overall, "neighbours": matrix.impute_neighbours, "listwise": matrix.listwise}
-
-
-@query()
-def imputation_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """a, b, n, rho, own_churn, fixed_churn of each pair of imputation strategies: rank correlation over common entities, and the share whose tier
-    changes, by each strategy's own quartile edges and by those of the production scores."""
-    cells, edges = gated(spark, sf_dir), ranks.quartile_edges(scored(spark, sf_dir), "overall")
-    arms = None
-    for name, fill in STRATEGIES.items():
-        pillars = matrix.pillars(fill(cells).select("entity", "indicator", "value"), tree(spark))
-        wide = pillars.groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score"))
-        score = sum(WEIGHTS[p] * F.coalesce(p, F.lit(0.0)) for p in PILLARS)
-        own = wide.select("entity", F.round(score, 9).alias("s"))
-        own = ranks.with_scalar(own, ranks.quartile_edges(own, "s")).withColumn("own_tier", C.tier("s", "edges")).drop("edges")
-        own = ranks.with_scalar(own, edges).withColumn("fixed_tier", C.tier("s", "edges")).drop("edges").withColumn("strategy", F.lit(name))
-        arms = own if arms is None else arms.unionByName(own)
-    arms = reused(arms)
-    a, b = (arms.select("entity", *(F.col(c).alias(f"{c}_{x}") for c in ("strategy", "s", "own_tier", "fixed_tier"))) for x in "ab")
-    pairs = reused(a.join(b, "entity").where("strategy_a < strategy_b").withColumn("pair", F.concat_ws("|", "strategy_a", "strategy_b")))
-    placed = ranks.average_ranks(pairs, ["pair"], "s_a").withColumnRenamed("rank", "ra").drop("n")
-    placed = ranks.average_ranks(placed, ["pair"], "s_b").withColumnRenamed("rank", "rb")
-    changed = lambda c: F.avg((F.col(f"{c}_a") != F.col(f"{c}_b")).cast("double"))
-    return placed.groupBy(F.col("strategy_a").alias("a"), F.col("strategy_b").alias("b")).agg(F.count(F.lit(1)).alias("n"), F.corr("ra", "rb").alias("rho"), changed("own_tier").alias("own_churn"), changed("fixed_tier").alias("fixed_churn"))

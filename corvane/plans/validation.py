@@ -264,28 +264,6 @@ def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.col("draw").cast("long").alias("draw"), "overlap", F.round(F.col("overlap") / 50.0, 6).alias("stability"))
 
 
-@query(PILLAR + """, loo AS (SELECT d.indicator AS left_out, n.entity, n.pillar, avg(n.score) AS score FROM norm n, (SELECT DISTINCT indicator FROM norm) d WHERE n.indicator <> d.indicator GROUP BY ALL),
-s AS (SELECT left_out, entity, round(avg(score), 9) AS s FROM loo GROUP BY ALL UNION ALL SELECT '', entity, round(avg(score), 9) FROM pil GROUP BY ALL),
-r AS (SELECT left_out, entity, row_number() OVER (PARTITION BY left_out ORDER BY s DESC, entity) AS r FROM s)
-SELECT a.left_out, CAST(max(abs(a.r - b.r)) AS BIGINT) AS max_shift, round(avg(abs(a.r - b.r)), 6) AS mean_shift FROM r a JOIN r b ON a.entity = b.entity AND b.left_out = '' WHERE a.left_out <> '' GROUP BY 1""")
-def loo_shift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each indicator left out in turn: from a pillar's sum and count, without normalising again."""
-    cells = ranks.percent_ranks(imputed(spark, sf_dir).join(tree(spark), "indicator"), ["indicator"], "value", F.col("direction")).select("entity", "indicator", "pillar", "score")
-    cells = reused(cells)
-    sums = cells.groupBy("entity", "pillar").agg(F.sum("score").alias("s"), F.count("score").alias("n"))
-    gone = cells.select("entity", "pillar", "indicator", F.col("score").alias("x"))
-    # the pillar of the left-out indicator changes, the others stay
-    others = sums.groupBy("entity").agg(F.sum(F.col("s") / F.col("n")).alias("all"), F.count(F.lit(1)).alias("k"))
-    arm = gone.join(sums, ["entity", "pillar"]).join(others, "entity")
-    without = F.col("all") - F.col("s") / F.col("n") + F.when(F.col("n") > 1, (F.col("s") - F.col("x")) / F.nullif(F.col("n") - 1, F.lit(0))).otherwise(0.0)
-    arms = arm.select(F.col("indicator").alias("left_out"), "entity", F.round(without / (F.col("k") - F.when(F.col("n") > 1, 0).otherwise(1)), 9).alias("v"))
-    arms = arms.unionByName(others.select(F.lit("").alias("left_out"), "entity", F.round(F.col("all") / F.col("k"), 9).alias("v")))
-    r = reused(ranks.in_order(reused(arms), "v", "entity", by=("left_out",)).withColumnRenamed("position", "r"))
-    both = r.where("left_out <> ''").join(r.where("left_out = ''").select("entity", F.col("r").alias("b")), "entity")
-    d = F.abs(F.col("r") - F.col("b"))
-    return both.groupBy("left_out").agg(F.max(d).cast("long").alias("max_shift"), F.round(F.avg(d), 6).alias("mean_shift"))
-
-
 BOOTSTRAPS = 150
 
 
