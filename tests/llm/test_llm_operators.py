@@ -212,19 +212,6 @@ def test_sentencepiece_long_word():
     assert got == library.SentencePieceProcessor(model_file=public_tokenizers.path(sentencepiece.MODEL)).encode(word)
 
 
-def test_pipeline(spark):
-    corpus_pipeline = pytest.importorskip("corpus_pipeline")
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
-        assert out.count() <= docs.count()
-        docs = spark.createDataFrame(out.collect(), docs.schema)
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
-    assert {r["doc_id"] for r in packed.select("doc_id").collect()} == {r["doc_id"] for r in docs.select("doc_id").collect()}
-
-
 def test_language_id_learns_from_copies_and_long_texts(spark):
     """Languages that are one text in many copies, or only long texts, have dictionaries too."""
     rows = [(f"l{k}", f"only text of language number {k}") for k in range(8) for _ in range(3000)]
