@@ -74,19 +74,24 @@ def optional_table(spark: SparkSession, path: str, schema: str) -> tuple[DataFra
     return found.select(*(F.col(f.name).cast(f.dataType) for f in want)), True
 
 
-def ordered_digest(rows: DataFrame, key: str, order: str, content: str, bits: int = 8) -> DataFrame:
+def ordered_digest(rows: DataFrame, key: str, order: str, content: str, bits: int = 8, levels: int | None = None) -> DataFrame:
     """<key>, digest: one hash of each key's rows in the order of `order` (whole numbers), as a tree over ranges of it.
 
     A leaf hashes the rows whose order lies in one range of 2^bits numbers, a node 2^bits ranges, and so on to the root. Ranges are fixed by the numbers, so neither partitioning nor
     the order of arrival changes a digest, and a changed row changes only the nodes above it. Rows of one number are taken in the order of their hashes. No key's rows
-    are gathered, only one range's. A null content differs from an empty one; rows without key or order are left out.
+    are gathered, only one range's. A null content differs from an empty one; rows without key or order are left out. With `levels` the tree has that many levels whatever the
+    numbers: the root then takes all nodes below it, one for each range in which the key has rows.
     """
     own = F.sha2(F.coalesce(F.concat(F.lit("="), F.col(content).cast("string")), F.lit("-")), 256)
     level = rows.where(F.col(key).isNotNull() & F.col(order).isNotNull()).select(key, F.col(order).cast("long").alias("_o"), own.alias("_h"))
-    most = level.agg(F.max(F.when(F.col("_o") < 0, F.lit(64)).otherwise(F.length(F.bin("_o"))))).first()[0] or 1  # bits of the largest number
-    for _ in range(max(1, -(-most // bits))):
+    if levels is None:
+        most = level.agg(F.max(F.when(F.col("_o") < 0, F.lit(64)).otherwise(F.length(F.bin("_o"))))).first()[0] or 1  # bits of the largest number
+        steps = [bits] * max(1, -(-most // bits))
+    else:
+        steps = [bits] * (levels - 1) + [64]
+    for shift in steps:
         listed = F.transform(F.array_sort(F.collect_list(F.struct("_o", "_h"))), lambda r: F.concat(r["_o"].cast("string"), F.lit(":"), r["_h"]))
-        level = level.groupBy(key, F.shiftrightunsigned("_o", bits).alias("_up")).agg(F.sha2(F.array_join(listed, ","), 256).alias("_h")).withColumnRenamed("_up", "_o")
+        level = level.groupBy(key, (F.shiftrightunsigned("_o", shift) if shift < 64 else F.lit(0).cast("long")).alias("_up")).agg(F.sha2(F.array_join(listed, ","), 256).alias("_h")).withColumnRenamed("_up", "_o")
     return level.select(key, F.col("_h").alias("digest"))
 
 
