@@ -106,7 +106,7 @@ def containing(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame
 
 
 def nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFrame:
-    """point, id: the nearest of the centres (id, cx, cy), ties (to nine places) to the smaller id. Points look into the cells around their own; a distance up to a cell's side is final there, and
+    """point, id: the nearest of the centres (id, cx, cy), ties (to nine places) to the smaller id. Points look into the cells around their own; a distance (to nine places) below a cell's side is final there, as all that tie with it lie below it too, and
     what has none yet looks again in cells twice as wide, so no point meets all centres unless they are few."""
     left, out = written(points.select("point", "x", "y"), "points"), None
     if centres.isEmpty():
@@ -115,8 +115,8 @@ def nearest_centre(points: DataFrame, centres: DataFrame, size: float) -> DataFr
     while out is None or not left.isEmpty():
         around = centres.withColumn("i", F.explode(F.sequence(cell("cx") - 1, cell("cx") + 1))).withColumn("j", F.explode(F.sequence(cell("cy") - 1, cell("cy") + 1)))
         far = F.hypot(F.col("x") - F.col("cx"), F.col("y") - F.col("cy"))
-        met = left.withColumn("i", cell("x")).withColumn("j", cell("y")).join(around, ["i", "j"]).withColumn("d", far).where(F.col("d") <= size)
-        found = written(met.groupBy("point").agg(F.min(F.struct(F.round("d", 9).alias("d"), "id")).alias("b")).select("point", "b.id"), "centres")
+        met = left.withColumn("i", cell("x")).withColumn("j", cell("y")).join(around, ["i", "j"]).withColumn("d", F.round(far, 9)).where(F.col("d") < size)
+        found = written(met.groupBy("point").agg(F.min(F.struct("d", "id")).alias("b")).select("point", "b.id"), "centres")
         out = found if out is None else out.unionByName(found)
         left, size = written(left.join(found, "point", "left_anti"), "points"), size * 2
     return out
