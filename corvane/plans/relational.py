@@ -13,10 +13,12 @@ from .base import FEAT, features, query, table
 @query("SELECT r_name AS region, n_name AS nation, count(*) AS n, round(avg(c_acctbal), 6) AS mean, round(max(c_acctbal) - min(c_acctbal), 6) AS spread, arg_max(c_custkey, c_acctbal) AS best, arg_min(c_custkey, c_acctbal) AS worst, count(*) FILTER (WHERE c_acctbal > 5000) AS n_rich FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def state_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    b = F.col("c_acctbal")
+    b, k = F.col("c_acctbal"), F.col("c_custkey")
+    first = lambda sign: F.when(b.isNotNull(), F.struct(b, sign * k))
     return rows.groupBy(F.col("r_name").alias("region"), F.col("n_name").alias("nation")).agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg(b), 6).alias("mean"), F.round(F.max(b) - F.min(b), 6).alias("spread"),
-        F.max_by("c_custkey", b).alias("best"), F.min_by("c_custkey", b).alias("worst"), F.count_if(b > 5000).alias("n_rich"),
+        F.max_by(k, first(-1)).alias("best"), F.min_by(k, first(1)).alias("worst"),  # ties to the smaller key
+        F.count_if(b > 5000).alias("n_rich"),
     )
 
 
