@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .order_statistics import medians
-from .ranks import percent_ranks
+from .ranks import percent_ranks, reused
 
 
 def to_long(wide: DataFrame, keys: list[str], indicators: list[str]) -> DataFrame:
@@ -66,7 +66,8 @@ def listwise(rows: DataFrame, entity: str = "entity") -> DataFrame:
 def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
     """Missing cells from the mean of the k nearest entities of all that have the indicator; ties to the smaller entity.
 
-    Distance is over shared indicators, z-scored, scaled up for missing ones. The entities that lack a cell are the queries: they meet all others
+    Distance is over shared indicators, z-scored, scaled up for missing ones. Entities with equal cells are one class: as donors
+    they are its k smallest entities, and what they lack is looked for once. The classes that lack a cell are the queries: they meet all others
     in blocks of about `block_rows`, each of which gives its k nearest for every missing cell, and the k nearest of those stay. Cells that
     no neighbour fills take the indicator's median.
     """
@@ -75,9 +76,14 @@ def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> Da
     z = rows.join(known, "indicator").withColumn("z", (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
     wide = z.groupBy("entity").pivot("indicator", names).agg(F.first("z").alias("z"), F.first("value").alias("v"))
     flat = wide.select("entity", F.array(*(F.coalesce(f"{c}_z", F.lit(float("nan"))) for c in names)).alias("z"), F.array(*(F.coalesce(f"{c}_v", F.lit(float("nan"))) for c in names)).alias("v"))
-    blocks = max(1, -(-flat.count() // block_rows))
-    donors = flat.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
-    lacking = flat.where(F.exists("v", lambda x: F.isnan(x))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    flat = reused(flat)
+    firsts = flat.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("entity"))).where(F.col("_r") <= k)
+    classes = reused(firsts.groupBy("v").agg(F.min("entity").alias("entity"), F.first("z").alias("z"), F.sort_array(F.collect_list("entity")).alias("ids")).select("entity", "z", "v", "ids"))
+    blocks = max(1, -(-classes.count() // block_rows))
+    lacks = F.exists("v", lambda x: F.isnan(x))
+    donors = classes.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
+    lacking = classes.where(lacks).withColumn("ids", F.array().cast("array<bigint>")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
+    donors = donors.withColumn("ids", F.col("ids").cast("array<bigint>"))
 
     def nearest(part: pd.DataFrame) -> pd.DataFrame:
         asks, own = part[part.asks], part[~part.asks].sort_values("entity")
@@ -90,13 +96,17 @@ def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> Da
                 d = np.where((n > 0) & (ids != entity), np.sqrt(np.nansum(apart, axis=1) / np.maximum(n, 1) * len(names)), np.inf)
                 for j in np.flatnonzero(np.isnan(v)):
                     fit = np.flatnonzero(~np.isnan(dv[:, j]) & np.isfinite(d))
+                    if len(fit) > k:
+                        fit = fit[d[fit] <= np.partition(d[fit], k - 1)[k - 1]]
                     best = fit[np.argsort(d[fit], kind="stable")[:k]]
-                    out += [(entity, names[j], float(d[i]), int(ids[i]), float(dv[i, j])) for i in best]
-        return pd.DataFrame(out, columns=["entity", "indicator", "d", "donor", "given"]).astype({"entity": "int64", "donor": "int64"})
+                    out += [(entity, names[j], float(d[i]), own.ids.iat[i], float(dv[i, j])) for i in best]
+        return pd.DataFrame(out, columns=["entity", "indicator", "d", "donors", "given"]).astype({"entity": "int64"})
 
-    near = donors.unionByName(lacking).groupBy("block").applyInPandas(nearest, "entity long, indicator string, d double, donor long, given double")
+    near = donors.unionByName(lacking).groupBy("block").applyInPandas(nearest, "entity long, indicator string, d double, donors array<long>, given double").withColumn("donor", F.explode("donors")).drop("donors")
     best = near.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "indicator").orderBy("d", "donor"))).where(F.col("_r") <= k)
-    filled = best.groupBy("entity", "indicator").agg(F.avg("given").alias("_k"))
+    filled = best.groupBy(F.col("entity").alias("cls"), "indicator").agg(F.avg("given").alias("_k"))
+    members = flat.where(lacks).select("entity", "v").join(classes.where(lacks).select(F.col("entity").alias("cls"), "v"), "v").select("entity", "cls")
+    filled = filled.join(members, "cls").drop("cls")
     whole = medians(rows, ["indicator"], "value", "_n")
     out = rows.join(filled, ["entity", "indicator"], "left").join(whole, "indicator", "left")
     return out.withColumn("value", F.coalesce("value", "_k", "_n")).drop("_k", "_n")

@@ -76,7 +76,8 @@ best AS (SELECT g.entity, g.indicator, k.value, row_number() OVER (PARTITION BY
 fill AS (SELECT entity, indicator, avg(value) AS k FROM best WHERE r <= 5 GROUP BY ALL), md AS (SELECT indicator, median(value) AS m FROM kept GROUP BY 1)
 SELECT entity, indicator, round(coalesce(value, k, m), 6) AS value FROM kept LEFT JOIN fill USING (entity, indicator) JOIN md USING (indicator)""")
 def knn_impute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(matrix.impute_neighbours(gated(spark, sf_dir)).select("entity", "indicator", "value"), "value")
+    value = F.round("value", 12).alias("value")  # so that a mean that lies half way between two results does not turn on the order of its sum
+    return rounded(matrix.impute_neighbours(gated(spark, sf_dir)).select("entity", "indicator", value), "value")
 
 
 @query(IMPUTED + " SELECT indicator, provenance, count(*) AS n, round(100.0 * count(*) / (SELECT count(*) FROM imp), 6) AS pct FROM imp GROUP BY ALL")
