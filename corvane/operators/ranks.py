@@ -7,7 +7,9 @@ A value that many rows share is a bucket of its own, which ties are cut further
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +24,26 @@ def reused(df: DataFrame) -> DataFrame:
     return written(df, "leaf")
 
 
+def below(cuts: dict[tuple, list[float]], by: list[Column], value: Column) -> Column:
+    """2 * k for a value that k of its group's cuts (ascending) lie below, one more if it is a cut itself; null for a null. Found by bisection: lambdas over an array of cuts are interpreted and cost a pass each."""
+    known = {key: np.asarray(own, dtype=float) for key, own in cuts.items()}
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series, *keys: pd.Series) -> pd.Series:
+        x, out = v.to_numpy(dtype=float), np.zeros(len(v), dtype=np.int32)
+        codes, names = pd.factorize(pd.MultiIndex.from_arrays(keys)) if keys else (np.zeros(len(v), dtype=int), [()])
+        order = np.argsort(codes, kind="stable")
+        ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
+        for i, name in enumerate(names):
+            at, own = order[ends[i] : ends[i + 1]], known.get(tuple(name))
+            if own is not None and len(own):
+                k = np.searchsorted(own, x[at])
+                out[at] = 2 * k + (own[np.minimum(k, len(own) - 1)] == x[at])
+        return pd.Series(out)
+
+    return F.when(value.isNotNull(), place(F.coalesce(value.cast("double"), F.lit(0.0)), *by))
+
+
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
     """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null.
 
@@ -35,8 +57,8 @@ def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets:
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))
     session, shape = rows.sparkSession, counts.select(*keys).schema
-    cuts = session.createDataFrame(cuts.collect(), cuts.schema)
-    placed = counts.join(F.broadcast(cuts), keys).withColumn("_bucket", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cuts = {tuple(r[k] for k in keys): [float(c) for c in r["_cuts"]] for r in cuts.collect()}
+    placed = reused(counts.withColumn("_bucket", (below(cuts, [F.col(k) for k in keys], F.col(value)) / 2).cast("int")))
     totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_own")).collect()
     before, upto = [], {}
     for r in sorted(totals, key=lambda r: r["_bucket"]):
@@ -67,18 +89,13 @@ def in_order(rows: DataFrame, value: str, tie: str, sums: tuple[str, ...] = (),
     """
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     found = rows.groupBy(*by).agg(F.percentile_approx(value, points, 10000).alias("v"), F.percentile_approx(tie, points, 10000).alias("t")).collect()  # 2 * buckets numbers a group
-    ends = [(*(r[k] for k in by), *([float(c) for c in sorted(set(r[x] or []))] for x in ("v", "t"))) for r in found]
-    if by:
-        shape = T.StructType([*rows.select(*by).schema.fields, *(T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_level", "_ties"))])
-        rows, level, ties = rows.join(F.broadcast(rows.sparkSession.createDataFrame(ends, shape)), [*by]), F.col("_level"), F.col("_ties")
-    else:
-        level, ties = (F.array(*(F.lit(c) for c in x)).cast("array<double>") for x in ends[0])
-    v, t = F.col(value).cast("double"), F.col(tie).cast("double")
-    exact = F.coalesce(F.array_contains(level, v), F.lit(True))
-    below = 2 * F.size(F.filter(level, lambda c: c < v)) + exact.cast("int")
-    major = F.when(v.isNull(), F.lit(1 << 20)).otherwise(-below if descending else below)
-    minor = F.when(exact, F.size(F.filter(ties, lambda c: c < t))).otherwise(0)
-    placed = rows.withColumn("_major", major).withColumn("_minor", minor).drop("_level", "_ties")
+    level, ties = ({tuple(r[k] for k in by): sorted({float(c) for c in r[x] or []}) for r in found} for x in ("v", "t"))
+    place = below(level, [F.col(k) for k in by], F.col(value))
+    tied = below(ties, [F.col(k) for k in by], F.col(tie))
+    major = F.when(F.col("_major").isNull(), F.lit(1 << 20)).otherwise(-F.col("_major") if descending else F.col("_major"))
+    minor = F.when(F.col("_major").isNull() | (F.col("_major") % 2 == 1), (F.col("_minor") / 2).cast("int")).otherwise(0)
+    placed = rows.withColumns({"_major": place, "_minor": tied}).withColumns({"_minor": minor, "_major": major})
+    placed = reused(placed)
     totals = placed.groupBy(*by, "_major", "_minor").agg(F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(f"_s_{c}") for c in sums)).orderBy("_major", "_minor").collect()
     runs, offsets = {}, []
     for r in totals:

@@ -21,7 +21,7 @@ from ..operators import matrix, ranks, stats
 from ..operators.storage import shared_folder
 from .base import FEAT, INDEX, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
 from .index import quality, scored, sized
-from .validation import draw_weight, factors_sql, uniform
+from .validation import alike, draw_weight, factors_sql, firsts, uniform
 
 
 def correlation_matrix(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -307,11 +307,11 @@ sc AS (SELECT draw, entity, round(CASE WHEN geo THEN 100 * pow(greatest(least(si
 rk AS (SELECT draw, entity, row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS r FROM sc)"""
 
 
-def four_axis_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw, entity, r by the whole index: weights within a quarter of their size, three normalisers, two means of size and quality, and one indicator or none left out.
+def four_axis_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """draw, cls, s by the whole index, and entity, cls: weights within a quarter of their size, three normalisers, two means of size and quality, and one indicator or none left out.
 
     An entity has one row a normaliser, with each pillar's sum and count; what is left out is taken from these, and draws are an array beside it, so no cell is copied for an
-    indicator and no score is shuffled before it is ranked.
+    indicator. Entities alike in their cells, flags and size have one score in every draw, which is made once.
     """
     cells = imputed(spark, sf_dir).join(tree(spark), "indicator")
     each = [matrix.NORMALISERS[m](cells, F.col("direction")).select(F.lit(m).alias("method"), "entity", "indicator", "pillar", "score") for m in METHODS]
@@ -319,10 +319,13 @@ def four_axis_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = lambda p, x: F.when(F.col("pillar") == p, x)
     wide = rows.groupBy("method", "entity").agg(
         *(F.sum(own(p, F.col("score"))).alias(f"s_{p}") for p in PILLARS), *(F.count(own(p, F.col("score"))).alias(f"n_{p}") for p in PILLARS),
-        F.collect_list(F.struct("indicator", "pillar", "score")).alias("cells"),  # as many as indicators
+        F.sort_array(F.collect_list(F.struct("indicator", "pillar", "score"))).alias("cells"),  # as many as indicators
     )
     flags = quality(spark, sf_dir).select("entity", *(f"{p}_b" for p in PILLARS))
     wide = reused(wide.join(flags, "entity").join(sized(spark, sf_dir).select("entity", "size"), "entity"))
+    kind = wide.groupBy("entity").agg(F.sha2(F.to_json(F.struct(F.max("size"), F.sort_array(F.collect_list(F.struct("method", "cells", *(f"{p}_b" for p in PILLARS)))))), 256).alias("kind"))  # three rows
+    found, members = alike(kind, ["kind"])
+    wide = wide.join(found.select(F.col("cls").alias("entity")), "entity", "left_semi").withColumnRenamed("entity", "cls")
     names = sorted(r["indicator"] for r in gated(spark, sf_dir).select("indicator").distinct().collect())
     draws: dict[str, list] = {}
     for d in range(ARMS):
@@ -335,14 +338,14 @@ def four_axis_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
     hit = lambda p: F.col("g.pillar") == p
     mean = lambda p: (F.col(f"s_{p}") - F.when(hit(p), F.col("g.score")).otherwise(0.0)) / F.nullif(F.col(f"n_{p}") - hit(p).cast("int"), F.lit(0))
     asked = F.explode(F.try_element_at(F.from_json(F.lit(json.dumps(draws)), shape), F.concat_ws("|", "method", "g.indicator")))
-    drawn = gone.select("entity", "size", *(f"{p}_b" for p in PILLARS), *(mean(p).alias(f"{p}_p") for p in PILLARS), asked.alias("d"))
+    drawn = gone.select("cls", "size", *(f"{p}_b" for p in PILLARS), *(mean(p).alias(f"{p}_p") for p in PILLARS), asked.alias("d"))
     drawn = drawn.withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
     score = F.when(F.col("d.geo"), C.geometric("size", "q", 0.5)).otherwise(0.5 * F.col("size") + 0.5 * F.col("q"))
-    return ranks.in_order(reused(drawn.select("d.draw", "entity", F.round(score, 7).alias("s"))), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r"))
+    return reused(drawn.select("d.draw", "cls", F.round(score, 7).alias("s"))), members
 
 
 @query(_FOUR + ", base AS (SELECT entity FROM (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score) WHERE r <= 50) SELECT CAST(draw AS BIGINT) AS draw, count(*) AS overlap FROM rk JOIN base USING (entity) WHERE r <= 50 GROUP BY 1")
 def mc_four_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the index's top 50 each of the 400 draws keeps."""
     base = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
-    return four_axis_ranks(spark, sf_dir).where("r <= 50").join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
+    return firsts(*four_axis_scores(spark, sf_dir), 50).join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -227,21 +227,65 @@ mr AS (SELECT draw, entity, CAST(row_number() OVER (PARTITION BY draw ORDER BY s
 _MC = mc_sql(DRAWS)
 
 
-def _mc_ranks(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> DataFrame:
-    """draw, entity, r by the whole index: size and pillars are made once, a draw only weighs the pillars anew; blocked pillars stay blocked."""
-    parts = quality(spark, sf_dir).select("entity", *(f"{p}_{x}" for p in PILLARS for x in "pb"))
-    wide = reused(parts.join(sized(spark, sf_dir).select("entity", "size"), "entity"))
+_CLASS = ["size", *(f"{p}_{x}" for p in PILLARS for x in "pb")]
+
+
+def alike(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Entities that agree in all keys (none of them null) as one class, named by its smallest entity: cls, n and the keys; and entity, cls."""
+    rows = reused(rows)
+    found = reused(rows.groupBy(*keys).agg(F.min("entity").alias("cls"), F.count(F.lit(1)).alias("n")))
+    return found, reused(rows.join(found, keys).select("entity", "cls"))
+
+
+def _mc_scores(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> tuple[DataFrame, DataFrame]:
+    """draw, cls, n, s by the whole index, and entity, cls: size and pillars are made once, a draw only weighs the pillars anew; blocked pillars stay blocked. Entities alike in all of these have one
+    score in every draw, which is made once."""
+    parts = quality(spark, sf_dir).select("entity", *(f"{p}_b" for p in PILLARS), *(F.coalesce(f"{p}_p", F.lit(0.0)).alias(f"{p}_p") for p in PILLARS))
+    size = F.greatest(F.least("size", F.lit(100.0)), F.lit(1.0)).alias("size")  # as the geometric mean takes it
+    found, members = alike(parts.join(sized(spark, sf_dir).select("entity", size), "entity"), _CLASS)
     rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, p) for p in PILLARS} for d in range(n)]
     draws = F.from_json(F.lit(json.dumps(rows)), "array<struct<draw:int," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>")
-    each = wide.withColumn("d", F.explode(draws)).withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
-    scores = each.select("d.draw", "entity", F.round(C.geometric("size", "q", 0.5), 9).alias("s"))
-    return reused(ranks.in_order(reused(scores), "s", "entity", by=("draw",)).select("draw", "entity", F.col("position").alias("r")))
+    each = found.withColumn("d", F.explode(draws)).withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
+    return reused(each.select("d.draw", "cls", "n", F.round(C.geometric("size", "q", 0.5), 9).alias("s"))), members
+
+
+def rank_quantiles(scores: DataFrame, members: DataFrame, probs: list[float]) -> DataFrame:
+    """entity, q: quantiles over the draws of an entity's rank (by score, highest first, then entity), from its class's scores (draw, cls, n, s) and entity, cls.
+
+    The rank is the number of entities with a higher score, plus the entity's place in its class. Only where several classes share a score are their entities ranked
+    one by one in every draw.
+    """
+    of = F.percentile("r", F.array(*(F.lit(p) for p in probs)))
+    placed = ranks.in_order(scores, "s", "cls", ("n",), by=("draw",)).select("draw", "cls", "s", (F.col("run_n") - F.col("n")).cast("long").alias("before"))
+    placed = reused(placed)
+    tied = reused(placed.groupBy("draw", "s").agg(F.min("before").alias("above"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m"))
+    at = reused(ranks.in_order(members, "cls", "entity", descending=False).select("entity", "cls", "position"))
+    at = at.join(at.groupBy("cls").agg(F.min("position").alias("first")), "cls").select("entity", "cls", (F.col("position") - F.col("first") + 1).alias("i"))
+    same = (F.col("s").eqNullSafe(F.col("ts"))) & (F.col("draw") == F.col("td"))
+    mixed = reused(placed.join(tied.select(F.col("draw").alias("td"), F.col("s").alias("ts"), "above"), same, "inner").select("draw", "cls", "s", "above"))
+    unsure = reused(mixed.select("cls").distinct())
+    sure = placed.withColumnRenamed("before", "r").join(unsure, "cls", "left_anti").groupBy("cls").agg(of.alias("q"))
+    out = at.join(sure, "cls").select("entity", F.transform("q", lambda x: x + F.col("i")).alias("q"))
+    if unsure.isEmpty():
+        return out
+    rows = ranks.in_order(reused(mixed.join(members, "cls")), "s", "entity", by=("draw",)).select("draw", "entity", "s", "above", "position")
+    rows = reused(rows)
+    first = rows.groupBy("draw", "s").agg(F.min("position").alias("first")).select(F.col("draw").alias("td"), F.col("s").alias("ts"), "first")
+    own = rows.join(first, same).select("entity", (F.col("above") + F.col("position") - F.col("first") + 1).alias("r"))
+    alone = placed.join(unsure, "cls", "left_semi").join(mixed.select("draw", "cls"), ["draw", "cls"], "left_anti").join(at, "cls").select("entity", (F.col("before") + F.col("i")).alias("r"))
+    return out.unionByName(own.unionByName(alone).groupBy("entity").agg(of.alias("q")))
+
+
+def firsts(scores: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """draw, entity: the k entities of each draw with the highest scores, ties to the smaller entity. They are in the first k classes, and in these among the first k entities."""
+    top = ranks.in_order(scores.select("draw", "cls", "s"), "s", "cls", by=("draw",)).where(F.col("position") <= k).drop("position")
+    few = members.withColumn("_r", F.row_number().over(Window.partitionBy("cls").orderBy("entity"))).where(F.col("_r") <= k).drop("_r")
+    return ranks.in_order(reused(reused(top).join(few, "cls")), "s", "entity", by=("draw",)).where(F.col("position") <= k).select("draw", "entity")
 
 
 @query(_MC + " SELECT entity, round(quantile_cont(r, 0.05), 4) AS lo, round(quantile_cont(r, 0.95), 4) AS hi FROM mr GROUP BY 1")
 def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("r", F.array(F.lit(0.05), F.lit(0.95)))
-    return _mc_ranks(spark, sf_dir).groupBy("entity").agg(q.alias("q")).select("entity", F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
+    return rank_quantiles(*_mc_scores(spark, sf_dir), [0.05, 0.95]).select("entity", F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
 
 
 V1_DRAWS = 500
@@ -250,9 +294,8 @@ V1_DRAWS = 500
 @query(mc_sql(V1_DRAWS) + " SELECT entity, CAST(floor(round(quantile_cont(r, 0.05), 4)) AS BIGINT) AS lo, CAST(floor(round(quantile_cont(r, 0.95), 4)) AS BIGINT) AS hi FROM mr GROUP BY 1")
 def v1_rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first generation's intervals: 500 draws of weights only, both ends cut to whole ranks."""
-    q = F.percentile("r", F.array(F.lit(0.05), F.lit(0.95)))
     end = lambda i: F.floor(F.round(F.col("q")[i], 4)).cast("long")
-    return _mc_ranks(spark, sf_dir, V1_DRAWS).groupBy("entity").agg(q.alias("q")).select("entity", end(0).alias("lo"), end(1).alias("hi"))
+    return rank_quantiles(*_mc_scores(spark, sf_dir, V1_DRAWS), [0.05, 0.95]).select("entity", end(0).alias("lo"), end(1).alias("hi"))
 
 
 @query(_MC + """, base AS (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score)
@@ -260,7 +303,7 @@ SELECT CAST(mr.draw AS BIGINT) AS draw, count(*) AS overlap, round(count(*) / 50
 def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights within a quarter of their size: how much of the index's top 50 stays."""
     top = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
-    both = _mc_ranks(spark, sf_dir).where("r <= 50").join(top, "entity").groupBy("draw").agg(F.count(F.lit(1)).alias("overlap"))
+    both = firsts(*_mc_scores(spark, sf_dir), 50).join(top, "entity").groupBy("draw").agg(F.count(F.lit(1)).alias("overlap"))
     return both.select(F.col("draw").cast("long").alias("draw"), "overlap", F.round(F.col("overlap") / 50.0, 6).alias("stability"))
 
 
