@@ -29,13 +29,13 @@ def _refined(cells: DataFrame, targets: DataFrame, keys: list[str], bins: int) -
     return placed.select(*keys, "_v", "_c", inner).join(hit.select(*keys, "_cell").distinct(), [*keys, "_cell"], "left_semi"), hit
 
 
-def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = BINS, most: int = MOST) -> DataFrame:
+def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bins: int = BINS, most: int = MOST, weight: str | None = None) -> DataFrame:
     """by, n, quantiles: the exact quantiles of each group's values, interpolated linearly between neighbours. Nulls and NaN are no values; a group without values has no row, and
-    without `by` there is one row, with nulls where no value is."""
+    without `by` there is one row, with nulls where no value is. With a weight, a row counts as that many alike."""
     keys = by or ["_all"]
     v = F.col(value).cast("double")
-    known = rows.where(v.isNotNull() & ~F.isnan(v)).select(*(by or [F.lit(0).alias("_all")]), v.alias("_v"))
-    cells = written(known.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c")).withColumn("_cell", F.lit(0).cast("long")), "cells")
+    known = rows.where(v.isNotNull() & ~F.isnan(v)).select(*(by or [F.lit(0).alias("_all")]), v.alias("_v"), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_c"))
+    cells = written(known.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c")).withColumn("_cell", F.lit(0).cast("long")), "cells")
     sizes = cells.groupBy(*keys).agg(F.sum("_c").alias("n"))
     last = F.col("n") - 1
     low = lambda p: F.floor(F.lit(p) * last).cast("long")
@@ -64,6 +64,6 @@ def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], bi
     return out.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.coalesce(F.max("quantiles"), F.array(*(F.lit(None).cast("double") for _ in probs))).alias("quantiles"))
 
 
-def medians(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+def medians(rows: DataFrame, by: list[str], value: str, name: str, weight: str | None = None) -> DataFrame:
     """by, <name>: the exact median of each group's values."""
-    return quantiles(rows, by, value, [0.5]).select(*by, F.col("quantiles")[0].alias(name))
+    return quantiles(rows, by, value, [0.5], weight=weight).select(*by, F.col("quantiles")[0].alias(name))

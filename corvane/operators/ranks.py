@@ -44,15 +44,15 @@ def below(cuts: dict[tuple, list[float]], by: list[Column], value: Column) -> Co
     return F.when(value.isNotNull(), place(F.coalesce(value.cast("double"), F.lit(0.0)), *by))
 
 
-def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS) -> DataFrame:
-    """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null.
+def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
+    """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null. With a weight, a row counts as that many alike.
 
     Equal values meet in one row before anything is sorted, so ties of any size cost nothing. The driver gets `buckets`
     numbers for each group: groups are columns of a matrix or draws, not entities.
     """
     keys = by or ["_all"]
     known = rows.where(F.col(value).isNotNull()) if by else rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    counts = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_ties"))
+    counts = known.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_ties"))
     counts = reused(counts)
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
     cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))

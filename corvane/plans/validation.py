@@ -5,13 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
+from ..operators.draws import CHUNK, chunk_of, class_counts, ranks_in_draws
 from ..operators.order_statistics import medians
-from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
+from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
 from .index import quality, scored, sized
 
 
@@ -310,22 +313,62 @@ def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOTSTRAPS = 150
 
 
-def _resampled(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
-    """draw, entity, overall: the index built anew on each draw's entities, from percentile ranks on. Values stay imputed, and pillars blocked, as for all entities."""
-    size = ["spend", "urgent_share"]
-    cells = imputed(spark, sf_dir).join(tree(spark).where(F.col("pillar").isin(PILLARS)), "indicator").select("entity", "indicator", "value", "pillar", "direction")
-    sizes = matrix.to_long(features(spark, sf_dir), ["entity"], size).withColumn("pillar", F.lit("size")).withColumn("direction", F.lit(1))
-    entities = features(spark, sf_dir).select("entity")
-    n = entities.agg(F.count(F.lit(1))).first()[0]
-    u = F.pmod(F.xxhash64("entity", "draw", F.lit(42)), F.lit(1_000_000)) / 1e6
-    picked = entities.join(F.broadcast(spark.range(draws).withColumnRenamed("id", "draw")), u < 1 - (1 - 1 / max(n, 1)) ** n)
-    rows = reused(cells.unionByName(sizes).join(picked, "entity"))
-    score = ranks.percent_ranks(rows, ["draw", "indicator"], "value", F.col("direction"))
-    of = lambda c, x: F.avg(F.when(F.col(c) == x, F.col("score")))
-    wide = score.groupBy("draw", "entity").agg(*(of("pillar", p).alias(f"{p}_p") for p in PILLARS), (0.75 * of("indicator", "spend") + 0.25 * of("indicator", "urgent_share")).alias("size"))
+def _resampled_classes(spark: SparkSession, sf_dir: str, draws: int) -> tuple[DataFrame, DataFrame]:
+    """draw, cls, c, overall: the index built anew on each draw's entities, from percentile ranks on, and c, how many of a class are drawn; and entity, cls, c (1 in the draws that take it).
+
+    Values stay imputed, and pillars blocked, as for all entities. Entities alike in cells, flags and size have one score in every draw, which is made once."""
+    own = [(i, p, d) for i, p, d in TREE if p in PILLARS]
+    columns = [*(i for i, _, _ in own), "spend", "urgent_share"]
+    cells = matrix.to_wide(imputed(spark, sf_dir).where(F.col("indicator").isin(columns)), ["entity"], [i for i, _, _ in own])
     flags = matrix.blocked(gated(spark, sf_dir), tree(spark)).groupBy("entity").agg(*(F.coalesce(F.bool_or(F.when(F.col("pillar") == p, F.col("blocked"))), F.lit(False)).alias(f"{p}_b") for p in PILLARS))
-    wide = wide.join(flags, "entity").withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", WEIGHTS[p]) for p in PILLARS]))
-    return reused(rounded(wide.withColumn("overall", C.geometric("size", "quality", 0.5)).select("draw", "entity", "overall"), "overall"))
+    whole = features(spark, sf_dir).select("entity", "spend", "urgent_share").join(cells, "entity").join(flags, "entity")
+    null = {f"{c}_0": F.col(c).isNull() for c in columns}
+    found, members = alike(whole.select("entity", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns), *(x.alias(c) for c, x in null.items()), *(f"{p}_b" for p in PILLARS)), [*columns, *null, *(f"{p}_b" for p in PILLARS)])
+    found = found.select(F.col("cls").cast("long").alias("cls"), *(F.when(~F.col(f"{c}_0"), F.col(c)).alias(c) for c in columns), *(f"{p}_b" for p in PILLARS))
+    n = features(spark, sf_dir).agg(F.count(F.lit(1))).first()[0]
+    most = 1 - (1 - 1 / max(n, 1)) ** n
+    taken = lambda d: (F.pmod(F.xxhash64("entity", d, F.lit(42)), F.lit(1_000_000)) / 1e6 < most).cast("byte")
+    each = F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))
+    members = members.select("entity", F.col("cls").cast("long").alias("cls"), F.transform(each, taken).alias("c"))
+    chunks = max(1, -(-found.count() // CHUNK))
+    rows = reused(found.join(class_counts(members, chunks), "cls"))
+    ranked, sizes = ranks_in_draws(rows.select("cls", "c", *columns), columns, draws)
+
+    def overall(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("cls").reset_index(drop=True)
+        if not len(left):
+            return pd.DataFrame({"draw": [], "cls": [], "c": [], "overall": []})
+        score = np.full((len(columns), len(left), draws), np.nan)
+        for i, part in right.groupby("i"):
+            score[i, np.searchsorted(left.cls, part.cls)] = np.stack(part.r) / 2 / np.maximum(sizes[i], 1)
+        for i, (_, _, d) in enumerate(own):
+            if d < 0:
+                score[i] = 1 - score[i]
+        score *= 100
+        total, weight, plain = 0.0, 0.0, 0.0
+        for p in PILLARS:
+            mine = score[[i for i, (_, q, _) in enumerate(own) if q == p]]
+            known = (~np.isnan(mine)).sum(axis=0)
+            mean = np.nansum(mine, axis=0) / np.maximum(known, 1)  # a missing pillar counts as 0
+            w = np.where(left[f"{p}_b"].to_numpy(dtype=bool), 0.0, WEIGHTS[p])[:, None]
+            total, weight, plain = total + w * mean, weight + w, plain + mean
+        quality = np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), plain / len(PILLARS))
+        clip = lambda x: np.fmax(np.fmin(x, 100.0), 1.0) / 100  # noqa: E731  what is missing counts as the cap, as in C.geometric
+        s = 100 * np.sqrt(clip(0.75 * score[-2] + 0.25 * score[-1])) * np.sqrt(clip(quality))
+        c = np.stack(left.c)
+        at, draw = np.nonzero(c)
+        return pd.DataFrame({"draw": draw, "cls": left.cls.to_numpy()[at], "c": c[at, draw], "overall": s[at, draw]})
+
+    left = rows.select("cls", "c", *(f"{p}_b" for p in PILLARS)).groupBy(chunk_of("cls", chunks))
+    out = left.cogroup(ranked.groupBy(chunk_of("cls", chunks))).applyInPandas(overall, "draw long, cls long, c int, overall double")
+    return reused(rounded(out, "overall")), members
+
+
+def _resampled(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
+    """draw, entity, overall of the entities that each draw takes."""
+    scores, members = _resampled_classes(spark, sf_dir, draws)
+    each = members.select("entity", "cls", F.posexplode("c").alias("draw", "hit")).where("hit = 1").select("entity", "cls", F.col("draw").cast("long").alias("draw"))
+    return each.join(scores, ["draw", "cls"]).select("draw", "entity", "overall")
 
 
 @query()
@@ -333,11 +376,11 @@ def bootstrap_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """draw, churn, median_churn: entities drawn by hash with the chance that a draw with replacement takes them; the median shift of ranks, scaled to all, against the index of all; and the median over the draws."""
     down = F.col("n") + 1 - F.col("rank")
     base = ranks.average_ranks(scored(spark, sf_dir).select("entity", "overall"), [], "overall")
-    base = base.select("entity", down.alias("position"), F.col("n").alias("all"))
-    drawn = ranks.average_ranks(_resampled(spark, sf_dir, BOOTSTRAPS), ["draw"], "overall")
-    drawn = drawn.select("draw", "entity", down.alias("r"), "n")
+    base = base.select(F.col("entity").cast("long").alias("cls"), down.alias("position"), F.col("n").alias("all"))
+    drawn = ranks.average_ranks(_resampled_classes(spark, sf_dir, BOOTSTRAPS)[0], ["draw"], "overall", weight="c")
+    drawn = drawn.select("draw", "cls", "c", down.alias("r"), "n")
     shift = F.abs(F.col("r") / F.col("n") * F.col("all") - F.col("position"))
-    churn = reused(medians(drawn.join(base, "entity").withColumn("shift", shift), ["draw"], "shift", "churn"))
+    churn = reused(medians(drawn.join(base, "cls").withColumn("shift", shift), ["draw"], "shift", "churn", weight="c"))
     return ranks.with_scalar(churn, churn.agg(F.median("churn").alias("median_churn")))
 
 
