@@ -41,13 +41,29 @@ def spearman_pairs(rows: DataFrame, entity: str = "entity") -> DataFrame:
     return pearson_pairs(ranked.select(entity, "indicator", F.col("rank").alias("value")), entity)
 
 
-def kendall(rows: DataFrame, x: str, y: str, block: str) -> DataFrame:
-    """block, tau_b: pairs are made within blocks only."""
-    a = rows.select(block, F.col(x).alias("x1"), F.col(y).alias("y1"), F.col("entity").alias("e1"))
-    b = rows.select(block, F.col(x).alias("x2"), F.col(y).alias("y2"), F.col("entity").alias("e2"))
-    s, t = F.signum(F.col("x1") - F.col("x2")), F.signum(F.col("y1") - F.col("y2"))
-    out = a.join(b, block).where("e1 < e2").groupBy(block).agg(F.sum(s * t).alias("s"), F.sum(s * s).alias("p"), F.sum(t * t).alias("q"))
-    return out.select(block, (F.col("s") / F.sqrt(F.nullif(F.col("p") * F.col("q"), F.lit(0.0)))).alias("tau_b"))
+def kendall(rows: DataFrame, x: str, y: str, block: str, tie: str = "entity", size: int = 1 << 18) -> DataFrame:
+    """block, tau_b of each block of two rows or more, null where all pairs are tied or none has both. No pair is made; `tie` names a row.
+
+    A pair counts as untied in x if both rows have an x, whatever their y, and the other way round.
+    """
+    known = rows.where(F.col(block).isNotNull()).select(F.col(block).alias("g"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(tie).alias("t"))
+    pairs = lambda n: n * (n - 1) / 2
+
+    def tied(*keys: str) -> DataFrame:
+        """Of rows that have all keys: g, all pairs, and pairs that are tied in them."""
+        own = known.where(" and ".join(f"{k} is not null" for k in keys)).groupBy("g", *keys).agg(F.count(F.lit(1)).cast("double").alias("n"))
+        name = "".join(keys)
+        return own.groupBy("g").agg(pairs(F.sum("n")).alias(f"all_{name}"), F.sum(pairs(F.col("n"))).alias(f"tied_{name}"))
+
+    both = known.where("x is not null and y is not null")
+    placed = placed_by_both(both, ("g",), "places")
+    ties = lambda k: placed.groupBy("g", k).agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("g").agg(F.sum(pairs(F.col("n"))).alias(f"in_{k}"))
+    found = known.groupBy("g").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1")
+    for part in (tied("x"), tied("y"), tied("x", "y"), ties("x"), ties("y"), discordant_in(placed, ("g",), size).withColumnRenamed("n", "d")):
+        found = found.join(part, "g", "left")
+    score = F.col("all_xy") - F.col("in_x") - F.col("in_y") + F.col("tied_xy") - 2 * F.coalesce("d", F.lit(0))
+    free = (F.col("all_x") - F.col("tied_x")) * (F.col("all_y") - F.col("tied_y"))
+    return found.select(F.col("g").alias(block), (score / F.sqrt(F.nullif(free, F.lit(0.0)))).alias("tau_b"))
 
 
 def inversions(values: np.ndarray) -> int:
@@ -65,29 +81,41 @@ def inversions(values: np.ndarray) -> int:
     return found
 
 
-def discordant(places: DataFrame, n: int, size: int) -> Column:
-    """How many of n rows' pairs stand in opposite orders by x_at and y_at (each a permutation of 1..n), as a scalar.
+def placed_by_both(both: DataFrame, by: tuple[str, ...], kind: str) -> DataFrame:
+    """Rows x, y, t with x_at and y_at, each a permutation of 1..n within a `by` group: by x and then y, and by y, ties in the order of x."""
+    placed = in_order(both, "y", "t", descending=False, by=by).withColumnRenamed("position", "y0")
+    placed = in_order(placed, "x", "y0", descending=False, by=by).withColumnRenamed("position", "x_at")
+    return written(in_order(placed, "y", "x_at", descending=False, by=by).withColumnRenamed("position", "y_at"), kind)
+
+
+def discordant_in(places: DataFrame, by: tuple[str, ...], size: int) -> DataFrame:
+    """by, n: how many pairs of a group's rows stand in opposite orders by x_at and y_at (each a permutation of 1, 2, ... within the group).
 
     Rows are cut into blocks of `size` along x and along y. Pairs of one block along x are counted there, pairs of one block along y but of different ones along x
     are counted there, and pairs that differ in both are products of counts: of a cell's rows and of those in all blocks before it along x and behind it along y.
     """
-    blocks = max(1, -(-n // size))
-    cells = places.withColumn("b", F.expr(f"(x_at - 1) div {size}")).withColumn("k", F.expr(f"(y_at - 1) div {size}"))
+    cells = places.select(*by, "x_at", "y_at", F.expr(f"(x_at - 1) div {size}").alias("b"), F.expr(f"(y_at - 1) div {size}").alias("k"))
+    shape = places.select(*by).schema.add("n", "long")
+
+    def counted(order: list[str]):
+        """Rows of a group in that order, and how many of their pairs have descending y_at."""
+        return lambda part: part[list(by)].head(1).assign(n=inversions(part.sort_values(order)["y_at"].to_numpy()))
 
-    def one_block(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [inversions(part.sort_values("x_at")["y_at"].to_numpy())]})
+    near = cells.groupBy(*by, "b").applyInPandas(counted(["x_at"]), shape)
+    near = near.unionByName(cells.groupBy(*by, "k").applyInPandas(counted(["b", "y_at"]), shape))  # within a block y ascends: nothing is counted
+    blocks = cells.groupBy(*by).agg(F.max("b").alias("m"))
+    along = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias(c)
+    grid = blocks.select(*by, "m", along("b")).select(*by, "b", along("k"))
+    full = grid.join(cells.groupBy(*by, "b", "k").agg(F.count(F.lit(1)).alias("own")), [*by, "b", "k"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    behind = F.coalesce(F.sum("own").over(Window.partitionBy(*by, "b").orderBy("k").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
+    before = F.coalesce(F.sum("behind").over(Window.partitionBy(*by, "k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    far = full.withColumn("behind", behind).withColumn("before", before).select(*by, (F.col("own") * F.col("before")).alias("n"))
+    return near.unionByName(far).groupBy(*by).agg(F.sum("n").alias("n"))
 
-    def other_blocks(part: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"n": [inversions(part.sort_values(["b", "y_at"])["y_at"].to_numpy())]})  # within a block y ascends: nothing is counted
 
-    near = cells.groupBy("b").applyInPandas(one_block, "n long").unionByName(cells.groupBy("k").applyInPandas(other_blocks, "n long"))
-    session = places.sparkSession
-    grid = session.range(blocks * blocks).select(F.expr(f"id div {blocks}").alias("b"), F.expr(f"id % {blocks}").alias("k"))
-    full = grid.join(cells.groupBy("b", "k").agg(F.count(F.lit(1)).alias("own")), ["b", "k"], "left").withColumn("own", F.coalesce("own", F.lit(0)))
-    behind = F.coalesce(F.sum("own").over(Window.partitionBy("b").orderBy("k").rowsBetween(1, Window.unboundedFollowing)), F.lit(0))
-    before = F.coalesce(F.sum("behind").over(Window.partitionBy("k").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    far = full.withColumn("behind", behind).withColumn("before", before).select((F.col("own") * F.col("before")).alias("n"))
-    return near.unionByName(far).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
+def discordant(places: DataFrame, n: int, size: int) -> Column:
+    """How many of n rows' pairs stand in opposite orders by x_at and y_at, as a scalar."""
+    return discordant_in(places, (), size).agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
 
 
 def kendall_whole(rows: DataFrame, x: str, y: str, tie: str = "entity", size: int = 1 << 18) -> DataFrame:
@@ -97,9 +125,7 @@ def kendall_whole(rows: DataFrame, x: str, y: str, tie: str = "entity", size: in
     group has `size` rows whatever the ties; the grid of counts has (n / size)^2 cells.
     """
     both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.col(tie).alias("t"))
-    placed = in_order(both, "y", "t", descending=False).withColumnRenamed("position", "y0")
-    placed = in_order(placed, "x", "y0", descending=False).withColumnRenamed("position", "x_at")
-    placed = written(in_order(placed, "y", "x_at", descending=False).withColumnRenamed("position", "y_at"), "places")
+    placed = placed_by_both(both, (), "places")
     t = F.col("t").cast("double")
     tied = lambda *keys: placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("t")).agg(
         F.struct(F.coalesce(F.sum(t * (t - 1) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum(t * (t - 1) * (t - 2)), F.lit(0.0)).alias("cubes"), F.coalesce(F.sum(t * (t - 1) * (2 * t + 5)), F.lit(0.0)).alias("spread"))

@@ -36,7 +36,7 @@ def pearson_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(FEAT + """SELECT a.grp, round(sum(sign(a.quantity - b.quantity) * sign(a.tax - b.tax)) / sqrt(sum(abs(sign(a.quantity - b.quantity))) * sum(abs(sign(a.tax - b.tax)))), 6) AS tau_b FROM feat a JOIN feat b ON a.grp = b.grp AND a.entity < b.entity GROUP BY 1""")
 def kendall_tau(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(stats.kendall(features(spark, sf_dir).where("quantity is not null"), "quantity", "tax", "grp"), "tau_b")
+    return rounded(stats.kendall(features(spark, sf_dir), "quantity", "tax", "grp"), "tau_b")
 
 
 _SIMPSON = "CASE WHEN i IN (0, 20000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"

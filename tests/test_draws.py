@@ -60,3 +60,25 @@ def test_bootstrap_scores_classes_of_alike_entities(spark, tmp_path):
     assert members.select("cls").distinct().count() == once.select("cls").distinct().count() and members.count() == 3 * once.count()
     each = validation._resampled(spark, str(tmp_path), 2)
     assert scores.groupBy().sum("c").first()[0] == each.count() == each.select("draw", "entity").distinct().count()
+
+
+def test_kendall_within_blocks_makes_no_pairs(spark):
+    """Ties, missing values on one side only, blocks of one row and of ties alone; groups of 16 rows, so that blocks are cut."""
+    import math
+
+    from corvane.operators import stats
+
+    rng = np.random.default_rng(5)
+    rows = [("ab"[k % 2], k, None if k % 13 == 0 else float(rng.integers(0, 12)), None if k % 11 == 0 else float(rng.normal() if k % 3 else k % 5)) for k in range(240)]
+    rows += [("one", 1000, 1.0, 2.0), *(("tied", 1001 + k, 1.0, float(k)) for k in range(3)), *(("none", 1010 + k, None, None) for k in range(2))]
+    frame = spark.createDataFrame(rows, "g string, entity int, x double, y double").repartition(4)
+    found = stats.kendall(frame, "x", "y", "g", size=16)
+    got = {r["g"]: r["tau_b"] for r in found.collect()}
+    assert set(got) == {"a", "b", "tied", "none"} and got["tied"] is None and got["none"] is None
+    sign = lambda p, q: None if p is None or q is None else (p > q) - (p < q)
+    for g in "ab":
+        own = [r for r in rows if r[0] == g]
+        both = [(sign(p[2], q[2]), sign(p[3], q[3])) for i, p in enumerate(own) for q in own[:i]]
+        s = sum(u * v for u, v in both if u is not None and v is not None)
+        assert math.isclose(got[g], s / math.sqrt(sum(abs(u) for u, _ in both if u is not None) * sum(abs(v) for _, v in both if v is not None)), rel_tol=1e-12)
+    assert "e1" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair of entities is made
