@@ -244,3 +244,44 @@ def test_diacritics_of_both_latin_blocks(spark):
     said = [("Ệ ộ Ạ ś Ñ ǘ ẅ é", "E o A s N u w e"), ("Łß ﬁ", "Łß ﬁ"), (None, None), ("", "")]
     rows = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(said)], "i int, x string")
     assert [r["y"] for r in rows.select("i", text.without_diacritics("x").alias("y")).orderBy("i").collect()] == [y for _, y in said]
+
+
+# many pages
+
+
+def grouped_pages(folder, n, limit, group, skip=(), cut=None):
+    for g in range(-(-n // (limit * group))):
+        lines = []
+        for p in range(g * group, (g + 1) * group):
+            records = [{"code": f"{i:04d}"} for i in range(p * limit, min(n, (p + 1) * limit))]
+            if records and p not in skip:
+                said = json.dumps({"page": p, "result": {"total": n, "records": records}}, separators=(",", ":"))
+                lines.append(said[:cut[1]] if cut and cut[0] == p else said)
+        if lines:
+            (folder / f"group={g}").mkdir(parents=True)
+            (folder / f"group={g}" / "part.txt").write_text("\n".join(lines[::-1]) + "\n")
+    return str(folder)
+
+
+def test_many_pages_are_few_tasks_and_few_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paged, "TASKS", 4)
+    end = pages(tmp_path / "a", 203, 5)
+    reader = paged.PagedReader({"endpoint": end, "limit": "5", "first_page": "3"}, spark.range(0).schema)
+    parts = reader.partitions()
+    assert len(parts) <= 5 and [p for x in parts for p in range(x.first, x.last + 1)] == list(range(3, 41))
+    end = grouped_pages(tmp_path / "b", 203, 5, 8)
+    for first in (0, 5, 8, 40, 41):
+        parts = paged.PagedReader({"endpoint": end, "limit": "5", "group": "8", "first_page": str(first)}, spark.range(0).schema).partitions()
+        assert len(parts) <= 5 and [p for x in parts for p in range(x.first, x.last + 1)] == list(range(first, 41))
+    rows = paged.scan(spark, end, ["code", "_page"], 5, 7, group=8).collect()
+    assert sorted((r["code"], r["_page"]) for r in rows) == [(f"{i:04d}", str(i // 5)) for i in range(35, 203)]
+    with pytest.raises(Exception, match="no page 9"):
+        paged.scan(spark, grouped_pages(tmp_path / "c", 203, 5, 8, skip=[9]), ["code"], 5, group=8).count()
+
+
+@pytest.mark.parametrize(("cut", "first"), [(60, 12), (10, 11), (3, 11)])
+def test_grouped_pages_are_resumed(spark, tmp_path, cut, first):
+    """Page 12 is torn: behind its number, within it (so that it reads as 1) and before it."""
+    end, there = grouped_pages(tmp_path / "a", 103, 5, 4), grouped_pages(tmp_path / "b", 103, 5, 4, skip=range(13, 30), cut=(12, cut))
+    rows, at = paged.resumed(spark, end, there, ["code"], 5, group=4)
+    assert at == first and sorted(r["code"] for r in rows.collect()) == [f"{i:04d}" for i in range(103)]
