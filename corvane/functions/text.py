@@ -44,27 +44,32 @@ def layer(x: Column | str, layers: list[tuple[str, tuple[str, ...]]], default: s
     return out.otherwise(default)
 
 
+_STRING = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+
+
+def _object(depth: int) -> str:
+    """A pattern of balanced objects of up to that depth. Its parts begin with different characters and give nothing back, so it takes one pass."""
+    inner = f"{_STRING}|{_object(depth - 1)}" if depth > 1 else _STRING
+    return r'\{[^{}"]*+(?:(?:' + inner + r')[^{}"]*+)*+\}'
+
+
 def first_object(x: Column | str) -> Column:
     """The balanced {...} that begins at a text's first brace, at any depth; braces within strings do not count. Null if there is none or it is never closed.
 
-    A state machine goes over the characters: depth, whether a string is open, whether a backslash came before, and where the object ends.
+    Objects of up to six levels are found by a pattern. For the rest, the text is cut behind each brace that is outside strings, and the depth is counted over these pieces.
     """
+    shallow = F.nullif(F.regexp_extract(col(x), r"(?s)\A[^{]*+(" + _object(6) + ")", 1), F.lit(""))
     rest = F.substring(col(x), F.locate("{", col(x)), F.length(col(x)))
-    false, zero = F.lit(False), F.lit(0)
-    state = F.struct(zero.alias("at"), zero.alias("depth"), false.alias("quoted"), false.alias("escaped"), zero.alias("end"))
-
-    def step(s: Column, c: Column) -> Column:
-        open_, plain = s["end"] == 0, ~s["quoted"]
-        depth = s["depth"] + F.when(plain & (c == "{"), 1).when(plain & (c == "}"), -1).otherwise(0)
-        quoted = F.when(s["quoted"], s["escaped"] | (c != '"')).otherwise(c == '"')
-        escaped = s["quoted"] & ~s["escaped"] & (c == "\\")
-        return F.struct(
-            (s["at"] + 1).alias("at"), depth.alias("depth"), quoted.alias("quoted"), escaped.alias("escaped"),
-            F.when(open_ & (depth == 0) & plain & (c == "}"), s["at"] + 1).otherwise(s["end"]).alias("end"),
-        )
-
-    end = F.aggregate(F.split(rest, ""), state, step, lambda s: s["end"])
-    return F.when(F.contains(col(x), F.lit("{")) & (end > 0), F.substring(rest, F.lit(1), end))
+    pieces = F.regexp_extract_all(rest, F.lit(r'(?s)\G[^{}"]*+(?:' + _STRING + r'[^{}"]*+)*+[{}]'), F.lit(0))
+    zero = F.lit(0)
+
+    def step(s: Column, piece: Column) -> Column:
+        at, depth = s["at"] + F.length(piece), s["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
+        return F.struct(at.alias("at"), depth.alias("depth"), F.when((s["end"] == 0) & (depth == 0), at).otherwise(s["end"]).alias("end"))
+
+    end = F.aggregate(pieces, F.struct(zero.alias("at"), zero.alias("depth"), zero.alias("end")), step, lambda s: s["end"])
+    deep = F.when(F.contains(col(x), F.lit("{")) & (end > 0), F.substring(rest, F.lit(1), end))
+    return F.coalesce(shallow, deep)
 
 
 def answered_object(x: Column | str) -> Column:

@@ -285,3 +285,25 @@ def test_grouped_pages_are_resumed(spark, tmp_path, cut, first):
     end, there = grouped_pages(tmp_path / "a", 103, 5, 4), grouped_pages(tmp_path / "b", 103, 5, 4, skip=range(13, 30), cut=(12, cut))
     rows, at = paged.resumed(spark, end, there, ["code"], 5, group=4)
     assert at == first and sorted(r["code"] for r in rows.collect()) == [f"{i:04d}" for i in range(103)]
+
+
+def test_no_step_for_each_character_of_an_object(spark):
+    """Random texts against a plain scan, long strings and depths beyond the pattern; and a text is never split into characters."""
+    rng = random.Random(4)
+    said = ["".join(rng.choice('{}"\\ aé\n[') for _ in range(rng.randrange(40))) for _ in range(3000)]
+    said += ['{"a": "' + "\\\"}" * 20_000 + '"} }', "{" * 300 + '"}"' + "}" * 301, '{"a": 1, ' * 6 + "{}" + "}" * 5, "{" + '"a": {"b": {}}, ' * 5000 + "}}"]
+
+    def plain(x):
+        depth, quoted, escaped, start = 0, False, False, x.find("{")
+        for i in range(start, len(x)) if start >= 0 else ():
+            c = x[i]
+            if quoted:
+                quoted, escaped = escaped or c != '"', not escaped and c == "\\"
+            elif c in '{}"':
+                quoted, depth = c == '"', depth + (c == "{") - (c == "}")
+                if not depth:
+                    return x[start : i + 1]
+
+    found = spark.createDataFrame(list(enumerate(said)), "k int, x string").repartition(8).withColumn("y", text.first_object("x"))
+    assert {r["k"]: r["y"] for r in found.select("k", "y").collect()} == {k: plain(x) for k, x in enumerate(said)}
+    assert "split(" not in found._jdf.queryExecution().analyzed().toString()
