@@ -28,7 +28,7 @@ def coverage(rows: DataFrame) -> DataFrame:
 
 def covered(rows: DataFrame, least: float = 0.8) -> DataFrame:
     """The rows of indicators with enough coverage."""
-    return rows.join(coverage(rows).where(F.col("coverage") >= least).select("indicator"), "indicator", "left_semi")
+    return rows.join(F.broadcast(coverage(rows).where(F.col("coverage") >= least).select("indicator")), "indicator", "left_semi")
 
 
 def sentinels(rows: DataFrame, least: float = 0.9) -> DataFrame:
@@ -45,9 +45,9 @@ def without_sentinels(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
 def impute(rows: DataFrame, group: str = "grp") -> DataFrame:
     """Group median, then the median of the group-filled column; provenance says which."""
-    own = medians(rows, [group, "indicator"], "value", "_g")
+    own = reused(medians(rows, [group, "indicator"], "value", "_g"))
     first = rows.join(own, [group, "indicator"], "left").withColumn("_f", F.coalesce("value", "_g"))
-    whole = medians(first, ["indicator"], "_f", "_n")
+    whole = reused(medians(first, ["indicator"], "_f", "_n"))
     out = first.join(whole, "indicator", "left")
     source = F.when(F.col("value").isNotNull(), "observed").when(F.col("_g").isNotNull(), "group_median").when(F.col("_n").isNotNull(), "overall_median")
     return out.withColumn("provenance", source).withColumn("value", F.coalesce("_f", "_n")).drop("_g", "_f", "_n")
@@ -114,10 +114,17 @@ def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> Da
 
 def blocked(rows: DataFrame, tree: DataFrame, most: float = 1 / 3) -> DataFrame:
     """entity, pillar, missing_share, blocked: more than that share of the pillar's cells is missing."""
-    own = rows.join(tree, "indicator").groupBy("entity", "pillar").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_share"))
+    own = rows.join(F.broadcast(tree), "indicator").groupBy("entity", "pillar").agg(F.avg(F.col("value").isNull().cast("double")).alias("missing_share"))
     return own.withColumn("blocked", F.col("missing_share") > most)
 
 
+def pillar_columns(rows: DataFrame, pillars: list[str], most: float = 1 / 3) -> DataFrame:
+    """entity, and for each pillar <p>_p, the mean of its scores, nulls skipped, and <p>_b, as in blocked(). rows: entity, pillar, score, and `missing`, whether the cell lacked a value. Cells are shuffled once, by entity."""
+    own = lambda p, x: F.avg(F.when(F.col("pillar") == p, F.col(x)))
+    cells = rows.select("entity", "pillar", "score", F.col("missing").cast("double").alias("missing")).repartition("entity")
+    return cells.groupBy("entity").agg(*(own(p, "score").alias(f"{p}_p") for p in pillars), *(F.coalesce(own(p, "missing") > most, F.lit(False)).alias(f"{p}_b") for p in pillars))
+
+
 def rank_normalised(rows: DataFrame, direction: Column | int = 1) -> DataFrame:
     return percent_ranks(rows, ["indicator"], "value", direction)
 
@@ -144,8 +151,12 @@ def z_normalised(rows: DataFrame, direction: Column | int = 1) -> DataFrame:
 NORMALISERS = {"rank": rank_normalised, "minmax": minmax_normalised, "z": z_normalised}
 
 
+def normalised(rows: DataFrame, tree: DataFrame, method: str = "rank") -> DataFrame:
+    """rows of the tree's indicators with pillar, direction and score. tree: indicator, pillar, direction."""
+    return NORMALISERS[method](rows.join(F.broadcast(tree), "indicator"), F.col("direction"))
+
+
 def pillars(rows: DataFrame, tree: DataFrame, method: str = "rank", without: str | None = None) -> DataFrame:
     """entity, pillar, score, n: the mean of the pillar's normalised indicators, nulls skipped. tree: indicator, pillar, direction."""
     kept = tree if without is None else tree.where(F.col("indicator") != without)
-    scored = NORMALISERS[method](rows.join(kept, "indicator"), F.col("direction"))
-    return scored.groupBy("entity", "pillar").agg(F.avg("score").alias("score"), F.count("score").alias("n"))
+    return normalised(rows, kept, method).groupBy("entity", "pillar").agg(F.avg("score").alias("score"), F.count("score").alias("n"))

@@ -7,13 +7,11 @@ A value that many rows share is a bucket of its own, which ties are cut further
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .order_statistics import quantiles
+from .order_statistics import below, quantiles
 from .storage import written
 
 BUCKETS = 64
@@ -24,26 +22,6 @@ def reused(df: DataFrame) -> DataFrame:
     return written(df, "leaf")
 
 
-def below(cuts: dict[tuple, list[float]], by: list[Column], value: Column) -> Column:
-    """2 * k for a value that k of its group's cuts (ascending) lie below, one more if it is a cut itself; null for a null. Found by bisection: lambdas over an array of cuts are interpreted and cost a pass each."""
-    known = {key: np.asarray(own, dtype=float) for key, own in cuts.items()}
-
-    @F.pandas_udf("int")
-    def place(v: pd.Series, *keys: pd.Series) -> pd.Series:
-        x, out = v.to_numpy(dtype=float), np.zeros(len(v), dtype=np.int32)
-        codes, names = pd.factorize(pd.MultiIndex.from_arrays(keys)) if keys else (np.zeros(len(v), dtype=int), [()])
-        order = np.argsort(codes, kind="stable")
-        ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
-        for i, name in enumerate(names):
-            at, own = order[ends[i] : ends[i + 1]], known.get(tuple(name))
-            if own is not None and len(own):
-                k = np.searchsorted(own, x[at])
-                out[at] = 2 * k + (own[np.minimum(k, len(own) - 1)] == x[at])
-        return pd.Series(out)
-
-    return F.when(value.isNotNull(), place(F.coalesce(value.cast("double"), F.lit(0.0)), *by))
-
-
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null. With a weight, a row counts as that many alike.
 

@@ -97,10 +97,8 @@ def pillar_mean_skipnull(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def quality(spark: SparkSession, sf_dir: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """entity, quality, and each pillar's score and blocked flag."""
-    cells = gated(spark, sf_dir)
-    scores = reused(matrix.pillars(imputed(spark, sf_dir), tree(spark))).join(matrix.blocked(cells, tree(spark)).select("entity", "pillar", "blocked"), ["entity", "pillar"])
-    wide = scores.groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score").alias("p"), F.first("blocked").alias("b"))
-    wide = wide.withColumns({f"{p}_b": F.coalesce(f"{p}_b", F.lit(False)) for p in PILLARS})
+    cells = matrix.normalised(imputed(spark, sf_dir), tree(spark)).withColumn("missing", ~F.col("provenance").eqNullSafe("observed"))
+    wide = matrix.pillar_columns(cells, PILLARS)
     return wide.withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", weights[p]) for p in PILLARS]))
 
 

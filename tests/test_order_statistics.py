@@ -44,3 +44,12 @@ def test_no_cell_is_larger_than_allowed(spark):
     want = {g: float(np.median([math.sqrt(i) for i in range(g, 5000, 3)])) for g in range(3)}
     assert {r["g"]: r["quantiles"][0] for r in found.collect()} == pytest.approx(want)
     assert {r["g"]: r["m"] for r in medians(frame, ["g"], "x", "m").collect()} == pytest.approx(want)
+
+
+def test_values_are_placed_without_lambdas(spark, monkeypatch):
+    """A lambda over all cuts for each value cost most of a round; small groups stay as they are beside a large one, through several rounds."""
+    monkeypatch.setattr(F, "filter", None)
+    frame = spark.range(3000).select(F.when(F.col("id") < 40, F.col("id") % 2).alias("g"), F.sqrt(F.col("id").cast("double")).alias("x")).fillna(7)
+    got = {r["g"]: r["quantiles"] for r in quantiles(frame, ["g"], "x", [0.1, 0.5, 0.11], bins=8, most=50).collect()}
+    for g, ids in ((0, range(0, 40, 2)), (1, range(1, 40, 2)), (7, range(40, 3000))):
+        assert got[g] == pytest.approx(list(np.quantile([math.sqrt(i) for i in ids], [0.1, 0.5, 0.11])))
