@@ -142,13 +142,12 @@ gap AS (SELECT rk.*, CASE WHEN overall <= q1 THEN 'D' WHEN overall <= q2 THEN 'C
 def ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """scored() with rank_overall (1 is best, average ties truncated), tier, growth_gap, growth_flag."""
     rows = scored(spark, sf_dir)
-    out = ranks.average_ranks(rows.withColumn("_v", -F.col("overall")), [], "_v").withColumn("rank_overall", F.floor("rank").cast("long")).drop("rank", "n", "_v")
-    edges, hot = ranks.quartile_edges(rows, "overall"), quantiles(rows, [], "delta", [0.75]).select(F.col("quantiles")[0]).scalar()
-    out = reused(ranks.with_scalar(out, edges).withColumn("tier", C.tier("overall", "edges")).drop("edges"))
-    for column in ("delta", "overall"):
-        out = reused(ranks.percent_ranks(out, [], column).withColumnRenamed("score", f"_{column}"))
-    out = out.withColumn("growth_gap", F.round((F.col("_delta") - F.col("_overall")) / 100, 6)).drop("_delta", "_overall")
-    return out.withColumn("growth_flag", F.coalesce((F.col("delta") > hot) & (F.col("rank_overall") > 100), F.lit(False)))
+    found = {r["indicator"]: r["quantiles"] for r in quantiles(matrix.to_long(rows, [], ["overall", "delta"]), ["indicator"], "value", [0.25, 0.5, 0.75]).collect()}
+    edges, hot = (F.array(*(F.lit(q).cast("double") for q in found.get(c, [None] * 3))) for c in ("overall", "delta"))
+    out = ranks.average_ranks(rows.withColumns({"tier": C.tier("overall", edges), "_hot": F.col("delta") > hot[2]}), [], "overall")
+    out = reused(out.withColumns({"rank_overall": F.floor(F.col("n") + 1 - F.col("rank")).cast("long"), "_overall": 100 * (F.col("rank") / F.col("n"))}).drop("rank", "n"))
+    out = ranks.percent_ranks(out, [], "delta").withColumn("growth_gap", F.round((F.col("score") - F.col("_overall")) / 100, 6))
+    return out.withColumn("growth_flag", F.coalesce(F.col("_hot") & (F.col("rank_overall") > 100), F.lit(False))).drop("score", "_overall", "_hot")
 
 
 @query(_RANKED + " SELECT entity, rank_overall, tier FROM gap")

@@ -307,3 +307,31 @@ def test_no_step_for_each_character_of_an_object(spark):
     found = spark.createDataFrame(list(enumerate(said)), "k int, x string").repartition(8).withColumn("y", text.first_object("x"))
     assert {r["k"]: r["y"] for r in found.select("k", "y").collect()} == {k: plain(x) for k, x in enumerate(said)}
     assert "split(" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_ranked_ranks_each_column_once(spark, monkeypatch):
+    """The best rank and the share of the overall index come from one pass; delta has the other."""
+    from corvane.operators import ranks
+    from corvane.plans import index
+
+    rows = spark.createDataFrame([(i, 1, 1.0, None if i % 5 == 0 else float(i % 7), float(i % 40), 1.0, float(i % 50)) for i in range(200)], "entity long, grp int, spend double, delta double, size double, quality double, overall double")
+    monkeypatch.setattr(index, "scored", lambda *_: rows)
+    asked, plain = [], ranks.average_ranks
+    monkeypatch.setattr(ranks, "average_ranks", lambda r, by, value="value", *more, **named: asked.append(value) or plain(r, by, value, *more, **named))
+    got = {r["entity"]: r for r in index.ranked(spark, "").collect()}
+    assert asked == ["overall", "delta"]
+    assert all(r["rank_overall"] == 4 * (49 - i % 50) + 2 for i, r in got.items())  # four of each: 1 to 4 give 2.5, cut to 2
+    assert {i for i, r in got.items() if r["growth_flag"]} == {i for i in range(200) if i % 5 and i % 7 > np.quantile([j % 7 for j in range(200) if j % 5], 0.75) and 4 * (49 - i % 50) + 2 > 100}
+    assert got[0]["growth_gap"] is None and got[49]["tier"] == "A"
+
+
+def test_pillar_columns_like_pillars_and_blocked(spark):
+    from corvane.operators import matrix
+
+    tree = spark.createDataFrame([("a", "p", 1), ("b", "p", -1), ("c", "q", 1)], "indicator string, pillar string, direction int")
+    rows = spark.createDataFrame([(i, 0, k, None if (i + j) % 4 == 0 else float((i * 7 + j) % 11)) for i in range(30) for j, k in enumerate("abc")], "entity long, grp int, indicator string, value double")
+    full = matrix.impute(rows)
+    got = {r["entity"]: r for r in matrix.pillar_columns(matrix.normalised(full, tree).withColumn("missing", ~F.col("provenance").eqNullSafe("observed")), ["p", "q", "r"]).collect()}
+    for r in matrix.pillars(full, tree).join(matrix.blocked(rows, tree), ["entity", "pillar"]).collect():
+        assert got[r["entity"]][f"{r['pillar']}_p"] == pytest.approx(r["score"]) and got[r["entity"]][f"{r['pillar']}_b"] == r["blocked"]
+    assert len(got) == 30 and all(r["r_p"] is None and r["r_b"] is False for r in got.values())
