@@ -270,10 +270,11 @@ def discriminant_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     The fields that proxies are made of leave the index before its pillars are built, so that none is correlated with itself; blocked pillars stay those of
     the whole index. A proxy is the mean of its fields' percentile ranks, nulls skipped. All pairs are ranked in one long call.
     """
-    pillars = matrix.pillars(imputed(spark, sf_dir).where(~F.col("indicator").isin(CONTAMINANTS)), tree(spark))
-    scores = pillars.join(matrix.blocked(gated(spark, sf_dir), tree(spark)).select("entity", "pillar", "blocked"), ["entity", "pillar"])
-    wide = scores.groupBy("entity").pivot("pillar", PILLARS).agg(F.first("score").alias("p"), F.first("blocked").alias("b"))
-    wide = wide.withColumns({f"{p}_b": F.coalesce(f"{p}_b", F.lit(False)) for p in PILLARS})
+    cells = imputed(spark, sf_dir).withColumn("missing", ~F.col("provenance").eqNullSafe("observed"))
+    fields = F.col("indicator").isin(CONTAMINANTS)
+    clean = matrix.normalised(cells.where(~fields), tree(spark)).select("entity", "pillar", "score", "missing")
+    away = cells.where(fields).join(F.broadcast(tree(spark)), "indicator").select("entity", "pillar", F.lit(None).cast("double").alias("score"), "missing")
+    wide = matrix.pillar_columns(clean.unionByName(away), PILLARS)
     legs = F.array(*(F.struct(F.lit(leg).alias("leg"), F.round(C.blocked_mean([(f"{p}_p", f"{p}_b", own[p]) for p in PILLARS]), 7).alias("x")) for leg, own in LEGS.items()))
     owner = F.create_map(*(F.lit(x) for k, fields in PROXIES.items() for f in fields for x in (f, k)))
     placed = ranks.percent_ranks(matrix.to_long(features(spark, sf_dir), ["entity"], CONTAMINANTS), ["indicator"])
