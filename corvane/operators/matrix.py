@@ -44,11 +44,14 @@ def without_sentinels(rows: DataFrame, least: float = 0.9) -> DataFrame:
 
 
 def impute(rows: DataFrame, group: str = "grp") -> DataFrame:
-    """Group median, then the median of the group-filled column; provenance says which."""
+    """Group median, then the median of the group-filled column; provenance says which. The second is computed for indicators that still lack a cell."""
     own = reused(medians(rows, [group, "indicator"], "value", "_g"))
     first = rows.join(own, [group, "indicator"], "left").withColumn("_f", F.coalesce("value", "_g"))
-    whole = reused(medians(first, ["indicator"], "_f", "_n"))
-    out = first.join(whole, "indicator", "left")
+    lacking = rows.where("value is null").select(group, "indicator").distinct().join(own, [group, "indicator"], "left_anti").select("indicator").distinct()
+    names = [r["indicator"] for r in lacking.collect()]  # columns of the matrix
+    out = first.withColumn("_n", F.lit(None).cast("double"))
+    if names:
+        out = first.join(reused(medians(first.where(F.col("indicator").isin(names)), ["indicator"], "_f", "_n")), "indicator", "left")
     source = F.when(F.col("value").isNotNull(), "observed").when(F.col("_g").isNotNull(), "group_median").when(F.col("_n").isNotNull(), "overall_median")
     return out.withColumn("provenance", source).withColumn("value", F.coalesce("_f", "_n")).drop("_g", "_f", "_n")
 
@@ -118,11 +121,11 @@ def blocked(rows: DataFrame, tree: DataFrame, most: float = 1 / 3) -> DataFrame:
     return own.withColumn("blocked", F.col("missing_share") > most)
 
 
-def pillar_columns(rows: DataFrame, pillars: list[str], most: float = 1 / 3) -> DataFrame:
-    """entity, and for each pillar <p>_p, the mean of its scores, nulls skipped, and <p>_b, as in blocked(). rows: entity, pillar, score, and `missing`, whether the cell lacked a value. Cells are shuffled once, by entity."""
+def pillar_columns(rows: DataFrame, pillars: list[str], most: float = 1 / 3, also: tuple[Column, ...] = ()) -> DataFrame:
+    """entity, and for each pillar <p>_p, the mean of its scores, nulls skipped, and <p>_b, as in blocked(). rows: entity, pillar, score, and `missing`, whether the cell lacked a value. Cells are shuffled once, by entity. `also`: more aggregates of an entity's cells."""
     own = lambda p, x: F.avg(F.when(F.col("pillar") == p, F.col(x)))
     cells = rows.select("entity", "pillar", "score", F.col("missing").cast("double").alias("missing")).repartition("entity")
-    return cells.groupBy("entity").agg(*(own(p, "score").alias(f"{p}_p") for p in pillars), *(F.coalesce(own(p, "missing") > most, F.lit(False)).alias(f"{p}_b") for p in pillars))
+    return cells.groupBy("entity").agg(*(own(p, "score").alias(f"{p}_p") for p in pillars), *(F.coalesce(own(p, "missing") > most, F.lit(False)).alias(f"{p}_b") for p in pillars), *also)
 
 
 def rank_normalised(rows: DataFrame, direction: Column | int = 1) -> DataFrame:

@@ -24,7 +24,11 @@ def below(cuts: dict[tuple, list[float]], by: list[Column], value: Column) -> Co
     @F.pandas_udf("int")
     def place(v: pd.Series, *keys: pd.Series) -> pd.Series:
         x, out = v.to_numpy(dtype=float), np.zeros(len(v), dtype=np.int32)
-        codes, names = pd.factorize(pd.MultiIndex.from_arrays(keys)) if keys else (np.zeros(len(v), dtype=int), [()])
+        codes, names = np.zeros(len(v), dtype=np.int64), [()]
+        for key in keys:
+            own, found = pd.factorize(key, use_na_sentinel=False)
+            codes, pairs = pd.factorize(codes * len(found) + own)
+            names = [(*names[i // len(found)], found[i % len(found)]) for i in pairs]
         order = np.argsort(codes, kind="stable")
         ends = np.searchsorted(codes[order], np.arange(len(names) + 1))
         for i, name in enumerate(names):

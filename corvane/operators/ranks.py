@@ -25,31 +25,35 @@ def reused(df: DataFrame) -> DataFrame:
 def average_ranks(rows: DataFrame, by: list[str], value: str = "value", buckets: int = BUCKETS, weight: str | None = None) -> DataFrame:
     """rows with `rank` (average of ties, ascending) and `n` (non-null values) within each `by` group; null values rank null. With a weight, a row counts as that many alike.
 
-    Equal values meet in one row before anything is sorted, so ties of any size cost nothing. The driver gets `buckets`
-    numbers for each group: groups are columns of a matrix or draws, not entities.
+    Rows are shuffled once, by bucket, and are not joined back. A bucket of a single value has its rank from the totals, so a hot value costs nothing. The driver gets at most
+    `buckets` cuts and twice as many totals for each group: groups are columns of a matrix or draws, not entities.
     """
     keys = by or ["_all"]
-    known = rows.where(F.col(value).isNotNull()) if by else rows.where(F.col(value).isNotNull()).withColumn("_all", F.lit(0))
-    counts = known.groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_ties"))
-    counts = reused(counts)
+    whole = rows if by else rows.withColumn("_all", F.lit(0))
     points = F.array(*(F.lit(i / buckets) for i in range(1, buckets)))
-    cuts = counts.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))
-    session, shape = rows.sparkSession, counts.select(*keys).schema
-    cuts = {tuple(r[k] for k in keys): [float(c) for c in r["_cuts"]] for r in cuts.collect()}
-    placed = reused(counts.withColumn("_bucket", (below(cuts, [F.col(k) for k in keys], F.col(value)) / 2).cast("int")))
-    totals = placed.groupBy(*keys, "_bucket").agg(F.sum("_ties").alias("_own")).collect()
+    cuts = whole.groupBy(*keys).agg(F.array_distinct(F.percentile_approx(value, points, 10000)).alias("_cuts"))
+    cuts = {tuple(r[k] for k in keys): [float(c) for c in r["_cuts"] or []] for r in cuts.collect()}
+    placed = reused(whole.withColumn("_bucket", below(cuts, [F.col(k) for k in keys], F.col(value))))
+    w = F.col(weight) if weight else F.lit(1)
+    totals = placed.where("_bucket is not null").groupBy(*keys, "_bucket").agg(F.sum(w).cast("long").alias("_own"), (F.min(value) == F.max(value)).alias("_single")).collect()
     before, upto = [], {}
     for r in sorted(totals, key=lambda r: r["_bucket"]):
         key = tuple(r[k] for k in keys)
-        before.append((*key, r["_bucket"], upto.get(key, 0)))
+        before.append((key, r["_bucket"], upto.get(key, 0), r["_own"], r["_single"]))
         upto[key] = upto.get(key, 0) + r["_own"]
-    ends = {(*b[: len(keys)],): upto[b[: len(keys)]] for b in before}
-    ddl = T.StructType([*shape.fields, T.StructField("_bucket", T.IntegerType()), T.StructField("_before", T.LongType()), T.StructField("n", T.LongType())])
-    offsets = session.createDataFrame([(*b, ends[b[: len(keys)]]) for b in before], ddl)
-    inner = Window.partitionBy(*keys, "_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = placed.withColumn("_upto", F.sum("_ties").over(inner)).join(F.broadcast(offsets), [*keys, "_bucket"])
-    ranked = ranked.select(*by, value, (F.col("_before") + F.col("_upto") - (F.col("_ties") - 1) / 2).alias("rank"), "n")
-    return rows.join(ranked, [*by, value], "left")
+    more = T.StructType.fromDDL("_bucket int, _before long, _own long, _single boolean, n long, _slot int")
+    offsets = [(*key, *own, upto[key], i) for i, (key, *own) in enumerate(before)]
+    offsets = rows.sparkSession.createDataFrame(offsets, T.StructType([*placed.select(*keys).schema.fields, *more.fields]))
+    found = placed.join(F.broadcast(offsets), [*keys, "_bucket"], "left")
+    others = [c for c in rows.columns if c not in (*by, value)]
+    ranked = lambda part, rank: part.select(*by, value, *others, rank.alias("rank"), "n")
+    out = ranked(found.where(F.coalesce("_single", F.lit(True))), F.col("_before") + (F.col("_own") + 1) / 2)
+    if all(single for *_, single in before):
+        return out
+    inner = Window.partitionBy("_slot").orderBy(value)
+    last = F.sum(w).over(inner.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    middle = last - (F.sum(w).over(Window.partitionBy("_slot", value)) - 1) / 2 if weight else (F.rank().over(inner) + last) / 2
+    return out.unionByName(ranked(found.where(~F.col("_single")), F.col("_before") + middle))
 
 
 def percent_ranks(rows: DataFrame, by: list[str], value: str = "value", direction=1) -> DataFrame:

@@ -87,9 +87,9 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg(F.when(urgent, price)), 8).alias("urgent_price"), F.round(F.avg(F.when(urgent & (F.col("o_orderstatus") == "P"), price)), 8).alias("urgent_p"),
         F.round(in_year(2000) - in_year(1996), 8).alias("delta"),
     )
-    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax", "l_returnflag")
-    qty, back = F.col("l_quantity"), F.col("l_returnflag") == "R"
-    by_item = items.join(orders.select("o_orderkey", "entity"), "o_orderkey").groupBy("entity").agg(
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax", (F.col("l_returnflag") == "R").alias("back"))
+    qty, back = F.col("l_quantity"), F.col("back")
+    by_item = items.join(orders.select("o_orderkey", "entity").hint("shuffle_hash"), "o_orderkey").groupBy("entity").agg(
         F.round(F.avg("l_discount"), 9).alias("discount"), F.round(F.avg("l_tax"), 9).alias("tax"), F.round(F.avg(qty), 9).alias("quantity"),
         F.round(F.sum(F.when(back, qty).otherwise(0.0)) / F.sum(qty), 9).alias("return_share"), F.round(F.avg(F.when(back, qty)), 9).alias("return_qty"),
     )
@@ -99,12 +99,15 @@ def features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def long_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reused(matrix.to_long(features(spark, sf_dir), ["entity", "grp"], INDICATORS))
+    return matrix.to_long(features(spark, sf_dir), ["entity", "grp"], INDICATORS)
 
 
 @once
 def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reused(matrix.covered(long_features(spark, sf_dir), 0.8))
+    """The cells of indicators with enough coverage, unpivoted from the columns of those alone."""
+    found = {r["indicator"] for r in matrix.coverage(long_features(spark, sf_dir)).where("coverage >= 0.8").collect()}
+    names = [i for i in INDICATORS if i in found]
+    return matrix.to_long(features(spark, sf_dir), ["entity", "grp"], names) if names else long_features(spark, sf_dir).where(F.lit(False))
 
 
 @once

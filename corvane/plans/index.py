@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -98,8 +98,11 @@ def pillar_mean_skipnull(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality(spark: SparkSession, sf_dir: str, weights: dict[str, float] = WEIGHTS) -> DataFrame:
     """entity, quality, and each pillar's score and blocked flag."""
     cells = matrix.normalised(imputed(spark, sf_dir), tree(spark)).withColumn("missing", ~F.col("provenance").eqNullSafe("observed"))
-    wide = matrix.pillar_columns(cells, PILLARS)
-    return wide.withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", weights[p]) for p in PILLARS]))
+    return matrix.pillar_columns(cells, PILLARS).withColumn("quality", _weighed(weights))
+
+
+def _weighed(weights: dict[str, float]) -> Column:
+    return C.blocked_mean([(f"{p}_p", f"{p}_b", weights[p]) for p in PILLARS])
 
 
 def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -112,8 +115,15 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @once
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity, grp, spend, delta, size, quality, overall."""
-    both = sized(spark, sf_dir).join(quality(spark, sf_dir).select("entity", "quality"), "entity")
+    """entity, grp, spend, delta, size, quality, overall. The cells of size and of the pillars are ranked in one call and meet in one shuffle by entity."""
+    rows, sizes = features(spark, sf_dir), ["spend", "urgent_share"]
+    shape = tree(spark).unionByName(spark.createDataFrame([(c, c, 1) for c in sizes], "indicator string, pillar string, direction int"))
+    cells = imputed(spark, sf_dir).select("entity", "indicator", "value", (~F.col("provenance").eqNullSafe("observed")).alias("missing"))
+    cells = cells.unionByName(matrix.to_long(rows, ["entity"], sizes).withColumn("missing", F.lit(None).cast("boolean")))
+    part = lambda c: F.max(F.when(F.col("pillar") == c, F.col("score")))
+    wide = matrix.pillar_columns(matrix.normalised(cells, shape), PILLARS, also=(*(part(c).alias(f"{c}_r") for c in sizes), F.count("missing").alias("cells"))).where("cells > 0")
+    wide = wide.withColumns({"size": 0.75 * F.col("spend_r") + 0.25 * F.col("urgent_share_r"), "quality": _weighed(WEIGHTS)})
+    both = rows.select("entity", "grp", "spend", "delta").join(wide.select("entity", "size", "quality"), "entity")
     return reused(rounded(both.withColumn("overall", C.geometric("size", "quality", 0.5)), "size", "quality", "overall"))
 
 

@@ -335,3 +335,66 @@ def test_pillar_columns_like_pillars_and_blocked(spark):
     for r in matrix.pillars(full, tree).join(matrix.blocked(rows, tree), ["entity", "pillar"]).collect():
         assert got[r["entity"]][f"{r['pillar']}_p"] == pytest.approx(r["score"]) and got[r["entity"]][f"{r['pillar']}_b"] == r["blocked"]
     assert len(got) == 30 and all(r["r_p"] is None and r["r_b"] is False for r in got.values())
+
+
+def test_ranks_are_not_joined_back(spark):
+    """Hot values, nulls, NaN, null groups and weights as pandas ranks them; rows meet the buckets' totals by broadcast only."""
+    from corvane.operators import ranks
+
+    rng = random.Random(9)
+    rows = [(i, "ab"[i % 2], None if i % 17 == 0 else 4.0 if i % 3 == 0 else float("nan") if i % 41 == 0 else rng.gauss(0, 9), i) for i in range(2000)]
+    rows += [(2000 + i, "one", 1.5, i) for i in range(9)] + [(2010, "none", None, 0), (2011, None, 1.0, 0)]
+    frame = spark.createDataFrame(rows, "entity long, g string, value double, more int").repartition(7)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = ranks.average_ranks(frame, ["g"], buckets=8)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {r["entity"]: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert len(got) == len(rows) and all(got[i]["more"] == m for i, _, _, m in rows)
+    for g in ("a", "b", "one", "none"):
+        own = [(i, x) for i, h, x, _ in rows if h == g]
+        known = [x for _, x in own if x is not None]
+        for i, x in own:
+            less, ties = sum(y < x if x == x else y == y for y in known) if x is not None else 0, sum(y == x or (y != y and x != x) for y in known) if x is not None else 0
+            assert (got[i]["rank"], got[i]["n"]) == ((None, None) if x is None else (less + (ties + 1) / 2, len(known)))
+    assert got[2011]["rank"] is None
+
+
+def test_second_median_only_where_a_cell_is_left(spark, monkeypatch):
+    from corvane.operators import matrix
+
+    asked, plain = [], matrix.medians
+    monkeypatch.setattr(matrix, "medians", lambda rows, by, *more, **named: asked.append((by, rows.select("indicator").distinct().count())) or plain(rows, by, *more, **named))
+    cells = [(i, i % 3, k, None if i % 5 == 0 else float(i + j)) for i in range(30) for j, k in enumerate("pq")]
+    frame = lambda c: spark.createDataFrame(c, "entity long, grp int, indicator string, value double")
+    full = {(r["entity"], r["indicator"]): (r["value"], r["provenance"]) for r in matrix.impute(frame(cells)).collect()}
+    assert asked == [(["grp", "indicator"], 2)] and {p for _, p in full.values()} == {"observed", "group_median"}
+    asked.clear()
+    less = [(i, g, k, None if g == 2 and k == "q" else x) for i, g, k, x in cells]
+    got = {(r["entity"], r["indicator"]): (r["value"], r["provenance"]) for r in matrix.impute(frame(less)).collect()}
+    assert asked == [(["grp", "indicator"], 2), (["indicator"], 1)]
+    filled = [full[i, "q"][0] for i in range(30) if i % 3 != 2]
+    assert got == full | {(i, "q"): (float(np.median(filled)), "overall_median") for i in range(2, 30, 3)}
+
+
+def test_scored_ranks_all_cells_in_one_call(spark, monkeypatch):
+    import os
+
+    from corvane.operators import ranks
+    from corvane.plans import index
+
+    sf = "/root/testdata/sf0.001"
+    if not os.path.isdir(sf):
+        pytest.skip("no fixture tables")
+    asked, plain = [], ranks.average_ranks
+    monkeypatch.setattr(ranks, "average_ranks", lambda r, by, *more, **named: asked.append(by) or plain(r, by, *more, **named))
+    got = {r["entity"]: r for r in index.scored(spark, sf).collect()}
+    assert asked == [["indicator"]]
+    both = index.sized(spark, sf).join(index.quality(spark, sf), "entity").collect()
+    assert len(got) == len(both)
+    for r in both:
+        assert got[r["entity"]]["quality"] == pytest.approx(r["quality"], abs=2e-6) and got[r["entity"]]["size"] == (None if r["size"] is None else pytest.approx(r["size"], abs=2e-6))
