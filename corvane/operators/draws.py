@@ -1,6 +1,8 @@
-"""Average ranks within many draws at once: a row carries an array with its count in every draw, so no row is copied for a draw.
+"""Scores and ranks within many draws without a row for each entity and draw.
 
-Each column is put in order once, in buckets; what a draw's rows have before a value is a running sum of the counts, for all draws side by side.
+`shares_in_draw` and `middle_shift` work on one draw's entities in one task (about 40 bytes each), which reads columns of the whole table's files.
+`ranks_in_draws`: a row carries an array with its count in every draw, so no row is copied for a draw. Each column is put in order once, in buckets; what a draw's rows have before a value is a
+running sum of the counts, for all draws side by side.
 """
 
 from __future__ import annotations
@@ -13,10 +15,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import below, reused
+from .storage import block
 
 BUCKETS, CHUNK = 128, 4096
 
 
+def shares_in_draw(files: list[str], column: str, taken: np.ndarray) -> np.ndarray:
+    """The average rank over the count of the rows that a draw takes, among those that have a value; NaN where one has none. The column holds the whole part of a rank among all rows (0 without a value), which
+    orders values and tells them apart, so a running count by it gives the ranks in the draw, and no value is sorted."""
+    own = np.concatenate([block(f, [column])[0] for f in files])[taken]
+    upto = np.bincount(own, minlength=1)
+    upto[0] = 0
+    np.cumsum(upto, out=upto)
+    twice = np.where(own > 0, upto[own] + upto[np.maximum(own, 1) - 1] + 1, np.nan)
+    return twice / 2 / max(int(upto[-1]), 1)
+
+
+def middle_shift(score: np.ndarray, position: np.ndarray, whole: float) -> float:
+    """The median distance of a draw's ranks (highest score first, average of ties), scaled to `whole`, from positions (NaN: none)."""
+    order = np.argsort(score)
+    inside = score[order]
+    starts = np.flatnonzero(np.r_[True, inside[1:] != inside[:-1]])
+    ends = np.r_[starts[1:], len(score)]
+    rank = np.empty(len(score))
+    rank[order] = np.repeat((starts + ends + 1) / 2, ends - starts)
+    shift = np.abs((len(score) + 1 - rank) / len(score) * whole - position)
+    known = shift[~np.isnan(shift)]
+    return float(np.median(known)) if len(known) else float("nan")
+
+
 def chunk_of(key: str, chunks: int):
     return F.pmod(F.xxhash64(key), F.lit(chunks)).cast("int")
 

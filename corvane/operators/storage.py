@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -21,3 +23,22 @@ def written(df: DataFrame, kind: str = "table") -> DataFrame:
     path = shared_folder(df.sparkSession, kind)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def in_blocks(df: DataFrame, order: list[str], rows: int) -> list[str]:
+    """df as Parquet files of at most `rows` rows, in order (not sorted where `order` is empty): for tasks that read a whole table from end to end, file by file and column by column, which Spark could only give
+    them as a copy a task. The folder has to be one that pyarrow can open."""
+    path = shared_folder(df.sparkSession, "blocks")
+    (df.orderBy(*order) if order else df).write.option("maxRecordsPerFile", rows).parquet(path)
+    return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles(), key=lambda f: [int(x) for x in re.search(r"part-(\d+)-.*?c(\d+)\.[^/]*$", f).groups()])
+
+
+def block(path: str, columns: list[str]) -> list[np.ndarray]:
+    """Columns of one of those files; nulls of numbers are NaN."""
+    from pyarrow import fs
+    from pyarrow import parquet
+
+    store, name = fs.FileSystem.from_uri(path)
+    with store.open_input_file(name) as file:
+        found = parquet.ParquetFile(file).read(columns=columns)
+    return [found.column(c).to_numpy() for c in columns]

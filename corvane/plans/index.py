@@ -113,17 +113,31 @@ def sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("urgent_share").join(wide.select("entity", (0.75 * F.col("spend") + 0.25 * F.col("urgent_share")).alias("size")), "entity")
 
 
+_SIZES = ["spend", "urgent_share"]
+
+
 @once
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """entity, grp, spend, delta, size, quality, overall. The cells of size and of the pillars are ranked in one call and meet in one shuffle by entity."""
-    rows, sizes = features(spark, sf_dir), ["spend", "urgent_share"]
-    shape = tree(spark).unionByName(spark.createDataFrame([(c, c, 1) for c in sizes], "indicator string, pillar string, direction int"))
+def ranked_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, indicator, pillar, direction, value, missing, rank, n and score of the filled cells, and of the two parts of size (each a pillar by its own name, `missing` null): all ranked in one call."""
+    shape = tree(spark).unionByName(spark.createDataFrame([(c, c, 1) for c in _SIZES], "indicator string, pillar string, direction int"))
     cells = imputed(spark, sf_dir).select("entity", "indicator", "value", (~F.col("provenance").eqNullSafe("observed")).alias("missing"))
-    cells = cells.unionByName(matrix.to_long(rows, ["entity"], sizes).withColumn("missing", F.lit(None).cast("boolean")))
+    cells = cells.unionByName(matrix.to_long(features(spark, sf_dir), ["entity"], _SIZES).withColumn("missing", F.lit(None).cast("boolean")))
+    found = ranks.average_ranks(cells.join(F.broadcast(shape), "indicator"), ["indicator"])
+    r = F.col("rank") / F.col("n")
+    return found.withColumn("score", 100 * F.when(F.col("direction") < 0, 1 - r).otherwise(r))
+
+
+def assembled(spark: SparkSession, sf_dir: str, also: tuple[Column, ...] = ()) -> DataFrame:
+    """entity, size, quality, each pillar's score and blocked flag, and `also`, aggregates of an entity's ranked cells: all meet in one shuffle by entity."""
     part = lambda c: F.max(F.when(F.col("pillar") == c, F.col("score")))
-    wide = matrix.pillar_columns(matrix.normalised(cells, shape), PILLARS, also=(*(part(c).alias(f"{c}_r") for c in sizes), F.count("missing").alias("cells"))).where("cells > 0")
-    wide = wide.withColumns({"size": 0.75 * F.col("spend_r") + 0.25 * F.col("urgent_share_r"), "quality": _weighed(WEIGHTS)})
-    both = rows.select("entity", "grp", "spend", "delta").join(wide.select("entity", "size", "quality"), "entity")
+    wide = matrix.pillar_columns(ranked_cells(spark, sf_dir), PILLARS, also=(*(part(c).alias(f"{c}_r") for c in _SIZES), F.count("missing").alias("cells"), *also)).where("cells > 0")
+    return wide.withColumns({"size": 0.75 * F.col("spend_r") + 0.25 * F.col("urgent_share_r"), "quality": _weighed(WEIGHTS)}).drop("cells", *(f"{c}_r" for c in _SIZES))
+
+
+@once
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, grp, spend, delta, size, quality, overall."""
+    both = features(spark, sf_dir).select("entity", "grp", "spend", "delta").join(assembled(spark, sf_dir).select("entity", "size", "quality"), "entity")
     return reused(rounded(both.withColumn("overall", C.geometric("size", "quality", 0.5)), "size", "quality", "overall"))
 
 

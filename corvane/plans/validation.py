@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
-from ..operators.draws import CHUNK, chunk_of, class_counts, ranks_in_draws
+from ..operators.draws import middle_shift, shares_in_draw
 from ..operators.order_statistics import medians
+from ..operators.storage import block, in_blocks
 from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
-from .index import quality, scored, sized
+from .index import assembled, quality, scored, sized
 
 
 @query(FEAT + f"""SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT {pct_rank_sql('spend')} AS a, {pct_rank_sql('urgent_price')} AS b FROM feat WHERE spend IS NOT NULL AND urgent_price IS NOT NULL)""")
@@ -313,74 +314,91 @@ def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 BOOTSTRAPS = 150
 
 
-def _resampled_classes(spark: SparkSession, sf_dir: str, draws: int) -> tuple[DataFrame, DataFrame]:
-    """draw, cls, c, overall: the index built anew on each draw's entities, from percentile ranks on, and c, how many of a class are drawn; and entity, cls, c (1 in the draws that take it).
-
-    Values stay imputed, and pillars blocked, as for all entities. Entities alike in cells, flags and size have one score in every draw, which is made once."""
-    own = [(i, p, d) for i, p, d in TREE if p in PILLARS]
-    columns = [*(i for i, _, _ in own), "spend", "urgent_share"]
-    cells = matrix.to_wide(imputed(spark, sf_dir).where(F.col("indicator").isin(columns)), ["entity"], [i for i, _, _ in own])
-    flags = matrix.blocked(gated(spark, sf_dir), tree(spark)).groupBy("entity").agg(*(F.coalesce(F.bool_or(F.when(F.col("pillar") == p, F.col("blocked"))), F.lit(False)).alias(f"{p}_b") for p in PILLARS))
-    whole = features(spark, sf_dir).select("entity", "spend", "urgent_share").join(cells, "entity").join(flags, "entity")
-    null = {f"{c}_0": F.col(c).isNull() for c in columns}
-    found, members = alike(whole.select("entity", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in columns), *(x.alias(c) for c, x in null.items()), *(f"{p}_b" for p in PILLARS)), [*columns, *null, *(f"{p}_b" for p in PILLARS)])
-    found = found.select(F.col("cls").cast("long").alias("cls"), *(F.when(~F.col(f"{c}_0"), F.col(c)).alias(c) for c in columns), *(f"{p}_b" for p in PILLARS))
-    n = features(spark, sf_dir).agg(F.count(F.lit(1))).first()[0]
+def _taken(draws: int, n: int) -> list:
+    """For each draw whether it takes an entity, by a hash of both, with the chance that n draws with replacement take it."""
     most = 1 - (1 - 1 / max(n, 1)) ** n
-    taken = lambda d: (F.pmod(F.xxhash64("entity", d, F.lit(42)), F.lit(1_000_000)) / 1e6 < most).cast("byte")
-    each = F.sequence(F.lit(0).cast("long"), F.lit(draws - 1).cast("long"))
-    members = members.select("entity", F.col("cls").cast("long").alias("cls"), F.transform(each, taken).alias("c"))
-    chunks = max(1, -(-found.count() // CHUNK))
-    rows = reused(found.join(class_counts(members, chunks), "cls"))
-    ranked, sizes = ranks_in_draws(rows.select("cls", "c", *columns), columns, draws)
-
-    def overall(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        left = left.sort_values("cls").reset_index(drop=True)
-        if not len(left):
-            return pd.DataFrame({"draw": [], "cls": [], "c": [], "overall": []})
-        score = np.full((len(columns), len(left), draws), np.nan)
-        for i, part in right.groupby("i"):
-            score[i, np.searchsorted(left.cls, part.cls)] = np.stack(part.r) / 2 / np.maximum(sizes[i], 1)
-        for i, (_, _, d) in enumerate(own):
-            if d < 0:
-                score[i] = 1 - score[i]
-        score *= 100
-        total, weight, plain = 0.0, 0.0, 0.0
-        for p in PILLARS:
-            mine = score[[i for i, (_, q, _) in enumerate(own) if q == p]]
-            known = (~np.isnan(mine)).sum(axis=0)
-            mean = np.nansum(mine, axis=0) / np.maximum(known, 1)  # a missing pillar counts as 0
-            w = np.where(left[f"{p}_b"].to_numpy(dtype=bool), 0.0, WEIGHTS[p])[:, None]
-            total, weight, plain = total + w * mean, weight + w, plain + mean
-        quality = np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), plain / len(PILLARS))
-        clip = lambda x: np.fmax(np.fmin(x, 100.0), 1.0) / 100  # noqa: E731  what is missing counts as the cap, as in C.geometric
-        s = 100 * np.sqrt(clip(0.75 * score[-2] + 0.25 * score[-1])) * np.sqrt(clip(quality))
-        c = np.stack(left.c)
-        at, draw = np.nonzero(c)
-        return pd.DataFrame({"draw": draw, "cls": left.cls.to_numpy()[at], "c": c[at, draw], "overall": s[at, draw]})
-
-    left = rows.select("cls", "c", *(f"{p}_b" for p in PILLARS)).groupBy(chunk_of("cls", chunks))
-    out = left.cogroup(ranked.groupBy(chunk_of("cls", chunks))).applyInPandas(overall, "draw long, cls long, c int, overall double")
-    return reused(rounded(out, "overall")), members
+    return [(F.pmod(F.xxhash64("entity", F.lit(d).cast("long"), F.lit(42)), F.lit(1_000_000)) / 1e6 < most).alias(f"d{d}") for d in range(draws)]
+
+
+_BOOT = [(i, p, d) for i, p, d in TREE if p in PILLARS] + [(c, "", 1) for c in ("spend", "urgent_share")]
+
+
+def _resampling(spark: SparkSession, sf_dir: str, draws: int) -> tuple[DataFrame, int]:
+    """One row an entity: the whole part of its rank in each indicator and part of size (0 without a value; equal for equal values alone), its blocked pillars, its place in the index of all (`position`),
+    and for each draw whether it is taken; and the number of entities in that index. Values stay imputed, and pillars blocked, as for all entities."""
+    key = lambda c: F.coalesce(F.max(F.when(F.col("indicator") == c, F.floor("rank"))), F.lit(0)).cast("long").alias(f"k_{c}")
+    wide = assembled(spark, sf_dir, tuple(key(c) for c, _, _ in _BOOT))
+    wide = wide.select("entity", F.round(C.geometric("size", "quality", 0.5), 6).alias("overall"), *(f"{p}_b" for p in PILLARS), *(f"k_{c}" for c, _, _ in _BOOT))
+    placed = reused(ranks.average_ranks(wide, [], "overall").withColumn("position", F.col("n") + 1 - F.col("rank")))
+    most = placed.agg(F.max("n")).first()[0] or 0
+    return placed.drop("overall", "rank", "n"), most
+
+
+def _drawn_index(files: list[str], draw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which entities a draw takes, and the index built anew on these, from percentile ranks on."""
+    taken = np.concatenate([block(f, [f"d{draw}"])[0] for f in files])
+    share = lambda c, d: 1 - shares_in_draw(files, f"k_{c}", taken) if d < 0 else shares_in_draw(files, f"k_{c}", taken)
+    total, weight, plain = (np.zeros(int(taken.sum())) for _ in range(3))
+    for p in PILLARS:
+        mine, known = np.zeros(len(total)), np.zeros(len(total), dtype=np.int16)
+        for c, q, d in _BOOT:
+            if q == p:
+                x = 100 * share(c, d)
+                known += ~np.isnan(x)
+                mine += np.nan_to_num(x, copy=False)
+        mine /= np.maximum(known, 1)  # a missing pillar counts as 0
+        w = np.where(np.concatenate([block(f, [f"{p}_b"])[0] for f in files])[taken], 0.0, WEIGHTS[p])
+        total += w * mine
+        weight += w
+        plain += mine
+    quality = np.where(weight > 0, total / np.where(weight > 0, weight, 1.0), plain / len(PILLARS))
+    del total, weight, plain
+    size = 75 * share("spend", 1) + 25 * share("urgent_share", 1)
+    clip = lambda x: np.fmax(np.fmin(x, 100.0), 1.0) / 100  # noqa: E731  what is missing counts as the cap, as in C.geometric
+    return taken, np.floor(100 * np.sqrt(clip(size)) * np.sqrt(clip(quality)) * 1e6 + 0.5) / 1e6
+
+
+def _draw_files(spark: SparkSession, sf_dir: str, draws: int) -> tuple[list[str], int]:
+    rows, n = _resampling(spark, sf_dir, draws)
+    return in_blocks(rows.select("*", *_taken(draws, features(spark, sf_dir).count())), [], 1 << 18), n
 
 
 def _resampled(spark: SparkSession, sf_dir: str, draws: int) -> DataFrame:
     """draw, entity, overall of the entities that each draw takes."""
-    scores, members = _resampled_classes(spark, sf_dir, draws)
-    each = members.select("entity", "cls", F.posexplode("c").alias("draw", "hit")).where("hit = 1").select("entity", "cls", F.col("draw").cast("long").alias("draw"))
-    return each.join(scores, ["draw", "cls"]).select("draw", "entity", "overall")
+    files, _ = _draw_files(spark, sf_dir, draws)
+
+    def rows(batches):
+        for part in batches:
+            for d in part.id:
+                taken, overall = _drawn_index(files, int(d))
+                yield pd.DataFrame({"draw": int(d), "entity": np.concatenate([block(f, ["entity"])[0] for f in files])[taken], "overall": overall})
+
+    return reused(spark.range(0, draws, numPartitions=draws).mapInPandas(rows, "draw long, entity long, overall double"))
+
+
+def _resampled_classes(spark: SparkSession, sf_dir: str, draws: int) -> tuple[DataFrame, DataFrame]:
+    """draw, cls, c, overall: entities alike in ranks and flags as one class, and c, how many of it are drawn; and entity, cls. They have one score in every draw."""
+    rows, _ = _resampling(spark, sf_dir, draws)
+    _, members = alike(rows, [*(f"k_{c}" for c, _, _ in _BOOT), *(f"{p}_b" for p in PILLARS)])
+    each = _resampled(spark, sf_dir, draws).join(members, "entity").groupBy("draw", "cls").agg(F.count(F.lit(1)).alias("c"), F.max("overall").alias("overall"))
+    return each, members
 
 
 @query()
 def bootstrap_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """draw, churn, median_churn: entities drawn by hash with the chance that a draw with replacement takes them; the median shift of ranks, scaled to all, against the index of all; and the median over the draws."""
-    down = F.col("n") + 1 - F.col("rank")
-    base = ranks.average_ranks(scored(spark, sf_dir).select("entity", "overall"), [], "overall")
-    base = base.select(F.col("entity").cast("long").alias("cls"), down.alias("position"), F.col("n").alias("all"))
-    drawn = ranks.average_ranks(_resampled_classes(spark, sf_dir, BOOTSTRAPS)[0], ["draw"], "overall", weight="c")
-    drawn = drawn.select("draw", "cls", "c", down.alias("r"), "n")
-    shift = F.abs(F.col("r") / F.col("n") * F.col("all") - F.col("position"))
-    churn = reused(medians(drawn.join(base, "cls").withColumn("shift", shift), ["draw"], "shift", "churn", weight="c"))
+    """draw, churn, median_churn: entities drawn by hash with the chance that a draw with replacement takes them; the median shift of ranks, scaled to all, against the index of all; and the median over the draws.
+
+    A draw is a task: it reads the columns of all entities one after the other, and no row is made for an entity and a draw."""
+    files, n = _draw_files(spark, sf_dir, BOOTSTRAPS)
+
+    def moved(batches):
+        for part in batches:
+            for d in part.id:
+                taken, overall = _drawn_index(files, int(d))
+                if len(overall):
+                    yield pd.DataFrame({"draw": [int(d)], "churn": [middle_shift(overall, np.concatenate([block(f, ["position"])[0] for f in files])[taken], n)]})
+
+    churn = reused(spark.range(0, BOOTSTRAPS, numPartitions=BOOTSTRAPS).mapInPandas(moved, "draw long, churn double"))
     return ranks.with_scalar(churn, churn.agg(F.median("churn").alias("median_churn")))
 
 

@@ -82,3 +82,21 @@ def test_kendall_within_blocks_makes_no_pairs(spark):
         s = sum(u * v for u, v in both if u is not None and v is not None)
         assert math.isclose(got[g], s / math.sqrt(sum(abs(u) for u, _ in both if u is not None) * sum(abs(v) for _, v in both if v is not None)), rel_tol=1e-12)
     assert "e1" not in found._jdf.queryExecution().optimizedPlan().toString()  # no pair of entities is made
+
+
+def test_a_draw_reads_columns_of_the_whole_table(spark):
+    """Shares of ranks among the rows of a draw, and the middle shift, against pandas; ties, missing values, files of 50 rows."""
+    from corvane.operators.storage import block, in_blocks
+
+    rng = np.random.default_rng(8)
+    value = pd.Series([None if k % 13 == 0 else float(rng.integers(0, 40)) for k in range(400)], dtype=float)
+    rows = [(k, 0 if np.isnan(r) else int(r), bool(rng.random() < 0.6)) for k, r in enumerate(value.rank())]
+    files = in_blocks(spark.createDataFrame(rows, "entity long, k long, taken boolean").repartition(3), ["entity"], 50)
+    read = lambda c: np.concatenate([block(f, [c])[0] for f in files])
+    assert len(files) >= 8 and read("entity").tolist() == list(range(400)) and max(len(block(f, ["k"])[0]) for f in files) <= 50
+    taken = read("taken")
+    want = value[taken].rank(pct=True).to_numpy()
+    assert np.allclose(draws.shares_in_draw(files, "k", taken), want, rtol=1e-12, equal_nan=True)
+    score, position = rng.integers(0, 30, 90).astype(float), np.r_[rng.random(89) * 90, np.nan]
+    shift = (pd.Series(score).rank(ascending=False) / 90 * 200 - position).abs()
+    assert abs(draws.middle_shift(score, position, 200.0) - shift.median()) < 1e-9
