@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .nearest import along_curve, neighbours
 from .order_statistics import medians
 from .ranks import percent_ranks, reused
+from .storage import block, in_blocks
 
 
 def to_long(wide: DataFrame, keys: list[str], indicators: list[str]) -> DataFrame:
@@ -66,48 +70,38 @@ def listwise(rows: DataFrame, entity: str = "entity") -> DataFrame:
     return rows.join(rows.where("value is null").select(entity).distinct(), entity, "left_anti")
 
 
-def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 4096) -> DataFrame:
+def impute_neighbours(rows: DataFrame, k: int = 5, block_rows: int = 1 << 18, query_rows: int = 1 << 13) -> DataFrame:
     """Missing cells from the mean of the k nearest entities of all that have the indicator; ties to the smaller entity.
 
     Distance is over shared indicators, z-scored, scaled up for missing ones. Entities with equal cells are one class: as donors
-    they are its k smallest entities, and what they lack is looked for once. The classes that lack a cell are the queries: they meet all others
-    in blocks of about `block_rows`, each of which gives its k nearest for every missing cell, and the k nearest of those stay. Cells that
-    no neighbour fills take the indicator's median.
+    they are its k smallest entities, and what they lack is looked for once. The classes that lack a cell are the queries: a task takes about `query_rows` of them
+    and reads all classes in files of `block_rows`, so none is copied; what lies too far off is skipped (`neighbours`). Cells that no neighbour fills take the indicator's median.
     """
-    known = rows.groupBy("indicator").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    names = sorted(r["indicator"] for r in known.select("indicator").collect())  # the matrix's columns
-    z = rows.join(known, "indicator").withColumn("z", (F.col("value") - F.col("_m")) / F.when(F.col("_s") > 0, F.col("_s")).otherwise(1.0))
-    wide = z.groupBy("entity").pivot("indicator", names).agg(F.first("z").alias("z"), F.first("value").alias("v"))
-    flat = wide.select("entity", F.array(*(F.coalesce(f"{c}_z", F.lit(float("nan"))) for c in names)).alias("z"), F.array(*(F.coalesce(f"{c}_v", F.lit(float("nan"))) for c in names)).alias("v"))
-    flat = reused(flat)
+    known = {r["indicator"]: (r["_m"] or 0.0, r["_s"] or 0.0) for r in rows.groupBy("indicator").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s")).collect()}
+    names = sorted(known)  # the matrix's columns
+    middle, spread = np.array([known[c][0] for c in names]), np.array([known[c][1] if known[c][1] > 0 else 1.0 for c in names])
+    wide = to_wide(rows, ["entity"], names)
+    flat = reused(wide.select("entity", F.array(*(F.coalesce(c, F.lit(float("nan"))) for c in names)).alias("v")))
     firsts = flat.withColumn("_r", F.row_number().over(Window.partitionBy("v").orderBy("entity"))).where(F.col("_r") <= k)
-    classes = reused(firsts.groupBy("v").agg(F.min("entity").alias("entity"), F.first("z").alias("z"), F.sort_array(F.collect_list("entity")).alias("ids")).select("entity", "z", "v", "ids"))
-    blocks = max(1, -(-classes.count() // block_rows))
-    lacks = F.exists("v", lambda x: F.isnan(x))
-    donors = classes.withColumn("block", F.pmod(F.xxhash64("entity"), F.lit(blocks)).cast("int")).withColumn("asks", F.lit(False))
-    lacking = classes.where(lacks).withColumn("ids", F.array().cast("array<bigint>")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("asks", F.lit(True))
-    donors = donors.withColumn("ids", F.col("ids").cast("array<bigint>"))
-
-    def nearest(part: pd.DataFrame) -> pd.DataFrame:
-        asks, own = part[part.asks], part[~part.asks].sort_values("entity")
-        out = []
-        if len(asks) and len(own):
-            dz, dv, ids = np.stack(own.z), np.stack(own.v), own.entity.to_numpy()
-            for entity, q, v in zip(asks.entity, np.stack(asks.z), np.stack(asks.v)):
-                apart = (dz - q) ** 2
-                n = (~np.isnan(apart)).sum(axis=1)
-                d = np.where((n > 0) & (ids != entity), np.sqrt(np.nansum(apart, axis=1) / np.maximum(n, 1) * len(names)), np.inf)
-                for j in np.flatnonzero(np.isnan(v)):
-                    fit = np.flatnonzero(~np.isnan(dv[:, j]) & np.isfinite(d))
-                    if len(fit) > k:
-                        fit = fit[d[fit] <= np.partition(d[fit], k - 1)[k - 1]]
-                    best = fit[np.argsort(d[fit], kind="stable")[:k]]
-                    out += [(entity, names[j], float(d[i]), own.ids.iat[i], float(dv[i, j])) for i in best]
-        return pd.DataFrame(out, columns=["entity", "indicator", "d", "donors", "given"]).astype({"entity": "int64"})
-
-    near = donors.unionByName(lacking).groupBy("block").applyInPandas(nearest, "entity long, indicator string, d double, donors array<long>, given double").withColumn("donor", F.explode("donors")).drop("donors")
-    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("entity", "indicator").orderBy("d", "donor"))).where(F.col("_r") <= k)
-    filled = best.groupBy(F.col("entity").alias("cls"), "indicator").agg(F.avg("given").alias("_k"))
+    classes = reused(firsts.groupBy("v").agg(F.min("entity").alias("entity"), F.sort_array(F.collect_list("entity")).alias("ids")))
+    lacks, values = F.exists("v", lambda x: F.isnan(x)), [f"v{i}" for i in range(len(names))]
+    own = [F.col("entity").cast("long").alias("entity"), *(F.col("v")[i].alias(c) for i, c in enumerate(values))]
+    near = along_curve([(F.col(c) - float(m)) / float(s) for c, m, s in zip(values, middle, spread)]).alias("near")
+    donors = in_blocks(classes.select(*own, *(F.get("ids", F.lit(i)).cast("long").alias(f"id{i}") for i in range(k))).select("*", near), ["near", "entity"], block_rows)
+    queries = in_blocks(classes.where(lacks).select(*own).select("*", near), ["near", "entity"], query_rows)
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            for at in part.id:
+                entity, *v = block(queries[int(at)], ["entity", *values])
+                if not len(entity):
+                    continue
+                given = ((np.stack(own[1 : 1 + len(names)], axis=1), np.stack(own[1 + len(names) :], axis=1)) for own in (block(f, ["entity", *values, *(f"id{i}" for i in range(k))]) for f in donors))
+                row, j, mean = neighbours(np.stack(v, axis=1), given, middle, spread, k)
+                yield pd.DataFrame({"cls": entity[row], "indicator": np.array(names, dtype=object)[j], "_k": mean})
+
+    asked = rows.sparkSession.range(0, len(queries), numPartitions=max(1, len(queries)))
+    filled = reused(asked.mapInPandas(nearest, "cls long, indicator string, _k double"))
     members = flat.where(lacks).select("entity", "v").join(classes.where(lacks).select(F.col("entity").alias("cls"), "v"), "v").select("entity", "cls")
     filled = filled.join(members, "cls").drop("cls")
     whole = medians(rows, ["indicator"], "value", "_n")
