@@ -1,5 +1,6 @@
 """Scores and ranks within many draws without a row for each entity and draw.
 
+`top_in_draws` scores rows in all draws where they lie and keeps the best. `rank_quantiles_in_draws` puts draws in order in tasks that read the whole table's files.
 `shares_in_draw` and `middle_shift` work on one draw's entities in one task (about 40 bytes each), which reads columns of the whole table's files.
 `ranks_in_draws`: a row carries an array with its count in every draw, so no row is copied for a draw. Each column is put in order once, in buckets; what a draw's rows have before a value is a
 running sum of the counts, for all draws side by side.
@@ -7,7 +8,7 @@ running sum of the counts, for all draws side by side.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import below, reused
-from .storage import block
+from .storage import block, in_blocks, lengths
 
 BUCKETS, CHUNK = 128, 4096
 
@@ -119,3 +120,127 @@ def ranks_in_draws(rows: DataFrame, columns: list[str], draws: int, buckets: int
     long = placed.select("cls", "c", F.inline(cells)).where("k is not null")
     spread = F.when(F.col("k") % 2 == 1, chunk_of("cls", 64)).otherwise(0)
     return long.groupBy("i", "k", spread.alias("_s")).applyInPandas(ranked, "cls long, i int, r array<int>"), own.sum(axis=1)
+
+
+#: A scorer: the arrays of some columns, and the numbers of some draws, give a matrix of draws by rows.
+Scorer = Callable[[list[np.ndarray], np.ndarray], np.ndarray]
+
+
+def _firsts(draw: np.ndarray, score: np.ndarray, entity: np.ndarray, k: int) -> np.ndarray:
+    """Places of each draw's k highest scores, ties to the smaller entity, in order."""
+    order = np.lexsort((entity, -score, draw))
+    inside = draw[order]
+    return order[np.arange(len(inside)) - np.searchsorted(inside, inside) < k]
+
+
+def top_in_draws(rows: DataFrame, columns: list[str], draws: int, score: Scorer, k: int, step: int = 2048) -> DataFrame:
+    """draw, entity: the k entities of each draw with the highest scores, ties to the smaller entity. A task scores `step` rows in all draws at a time and keeps the k best of each draw; these alone leave it."""
+    every = np.arange(draws)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        draw, found, entity = np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0, dtype=np.int64)
+        least = np.full(draws, -np.inf)
+        for part in batches:
+            names = part["entity"].to_numpy()
+            arrays = [part[c].to_numpy() for c in columns]
+            for a in range(0, len(part), step):
+                s = score([x[a : a + step] for x in arrays], every)
+                floor = np.maximum(least, np.partition(s, -k, axis=1)[:, -k]) if s.shape[1] > k and np.isinf(least).any() else least
+                at, row = np.nonzero(s >= floor[:, None])
+                if not len(at):
+                    continue
+                draw, found, entity = np.r_[draw, at], np.r_[found, s[at, row]], np.r_[entity, names[a + row]]
+                keep = _firsts(draw, found, entity, k)
+                draw, found, entity = draw[keep], found[keep], entity[keep]
+                n = np.bincount(draw, minlength=draws)
+                full = n == k
+                least[full] = found[np.cumsum(n)[full] - 1]
+        yield pd.DataFrame({"draw": draw.astype(np.int32), "s": found, "entity": entity})
+
+    def of_all(part: pd.DataFrame) -> pd.DataFrame:
+        return part.iloc[_firsts(part.draw.to_numpy(), part.s.to_numpy(), part.entity.to_numpy(), k)][["draw", "entity"]]
+
+    few = rows.select(F.col("entity").cast("long").alias("entity"), *columns).mapInPandas(best, "draw int, s double, entity long")
+    return few.groupBy("draw").applyInPandas(of_all, "draw int, entity long")
+
+
+CELLS, PIECE, MOST = 1 << 16, 1 << 14, 1 << 22
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers byte plane by byte plane, so that high bytes, mostly zero, compress away."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def _unplaned(x: bytes, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
+def rank_quantiles_in_draws(rows: DataFrame, columns: list[str], draws: int, score: Scorer, probs: list[float], piece: int = PIECE, most: int = MOST) -> DataFrame:
+    """entity, q: quantiles over the draws of an entity's rank, by score (0 to 100), highest first, ties to the smaller entity.
+
+    A task reads the columns of all entities from files, in order of entity, and puts one or a few draws' scores in order; where there are over `most` entities it takes those between two cuts of the draw, found
+    by counting all in `CELLS` cells, so that its memory does not grow (but by entities in one cell). Only ranks are shuffled, as four bytes each for pieces of entities.
+    """
+    files = in_blocks(reused(rows.select(F.col("entity").cast("long").alias("entity"), *columns)), ["entity"], 1 << 18)
+    sizes = lengths(files)
+    n = sum(sizes)
+    parts = max(1, -(-n // most))
+    group = max(1, min(most // max(n, 1), draws // 64))
+    kind = np.int32 if n < 2**31 else np.int64
+    cell = lambda s: np.clip(s * (CELLS / 100), 0, CELLS - 1).astype(np.int64)
+
+    def ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            for item in ids.id:
+                g, part = divmod(int(item), parts)
+                at = np.arange(g * group, min(draws, (g + 1) * group))
+                scores = lambda f: score(block(f, columns), at)
+                label, above = None, np.zeros(len(at), dtype=np.int64)
+                if parts > 1:
+                    bins = np.zeros((len(at), CELLS), dtype=np.int64)
+                    for f in files:
+                        for i, s in enumerate(scores(f)):
+                            bins[i] += np.bincount(cell(s), minlength=CELLS)
+                    higher = np.cumsum(bins[:, ::-1], axis=1)[:, ::-1] - bins
+                    label = higher * parts // n
+                    above = (bins * (label < part)).sum(axis=1)
+                own = [[] for _ in at]
+                for f in files:
+                    for i, s in enumerate(scores(f)):
+                        inside = np.flatnonzero(label[i][cell(s)] == part) if parts > 1 else None
+                        own[i].append((s if inside is None else s[inside], inside))
+                for i, d in enumerate(at):
+                    s = np.concatenate([x for x, _ in own[i]])
+                    order = np.argsort(-s, kind="stable")
+                    rank = np.empty(len(s), dtype=kind)
+                    rank[order] = np.arange(above[i] + 1, above[i] + 1 + len(s), dtype=kind)
+                    out, start = [], 0
+                    for f, (x, inside) in enumerate(own[i]):
+                        mine = rank[start : start + len(x)]
+                        start += len(x)
+                        for p in range(-(-sizes[f] // piece)):
+                            a, z = (p * piece, (p + 1) * piece) if inside is None else np.searchsorted(inside, (p * piece, (p + 1) * piece))
+                            if len(mine[a:z]):
+                                out.append((f, p, int(d), b"" if inside is None else _planes((inside[a:z] - p * piece).astype(np.int32)), _planes(mine[a:z])))
+                    own[i] = None
+                    yield pd.DataFrame(out, columns=["f", "p", "draw", "at", "r"])
+
+    def quantiles(part: pd.DataFrame) -> pd.DataFrame:
+        f, p = int(part.f.iloc[0]), int(part.p.iloc[0])
+        entity = block(files[f], ["entity"])[0][p * piece : (p + 1) * piece]
+        r = np.zeros((draws, len(entity)), dtype=kind)
+        for d, at, x in zip(part.draw, part["at"], part.r):
+            if len(at):
+                r[d, _unplaned(at, np.int32)] = _unplaned(x, kind)
+            else:
+                r[d] = _unplaned(x, kind)
+        ends = [(int(q * (draws - 1)), min(int(q * (draws - 1)) + 1, draws - 1), q * (draws - 1) - int(q * (draws - 1))) for q in probs]
+        r.partition(sorted({i for low, high, _ in ends for i in (low, high)}), axis=0)
+        q = np.stack([r[low] + (r[high].astype(float) - r[low]) * share for low, high, share in ends], axis=1)
+        return pd.DataFrame({"entity": entity, "q": list(q)})
+
+    items = -(-draws // group) * parts if n else 0
+    found = rows.sparkSession.range(0, items, numPartitions=max(1, items)).mapInPandas(ranked, "f int, p int, draw int, at binary, r binary")
+    return found.groupBy("f", "p").applyInPandas(quantiles, "entity long, q array<double>")

@@ -33,12 +33,28 @@ def in_blocks(df: DataFrame, order: list[str], rows: int) -> list[str]:
     return sorted(df.sparkSession.read.schema(df.schema).parquet(path).inputFiles(), key=lambda f: [int(x) for x in re.search(r"part-(\d+)-.*?c(\d+)\.[^/]*$", f).groups()])
 
 
+def _opened(path: str):
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
+
+
 def block(path: str, columns: list[str]) -> list[np.ndarray]:
     """Columns of one of those files; nulls of numbers are NaN."""
-    from pyarrow import fs
     from pyarrow import parquet
 
-    store, name = fs.FileSystem.from_uri(path)
-    with store.open_input_file(name) as file:
+    with _opened(path) as file:
         found = parquet.ParquetFile(file).read(columns=columns)
     return [found.column(c).to_numpy() for c in columns]
+
+
+def lengths(paths: list[str]) -> list[int]:
+    """Rows of each of those files, from their footers."""
+    from pyarrow import parquet
+
+    out = []
+    for path in paths:
+        with _opened(path) as file:
+            out.append(parquet.ParquetFile(file).metadata.num_rows)
+    return out

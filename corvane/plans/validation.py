@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import json
 
 import numpy as np
 import pandas as pd
@@ -12,11 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import matrix, ranks, stats
-from ..operators.draws import middle_shift, shares_in_draw
+from ..operators.draws import middle_shift, rank_quantiles_in_draws, shares_in_draw, top_in_draws
 from ..operators.order_statistics import medians
 from ..operators.storage import block, in_blocks
 from .base import FEAT, IMPUTED, INDEX, KEPT, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, rounded, table, tree
-from .index import assembled, quality, scored, sized
+from .index import assembled, scored
 
 
 @query(FEAT + f"""SELECT round(corr(a, b), 6) AS rho, count(*) AS n FROM (SELECT {pct_rank_sql('spend')} AS a, {pct_rank_sql('urgent_price')} AS b FROM feat WHERE spend IS NOT NULL AND urgent_price IS NOT NULL)""")
@@ -231,9 +230,6 @@ mr AS (SELECT draw, entity, CAST(row_number() OVER (PARTITION BY draw ORDER BY s
 _MC = mc_sql(DRAWS)
 
 
-_CLASS = ["size", *(f"{p}_{x}" for p in PILLARS for x in "pb")]
-
-
 def alike(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Entities that agree in all keys (none of them null) as one class, named by its smallest entity: cls, n and the keys; and entity, cls."""
     rows = reused(rows)
@@ -241,16 +237,39 @@ def alike(rows: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     return found, reused(rows.join(found, keys).select("entity", "cls"))
 
 
-def _mc_scores(spark: SparkSession, sf_dir: str, n: int = DRAWS) -> tuple[DataFrame, DataFrame]:
-    """draw, cls, n, s by the whole index, and entity, cls: size and pillars are made once, a draw only weighs the pillars anew; blocked pillars stay blocked. Entities alike in all of these have one
-    score in every draw, which is made once."""
-    parts = quality(spark, sf_dir).select("entity", *(f"{p}_b" for p in PILLARS), *(F.coalesce(f"{p}_p", F.lit(0.0)).alias(f"{p}_p") for p in PILLARS))
-    size = F.greatest(F.least("size", F.lit(100.0)), F.lit(1.0)).alias("size")  # as the geometric mean takes it
-    found, members = alike(parts.join(sized(spark, sf_dir).select("entity", size), "entity"), _CLASS)
-    rows = [{"draw": d} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, p) for p in PILLARS} for d in range(n)]
-    draws = F.from_json(F.lit(json.dumps(rows)), "array<struct<draw:int," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>")
-    each = found.withColumn("d", F.explode(draws)).withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
-    return reused(each.select("d.draw", "cls", "n", F.round(C.geometric("size", "q", 0.5), 9).alias("s"))), members
+_PARTS = ["size", *(f"{p}_{x}" for p in PILLARS for x in "pb")]
+
+
+def mc_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entity, size as the geometric mean takes it, and each pillar's score and blocked flag: made once, a draw only weighs the pillars anew; blocked pillars stay blocked."""
+    size = F.greatest(F.least("size", F.lit(100.0)), F.lit(1.0)).alias("size")
+    return assembled(spark, sf_dir).select("entity", size, *(f"{p}_b" for p in PILLARS), *(F.coalesce(f"{p}_p", F.lit(0.0)).alias(f"{p}_p") for p in PILLARS))
+
+
+def rounded_up(x: np.ndarray, digits: int) -> np.ndarray:
+    """Rounded as in the SQL, halves away from zero."""
+    return np.copysign(np.floor(np.abs(x) * 10.0**digits + 0.5) / 10.0**digits, x)
+
+
+def weighed(pillars: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Draws by rows: the weighted mean of (score, blocked flag, weight by draw) as in C.blocked_mean."""
+    live = [np.where(b, 0.0, w[:, None]) for _, b, w in pillars]
+    total = sum(live)
+    equal = sum(p for p, _, _ in pillars) / len(PILLARS)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return np.where(total > 0, sum(w * p for w, (p, _, _) in zip(live, pillars)) / total, equal)
+
+
+def mc_score(n: int):
+    """The index in draws: rows of _PARTS."""
+    weights = {p: np.array([WEIGHTS[p] * draw_weight(d, p) for d in range(n)]) for p in PILLARS}
+
+    def score(columns: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        own = dict(zip(_PARTS, columns))
+        q = weighed([(own[f"{p}_p"], own[f"{p}_b"].astype(bool), weights[p][at]) for p in PILLARS])
+        return rounded_up(100 * np.sqrt(own["size"] / 100) * np.sqrt(np.clip(q, 1.0, 100.0) / 100), 9)
+
+    return score
 
 
 def rank_quantiles(scores: DataFrame, members: DataFrame, probs: list[float]) -> DataFrame:
@@ -289,7 +308,7 @@ def firsts(scores: DataFrame, members: DataFrame, k: int) -> DataFrame:
 
 @query(_MC + " SELECT entity, round(quantile_cont(r, 0.05), 4) AS lo, round(quantile_cont(r, 0.95), 4) AS hi FROM mr GROUP BY 1")
 def rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rank_quantiles(*_mc_scores(spark, sf_dir), [0.05, 0.95]).select("entity", F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
+    return rank_quantiles_in_draws(mc_parts(spark, sf_dir), _PARTS, DRAWS, mc_score(DRAWS), [0.05, 0.95]).select("entity", F.round(F.col("q")[0], 4).alias("lo"), F.round(F.col("q")[1], 4).alias("hi"))
 
 
 V1_DRAWS = 500
@@ -299,7 +318,7 @@ V1_DRAWS = 500
 def v1_rank_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first generation's intervals: 500 draws of weights only, both ends cut to whole ranks."""
     end = lambda i: F.floor(F.round(F.col("q")[i], 4)).cast("long")
-    return rank_quantiles(*_mc_scores(spark, sf_dir, V1_DRAWS), [0.05, 0.95]).select("entity", end(0).alias("lo"), end(1).alias("hi"))
+    return rank_quantiles_in_draws(mc_parts(spark, sf_dir), _PARTS, V1_DRAWS, mc_score(V1_DRAWS), [0.05, 0.95]).select("entity", end(0).alias("lo"), end(1).alias("hi"))
 
 
 @query(_MC + """, base AS (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score)
@@ -307,7 +326,7 @@ SELECT CAST(mr.draw AS BIGINT) AS draw, count(*) AS overlap, round(count(*) / 50
 def mc_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights within a quarter of their size: how much of the index's top 50 stays."""
     top = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
-    both = firsts(*_mc_scores(spark, sf_dir), 50).join(top, "entity").groupBy("draw").agg(F.count(F.lit(1)).alias("overlap"))
+    both = top_in_draws(reused(mc_parts(spark, sf_dir)), _PARTS, DRAWS, mc_score(DRAWS), 50).join(top, "entity").groupBy("draw").agg(F.count(F.lit(1)).alias("overlap"))
     return both.select(F.col("draw").cast("long").alias("draw"), "overlap", F.round(F.col("overlap") / 50.0, 6).alias("stability"))
 
 

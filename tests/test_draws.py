@@ -100,3 +100,30 @@ def test_a_draw_reads_columns_of_the_whole_table(spark):
     score, position = rng.integers(0, 30, 90).astype(float), np.r_[rng.random(89) * 90, np.nan]
     shift = (pd.Series(score).rank(ascending=False) / 90 * 200 - position).abs()
     assert abs(draws.middle_shift(score, position, 200.0) - shift.median()) < 1e-9
+
+
+def test_ranks_and_firsts_over_draws_without_rows_by_draw(spark):
+    """Ties, draws cut into ranges of scores, files in pieces of 16 entities, against ranks made one by one."""
+    rng = np.random.default_rng(6)
+    n, d = 300, 20
+    a, b = rng.integers(0, 30, n) * 3.0, np.where(rng.random(n) < 0.3, 50.0, rng.random(n) * 100)
+    keys = rng.permutation(n * 3)[:n]
+    rows = spark.createDataFrame([(int(k), float(x), float(y)) for k, x, y in zip(keys, a, b)], "entity long, a double, b double").repartition(3)
+    share = np.linspace(0, 1, d)
+
+    def score(columns, at):
+        return np.round(np.outer(share[at], columns[0]) + np.outer(1 - share[at], columns[1]), 1)
+
+    s = score([a, b], np.arange(d))
+    orders = [np.lexsort((keys, -own)) for own in s]
+    ranks_of = np.empty((d, n))
+    for i, order in enumerate(orders):
+        ranks_of[i, order] = np.arange(1, n + 1)
+    want = dict(zip(keys.tolist(), np.quantile(ranks_of, [0.05, 0.95], axis=0).T.tolist()))
+    for most in (1 << 22, 70):
+        found = draws.rank_quantiles_in_draws(rows, ["a", "b"], d, score, [0.05, 0.95], piece=16, most=most)
+        got = {r["entity"]: r["q"] for r in found.collect()}
+        assert set(got) == set(want) and all(np.allclose(got[e], want[e], atol=1e-9) for e in want)
+    top = draws.top_in_draws(rows, ["a", "b"], d, score, 7, step=50)
+    assert sorted((r["draw"], r["entity"]) for r in top.collect()) == sorted((i, int(keys[k])) for i, order in enumerate(orders) for k in order[:7])
+    assert "Generate" not in top._jdf.queryExecution().optimizedPlan().toString()  # no row is copied for a draw
