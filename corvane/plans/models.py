@@ -18,10 +18,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..functions.special import chi2_tail
 from ..operators import matrix, ranks, stats
+from ..operators.draws import Scorer, top_in_draws
 from ..operators.storage import shared_folder
 from .base import FEAT, INDEX, PILLAR, PILLARS, TREE, WEIGHTS, features, gated, imputed, pct_rank_sql, query, reused, table, tree
-from .index import quality, scored, sized
-from .validation import alike, draw_weight, factors_sql, firsts, uniform
+from .index import assembled, scored
+from .validation import draw_weight, factors_sql, rounded_up, uniform, weighed
 
 
 def correlation_matrix(rows: DataFrame) -> tuple[list[str], np.ndarray, int]:
@@ -308,45 +309,57 @@ sc AS (SELECT draw, entity, round(CASE WHEN geo THEN 100 * pow(greatest(least(si
 rk AS (SELECT draw, entity, row_number() OVER (PARTITION BY draw ORDER BY s DESC, entity) AS r FROM sc)"""
 
 
-def four_axis_scores(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """draw, cls, s by the whole index, and entity, cls: weights within a quarter of their size, three normalisers, two means of size and quality, and one indicator or none left out.
+def four_axis(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str], Scorer]:
+    """One row an entity, its columns, and their scores in draws by the whole index: weights within a quarter of their size, three normalisers, two means of size and quality, and one indicator or none left out.
 
-    An entity has one row a normaliser, with each pillar's sum and count; what is left out is taken from these, and draws are an array beside it, so no cell is copied for an
-    indicator. Entities alike in their cells, flags and size have one score in every draw, which is made once.
+    A row has each indicator's value and rank score once; the other normalisers, the pillars without one indicator and the draws are made from these as arrays beside it. Where size is missing, the arithmetic mean has no score and comes last.
     """
-    cells = imputed(spark, sf_dir).join(tree(spark), "indicator")
-    each = [matrix.NORMALISERS[m](cells, F.col("direction")).select(F.lit(m).alias("method"), "entity", "indicator", "pillar", "score") for m in METHODS]
-    rows = each[0].unionByName(each[1]).unionByName(each[2])
-    own = lambda p, x: F.when(F.col("pillar") == p, x)
-    wide = rows.groupBy("method", "entity").agg(
-        *(F.sum(own(p, F.col("score"))).alias(f"s_{p}") for p in PILLARS), *(F.count(own(p, F.col("score"))).alias(f"n_{p}") for p in PILLARS),
-        F.sort_array(F.collect_list(F.struct("indicator", "pillar", "score"))).alias("cells"),  # as many as indicators
-    )
-    flags = quality(spark, sf_dir).select("entity", *(f"{p}_b" for p in PILLARS))
-    wide = reused(wide.join(flags, "entity").join(sized(spark, sf_dir).select("entity", "size"), "entity"))
-    kind = wide.groupBy("entity").agg(F.sha2(F.to_json(F.struct(F.max("size"), F.sort_array(F.collect_list(F.struct("method", "cells", *(f"{p}_b" for p in PILLARS)))))), 256).alias("kind"))  # three rows
-    found, members = alike(kind, ["kind"])
-    wide = wide.join(found.select(F.col("cls").alias("entity")), "entity", "left_semi").withColumnRenamed("entity", "cls")
     names = sorted(r["indicator"] for r in gated(spark, sf_dir).select("indicator").distinct().collect())
-    draws: dict[str, list] = {}
-    for d in range(ARMS):
-        method, geometric, pick = arm(d)
-        left = [*names, NONE][pick % (len(names) + 1)]
-        draws.setdefault(f"{method}|{left}", []).append({"draw": d, "geo": geometric} | {f"w_{p}": WEIGHTS[p] * draw_weight(d, p) for p in PILLARS})
-    shape = "map<string,array<struct<draw:int,geo:boolean," + ",".join(f"w_{p}:double" for p in PILLARS) + ">>>"
-    whole = F.array(F.struct(F.lit(NONE).alias("indicator"), F.lit(NONE).alias("pillar"), F.lit(0.0).alias("score")))
-    gone = wide.withColumn("g", F.explode(F.concat("cells", whole))).drop("cells")
-    hit = lambda p: F.col("g.pillar") == p
-    mean = lambda p: (F.col(f"s_{p}") - F.when(hit(p), F.col("g.score")).otherwise(0.0)) / F.nullif(F.col(f"n_{p}") - hit(p).cast("int"), F.lit(0))
-    asked = F.explode(F.try_element_at(F.from_json(F.lit(json.dumps(draws)), shape), F.concat_ws("|", "method", "g.indicator")))
-    drawn = gone.select("cls", "size", *(f"{p}_b" for p in PILLARS), *(mean(p).alias(f"{p}_p") for p in PILLARS), asked.alias("d"))
-    drawn = drawn.withColumn("q", C.blocked_mean([(f"{p}_p", f"{p}_b", F.col(f"d.w_{p}")) for p in PILLARS]))
-    score = F.when(F.col("d.geo"), C.geometric("size", "q", 0.5)).otherwise(0.5 * F.col("size") + 0.5 * F.col("q"))
-    return reused(drawn.select("d.draw", "cls", F.round(score, 7).alias("s"))), members
+    ends = imputed(spark, sf_dir).groupBy("indicator").agg(F.min("value").alias("a"), F.max("value").alias("z"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s"))
+    known = {r["indicator"]: r for r in ends.collect()}  # as many rows as indicators
+    way, pillar = {i: d for i, _, d in TREE}, {i: p for i, p, _ in TREE}
+    cell = lambda i, x: F.max(F.when(F.col("indicator") == i, F.col(x)))
+    columns = ["size", *(f"{p}_b" for p in PILLARS), *(f"{x}_{i}" for i in names for x in ("value", "score"))]
+    rows = assembled(spark, sf_dir, tuple(cell(i, x).alias(f"{x}_{i}") for i in names for x in ("value", "score"))).select("entity", *columns)
+    drawn = [arm(d) for d in range(ARMS)]
+    left = [[*names, NONE][pick % (len(names) + 1)] for _, _, pick in drawn]
+    weights = {p: np.array([WEIGHTS[p] * draw_weight(d, p) for d in range(ARMS)]) for p in PILLARS}
+
+    def normal(method: str, i: str, own: dict[str, np.ndarray]) -> np.ndarray:
+        if method == "rank":
+            return own[f"score_{i}"]
+        v, (a, z, m, s) = own[f"value_{i}"], (known[i][x] for x in "azms")
+        if method == "z":
+            return 50 + way[i] * 10 * (v - m) / (s if s and s > 0 else 1.0)
+        x = 100 * (v - a) / (z - a) if z > a else np.where(np.isnan(v), np.nan, 50.0)
+        return 100 - x if way[i] < 0 else x
+
+    def score(arrays: list[np.ndarray], at: np.ndarray) -> np.ndarray:
+        own = {c: x.astype(float) for c, x in zip(columns, arrays)}
+        kinds: dict[tuple, list[int]] = {}
+        for k, d in enumerate(at):
+            kinds.setdefault((drawn[d][0], left[d]), []).append(k)
+        cells = {m: {i: normal(m, i, own) for i in names} for m in {m for m, _ in kinds}}
+        out = np.empty((len(at), len(arrays[0])))
+        size = np.clip(np.where(np.isnan(own["size"]), 100.0, own["size"]), 1.0, 100.0)
+        for (method, gone), ks in kinds.items():
+            parts = []
+            for p in PILLARS:
+                mine = [cells[method][i] for i in names if pillar[i] == p and i != gone]
+                if mine:
+                    n = sum((~np.isnan(x)).astype(int) for x in mine)
+                    parts.append((sum(np.nan_to_num(x) for x in mine) / np.maximum(n, 1), own[f"{p}_b"] > 0, weights[p][at[ks]]))
+            q = weighed(parts)
+            geometric = np.array([drawn[d][1] for d in at[ks]])[:, None]
+            out[ks] = np.where(geometric, 100 * np.sqrt(size / 100) * np.sqrt(np.clip(q, 1.0, 100.0) / 100), 0.5 * own["size"] + 0.5 * q)
+        return np.nan_to_num(rounded_up(out, 7), copy=False, nan=-np.inf)
+
+    return rows, columns, score
 
 
 @query(_FOUR + ", base AS (SELECT entity FROM (SELECT entity, row_number() OVER (ORDER BY overall DESC, entity) AS r FROM score) WHERE r <= 50) SELECT CAST(draw AS BIGINT) AS draw, count(*) AS overlap FROM rk JOIN base USING (entity) WHERE r <= 50 GROUP BY 1")
 def mc_four_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the index's top 50 each of the 400 draws keeps."""
     base = scored(spark, sf_dir).orderBy(F.col("overall").desc(), "entity").limit(50).select("entity")
-    return firsts(*four_axis_scores(spark, sf_dir), 50).join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
+    rows, columns, score = four_axis(spark, sf_dir)
+    return top_in_draws(reused(rows), columns, ARMS, score, 50).join(base, "entity").groupBy(F.col("draw").cast("long").alias("draw")).agg(F.count(F.lit(1)).alias("overlap"))
