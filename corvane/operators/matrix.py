@@ -115,11 +115,11 @@ def blocked(rows: DataFrame, tree: DataFrame, most: float = 1 / 3) -> DataFrame:
     return own.withColumn("blocked", F.col("missing_share") > most)
 
 
-def pillar_columns(rows: DataFrame, pillars: list[str], most: float = 1 / 3, also: tuple[Column, ...] = ()) -> DataFrame:
-    """entity, and for each pillar <p>_p, the mean of its scores, nulls skipped, and <p>_b, as in blocked(). rows: entity, pillar, score, and `missing`, whether the cell lacked a value. Cells are shuffled once, by entity. `also`: more aggregates of an entity's cells."""
+def pillar_columns(rows: DataFrame, pillars: list[str], most: float = 1 / 3, also: tuple[Column, ...] = (), keys: tuple[str, ...] = ("entity",)) -> DataFrame:
+    """keys, and for each pillar <p>_p, the mean of its scores, nulls skipped, and <p>_b, as in blocked(). rows: entity, pillar, score, and `missing`, whether the cell lacked a value. Cells are shuffled once, by keys. `also`: more aggregates of an entity's cells."""
     own = lambda p, x: F.avg(F.when(F.col("pillar") == p, F.col(x)))
-    cells = rows.withColumn("missing", F.col("missing").cast("double")).repartition("entity")
-    return cells.groupBy("entity").agg(*(own(p, "score").alias(f"{p}_p") for p in pillars), *(F.coalesce(own(p, "missing") > most, F.lit(False)).alias(f"{p}_b") for p in pillars), *also)
+    cells = rows.withColumn("missing", F.col("missing").cast("double")).repartition(*keys)
+    return cells.groupBy(*keys).agg(*(own(p, "score").alias(f"{p}_p") for p in pillars), *(F.coalesce(own(p, "missing") > most, F.lit(False)).alias(f"{p}_b") for p in pillars), *also)
 
 
 def rank_normalised(rows: DataFrame, direction: Column | int = 1) -> DataFrame:

@@ -27,20 +27,24 @@ def arms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """strategy, entity, s: the index built anew on each strategy's fill, all strategies in one long frame.
 
     Indicators and size are ranked among a strategy's own entities (listwise has fewer). Blocked pillars are those of the matrix before it is filled.
+    The cells of size and of the pillars are ranked in one call and meet in one shuffle.
     """
-    cells = gated(spark, sf_dir)
-    fills = imputed(spark, sf_dir).select(F.lit(PRODUCTION).alias("strategy"), "entity", "indicator", "value")
+    cells, sizes = gated(spark, sf_dir).withColumn("missing", F.col("value").isNull()), ["spend", "urgent_share"]
+    known = F.col("provenance").eqNullSafe("observed")
+    fills = imputed(spark, sf_dir).select(F.lit(PRODUCTION).alias("strategy"), "entity", "indicator", "value", (~known).alias("missing"))
     for name, fill in STRATEGIES.items():
-        fills = fills.unionByName(fill(cells).select(F.lit(name).alias("strategy"), "entity", "indicator", "value"))
-    fills, own = reused(fills), tree(spark).where(F.col("pillar").isin(PILLARS))
-    scores = ranks.percent_ranks(fills.join(own, "indicator"), ["strategy", "indicator"], "value", F.col("direction"))
-    scores = scores.groupBy("strategy", "entity").pivot("pillar", PILLARS).agg(F.avg("score")).withColumnsRenamed({p: f"{p}_p" for p in PILLARS})
-    flags = matrix.blocked(cells, own).groupBy("entity").pivot("pillar", PILLARS).agg(F.first("blocked"))
-    flags = flags.select("entity", *(F.coalesce(p, F.lit(False)).alias(f"{p}_b") for p in PILLARS))
-    sizes = matrix.to_long(features(spark, sf_dir), ["entity"], ["spend", "urgent_share"]).join(fills.select("strategy", "entity").distinct(), "entity")
-    sizes = ranks.percent_ranks(sizes, ["strategy", "indicator"]).groupBy("strategy", "entity").pivot("indicator", ["spend", "urgent_share"]).agg(F.first("score"))
-    rows = scores.join(flags, "entity").join(sizes.select("strategy", "entity", (0.75 * F.col("spend") + 0.25 * F.col("urgent_share")).alias("size")), ["strategy", "entity"])
-    rows = rows.withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", WEIGHTS[p]) for p in PILLARS]))
+        fills = fills.unionByName(fill(cells).select(F.lit(name).alias("strategy"), "entity", "indicator", "value", "missing"))
+    own = matrix.to_long(features(spark, sf_dir), ["entity"], sizes).withColumn("missing", F.lit(None).cast("boolean"))
+    lacking = cells.where("missing").select("entity").distinct()
+    for name in (PRODUCTION, *STRATEGIES):
+        kept = own.join(lacking, "entity", "left_anti") if name == "listwise" else own  # the others keep all entities
+        fills = fills.unionByName(kept.withColumn("strategy", F.lit(name)))
+    shape = tree(spark).where(F.col("pillar").isin(PILLARS)).unionByName(spark.createDataFrame([(c, c, 1) for c in sizes], "indicator string, pillar string, direction int"))
+    scores = ranks.percent_ranks(reused(fills).join(F.broadcast(shape), "indicator"), ["strategy", "indicator"], "value", F.col("direction"))
+    part = lambda c: F.max(F.when(F.col("pillar") == c, F.col("score")))
+    also = (*(part(c).alias(c) for c in sizes), F.count("missing").alias("cells"))
+    rows = matrix.pillar_columns(scores, PILLARS, also=also, keys=("strategy", "entity")).where("cells > 0")
+    rows = rows.withColumn("size", 0.75 * F.col("spend") + 0.25 * F.col("urgent_share")).withColumn("quality", C.blocked_mean([(f"{p}_p", f"{p}_b", WEIGHTS[p]) for p in PILLARS]))
     return reused(rows.select("strategy", "entity", F.round(C.geometric("size", "quality", 0.5), 6).alias("s")))
 
 
